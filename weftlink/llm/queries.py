@@ -35,7 +35,79 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op5_chat_format)}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftlink.llm.token_store import read_tokens, write_tokens
+
+    manifest, root = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(manifest, root).withColumnRenamed("id", "doc_id")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.aq_search import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.common import text_key, word_count
+    from weftlink.llm.packing import pack
+
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.when(F.length("text") > 0, text_key(F.col("text"))).alias("cluster"))
+    return pack(sized, "doc_id", "size", "source", "cluster")
+
+
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weftlink.llm.token_attribution import attribute
+
+    return attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), rule="start")
+
+
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.rp_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93).withColumnRenamed("id", "vec_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_token_files,
+        op3_language_id,
+        op4_additive_search,
+        op5_chat_format,
+        op6_jaccard_join,
+        op7_best_fit_packing,
+        op8_token_attribution,
+        op9_projection_forest,
+        op10_line_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -85,3 +157,62 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length(seg))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+#: All pairs by brute force: the query's forest is held against this.
+ORACLE_SQL["op9_projection_forest"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, e FROM v
+  WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = v.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = v.vec_id
+"""
+
+#: Runs as lists of lines, found by joining each line with the ones after it.
+ORACLE_SQL["op10_line_dedup"] = r"""
+WITH docs AS (SELECT DISTINCT doc_id, text, md5(coalesce('t' || text, '')) AS tkey FROM documents),
+raw AS (
+  SELECT doc_id, tkey, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, tkey, string_split(text, chr(10)) AS parts FROM docs WHERE text IS NOT NULL)),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM raw),
+lines AS (
+  SELECT *, row_number() OVER d AS nth, sum(words) OVER (d ROWS UNBOUNDED PRECEDING) AS upto
+  FROM counted WHERE words > 0 WINDOW d AS (PARTITION BY doc_id, tkey ORDER BY pos)),
+spans AS (
+  SELECT a.doc_id, a.tkey, a.nth AS f, min(b.nth) AS l FROM lines a JOIN lines b
+    ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.tkey = b.tkey AND b.nth BETWEEN a.nth AND a.nth + 19
+  WHERE b.upto - (a.upto - a.words) >= 20 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, b.tkey, max(a.nth) AS f, b.nth AS l FROM lines a JOIN lines b
+    ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.tkey = b.tkey AND b.nth BETWEEN a.nth AND a.nth + 19
+  WHERE b.upto - (a.upto - a.words) >= 20 GROUP BY b.doc_id, b.tkey, b.nth),
+runs AS (
+  SELECT s.doc_id, s.tkey, s.f, s.l, min(n.pos) AS first, string_agg(n.line, chr(10) ORDER BY n.nth) AS run
+  FROM spans s JOIN lines n ON s.doc_id IS NOT DISTINCT FROM n.doc_id AND s.tkey = n.tkey AND n.nth BETWEEN s.f AND s.l
+  GROUP BY s.doc_id, s.tkey, s.f, s.l),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, tkey, first) AS nth_copy FROM runs),
+gone AS (
+  SELECT DISTINCT r.doc_id, r.tkey, n.pos FROM (SELECT doc_id, tkey, min(first) AS lo, max(hi) AS hi, f, l FROM (
+      SELECT r.*, (SELECT max(pos) FROM lines n WHERE n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.tkey = r.tkey AND n.nth = r.l) AS hi
+      FROM ranked r WHERE nth_copy > 1) GROUP BY doc_id, tkey, f, l) r
+  JOIN raw n ON r.doc_id IS NOT DISTINCT FROM n.doc_id AND r.tkey = n.tkey AND n.pos BETWEEN r.lo AND r.hi),
+left_over AS (
+  SELECT c.doc_id, c.tkey, count(*) AS n_lines, count(g.pos) AS n_deleted,
+         coalesce(string_agg(c.line, chr(10) ORDER BY c.pos) FILTER (g.pos IS NULL), '') AS text,
+         coalesce(sum(c.words) FILTER (g.pos IS NULL), 0) AS words
+  FROM counted c LEFT JOIN gone g ON c.doc_id IS NOT DISTINCT FROM g.doc_id AND c.tkey = g.tkey AND c.pos = g.pos GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN n_deleted > 0 THEN CASE WHEN words > 0 THEN o.text ELSE '' END ELSE d.text END AS text,
+       coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_deleted, 0)::INT AS n_deleted
+FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(coalesce('t' || d.text, '')) = o.tkey
+"""
