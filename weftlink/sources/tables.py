@@ -48,7 +48,13 @@ def read_overviews(spark: SparkSession, paths, sample_level: int = 4) -> DataFra
     raw = raw.withColumn("file__", F.input_file_name()).withColumn("row__", F.array(*[f"c{i}" for i in range(64)]))
     heads = raw.where("c0 = 'TFBS_chr'").select("file__", F.col("row__").alias("head__")).distinct()
     rows = raw.where("c0 <> 'TFBS_chr'").join(F.broadcast(heads), "file__")
-    get = lambda *ends: F.coalesce(*[F.try_element_at("row__", F.nullif(F.array_position(F.transform("head__", lambda h, e=e: F.coalesce(h.endswith(e), F.lit(False))), True), F.lit(0)).cast("int")) for e in ends])
+
+    def ending(e: str):
+        """The value under the first head that ends so."""
+        at = F.array_position(F.transform("head__", lambda h: F.coalesce(h.endswith(e), F.lit(False))), True)
+        return F.get("row__", at.cast("int") - 1)
+
+    get = lambda *ends: F.coalesce(*map(ending, ends))
     out = rows.select(
         get("TFBS_name").alias("motif"),
         format_region(get("TFBS_chr"), get("TFBS_start"), get("TFBS_end")).alias("peak"),
