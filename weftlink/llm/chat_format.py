@@ -68,9 +68,8 @@ def _listed(path: str, role: str, text: str, names: dict[str, str] | None = None
 
     def turns(v: Column) -> Column:
         items = F.try_variant_get(v, path, f"array<struct<`{role}`: string, `{text}`: string>>")
-        said = F.transform(items, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
-        for old, new in (names or {}).items():
-            said = F.transform(said, lambda x, o=old, n=new: F.struct(F.when(x["role"] == o, F.lit(n)).otherwise(x["role"]).alias("role"), x["text"].alias("text")))
+        role_name = lambda x: F.coalesce(*[F.when(x == old, F.lit(new)) for old, new in (names or {}).items()], x)
+        said = F.transform(items, lambda x: F.struct(role_name(x[role]).alias("role"), x[text].alias("text")))
         return said
 
     return turns

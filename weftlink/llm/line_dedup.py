@@ -104,12 +104,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
 
     A text of which every line with words goes becomes empty.
     """
-    gone = later_copies(df, key, text, min_words).select(F.col("id").alias("id_"), F.col("tkey").alias("tkey_"), "gone")
-    rows = df.withColumn("tkey__", text_key(F.col(text)))
-    joined = rows.join(gone, F.col(key).eqNullSafe(F.col("id_")) & (F.col("tkey__") == F.col("tkey_")), "left")
-    lines = F.split(F.col(text), "\n")
-    left = F.array_join(without(lines, F.col("gone")), "\n")
-    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.when(left.rlike(r"[^\x20\x09-\x0D]"), left).otherwise(F.lit("")))
+    gone = later_copies(df, key, text, min_words).select(F.col("id").alias("id__"), F.col("tkey").alias("tkey__"), F.col("gone").alias("gone__"))
+    own = text_key(df[text])
+    joined = df.join(gone, df[key].eqNullSafe(F.col("id__")) & (own == F.col("tkey__")), "left")
+    lines, out = F.split(df[text], "\n"), F.col("gone__")
+    left = F.array_join(without(lines, out), "\n")
+    cleaned = F.when(out.isNull(), df[text]).otherwise(F.when(left.rlike(r"[^\x20\x09-\x0D]"), left).otherwise(F.lit("")))
     count = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c))
-    kept = [cleaned.alias(c) if c == text else df[c] for c in df.columns]
-    return joined.select(*kept, count(lines).alias("n_lines"), count(F.col("gone")).alias("n_deleted"))
+    kept = [cleaned.alias(c) if c == text else df[c] for c in df.columns if c not in ("n_lines", "n_deleted")]
+    return joined.select(*kept, count(lines).alias("n_lines"), count(out).alias("n_deleted"))

@@ -112,6 +112,6 @@ def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     """The rows of ``df``, each as often as the mix takes it, with the columns of ``df``."""
     takes = mix(df, key, text, source, **options)
     # The copies of a row depend on its hash and source alone; one row per key and source joins back.
-    takes = takes.groupBy(F.col(key).alias("k_"), F.col("source").alias("s_")).agg(F.max("copies").alias("copies_"))
-    joined = df.join(takes, F.col(key).eqNullSafe(F.col("k_")) & F.col(source).cast("string").eqNullSafe(F.col("s_")))
-    return joined.where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select([df[c] for c in df.columns])
+    takes = takes.groupBy(F.col(key).alias("key__"), F.col("source").alias("source__")).agg(F.max("copies").alias("copies__"))
+    joined = df.join(takes, df[key].eqNullSafe(F.col("key__")) & df[source].cast("string").eqNullSafe(F.col("source__"))).where("copies__ > 0")
+    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).select([df[c] for c in df.columns])
