@@ -14,8 +14,8 @@ deleting the later copies of all named runs deletes exactly the later copies of
 repeated run that counts. As each line with words has at least one, a run that counts needs at most
 ``MIN_WORDS`` lines, and the doubling stops there.
 
-Defined cases: a null text has no lines and stays null; lines without words take no part and stay,
-unless every line with words goes; rows that repeat both id and text are one document with one
+Defined cases: a null text has no lines and stays null; lines without words take no part: they go
+with a named run that holds them, or where every line with words goes, and stay elsewhere; rows that repeat both id and text are one document with one
 result; the order of copies is by id (null first), then text key, then line; very long texts are
 windows over their own lines; an empty table gives an empty result; other columns are carried.
 """
@@ -46,7 +46,9 @@ def line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 def named_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(name, id, tkey, first, last): the shortest runs that count, from every start and to every end."""
     w = Window.partitionBy("id", "tkey").orderBy("pos")
-    rows = lines.withColumn("upto", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # A row that repeats id and text brings each of its lines again, next to the first.
+    rows = lines.withColumn("again", F.lag("pos").over(w).eqNullSafe(F.col("pos"))).where("not again").drop("again")
+    rows = rows.withColumn("upto", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.col("upto") - F.col("words"))
     ahead = F.collect_list("upto").over(w.rowsBetween(0, min_words - 1))
     behind = F.collect_list("before").over(w.rowsBetween(-(min_words - 1), 0))
