@@ -235,3 +235,28 @@ def assign_communities(edges: DataFrame, weight: str = "delta_link_score", min_a
 def topic_filter(topics: str, topic: str, sep: str = ";"):
     """Whether a packed list holds a topic as a whole item."""
     return F.array_contains(F.transform(F.split(topics, sep), lambda x: F.trim(x)), topic)
+
+
+def factor_delta_table(edges: DataFrame, factors: Sequence, min_abs: float = 1) -> DataFrame:
+    """Sum of |delta| by comparison, one column a factor, absent ones 0."""
+    rows = edges.where(F.abs("delta_link_score") >= min_abs)
+    return rows.groupBy("comparison_id").pivot("tf", list(factors)).agg(F.sum(F.abs("delta_link_score"))).na.fill(0.0)
+
+
+def cluster_comparisons(edges: DataFrame, factors: Sequence, k: int, min_abs: float = 1) -> list[tuple[str, int]]:
+    """(comparison, cluster) by Ward linkage of their factor sums; comparisons are few."""
+    from weftlink.operators.motif import cut, linkage
+
+    got = factor_delta_table(edges, factors, min_abs).orderBy("comparison_id").limit(5000).toPandas()
+    x = got.drop(columns="comparison_id").to_numpy(float)
+    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
+    return list(zip(got["comparison_id"], cut(linkage(d, "ward"), len(got), min(k, len(got))).tolist(), strict=True))
+
+
+def topic_delta_network(deltas: DataFrame, summary: DataFrame, topic: str, top_tfs: int = 20, min_delta: float = 2, gene_fold: float = 1.5, topics: str = "topics") -> DataFrame:
+    """Edges of a topic (packed list) of its top factors by |delta|, with pass flags for change and gene fold."""
+    w = Window.partitionBy("topic").orderBy(F.desc("sum_abs_delta"), "tf")
+    best = summary.where(F.col("topic") == topic).withColumn("i__", F.row_number().over(w)).where(F.col("i__") <= top_tfs).select("tf")
+    rows = deltas.where(topic_filter(topics, topic)).join(F.broadcast(best), "tf", "left_semi")
+    changed = F.coalesce(F.abs("log2FC_gene_expr") >= float(np.log2(gene_fold)), F.lit(False))
+    return rows.withColumn("pass", F.coalesce(F.abs("delta_link_score") >= min_delta, F.lit(False))).withColumn("gene_changed", changed)

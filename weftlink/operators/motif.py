@@ -215,3 +215,21 @@ def cluster_peak_summary(annotation: DataFrame, clusters: DataFrame, top_n: int
     top = by.withColumn("i", F.row_number().over(w)).where(F.col("i") <= top_n)
     top = top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "motif"))), lambda x: x["motif"]), ",").alias("top"))
     return per.join(by.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_motifs")), "cluster").join(top, "cluster")
+
+
+def cluster_matrices(motifs: DataFrame, k: int = 233, min_overlap: int = 1) -> list[tuple[str, int]]:
+    """(motif, cluster) of position matrices: all alignments, 1 - score, average linkage, cut at k."""
+    return cluster_similarity(similarity_table(pairwise_alignments(motifs, min_overlap), motifs.select("id")), k)[0]
+
+
+def cluster_by_sites(annotation: DataFrame, reference: DataFrame | None = None, mode: str = "data", alpha: float = 0.5, k: int | None = None, min_support: int = 100, method: str = "jaccard") -> tuple[list[tuple[str, int]], int]:
+    """(motif, cluster) by shared sites (``data``), or mixed with a reference similarity (``hybrid``)."""
+    data = motif_similarity(*motif_peak_stats(annotation, min_support=min_support), method)
+    return cluster_similarity(hybrid_similarity(reference, data, alpha) if mode == "hybrid" and reference is not None else data, k)
+
+
+def apply_clusters(motif_db: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The motif table with cluster number and name; motifs without one keep null."""
+    names = clusters.join(motif_db.select("motif", "gene_symbol"), "motif").groupBy("cluster").agg(F.array_sort(F.collect_set("gene_symbol")).alias("g"))
+    names = names.select("cluster", F.array_join(F.slice("g", 1, 4), "_").alias("cluster_name"))
+    return motif_db.drop("cluster").join(F.broadcast(clusters.join(names, "cluster")), "motif", "left")

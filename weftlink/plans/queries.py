@@ -799,3 +799,77 @@ def pathway_running_sums(l: Lens) -> DataFrame:
     ranks = topics.topic_genes(_binary(l)[1], l.doc_edges(), "sum")
     sets = l.table("part").select(F.concat(F.lit("set"), (F.col("p_size") % 6).cast("string")).alias("set"), F.col("p_brand").alias("gene")).where("p_size < 14").distinct()
     return enrich.running_sum(ranks, sets, min_size=3, rounds=50)
+
+
+@query(f"""WITH {FLAGS}, {BOUND}, {TFS}, s AS (SELECT peak, tf, ((peak % 10) / 10.0)::DOUBLE AS rp, ((peak % 50) / 500.0)::DOUBLE AS qp FROM named), u AS (SELECT peak, tf, ((peak % 7) / 7.0)::DOUBLE AS rs, ((peak % 40) / 500.0)::DOUBLE AS qs FROM named WHERE peak % 3 > 0),
+b AS (SELECT peak, tf, rp, qp, rs, qs, (coalesce(rp > 0.3 AND qp < 0.05, FALSE) OR coalesce(rs > 0.3 AND qs < 0.05, FALSE))::INT AS bound FROM s FULL JOIN u USING (peak, tf))
+SELECT b.peak, b.tf, bc.condition, b.bound, (b.bound = 1 AND bc.flag > 0 AND coalesce(f.flag, 0) > 0)::INT AS bound_here FROM b JOIN bc USING (peak) LEFT JOIN flags f ON f.gene = b.tf AND f.condition = bc.condition""")
+def factor_site_overview(l: Lens) -> DataFrame:
+    named = matrix.expand_tfs(matrix.attach_tfs(l.annotation(), l.motif_db())).select("peak", "tf").distinct()
+    p = named.select("peak", "tf", (F.col("peak") % 10 / 10.0).alias("r"), (F.col("peak") % 50 / 500.0).alias("p_adj"))
+    s = named.where("peak % 3 > 0").select("peak", "tf", (F.col("peak") % 7 / 7.0).alias("r"), (F.col("peak") % 40 / 500.0).alias("p_adj"))
+    out = links.tf_overview(p, s, _bound(l), matrix.expressed_flags(l.rna(), l.samples(), 3000, 2))
+    return out.select("peak", "tf", "condition", "bound", "bound_here")
+
+
+@query("""SELECT gene_key, tf, peak_id, round(link_score, 6) AS link_score FROM (SELECT *, row_number() OVER (PARTITION BY gene_key ORDER BY CASE WHEN gene_expr > 20 THEN fp_score ELSE -fp_score END, link_score, peak_id) AS i FROM (SELECT gene_key, min(tf) AS tf, peak_id, max(gene_expr) AS gene_expr, max(fp_score) AS fp_score, max(link_score) AS link_score FROM standard WHERE condition = 1997 GROUP BY 1, 3)) WHERE i = 1""")
+def best_site_of_gene(l: Lens) -> DataFrame:
+    rows = l.standard().where("condition = 1997").groupBy("gene_key", "peak_id").agg(F.min("tf").alias("tf"), F.max("gene_expr").alias("gene_expr"), F.max("fp_score").alias("fp_score"), F.max("link_score").alias("link_score"))
+    return benchmark.best_site_per_gene(rows.withColumn("effect", F.col("gene_expr") - 20), "effect", "fp_score", "link_score").select("gene_key", "tf", "peak_id", "link_score")
+
+
+@query("""WITH lp AS (SELECT id AS loop_id, chrom, start, "end", lead(start) OVER (PARTITION BY chrom ORDER BY id) AS s2, lead("end") OVER (PARTITION BY chrom ORDER BY id) AS e2 FROM win),
+sides AS (SELECT loop_id, chrom, start, "end", s2 AS os, e2 AS oe FROM lp WHERE s2 IS NOT NULL UNION ALL SELECT loop_id, chrom, s2, e2, start, "end" FROM lp WHERE s2 IS NOT NULL),
+g AS (SELECT chrom, start AS tss, 'G' || id AS gene_key FROM ev WHERE id % 7 = 0),
+hit AS (SELECT DISTINCT loop_id, sides.chrom, os AS start, oe AS "end", gene_key, 'promoter' AS how FROM sides JOIN g ON g.chrom = sides.chrom AND sides.start <= tss + 100 AND sides."end" >= tss - 100),
+l2 AS (SELECT * FROM sides WHERE loop_id NOT IN (SELECT loop_id FROM hit)),
+n AS (SELECT l2.loop_id, l2.chrom, l2.start, l2."end", gene_key, row_number() OVER (PARTITION BY l2.loop_id, l2.start, l2."end" ORDER BY abs(tss - floor((l2.start + l2."end") / 2)), tss) AS i FROM l2 JOIN g ON g.chrom = l2.chrom AND abs(tss - floor((l2.start + l2."end") / 2)) <= 3000)
+SELECT * FROM hit UNION SELECT loop_id, chrom, start, "end", gene_key, 'nearest' FROM n WHERE i = 1""")
+def anchored_priors(l: Lens) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chrom").orderBy("id")
+    lp = l.windows().withColumn("s2", F.lead("start").over(w)).withColumn("e2", F.lead("end").over(w)).where("s2 is not null")
+    loops = lp.select(F.col("id").alias("loop_id"), F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("end").alias("end1"), F.col("chrom").alias("chrom2"), F.col("s2").alias("start2"), F.col("e2").alias("end2"))
+    genes = l.events().where("id % 7 = 0").select("chrom", F.col("start").alias("tss"), F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene_key"))
+    return links.anchored_priors(loops, genes, 100, 3000)
+
+
+@query("""SELECT comparison_id, coalesce(sum(abs(delta_link_score)) FILTER (tf = 'PROMO'), 0) AS "PROMO", coalesce(sum(abs(delta_link_score)) FILTER (tf = 'SMALL'), 0) AS "SMALL" FROM (SELECT comparison_id, tf, delta_link_score FROM deltas WHERE abs(delta_link_score) >= 1) GROUP BY 1""")
+def factor_delta_table(l: Lens) -> DataFrame:
+    return graph.factor_delta_table(l.deltas(), ["PROMO", "SMALL"])
+
+
+@query(f"""WITH {SUMMARY}, k AS (SELECT tf FROM ag WHERE topic = '2' ORDER BY sum_abs_delta DESC, tf LIMIT 3) SELECT comparison_id, tf, gene_key, peak_id, coalesce(abs(delta_link_score) >= 2, FALSE) AS pass, coalesce(abs(log2FC_gene_expr) >= log2(1.5), FALSE) AS gene_changed FROM deltas WHERE peak_id % 5 + 1 = 2 AND tf IN (SELECT tf FROM k)""")
+def topic_delta_network(l: Lens) -> DataFrame:
+    d = l.deltas().withColumn("topics", (F.col("peak_id") % 5 + 1).cast("string"))
+    return graph.topic_delta_network(d, _summary(l), "2", 3).select("comparison_id", "tf", "gene_key", "peak_id", "pass", "gene_changed")
+
+
+@query("SELECT sample, count(DISTINCT gene) FILTER (value >= 3300) AS n_expressed, count(DISTINCT gene) AS n_genes FROM rna GROUP BY 1")
+def expression_summary(l: Lens) -> DataFrame:
+    from weftlink.operators import quality
+
+    return quality.expression_summary(l.rna(), 3300)
+
+
+@query("SELECT condition, count(*) FILTER (active > 0) AS n_active, count(*) AS n_links, round(count(*) FILTER (active > 0) / count(*)::DOUBLE, 6) AS share FROM standard GROUP BY 1")
+def activity_totals(l: Lens) -> DataFrame:
+    from weftlink.operators import quality
+
+    return quality.activity_totals(l.links())
+
+
+@query(f"WITH {CORR} SELECT tf, least(floor((r + 1) / 2 * 20), 19)::INT AS bin, count(*) AS n, count(*) FILTER (r > 0.3 AND p_adj < 0.9) AS n_pass FROM cq WHERE r IS NOT NULL GROUP BY 1, 2")
+def correlation_histogram(l: Lens) -> DataFrame:
+    from weftlink.operators import quality
+
+    found = correlate.correlate_tfs_to_footprints(l.annotation(), l.fp(), l.rna(), mode="all", tfs=l.tf_list())
+    return quality.correlation_summary(found, ["tf"], q_max=0.9)
+
+
+@query("""SELECT comparison_id, topic, set, count(DISTINCT gene_key) AS overlap FROM (SELECT comparison_id, (peak_id % 5 + 1)::INT AS topic, gene_key FROM deltas WHERE abs(delta_link_score) > 6) JOIN (SELECT DISTINCT CASE WHEN p_size < 10 THEN 'epi' ELSE 'mes' END AS set, p_brand FROM part WHERE p_size < 3 OR p_size > 48) ON p_brand = gene_key GROUP BY 1, 2, 3""")
+def marker_overlap_by_comparison(l: Lens) -> DataFrame:
+    sets = l.deltas().where("abs(delta_link_score) > 6").select("comparison_id", (F.col("peak_id") % 5 + 1).cast("int").alias("topic"), F.col("gene_key").alias("gene"))
+    marks = l.table("part").where("p_size < 3 or p_size > 48").select(F.when(F.col("p_size") < 10, "epi").otherwise("mes").alias("set"), F.col("p_brand").alias("gene"))
+    return topics.marker_overlap(sets, marks, 40, ("comparison_id", "topic")).where("overlap > 0").select("comparison_id", "topic", "set", "overlap")
