@@ -46,9 +46,7 @@ def line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 def named_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(name, id, tkey, first, last): the shortest runs that count, from every start and to every end."""
     w = Window.partitionBy("id", "tkey").orderBy("pos")
-    # A row that repeats id and text brings each of its lines again, next to the first.
-    rows = lines.withColumn("again", F.lag("pos").over(w).eqNullSafe(F.col("pos"))).where("not again").drop("again")
-    rows = rows.withColumn("upto", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lines.withColumn("upto", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.col("upto") - F.col("words"))
     ahead = F.collect_list("upto").over(w.rowsBetween(0, min_words - 1))
     behind = F.collect_list("before").over(w.rowsBetween(-(min_words - 1), 0))
@@ -86,7 +84,13 @@ def named_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, tkey, gone): the line numbers to delete, in order, of every document that has any."""
-    runs = staged(named_runs(line_rows(df, key, text), min_words), "runs")
+    lines = line_rows(df, key, text)
+    if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # A row that repeats id and text brings each of its lines again, next to the first. Only the ids
+        # are read to see whether there can be such rows; without any, this pass would change nothing.
+        again = F.lag("pos").over(Window.partitionBy("id", "tkey").orderBy("pos")).eqNullSafe(F.col("pos"))
+        lines = lines.withColumn("again", again).where("not again").drop("again")
+    runs = staged(named_runs(lines, min_words), "runs")
     # One row a name and task reaches the sum; only names that repeat come back to their runs.
     firsts = runs.groupBy("p", "q").agg(F.min(F.struct("id", "tkey", "first")).alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = runs.join(firsts, ["p", "q"]).where(~F.struct("id", "tkey", "first").eqNullSafe(F.col("own")))
