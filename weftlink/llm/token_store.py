@@ -16,6 +16,7 @@ documents; an empty table gives no shard; other columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ MAGIC = b"WTOK0001"
 HEADER = struct.Struct("<8sIIQQQ")
 #: Ids in a block, and ids in a shard before the next one begins.
 BLOCK_IDS, SHARD_IDS = 4096, 4_000_000
-#: Words that an encoder remembers before it starts anew.
+#: Words that an encoder remembers before they become its older half.
 REMEMBERED = 400_000
 
 
@@ -65,9 +66,24 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes stand for
+    themselves, the others, in order, for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Whole texts to ids. Where words are parted by single spaces, the tokenizer's own word rule cuts
-    before each space, so words are encoded once and remembered; any other text is encoded at once."""
+    """Whole texts to ids.
+
+    A byte-level tokenizer of the usual word rule cuts before a space that stands alone between two
+    words, so such texts are encoded word by word and the words' ids are remembered; a word of letters,
+    with marks after it, goes straight to the tokenizer's merges. Whether a tokenizer works that way
+    is tried out on samples first. Any other text, and any other tokenizer, encodes a text at once.
+    """
+
+    SAMPLES = ("Some plain words, and more. A line\nbreak; it's 3 o'clock (or 4)!", "Où ça? Über-groß ñandú naïve\n\ntail", "x")
 
     def __init__(self, path: str):
         import os
@@ -76,28 +92,68 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = byte_alphabet()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A space that another white space (or nothing) follows, or a special token: no cut is safe.
         self.odd = re.compile("|".join([r" (?:\s|\Z)", *map(re.escape, special)]))
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.by_word = True
+        try:
+            self.by_word = all(self.encode(t).tobytes() == self._at_once(t) for t in self.SAMPLES)
+        except Exception:  # noqa: BLE001  another kind of model
+            self.by_word = False
+
+    def _at_once(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _merged(self, token: str) -> bytes:
+        """Ids of one pre-token."""
+        if token.isascii() and token[1:].isalpha():
+            token = self.letters[32] + token[1:] if token[0] == " " else token
+        else:
+            token = token.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(token)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, with the space before it if it has one."""
+        core = word.rstrip(string.punctuation)
+        if core[core[:1] == " " :].isalpha():
+            mark = word[len(core) :]
+            return self._merged(core) + (self._mark(mark) if mark else b"")
+        first, feed, rest = word.partition("\n")
+        # A line feed between two letters or marks is a pre-token of its own.
+        if feed and rest and not first[-1:].isspace() and first.strip() and not rest[0].isspace():
+            return self._word(first) + self._mark(feed) + self._word(rest)
+        return self._at_once(word)
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._at_once(mark)
+        return self.marks[mark]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > REMEMBERED:
+            self.words, self.old = {}, self.words
+        if len(self.marks) > REMEMBERED // 8:
+            self.marks = {}
+        known, old = self.words, self.old
+        for w in set(words):
+            if w not in known:
+                known[w] = old.get(w) or self._word(" " + w)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.odd.search(text):
-            return np.frombuffer(self._ids([text])[0], "<u4")
+        if not self.by_word or self.odd.search(text):
+            return np.frombuffer(self._at_once(text), "<u4")
         first, *rest = text.split(" ")
-        known = self.words
         try:
-            tail = b"".join(map(known.__getitem__, rest))
+            tail = b"".join(map(self.words.__getitem__, rest))
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in set(rest) if w not in known]
-            known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-            tail = b"".join(map(known.__getitem__, rest))
-        return np.frombuffer((self._ids([first])[0] if first else b"") + tail, "<u4")
+            self._learn(rest)
+            tail = b"".join(map(self.words.__getitem__, rest))
+        return np.frombuffer((self._word(first) if first else b"") + tail, "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
