@@ -31,7 +31,7 @@ from weftlink.llm.common import staged
 #: Vectors to fit codebooks on, codebooks, codewords in each, partial sums kept while encoding.
 FIT_ROWS, CODEBOOKS, CODEWORDS, BEAM = 8192, 16, 256, 8
 #: Shortlist of a query that is scored exactly; queries and candidates in a block.
-RERANK, QUERY_BLOCK, ROW_BLOCK = 200, 1024, 16384
+RERANK, QUERY_BLOCK, ROW_BLOCK = 200, 1024, 65536
 FIT_ROUNDS = 8
 
 
@@ -155,12 +155,13 @@ def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank
                 k = min(rerank, len(ids))
                 best = np.argpartition(-score, k - 1)[:k]
                 best = best[np.isfinite(score[best])]
-                out.append(pd.DataFrame({"query_id": qid, "id": ids[best], "approx": score[best].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "approx": pd.Series([], dtype="float64")})
+                out.append((qid, [{"minus": -float(a), "id": int(b)} for a, b in zip(score[best], ids[best], strict=True)]))
+        return pd.DataFrame(out, columns=["query_id", "best"])
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(scan, "query_id long, id long, approx double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= rerank).select("query_id", "id")
+    # One row a query and block; a query's lists meet, and its best are taken, before they become rows.
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(scan, "query_id long, best array<struct<minus double, id long>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank)
+    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best.id").alias("id"))
 
 
 def search(
