@@ -322,6 +322,26 @@ def test_projection_forest_against_all_pairs(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_large_cells_are_split_level_by_level(spark, monkeypatch):
+    from weftlink.llm import rp_dedup as r
+
+    rng = np.random.default_rng(16)
+    x = np.concatenate([(base := vectors(rng, 80, 24)), *[base + rng.normal(0, 0.05, base.shape) for _ in range(4)], np.repeat(base[:1], 300, 0)])
+    rows = [(i, v.astype(np.float32).tolist(), "a") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T >= 0.93
+    monkeypatch.setattr(r, "CELL_ROWS", 60)
+    got = {t.id: t for t in r.near_duplicates(df, leaf=40).collect()}
+    found, true = sum(t.n_links for t in got.values()), int(s.sum()) - len(x)
+    assert len(got) == len(x) and all(got[i].n_links <= s[i].sum() - 1 for i in range(len(x))) and found >= 0.97 * true
+    assert all(got[i].component_id == 0 and got[i].n_links >= 300 for i in range(400, 700))
+    # Vectors whose projections cannot be told apart are dealt by a hash, and every one keeps a cell.
+    same = spark.createDataFrame([("a", 2, 0, 1, i, [1.0, 2.0]) for i in range(500)], "label string, d int, tree int, node long, id long, v array<float>")
+    cells = r.split_again(same, 0.08)
+    assert cells.select("id").distinct().count() == 500 and cells.groupBy("node").count().where("count > 60").count() == 0
+
+
 def line_truth(rows, least):
     """Longest previous match of every start, by comparing all pairs of starts."""
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, zkey(r[1])))
