@@ -245,6 +245,23 @@ def test_blocks_of_a_large_group_agree_with_one(spark, monkeypatch):
     assert sum(r[2] for r in one) == sum(map(len, jaccard_truth(rows).values()))
 
 
+def test_near_copies_are_found_among_many_texts_that_share_a_passage(spark):
+    from weftlink.llm.jaccard_join import jaccard_join
+
+    rng = np.random.default_rng(12)
+    passage = prose(rng, 120)
+    rows = [(i, passage + " " + prose(rng, 100)) for i in range(400)]
+    for i in range(0, 400, 20):
+        words = rows[i][1].split(" ")
+        words[int(rng.integers(130, 210))] = "changed"
+        rows.append((1000 + i, " ".join(words)))
+    # Ids are dealt anew, so copies do not stand next to each other by id.
+    rows = [(int(k), t) for k, (_, t) in zip(rng.permutation(len(rows)), rows, strict=True)]
+    truth = jaccard_truth(rows)
+    got = sorted((r.id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((rows[i][0], len(v)) for i, v in truth.items()) and sum(n for _, n in got) >= 40
+
+
 def brute_pack(packed, capacity, max_sources):
     for _, part in packed.groupby(["shard", "bin"]):
         assert part.n_words.sum() <= capacity and part.source.nunique(dropna=False) <= max(max_sources, 1)
