@@ -86,10 +86,10 @@ def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     """(id, tkey, gone): the line numbers to delete, in order, of every document that has any."""
     lines = line_rows(df, key, text)
     if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        # A row that repeats id and text brings each of its lines again, next to the first. Only the ids
-        # are read to see whether there can be such rows; without any, this pass would change nothing.
-        again = F.lag("pos").over(Window.partitionBy("id", "tkey").orderBy("pos")).eqNullSafe(F.col("pos"))
-        lines = lines.withColumn("again", again).where("not again").drop("again")
+        # A row that repeats id and text brings each of its lines again. Copies meet before the shuffle,
+        # so a row that is repeated very often fills no task. Only the ids are read to see whether there
+        # can be such rows; without any, this pass would change nothing.
+        lines = lines.dropDuplicates(["id", "tkey", "pos"])
     runs = staged(named_runs(lines, min_words), "runs")
     # One row a name and task reaches the sum; only names that repeat come back to their runs.
     firsts = runs.groupBy("p", "q").agg(F.min(F.struct("id", "tkey", "first")).alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
