@@ -38,7 +38,9 @@ def name_of(*parts: Column) -> Column:
 
 def line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, tkey, pos, line, words) of the lines with words; one document for each id and text."""
-    docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), text_key(F.col(text)).alias("tkey"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "t"))
+    # The key is taken below the explode: beside it, each line would hash its whole text again.
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("body"))
+    docs = docs.select("id", "tkey", F.posexplode(F.split("body", "\n")).alias("pos", "t"))
     rows = docs.select("id", "tkey", "pos", name_of(F.col("t")).alias("line"), word_count(F.col("t")).alias("words"))
     return rows.where("words > 0")
 
