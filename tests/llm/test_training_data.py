@@ -359,6 +359,24 @@ def test_large_cells_are_split_level_by_level(spark, monkeypatch):
     assert cells.select("id").distinct().count() == 500 and cells.groupBy("node").count().where("count > 60").count() == 0
 
 
+def test_large_groups_of_near_copies_keep_their_links(spark):
+    from weftlink.llm.rp_dedup import near_duplicates
+
+    rng = np.random.default_rng(21)
+    centre = rng.normal(size=24)
+    tight, loose = centre + rng.normal(0, 0.15, (2500, 24)), -centre + rng.normal(0, 0.3, (1500, 24))
+    x = np.concatenate([vectors(rng, 500, 24), tight, loose, np.repeat(tight[:1], 4, 0)])
+    x = x[rng.permutation(len(x))]
+    label = rng.integers(0, 4, len(x)) // 3  # three quarters hold one label
+    rows = [(i, v.tolist(), str(label[i])) for i, v in enumerate(x)]
+    got = {r.id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(s, False)
+    assert all(got[i].n_links <= s[i].sum() for i in range(len(x)))
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.999 * s.sum() > 1_000_000
+
+
 def line_truth(rows, least):
     """Longest previous match of every start, by comparing all pairs of starts."""
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, zkey(r[1])))
