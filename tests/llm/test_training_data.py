@@ -166,6 +166,27 @@ def test_additive_search_recall_and_exact_scores(spark):
     assert search(few.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_additive_search_among_many_copies_takes_the_smallest_ids(spark):
+    from weftlink.llm.aq_search import search
+
+    rng = np.random.default_rng(14)
+    x = np.concatenate([np.repeat(3 * vectors(rng, 1), 900, 0), np.repeat(2 * vectors(rng, 1), 300, 0), vectors(rng, 500)])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = search(df, F.col("id") % 20 == 0, k=20).toPandas()
+    same, hit = np.unique(x, axis=0, return_inverse=True)[1].ravel(), 0
+    for q in range(0, len(x), 20):
+        part = got[got.query_id == q].sort_values("rank")
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[:20]
+        hit += len(set(want) & set(part.id))
+        assert part["rank"].tolist() == list(range(1, 21)) and np.allclose(part.score, s[part.id])
+        if (same == same[q]).sum() > 20:
+            assert part.id.tolist() == want.tolist()
+    assert got.query_id.nunique() == 85 and hit / (85 * 20) >= 0.95
+
+
 def test_chat_layouts_become_turns(spark):
     from weftlink.llm.chat_format import read_back, render, turns_of_records, unmatched
 

@@ -8,6 +8,9 @@ codewords; a candidate's score is the sum of its M entries, scaled by the stored
 product, or expanded with them for distance. The best ``RERANK`` of each query are scored again
 exactly, on the original vectors in double precision.
 
+Equal vectors are one class, as query and as candidate: it is encoded, shortlisted and scored once, under
+its smallest id, and then gives its smallest ids, so copies never crowd each other out of a shortlist.
+
 Queries and candidates meet block by block (a stated query set against all rows). Blocks have
 bounded size, so no task and no broadcast grows with the table.
 
@@ -44,7 +47,8 @@ def usable(vector: Column) -> Column:
 def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v array<double>) of the rows that take part, one a key; a null key takes no part."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    # Adding 0 leaves no negative zero, so equal vectors are equal in every bit.
+    return rows.groupBy("id").agg(F.transform(F.min("v"), lambda x: x + F.lit(0.0)).alias("v"))
 
 
 class Quantiser:
@@ -114,7 +118,7 @@ def fit_sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
 
 
 def encoded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """(id, codes, scale, norm2): codes with the stored norms."""
+    """(id, copies, codes, scale, norm2): codes with the stored norms."""
     d = quantiser.books.shape[2]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,13 +130,14 @@ def encoded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
                 got = quantiser.decode(codes).astype(np.float64)
                 norm2 = (got**2).sum(1)
                 scale = np.sqrt((x**2).sum(1) / np.maximum(norm2, 1e-30))
-                yield pd.DataFrame({"id": batch["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "scale": scale, "norm2": norm2})
+                yield pd.DataFrame({"id": batch["id"].to_numpy(), "copies": batch["copies"].to_numpy(), "codes": [c.tobytes() for c in codes], "scale": scale, "norm2": norm2})
 
-    return vectors.where(F.size("v") == d).mapInPandas(encode, "id long, codes binary, scale double, norm2 double")
+    return vectors.where(F.size("v") == d).select("id", "v", "copies").mapInPandas(encode, "id long, copies long, codes binary, scale double, norm2 double")
 
 
 def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank: int, n_queries: int, n_rows: int, metric: str = "ip") -> DataFrame:
-    """(query_id, id): each query's best ``rerank`` by table scores, over all rows but its own."""
+    """(query_id, id): each query's best ``rerank`` by table scores, ties to the smaller id, over all classes;
+    its own is left out where it holds no copy."""
     q_blocks, r_blocks = -(-n_queries // QUERY_BLOCK), -(-n_rows // ROW_BLOCK)
     m = quantiser.books.shape[0]
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
@@ -142,6 +147,7 @@ def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank
         out = []
         if len(q) and len(r):
             r = r.sort_values("id")
+            lone = r["copies"].to_numpy() == 1
             ids, scale, norm2 = r["id"].to_numpy(), r["scale"].to_numpy(np.float32), r["norm2"].to_numpy(np.float32)
             c = np.frombuffer(b"".join(r["codes"]), np.uint8).reshape(-1, m).astype(np.intp)
             columns = [np.ascontiguousarray(c[:, j]) for j in range(m)]
@@ -151,9 +157,11 @@ def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank
                 for j in range(1, m):
                     score += t[j].take(columns[j])
                 score = score * scale if metric == "ip" else 2 * score - norm2
-                score[ids == qid] = -np.inf
+                score[(ids == qid) & lone] = -np.inf
                 k = min(rerank, len(ids))
-                best = np.argpartition(-score, k - 1)[:k]
+                least = np.partition(score, len(ids) - k)[len(ids) - k]
+                best = np.nonzero(score > least)[0]
+                best = np.concatenate([best, np.nonzero(score == least)[0][: k - len(best)]])
                 best = best[np.isfinite(score[best])]
                 out.append((qid, [{"minus": -float(a), "id": int(b)} for a, b in zip(score[best], ids[best], strict=True)]))
         return pd.DataFrame(out, columns=["query_id", "best"])
@@ -172,17 +180,29 @@ def search(
     vectors = staged(clean_vectors(df, key, vector), "vectors")
     shape = "query_id long, rank int, id long, score double"
     sample = fit_sample(vectors, fit_rows)
-    queries = vectors.where(is_query)
-    n_rows, n_queries = vectors.count(), queries.count()
+    d = sample.shape[1]
+    # Equal vectors under 128 bits that stand for them.
+    vectors = vectors.where(F.size("v") == d).withColumn("p", F.xxhash64("v")).withColumn("q", F.xxhash64(F.lit("second"), "v"))
+    own = vectors.groupBy("p", "q").agg(F.min(F.struct("id", "v")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(own.select("m.id", "m.v", "p", "q", "copies"), "classes")
+    asked = staged(vectors.where(is_query).select(F.col("id").alias("query_id"), "p", "q").join(classes.select(F.col("id").alias("own"), "p", "q"), ["p", "q"]).select("query_id", "own"), "queries")
+    queries = staged(classes.join(asked.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "query-classes")
+    n_rows, n_queries = classes.count(), queries.count()
     if not n_queries or len(sample) < 1:
         return df.sparkSession.createDataFrame([], shape)
     quantiser = Quantiser.fit(sample)
-    d = sample.shape[1]
-    vectors, queries = vectors.where(F.size("v") == d), queries.where(F.size("v") == d)
-    codes = staged(encoded(vectors, quantiser), "codes")
+    codes = staged(encoded(classes, quantiser), "codes")
     near = staged(shortlist(queries, codes, quantiser, rerank, n_queries, n_rows), "shortlist")
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = near.join(vectors, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = pairs.select("query_id", "id", exact.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    pairs = near.join(classes.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    scored = pairs.select(F.col("query_id").alias("own"), F.col("id").alias("class"), exact.alias("score"))
+    # One more than asked of everything, as one of a query's rows may be itself.
+    place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "class"))
+    best = scored.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    nth = F.row_number().over(Window.partitionBy("p", "q").orderBy("id"))
+    first = vectors.select("id", "p", "q").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    held = first.join(classes.select(F.col("id").alias("class"), "p", "q"), ["p", "q"]).select("class", "id")
+    lists = best.join(held, "class").groupBy("own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k + 1).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
+    out = asked.join(lists, "own").select("query_id", F.posexplode(others).alias("at", "b"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.id", (-F.col("b.minus")).alias("score"))
