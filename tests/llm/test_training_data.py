@@ -126,6 +126,18 @@ def test_encoder_equals_the_library_on_odd_texts():
         assert e.encode(x).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_encoder_takes_many_lines_without_blanks():
+    import public_tokenizers
+
+    from weftlink.llm.token_store import Encoder
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    pool = [*WORDS, "漢字", "a1", "x,", "12", "ça"]
+    lines = "\n".join(pool[i * 7 % len(pool)] for i in range(5000))
+    for x in (lines, "start " + lines + " end", lines + "\n", lines + "\n\n" + lines, lines + "\n\tz\n" + lines):
+        assert e.encode(x).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
+
+
 def test_language_id_on_held_out_documents(spark):
     from weftlink.llm.language_id import fit, held_out, identify, keep_known
 

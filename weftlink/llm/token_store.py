@@ -123,11 +123,13 @@ class Encoder:
         if core[core[:1] == " " :].isalpha():
             mark = word[len(core) :]
             return self._merged(core) + (self._mark(mark) if mark else b"")
-        first, feed, rest = word.partition("\n")
-        # A line feed between two letters or marks is a pre-token of its own.
-        if feed and rest and not first[-1:].isspace() and first.strip() and not rest[0].isspace():
-            return self._word(first) + self._mark(feed) + self._word(rest)
-        return self._at_once(word)
+        lines, out = word.split("\n"), []
+        for i, (first, then) in enumerate(zip(lines, lines[1:])):
+            # A line feed between two letters or marks is a pre-token of its own.
+            if not then or then[0].isspace() or first[-1:].isspace() or not first.strip():
+                return b"".join([*out, self._at_once("\n".join(lines[i:]))])
+            out += [self._word(first), self._mark("\n")]
+        return b"".join([*out, self._word(lines[-1])]) if out else self._at_once(word)
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
