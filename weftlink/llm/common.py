@@ -14,6 +14,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A side of at most this many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 20_000
 
+#: Rows of a staged table whose size is known beforehand that go into one file.
+FILE_ROWS = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
@@ -33,12 +36,32 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftlink/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    ``rows`` is a known upper bound of its rows: a table known to be small goes into few files.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with a number that follows ``order``: sorted by range over all tasks, so no task sorts everything.
+
+    ``order`` must tell all rows apart; then a task that runs again gives the same numbers.
+    """
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
 
 
 def word_count(text: Column) -> Column:
@@ -68,13 +91,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    for _ in range(rounds):
+    # A set of links stands still when its size and two sums of hashes do.
+    sums = [F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (0, 1)]
+    mark = tuple(links.agg(F.count(F.lit(1)), *sums).first())
+    for _ in range(rounds if mark[0] else 0):
+        n = mark[0]
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        large = staged(large, "large")
+        large = staged(large, "large", n)
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(lows, "u")
@@ -83,12 +110,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        small = staged(small, "small")
-        changed = small.exceptAll(links).limit(1).count() + links.exceptAll(small).limit(1).count()
+        small = staged(small, "small", 2 * n)
+        before, mark = mark, tuple(small.agg(F.count(F.lit(1)), *sums).first())
+        forget(links, large)
         links = small
-        if not changed:
+        if mark == before:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if mark[0]:
+            raise RuntimeError("components did not settle")
     heads = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)

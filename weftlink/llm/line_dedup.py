@@ -1,23 +1,28 @@
-"""Line dedup over suffixes of line-id sequences. DataFrame functions only.
-
-Texts become sequences of line ids (128-bit hashes), one a document, so no run crosses documents.
-Suffixes are ranked by prefix doubling: the rank of a position for 2^k lines is made of its rank for
-2^(k-1) lines and that of the position 2^(k-1) lines on. Ranks are names (equal prefixes, equal
-name) rather than order numbers, which is all that intervals of the suffix array need: the suffixes
-whose longest common prefix reaches a given run are those with the same name for that run.
-
-A run counts if it has ``MIN_WORDS`` words or more. Each position starts the shortest run that
-does, and ends one; both are named from two overlapping ranks. Positions of one name form an
-interval of the suffix array; its first position is the first copy, the others are later copies.
-The runs that start, and the runs that end, within a maximal repeated run cover it wholly, so
-deleting the later copies of all named runs deletes exactly the later copies of every maximal
-repeated run that counts. As each line with words has at least one, a run that counts needs at most
-``MIN_WORDS`` lines, and the doubling stops there.
+"""Line dedup by a suffix array over line-id sequences. DataFrame functions only.
+
+Texts become sequences of line ids, one a document, so no run crosses documents. Equal texts are one
+sequence, which stands in the array under its first document. Lines that occur at one place alone
+cannot be repeated and are left out; what is left is sorted by prefix doubling: the rank of a suffix by
+its first 2^(k+1) lines is the order number of the pair (its rank by 2^k lines, the rank of the suffix
+2^k lines on), found by a join on the place and a sort by range over all tasks. Suffixes with a pair of
+their own share no more lines with any other and leave the array, so a round holds only suffixes that
+repeat 2^k lines, and the doubling ends with the longest repeated run.
+
+Suffixes that share their first lines are an interval of the array. From the longest prefix down, each
+interval is split by the rank of what follows, which is the binary search for the longest common prefix
+in all intervals at once: of the members that also share the next 2^k lines, the first in text order
+stays as the first copy of that run and stands in the deeper interval for it, and the others move
+there. In the end each suffix has its longest common prefix with any place before it. A suffix whose
+run is not the rest of the run of the line before it begins a maximal repeated run. Runs of
+``MIN_WORDS`` words or more count, and their later copies are deleted.
+
+No step holds an interval, a document's suffixes or a common line in one task: intervals meet in sums,
+and in joins whose keys are places or can be split by the engine.
 
 Defined cases: a null text has no lines and stays null; lines without words take no part: they go
-with a named run that holds them, or where every line with words goes, and stay elsewhere; rows that repeat both id and text are one document with one
-result; the order of copies is by id (null first), then text key, then line; very long texts are
-windows over their own lines; an empty table gives an empty result; other columns are carried.
+within a deleted run, or where every line with words goes, and stay elsewhere; rows that repeat both
+id and text are one document with one result; the order of copies is by id (null first), then text key,
+then line; an empty table gives an empty result; other columns are carried.
 """
 
 from __future__ import annotations
@@ -25,79 +30,132 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import staged, text_key, word_count
+from weftlink.llm.common import forget, numbered, staged, text_key, word_count
 
 #: Words in a run, at least, for its later copies to be deleted.
 MIN_WORDS = 20
-
-
-def name_of(*parts: Column) -> Column:
-    """128 bits that stand for the parts."""
-    return F.struct(F.xxhash64(*parts).alias("p"), F.xxhash64(F.lit("second"), *parts).alias("q"))
+#: White space that makes no word.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, tkey, pos, line, words) of the lines with words; one document for each id and text."""
+    """(id, tkey, ord, pos, p, q, words) of the lines with words: their number among these and among all
+    lines, 128 bits that stand for the line, and its words."""
     # The key is taken below the explode: beside it, each line would hash its whole text again.
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("body"))
-    docs = docs.select("id", "tkey", F.posexplode(F.split("body", "\n")).alias("pos", "t"))
-    rows = docs.select("id", "tkey", "pos", name_of(F.col("t")).alias("line"), word_count(F.col("t")).alias("words"))
-    return rows.where("words > 0")
-
-
-def named_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(name, id, tkey, first, last): the shortest runs that count, from every start and to every end."""
-    w = Window.partitionBy("id", "tkey").orderBy("pos")
-    rows = lines.withColumn("upto", F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
-    ahead = F.collect_list("upto").over(w.rowsBetween(0, min_words - 1))
-    behind = F.collect_list("before").over(w.rowsBetween(-(min_words - 1), 0))
-    rows = rows.select("id", "tkey", "pos", "line", "upto", "before", ahead.alias("ahead"), behind.alias("behind"))
-    # Lines that a run from here, or to here, needs; null if the document has too few words.
-    to_end = F.array_position(F.transform("ahead", lambda x: x >= F.col("before") + min_words), True)
-    to_start = F.array_position(F.transform(F.reverse("behind"), lambda x: x <= F.col("upto") - min_words), True)
-    rows = rows.select("id", "tkey", "pos", F.col("line").alias("r0"), F.nullif(to_end, F.lit(0)).alias("n_on"), F.nullif(to_start, F.lit(0)).alias("n_back"))
-    top = max(min_words.bit_length() - 1, 0)
-    for k in range(top):
-        on = F.lead(f"r{k}", 1 << k).over(w)
-        rows = rows.withColumn(f"r{k + 1}", F.when(on.isNotNull(), name_of(F.lit(k), F.col(f"r{k}"), on)))
-    starts = ends = F.lit(None)
-    last, first = F.lit(None), F.lit(None)
-    for n in range(1, min_words + 1):
-        k = n.bit_length() - 1
-        r, step = f"r{k}", n - (1 << k)
-        ahead_rank = F.col(r) if step == 0 else F.lead(r, step).over(w)
-        begin = F.col(r) if n == 1 else F.lag(r, n - 1).over(w)
-        close = F.col(r) if k == 0 else F.lag(r, (1 << k) - 1).over(w)
-        starts = F.when(F.col("n_on") == n, name_of(F.lit(n), F.col(r), ahead_rank)).otherwise(starts)
-        ends = F.when(F.col("n_back") == n, name_of(F.lit(n), begin, close)).otherwise(ends)
-        last = F.when(F.col("n_on") == n, F.col("pos") if n == 1 else F.lead("pos", n - 1).over(w)).otherwise(last)
-        first = F.when(F.col("n_back") == n, F.col("pos") if n == 1 else F.lag("pos", n - 1).over(w)).otherwise(first)
-    runs = rows.select(
-        "id",
-        "tkey",
-        F.array(
-            F.struct(starts.alias("name"), F.col("pos").alias("first"), last.cast("int").alias("last")),
-            F.struct(ends.alias("name"), first.cast("int").alias("first"), F.col("pos").alias("last")),
-        ).alias("runs"),
+    lines = F.transform(F.split("body", "\n"), lambda t, i: F.struct(i.alias("pos"), t.alias("t")))
+    worded = F.filter(lines, lambda s: F.btrim(s["t"], F.lit(BLANKS)) != "")
+    rows = docs.select("id", "tkey", F.posexplode(worded).alias("ord", "s")).select("id", "tkey", "ord", "s.pos", "s.t")
+    return rows.select("id", "tkey", "ord", "pos", F.xxhash64("t").alias("p"), F.xxhash64(F.lit("second"), "t").alias("q"), word_count(F.col("t")).alias("words"))
+
+
+def equal_texts(lines: DataFrame) -> DataFrame:
+    """(tkey, first_null, first, several, words, lo, hi): a text's first id, whether it has others, its words,
+    and its first and last line with words."""
+    seen = lines.groupBy("tkey").agg(
+        F.min("id").alias("least"),
+        F.max("id").alias("most"),
+        F.max(F.col("id").isNull()).alias("first_null"),
+        F.sum("words").alias("words"),
+        F.sum((F.col("ord") == 0).cast("long")).alias("n"),
+        F.min("pos").alias("lo"),
+        F.max("pos").alias("hi"),
     )
-    return runs.select("id", "tkey", F.explode("runs").alias("run")).select("run.name.p", "run.name.q", "id", "tkey", "run.first", "run.last").where("p is not null").distinct()
+    several = F.coalesce((F.col("least") < F.col("most")) | F.col("first_null") & F.col("least").isNotNull(), F.lit(False))
+    first = F.when(~F.col("first_null"), F.col("least"))
+    return seen.select("tkey", "first_null", first.alias("first"), several.alias("several"), (F.col("words") / F.col("n")).alias("words"), "lo", "hi")
+
+
+def repeated_lines(lines: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The suffixes that begin with a line found at several places, (doc, ord, g, first, last, w, r) of one line
+    each, and (tkey, id, doc) of their documents; ``doc`` and ``g`` number documents and places in text order."""
+    place = F.xxhash64("tkey", "ord")
+    names = lines.groupBy("p", "q").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("p", "q")
+    # Places of equal texts are equal and meet before the shuffle.
+    held = lines.join(numbered(names, ["p", "q"], "r"), ["p", "q"]).select("tkey", "ord", "pos", "words", "r").dropDuplicates(["tkey", "ord"])
+    held = staged(held, "lines-repeated")
+    first = texts.join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", (~F.col("first_null")).alias("named"), F.col("first").alias("id"))
+    docs = staged(numbered(first, ["named", "id", "tkey"], "doc").select("tkey", "id", "doc"), "lines-docs")
+    rows = held.join(docs.select("tkey", "doc"), "tkey").select("doc", "ord", F.col("pos").alias("first"), F.col("pos").alias("last"), F.col("words").alias("w"), "r")
+    suffixes = staged(numbered(rows, ["doc", "ord"], "g"), "suffixes-0")
+    forget(held)
+    return suffixes, docs
+
+
+def ranked(suffixes: DataFrame) -> list[DataFrame]:
+    """Prefix doubling: for each k the suffixes whose first 2^k lines are repeated, with their rank ``r`` by these
+    lines, the words ``w`` in them and the place ``last`` of the last of them."""
+    levels, n = [suffixes], suffixes.count()
+    while n:
+        step, now = 1 << (len(levels) - 1), levels[-1]
+        on = now.select("doc", (F.col("ord") - step).alias("ord"), F.col("last").alias("last2"), F.col("w").alias("w2"), F.col("r").alias("r2"))
+        pairs = now.join(on, ["doc", "ord"])
+        several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
+        made = pairs.join(numbered(several, ["r", "r2"], "rank"), ["r", "r2"])
+        made = made.select("doc", "ord", "first", F.col("last2").alias("last"), (F.col("w") + F.col("w2")).alias("w"), F.col("rank").alias("r"), "g")
+        levels.append(staged(made, f"suffixes-{len(levels)}", n))
+        n = levels[-1].count()
+    if len(levels) > 1:
+        forget(levels.pop())
+    return levels
+
+
+def longest_previous(levels: list[DataFrame]) -> DataFrame:
+    """(doc, ord, first, last, w, ell): of every suffix that has one, its longest common prefix with a place before
+    it, as lines ``ell``, words and last place.
+
+    A row stands in the interval (ell, lo): the suffixes that share ``ell`` lines with the suffix ``lo``. A
+    ``guest`` stands for the first copy of its interval and is no result.
+    """
+    state = None
+    for k in range(len(levels) - 1, -1, -1):
+        here = levels[k]
+        new = here if k + 1 == len(levels) else here.join(levels[k + 1].select("doc", "ord"), ["doc", "ord"], "left_anti")
+        new = new.select("doc", "ord", "first", "g", F.lit(0).alias("ell"), F.lit(-1).cast("long").alias("lo"), F.lit(False).alias("guest"), F.col("first").alias("last"), F.lit(0).cast("long").alias("w"))
+        rows = new if state is None else state.unionByName(new)
+        after = here.select("doc", F.col("ord").alias("at"), F.col("r"), F.col("last").alias("last2"), F.col("w").alias("w2"))
+        met = rows.withColumn("at", F.col("ord") + F.col("ell")).join(after, ["doc", "at"], "left")
+        # What is not followed by a repeated run of this length shares it with nothing: a rank of its own.
+        met = met.withColumn("r", F.coalesce("r", -1 - F.col("g")))
+        parts = met.where("r >= 0").groupBy("ell", "lo", "r").agg(F.min("g").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        met = met.join(parts, ["ell", "lo", "r"], "left")
+        stay = F.struct("ell", "lo", "guest", "last", "w")
+        deeper = lambda guest: F.struct(
+            (F.col("ell") + (1 << k)).alias("ell"), F.col("head").alias("lo"), F.lit(guest).alias("guest"), F.col("last2").alias("last"), (F.col("w") + F.col("w2")).alias("w")
+        )
+        where = F.when(F.col("head").isNull(), F.array(stay)).when(F.col("head") == F.col("g"), F.array(stay, deeper(True))).otherwise(F.array(deeper(False)))
+        made = staged(met.select("doc", "ord", "first", "g", F.explode(where).alias("s")).select("doc", "ord", "first", "g", "s.*"), f"intervals-{k}")
+        if state is not None:
+            forget(state)
+        state = made
+    return state.where("not guest and ell > 0").select("doc", "ord", "first", "last", "w", "ell")
+
+
+def maximal_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Later copies of maximal repeated runs: (id, tkey, first, last, words) of runs within the first document of
+    each text, and (id, tkey, first, last) of documents that repeat a whole text that counts."""
+    lines = staged(line_rows(df, key, text), "lines")
+    texts = staged(equal_texts(lines), "texts")
+    suffixes, docs = repeated_lines(lines, texts)
+    levels = ranked(suffixes)
+    runs = longest_previous(levels).where(F.col("w") >= min_words)
+    # The run of the line before, if it counts, holds this one unless this one ends later.
+    before = runs.select("doc", (F.col("ord") + 1).alias("ord"), F.col("last").alias("held"))
+    runs = runs.join(before, ["doc", "ord"], "left").where("held is null or held < last")
+    within = runs.join(docs, "doc").select("id", "tkey", "first", "last", F.col("w").alias("words"))
+    again = texts.where(F.col("several") & (F.col("words") >= min_words)).select("tkey", F.col("first").alias("own"), F.col("lo").alias("first"), F.col("hi").alias("last"))
+    whole = lines.where("ord = 0").select("id", "tkey").join(again, "tkey").where(~F.col("id").eqNullSafe(F.col("own"))).select("id", "tkey", "first", "last").distinct()
+    return within, whole
 
 
 def later_copies(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, tkey, gone): the line numbers to delete, in order, of every document that has any."""
-    lines = line_rows(df, key, text)
-    if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        # A row that repeats id and text brings each of its lines again. Copies meet before the shuffle,
-        # so a row that is repeated very often fills no task. Only the ids are read to see whether there
-        # can be such rows; without any, this pass would change nothing.
-        lines = lines.dropDuplicates(["id", "tkey", "pos"])
-    runs = staged(named_runs(lines, min_words), "runs")
-    # One row a name and task reaches the sum; only names that repeat come back to their runs.
-    firsts = runs.groupBy("p", "q").agg(F.min(F.struct("id", "tkey", "first")).alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = runs.join(firsts, ["p", "q"]).where(~F.struct("id", "tkey", "first").eqNullSafe(F.col("own")))
-    spans = copies.select("id", "tkey", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
-    return spans.groupBy("id", "tkey").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    within, whole = maximal_runs(df, key, text, min_words)
+    # Runs may overlap; each gives the lines that no run before it in the document gave.
+    before = Window.partitionBy("id", "tkey").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = within.withColumn("first", F.greatest("first", F.coalesce(F.max("last").over(before) + 1, "first"))).where("first <= last")
+    parts = fresh.groupBy("id", "tkey").agg(F.flatten(F.sort_array(F.collect_list(F.sequence("first", "last")))).alias("gone"))
+    return parts.unionByName(whole.select("id", "tkey", F.sequence("first", "last").alias("gone")))
 
 
 def without(lines: Column, gone: Column) -> Column:
