@@ -295,6 +295,43 @@ def test_near_copies_are_found_among_many_texts_that_share_a_passage(spark):
     assert got == sorted((rows[i][0], len(v)) for i, v in truth.items()) and sum(n for _, n in got) >= 40
 
 
+def test_a_template_forms_no_group_and_hot_nodes_lose_no_link(spark, monkeypatch):
+    from weftlink.llm import jaccard_join as j
+
+    rng = np.random.default_rng(23)
+    template = prose(rng, 150).split(" ")
+    rows = [(i, " ".join(template + prose(rng, 45).split(" "))) for i in range(600)]
+    # Some texts of the template have one near copy each, at unlike distances from the threshold.
+    for i in range(0, 600, 6):
+        w = rows[i][1].split(" ")
+        for at in rng.choice(np.arange(151, 194), int(rng.integers(1, 6)), replace=False):
+            w[at] = "x%d" % rng.integers(99)
+        rows.append((5000 + i, " ".join(w)))
+    rows = [(int(k), t) for k, (_, t) in zip(rng.permutation(len(rows)), rows, strict=True)]
+    monkeypatch.setattr(j, "NODE_BLOCK", 200)  # nodes of many blocks
+    truth = jaccard_truth(rows)
+    assert max(map(len, truth.values())) <= 3 and sum(map(len, truth.values())) >= 100
+    got = {r.id: r for r in j.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, links in truth.items():
+        ids = {rows[i][0]} | {rows[k][0] for k in links}
+        assert got[rows[i][0]].n_links == len(links)
+        assert links or got[rows[i][0]].group_id == rows[i][0]
+        assert got[rows[i][0]].group_id == min(got[k].group_id for k in ids)
+
+
+def test_documents_that_share_an_id_but_not_the_text(spark):
+    from weftlink.llm.jaccard_join import drop_near_copies, jaccard_join
+
+    rng = np.random.default_rng(31)
+    a, b = prose(rng, 80).split(" "), prose(rng, 80)
+    rows = [(1, " ".join(a)), (1, b), (2, " ".join(a[:40] + ["new"] + a[41:])), (None, " ".join(a[:20] + ["new"] + a[21:])), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("c", F.lit(1)).withColumn("tkey", F.lit(1)).withColumn("family", F.lit("x"))
+    got = sorted((r.id is None, r.id or 0, r.n_links, r.kept) for r in jaccard_join(df).collect())
+    # One changed word leaves 71 of 81 shingles common, two leave 66 of 86.
+    assert got == [(False, 1, 0, True), (False, 1, 2, False), (False, 2, 1, False), (False, 3, 0, True), (True, 0, 0, True), (True, 0, 1, True)]
+    assert sorted(str(r.text)[:20] for r in drop_near_copies(df).collect()) == sorted(str(t)[:20] for t in (b, rows[3][1], None, ""))
+
+
 def brute_pack(packed, capacity, max_sources):
     for _, part in packed.groupby(["shard", "bin"]):
         assert part.n_words.sum() <= capacity and part.source.nunique(dropna=False) <= max(max_sources, 1)

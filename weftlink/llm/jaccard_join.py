@@ -1,28 +1,37 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 A text's shingles are its runs of five words (a shorter text is one shingle). Texts that are equal
-form a class; one of them stands for it. Each tree of the forest takes ``DEPTH`` minhashes of a
-signature as a key, and below the key the rest of the signature, by four bits a minhash, from the
-key on and around; sorted keys are a trie, and texts with a common prefix stand together, the more
-alike ones the nearer, however many texts share the prefix. The
-prefix length that counts is shortened from ``DEPTH`` until a pair at the threshold shares it in
-some tree with the target recall. In sorted order every text is held against the ``WINDOW`` texts
-before it that share the prefix, by a 64-byte sketch, and likely ones are linked; linked texts form
-groups. Within a group all texts are compared exactly, through their shingles, in blocks. Pairs
-never leave a task: a block passes on a count a text and a spanning forest of its links.
+form a class; one of them stands for it. Each tree of the forest is a trie of ``DEPTH`` minhashes of
+the signature. The matched prefix is shortened from ``DEPTH`` until a pair at the threshold shares it
+in some tree with the target recall; texts below one trie node of that depth are candidates of each
+other, all of them: a node is compared in blocks, so one with very many texts is many tasks.
+
+Candidates go through three steps, none of which has a cap:
+
+1. Below a node all pairs are held against each other by a 64-byte sketch in memory. Each text passes on
+   one likely partner before it, which is compared exactly. Links found that way make families.
+2. Nodes are gone through again, now by the texts with a likely partner alone, and every likely pair of
+   two families is passed on and compared exactly. Links join families to groups. A pair in one family
+   needs no test of its own here, as both texts are in one group by links that were proved.
+3. Within a group all texts are compared exactly, through their shingles, in blocks, for the number of
+   links. Pairs never leave a task.
+
+So a link is lost only if its texts share no counted prefix, or their sketches differ by far more than
+texts at the threshold do: ``expected_recall`` gives both together. Texts that share much but not enough
+(a template) may be likely partners, but form no group.
 
 Links are counted in documents: a text's links are the other copies of it and all copies of every
 other text with Jaccard similarity at the threshold or above.
 
 Defined cases: null texts and texts without words have no shingles, link with nothing and are each
-a class of their own; repeated rows are documents of one class; a null id stands below all others;
-very long texts are read whole; an empty table gives an empty result; other columns are ignored.
+a class of their own; repeated rows are documents of one class; rows that share an id but not the text
+are different documents; a null id stands below all others; very long texts are read whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +39,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import connected_components, staged, text_key
+from weftlink.llm.common import connected_components, forget, numbered, staged, text_key
 
 #: Words in a shingle, similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Trees of the forest, minhashes in a full key, recall that shortens prefixes, texts looked back on, likely ones linked.
-TREES, DEPTH, RECALL, WINDOW, LINKS = 25, 5, 0.99999, 12, 4
+#: Trees of the forest, minhashes in a full key, recall that shortens prefixes.
+TREES, DEPTH, RECALL = 25, 5, 0.99999
 #: Minhashes in the sketch (four bits each), and how far below the threshold an estimate may lie.
-SKETCH, SLACK = 128, 0.17
-#: Shingles in a block of a group.
-BLOCK_SHINGLES = 400_000
+SKETCH, SLACK = 128, 0.19
+#: Texts in a block below a node; texts and shingles in a block of a group.
+NODE_BLOCK, BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 512, 400_000
+#: Below nodes of at most this many texts pairs are taken over many nodes at once.
+FEW = 32
+
+#: Stands for a null id, below all others.
+NO_ID = -(1 << 63)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -116,170 +130,268 @@ class Minhash:
         return low
 
 
+def sketched(signature: np.ndarray) -> bytes:
+    """Four bits of each of the first minhashes."""
+    nibble = (signature[:SKETCH] & 15).astype(np.uint8)
+    return (nibble[::2] | nibble[1::2] << 4).tobytes()
+
+
 def signatures(df: DataFrame, key: str, text: str, n: int = SHINGLE) -> DataFrame:
-    """(id, tkey, n_sh, sig) of every row: the text's key, its number of shingles, its minhashes."""
+    """(id, tkey, n_sh, sig, sketch) of every row: the text's key, its number of shingles, its minhashes."""
     hashes = max(SKETCH, TREES * DEPTH)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = Minhash(hashes)
         for batch in batches:
-            sizes, sigs = [], []
+            sizes, sigs, sketches = [], [], []
             for body in batch["text"].array:
                 s = shingles(body or "", n)
+                signature = family.of(s) if len(s) else None
                 sizes.append(len(s))
-                sigs.append(family.of(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": batch["id"].array, "tkey": batch["tkey"].array, "n_sh": sizes, "sig": sigs})
+                sigs.append(signature[: TREES * DEPTH].tobytes() if len(s) else None)
+                sketches.append(sketched(signature) if len(s) else None)
+            yield pd.DataFrame({"id": batch["id"].array, "tkey": batch["tkey"].array, "n_sh": sizes, "sig": sigs, "sketch": sketches})
 
     rows = df.select(F.col(key).cast("long").alias("id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
-    return rows.mapInPandas(sign, "id long, tkey binary, n_sh int, sig binary")
-
-
-def likely_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): class numbers that a sketch takes for similar, from the sorted keys of all trees."""
-    depth_bytes, k = 4 * DEPTH, prefix_length(similarity, TREES, DEPTH, RECALL)
-    head = 1 + 4 * k
-    least = SKETCH * (1 / 16 + 15 / 16 * (similarity - SLACK))
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return rows.mapInPandas(sign, "id long, tkey binary, n_sh int, sig binary, sketch binary")
+
+
+def below_nodes(classes: DataFrame, similarity: float) -> DataFrame:
+    """(k, c, blocks): the texts ``c`` below every trie node ``k`` of the counted depth that has several."""
+    width = 4 * prefix_length(similarity, TREES, DEPTH, RECALL)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    prefix = F.substr("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(width))
+    spread = classes.select("c", "sig", tree).select("c", F.xxhash64("tree", prefix).alias("k"))
+    several = spread.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return spread.join(several, "k").select("k", "c", F.ceil(F.col("n") / NODE_BLOCK).cast("int").alias("blocks"))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sketches' minhashes differ, of rows of 64-bit words."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= np.uint64(0x1111111111111111)
+    return np.bitwise_count(x).sum(-1, dtype=np.int16)
+
+
+def pairs_below(node: np.ndarray, block: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing minhashes): all pairs j < i of rows of one node that differ in at most ``most`` minhashes;
+    rows of a node stand together. Of a pair of blocks only pairs across count."""
+    n = len(node)
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    size = np.diff(np.append(first, n))
+    at = np.arange(n) - np.repeat(first, size)
+    few = np.repeat(size <= FEW, size)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        ok = d <= most
+        found.append((i[ok], j[ok], d[ok]))
+
+    for back in range(1, FEW):
+        i = np.flatnonzero(few & (at >= back))
+        if not len(i):
+            break
+        for part in np.array_split(i, -(-len(i) // 65536)):
+            keep(part, part - back, apart(words[part], words[part - back]))
+    for lo, m in zip(first[size > FEW], size[size > FEW], strict=True):
+        own, blk = words[lo : lo + m], block[lo : lo + m]
+        mixed_blocks = bool((blk != blk[0]).any())
+        for r in range(1, m, 128):
+            d = apart(own[r : r + 128, None, :], own[None, : r + 128, :])
+            ok = (d <= most) & (np.arange(d.shape[1]) < np.arange(r, r + len(d))[:, None])
+            if mixed_blocks:
+                ok &= blk[r : r + 128, None] != blk[: d.shape[1]]
+            i, j = np.nonzero(ok)
+            found.append((i + lo + r, j + lo, d[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def likely_pairs(below: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """(a, b), a before b: one likely partner before each text of a node, or, ``across``, all likely pairs of
+    different families. ``below`` has (k, c, blocks, sketch, family)."""
+    most = int(SKETCH * (1 - (1 / 16 + 15 / 16 * (similarity - SLACK))))
+    sure = int(SKETCH * 15 / 16 * (1 - similarity))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        c, block = rows["c"].to_numpy(), rows["block"].to_numpy()
+        words = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+        i, j, d = pairs_below(rows["node"].to_numpy(), block, words, most)
+        if across:
+            family = rows["family"].to_numpy()
+            ok = family[i] != family[j]
+            i, j = i[ok], j[ok]
+        else:
+            # The first that is very likely, else the likeliest.
+            strong = d <= sure
+            order = np.lexsort((j, np.where(strong, 0, d), ~strong, i))
+            i, j = i[order], j[order]
+            own = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+            i, j = i[own], j[own]
+        return pd.DataFrame({"a": c[j], "b": c[i]}).drop_duplicates()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.iloc[at : at + 2048]
-                sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), -1)
-                nibble = (sig[:, :SKETCH] & 15).astype(np.uint8)
-                whole = nibble[:, ::2] | nibble[:, 1::2] << 4
-                big = np.ascontiguousarray(sig[:, : TREES * DEPTH].astype(">u4"))
-                for t in range(TREES):
-                    keys = np.ascontiguousarray(big[:, t * DEPTH : (t + 1) * DEPTH]).tobytes()
-                    tree = struct.pack("B", t)
-                    # The levels of the trie below the key: the sketch, begun after the key's own minhashes.
-                    sketch = [s.tobytes() for s in np.roll(whole, -((t + 1) * DEPTH // 2), axis=1)]
-                    yield pd.DataFrame({"c": part["c"].to_numpy(), "k": [tree + keys[i : i + depth_bytes] for i in range(0, len(keys), depth_bytes)], "sketch": sketch})
-
-    def look_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, numbers, sketches = np.zeros(0, f"S{1 + depth_bytes}"), np.zeros(0, np.int64), np.zeros((0, SKETCH // 2), np.uint8)
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            mark = rows[["k", "x", "y"]].to_numpy()
+            new = np.concatenate([[True], (mark[1:] != mark[:-1]).any(1)])
+            rows = rows.assign(node=np.cumsum(new))
+            cut = int(np.flatnonzero(new)[-1])
+            rest = rows.iloc[cut:]
+            if cut:
+                yield compare(rows.iloc[:cut])
+        if rest is not None and len(rest) > 1:
+            yield compare(rest)
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = below.withColumn("block", F.pmod(F.xxhash64("c", "k"), F.col("blocks")).cast("int")).select("k", "c", "sketch", "family", "block", other)
+    dealt = dealt.select("k", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "c", "block", "sketch", "family")
+    order = ["k", "x", "y", "c"]
+    return dealt.repartition("k", "x", "y").sortWithinPartitions(*order).mapInPandas(scan, "a long, b long").distinct()
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of values that two sorted arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+
+
+def linked(both: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """both / (sizes - both) >= similarity, in whole numbers of a millionth; ``sizes`` are sums of both sizes."""
+    return both * 1_000_000 >= round(similarity * 1_000_000) * (sizes - both)
+
+
+def proved(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
+    """The pairs (a, b) that are links, by their whole texts (c, text)."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, left = None, np.zeros(0, np.uint64)
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch["k"]), np.uint8).reshape(len(batch), -1)[:, :head]
-            old = keys.shape[0]
-            keys = np.concatenate([keys if old else np.zeros((0, head), np.uint8), raw])
-            numbers = np.concatenate([numbers, batch["c"].to_numpy()])
-            sketches = np.concatenate([sketches, np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), -1)])
-            made = np.zeros(len(numbers), np.int64)
-            pairs = []
-            together = np.zeros(len(numbers), np.int64)  # how many rows up to here share the prefix with the row before
-            same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(1)]) if len(keys) else np.zeros(0, bool)
-            run = np.arange(len(keys)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
-            together[:] = run
-            for back in range(1, WINDOW + 1):
-                i = np.nonzero((together >= back) & (made < LINKS))[0]
-                i = i[i >= max(old, back)]
-                if not len(i):
-                    break
-                for part in np.array_split(i, -(-len(i) // 8192)):
-                    x = sketches[part] ^ sketches[part - back]
-                    alike = ((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1)
-                    hit = part[alike >= least]
-                    made[hit] += 1
-                    pairs.append(np.stack([numbers[hit - back], numbers[hit]]))
-            if pairs:
-                p = np.unique(np.sort(np.concatenate(pairs, 1), 0), axis=1)
-                yield pd.DataFrame({"a": p[0], "b": p[1]})
-            keys, numbers, sketches = keys[-WINDOW:], numbers[-WINDOW:], sketches[-WINDOW:]
-
-    spread = classes.select("c", "sig").mapInPandas(explode, "c long, k binary, sketch binary")
-    dealt = spread.repartitionByRange("k", "sketch", "c").sortWithinPartitions("k", "sketch", "c")
-    return dealt.mapInPandas(look_back, "a long, b long").distinct()
+            keep = np.zeros(len(batch), bool)
+            for i, (a, t, u) in enumerate(zip(batch["a"], batch["t"].array, batch["u"].array, strict=True)):
+                if a != last:
+                    last, left = a, shingles(t, n)
+                right = shingles(u, n)
+                keep[i] = linked(common(left, right), len(left) + len(right), similarity)
+            yield batch.loc[keep, ["a", "b"]]
 
+    held = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("u")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("t")), "a")
+    return held.select("a", "b", "t", "u").mapInPandas(verify, "a long, b long")
 
-def block_links(part: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
-    """Counts and a spanning forest of the links between two blocks of a group (or within one)."""
-    from weftlink.llm.rp_dedup import union_forest
 
+def block_links(part: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
+    """How many documents the texts of two blocks of a group (or of one) link with across (or within) them."""
     a, b = int(part["x"].iat[0]), int(part["y"].iat[0])
     part = part.sort_values("c", kind="stable").reset_index(drop=True)
     sets = [shingles(t, n) for t in part["text"]]
     sizes, block, copies = np.array(list(map(len, sets))), part["block"].to_numpy(), part["copies"].to_numpy()
     left, right = np.nonzero(block == a)[0], np.nonzero(block == b)[0]
-    values = np.concatenate([sets[i] for i in right])
-    owner = np.repeat(np.arange(len(right)), sizes[right])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    counts, links = np.zeros(len(part), np.int64), []
-    for i in left:
-        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        n_hits = hi - lo
-        if not n_hits.any():
-            continue
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n_hits)[:-1]]), n_hits) + np.arange(n_hits.sum())
-        both = np.bincount(owner[at], minlength=len(right))
-        # both / (|A| + |B| - both) >= similarity, in whole numbers of a millionth
-        hit = right[both * 1_000_000 >= round(similarity * 1_000_000) * (sizes[i] + sizes[right] - both)]
-        hit = hit[hit > i] if a == b else hit
-        if len(hit):
+    counts = np.zeros(len(part), np.int64)
+    if len(left) and len(right):
+        values = np.concatenate([sets[i] for i in right])
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for i in left:
+            lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            n_hits = hi - lo
+            if not n_hits.any():
+                continue
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n_hits)[:-1]]), n_hits) + np.arange(n_hits.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hit = right[linked(both, sizes[i] + sizes[right], similarity)]
+            hit = hit[hit > i] if a == b else hit
             counts[i] += copies[hit].sum()
             counts[hit] += copies[i]
-            links.append((np.full(len(hit), i), hit))
-    forest = union_forest(len(part), *(np.concatenate(z) for z in zip(*links, strict=True))) if links else []
-    ids, some = part["c"].to_numpy(), counts > 0
-    return pd.DataFrame(
-        {
-            "a": np.concatenate([ids[some], ids[[p for p, _ in forest]]]).astype(np.int64),
-            "n": pd.array([*counts[some], *[None] * len(forest)], dtype="Int64"),
-            "b": pd.array([*[None] * int(some.sum()), *ids[[q for _, q in forest]]], dtype="Int64"),
-        }
-    )
+    some = counts > 0
+    return pd.DataFrame({"c": part["c"].to_numpy()[some], "n": counts[some]})
+
+
+def groups_of(df: DataFrame, classes: DataFrame, key: str, text: str, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """(c, text) of the texts with a likely partner, and (c, component) of those with a link."""
+    below = staged(below_nodes(classes, similarity), "below")
+    sketches = classes.select("c", "sketch")
+    first = staged(likely_pairs(below.join(sketches.withColumn("family", F.col("c")), "c"), similarity, False), "likely")
+    nodes = staged(first.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "nodes")
+    held = classes.join(nodes, "c").select("c", F.col("id").alias("own"), "tkey")
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("own"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
+    texts = staged(rows.join(held, ["own", "tkey"]).select("c", "text").dropDuplicates(["c"]), "texts")
+    family = staged(connected_components(proved(first, texts, similarity, n)), "families")
+    again = below.join(sketches.join(nodes, "c"), "c").join(family.withColumnRenamed("node", "c"), "c", "left").withColumn("family", F.coalesce("component", "c")).drop("component")
+    more = likely_pairs(again, similarity, True).join(first, ["a", "b"], "left_anti")
+    joins = staged(proved(staged(more, "likely-across"), texts, similarity, n), "joins")
+    forget(below, first)
+    # Families that a link joins, by the families' names.
+    name = lambda end: family.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = joins.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = staged(connected_components(ends), "joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = family.unionByName(joins.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(family.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
+    return texts, staged(known.join(joined, "component", "left").select(F.col("node").alias("c"), F.coalesce("top", "component").alias("component")), "groups")
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """One row for each row of ``df``: (id, class_id, n_links, group_id, kept).
 
     ``class_id``: smallest id with this text; ``n_links``: other documents linked; ``group_id``:
-    smallest id reachable by links and equality; ``kept``: whether the row's id is that.
+    smallest id reachable by links and equality; ``kept``: whether the row's id is that, and no other
+    text of that id in the group comes before.
     """
+    return joined_rows(df, key, text, similarity, n).drop("tkey")
+
+
+def joined_rows(df: DataFrame, key: str, text: str, similarity: float, n: int) -> DataFrame:
+    """The rows of ``jaccard_join`` with the key ``tkey`` of each row's text."""
     signed = staged(signatures(df, key, text, n), "signed")
     # Texts without words are no class: each such row stands for itself.
-    worded = signed.where("n_sh > 0")
-    classes = staged(
-        worded.groupBy("tkey").agg(F.min(F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("c"), "n_sh", "sig")).alias("m"), F.count(F.lit(1)).alias("copies")).select("tkey", "m.*", "copies"),
-        "classes",
-    )
-    groups = staged(connected_components(likely_links(classes, similarity)), "groups")
-    # The members of groups, each once, dealt into blocks by their shingles so far.
-    members = classes.join(groups, classes["c"] == groups["node"]).select("c", "tkey", "n_sh", "copies", "component")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int")
+    own = signed.where("n_sh > 0").groupBy("tkey").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "n_sh", "sig", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    # Classes are numbered in the order of their ids, so the smallest number of a group has its smallest id.
+    classes = staged(numbered(own.select("tkey", "m.*", "copies"), ["id", "tkey"], "c"), "classes")
+    texts, groups = groups_of(df, classes, key, text, similarity, n)
+    # The members of groups, each once, dealt into blocks.
+    members = classes.join(groups, "c").select("c", "n_sh", "copies", "component")
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int")
     sized = members.groupBy("component").agg(n_blocks.alias("blocks"))
     members = members.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    texts = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("c"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
-    held = texts.join(members, ["c", "tkey"]).dropDuplicates(["c", "tkey"])
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = held.select("c", "text", "copies", "component", "block", others).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    found = dealt.groupBy("component", "x", "y").applyInPandas(lambda part: block_links(part, similarity, n), "a long, n long, b long")
-    found = staged(found, "links")
-    counts = found.where("n is not null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found.where("b is not null").select("a", "b"))
-    whole = classes.select("tkey", "c", "copies").join(counts, "c", "left").join(parts.withColumnRenamed("node", "c"), "c", "left")
+    dealt = texts.join(members, "c").select("c", "text", "copies", "component", "block", others).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    found = dealt.groupBy("component", "x", "y").applyInPandas(lambda part: block_links(part, similarity, n), "c long, n long")
+    counts = staged(found.groupBy("c").agg(F.sum("n").alias("n_links")), "links")
+    heads = groups.select("component").distinct().join(classes.select(F.col("c").alias("component"), F.col("id").alias("group")), "component")
+    grouped = groups.join(heads, "component").select("c", "group", (F.col("c") == F.col("component")).alias("head"))
+    whole = classes.select("tkey", "c", "id", "copies").join(counts, "c", "left").join(grouped, "c", "left")
     by_class = whole.select(
-        "tkey", F.col("c").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "c").alias("group_id")
-    )
-    rows = signed.select("id", F.when(F.col("n_sh") > 0, F.col("tkey")).alias("tkey")).join(by_class, "tkey", "left")
-    back = lambda c: F.when(F.col(c) == -(1 << 63), None).otherwise(F.col(c))
-    own = F.col("tkey").isNull()
-    return rows.select(
-        "id",
-        F.when(own, F.col("id")).otherwise(back("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(own, F.col("id")).otherwise(back("group_id")).alias("group_id"),
-        (own | F.col("id").eqNullSafe(back("group_id"))).alias("kept"),
+        "tkey",
+        F.col("id").alias("class_id"),
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("group", "id").alias("group_id"),
+        F.coalesce("head", F.lit(True)).alias("head"),
     )
+    rows = signed.where("n_sh > 0").select("id", "tkey").join(by_class, "tkey")
+    back = lambda c: F.when(F.col(c) == NO_ID, None).otherwise(F.col(c))
+    out = rows.select("id", "tkey", back("class_id").alias("class_id"), F.col("n_links").cast("long"), back("group_id").alias("group_id"), (F.col("head") & F.col("id").eqNullSafe(back("class_id"))).alias("kept"))
+    alone = signed.where("n_sh = 0").select("id", "tkey", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stand for their group; of rows that repeat such an id and text, one."""
-    kept = jaccard_join(df, key, text, similarity).where("kept").select(F.col("id").alias("id__")).distinct()
-    joined = df.join(kept, df[key].cast("long").eqNullSafe(F.col("id__")), "left_semi")
-    return joined.dropDuplicates([key, text]).select(df.columns)
+    found = joined_rows(df.select(key, text), key, text, similarity, SHINGLE)
+    kept = found.where("kept").select(F.col("id").alias("id__"), F.col("tkey").alias("tkey__")).distinct()
+    rows = df.withColumn("own__", text_key(df[text]))
+    rows = rows.join(kept, rows[key].cast("long").eqNullSafe(F.col("id__")) & (F.col("own__") == F.col("tkey__")), "left_semi")
+    return rows.dropDuplicates([key, "own__"]).select(df.columns)
 
 
 def expected_recall(similarity: float = SIMILARITY) -> float:
-    """Chance that a pair at the threshold shares the counted prefix in some tree."""
+    """Chance that a pair at the threshold shares the counted prefix in some tree and passes the sketch."""
     k = prefix_length(similarity, TREES, DEPTH, RECALL)
-    return 1 - math.pow(1 - similarity**k, TREES)
+    meet = 1 - math.pow(1 - similarity**k, TREES)
+    most, same = int(SKETCH * (1 - (1 / 16 + 15 / 16 * (similarity - SLACK)))), 1 / 16 + 15 / 16 * similarity
+    passes = sum(math.comb(SKETCH, d) * (1 - same) ** d * same ** (SKETCH - d) for d in range(most + 1))
+    return meet * passes
