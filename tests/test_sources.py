@@ -45,6 +45,27 @@ def test_delta_files(spark, tmp_path):
     assert (r.comparison_id, r.file_direction, r.link_score_case, r.link_score_ctrl, r.delta_link_score) == ("X_10_vs_Y_0", "up", 3.0, 1.0, 2.0)
 
 
+def test_delta_files_keep_their_own_heads(spark, tmp_path):
+    (tmp_path / "A1_vs_B1_delta_links.csv").write_text("tf,gene_key,peak_id,fp_score_A1,fp_score_B1,tf_expr_A1,tf_expr_B1,delta_fp_score,fc_gene_expr,fp_bound_A1\nt,g,p,3,1,7,3,2,0.25,1\n")
+    (tmp_path / "A2_vs_B2_delta_links_filtered_down.csv").write_text('"peak_id","tf","gene_key","log2FC_fp_bed_score","fp_bed_score_B2","fp_bed_score_A2","log2FC_gene_expr"\n"p,2",t2,g2,-1,8,4,NA\n')
+    got = {r.comparison_id: r for r in tables.read_deltas(spark, str(tmp_path)).collect()}
+    a, b = got["A1_vs_B1"], got["A2_vs_B2"]
+    assert (a.tf, a.peak_id, a.fp_score_case, a.fp_score_ctrl, a.file_direction) == ("t", "p", 3.0, 1.0, None)
+    assert (a.delta_fp, a.log2fc_fp, a.fc_mag_fp, a.log2fc_gene, a.fc_mag_gene, a.log2fc_tf, a.fc_mag_tf) == (2.0, 2.0, 4.0, -2.0, 4.0, 1.0, 2.0)
+    assert (a.fp_bound_case, a.fp_bound_ctrl, a.log2FC_fp_bed_score) == (1, 0, None)
+    assert (b.tf, b.peak_id, b.fp_score_case, b.fp_score_ctrl, b.file_direction) == ("t2", "p,2", 4.0, 8.0, "down")
+    assert (b.delta_fp, b.log2fc_fp, b.fc_mag_fp, b.log2fc_gene, b.fc_mag_gene, b.log2fc_tf) == (None, -1.0, 2.0, None, None, None)
+
+
+def test_overviews_of_many_columns(spark, tmp_path):
+    folder = tmp_path / "s9" / "db" / "m"
+    folder.mkdir(parents=True)
+    more = [f"x{i}" for i in range(100)]
+    (folder / "m_overview.txt").write_text("\t".join(["TFBS_chr", "TFBS_start", "TFBS_end", "TFBS_name", *more, "s9_score", "s9_bound"]) + "\n" + "\t".join(["chr1", "5", "9", "m", *more, "2.5", "1"]) + "\n")
+    r = tables.read_overviews(spark, str(folder / "m_overview.txt")).first()
+    assert (r.peak, r["sample"], r.score, r.bound) == ("chr1:5-9", "s9", 2.5, 1)
+
+
 def test_regions_and_priors(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Chr,Start,End,s1,Overlap_s1\nchr10,1,2,5.5,1\nchr2,1,2,NA,0\n")
     score, over = tables.read_regions(spark, str(tmp_path / "r.csv"))

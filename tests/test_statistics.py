@@ -64,3 +64,38 @@ def test_numbers_regions_and_labels(spark):
     d = spark.createDataFrame([("a_vs_b::T::x::Up",), ("one",)], "d string").select(scalars.doc_parts("d").alias("p")).collect()
     assert (d[0].p.comparison, d[0].p.entity, d[0].p.direction) == ("a_vs_b", "T::x", "Up") and d[1].p.direction is None
     assert scalars.snake("geneKey.TF") == "gene_key_tf" and scalars.safe_name("a b/c") == "a_b_c"
+
+
+def test_spread_ranks_and_adjusted_p_equal_the_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    x = [float(v) for v in np.round(rng.normal(0, 3, 300), 1)] + [0.0, 0.0, None, None, 1e300, -1e-300, 7.0, 7.0]
+    rows = [(i, "ab"[i % 2] if i % 7 else None, v, abs(v) % 1 if v is not None else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [(900 + i, "a", 1.0, 0.0) for i in range(50)], "i int, g string, x double, p double")
+    for down in (False, True):
+        got = stats.with_average_rank(df, "x", "k", ["g"], down)
+        assert got.count() == df.count() and got.join(df.withColumn("want", stats.average_rank("x", ["g"], down)).select("i", "want"), "i").where("not (k <=> want)").count() == 0
+    for family in ((), ("g",)):
+        got = {r.i: r.q for r in stats.benjamini_hochberg(df, "p", "q", family).collect()}
+        assert len(got) == df.count()
+        for g in {r[1] if family else 0 for r in rows}:
+            part = [(r.p, r.i) for r in df.collect() if r.p is not None and (not family or r.g == g)]
+            least = 1.0
+            for n, (p, i) in reversed(list(enumerate(sorted(part), 1))):
+                least = min(least, p * len(part) / n)
+                same = [q for v, q in part if v == p]
+                assert got[max(same, key=lambda k: got[k])] == pytest.approx(min(least, 1.0)) or p in [v for v, _ in sorted(part)[n:]]
+
+
+def test_too_large_work_is_refused(spark, monkeypatch):
+    from weftlink.operators import enrich, graph
+
+    monkeypatch.setattr(enrich, "MAX_SETS", 2)
+    sets = spark.createDataFrame([(f"s{k}", f"g{i}") for k in range(3) for i in range(5)], "set string, gene string")
+    ranks = spark.createDataFrame([("t", f"g{i}", float(i)) for i in range(9)], "topic string, gene string, score double")
+    with pytest.raises(ValueError):
+        enrich.running_sum(ranks, sets, 3, rounds=5)
+    assert enrich.running_sum(ranks, sets.where("set <> 's0'"), 3, rounds=5).count() == 2
+    monkeypatch.setattr(graph, "MAX_COMPARISONS", 2)
+    edges = spark.createDataFrame([(f"c{i}", "f", float(i + 1)) for i in range(3)], "comparison_id string, tf string, delta_link_score double")
+    with pytest.raises(ValueError):
+        graph.cluster_comparisons(edges, ["f"], 2)

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 
 def average_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
-    """Rank from 1 with tied values averaged; null values have no rank."""
+    """Rank from 1 with tied values averaged; null values have no rank. For groups that one task can sort."""
     x = F.col(value)
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()
     w = Window.partitionBy(*by)
@@ -21,6 +21,32 @@ def average_rank(value: str, by: Sequence[str] = (), descending: bool = False) -
     return F.when(x.isNotNull(), F.rank().over(w.orderBy(order)) + (peers - 1) / 2)
 
 
+def _value_bucket(x: Column) -> Column:
+    """A bucket that grows with a number: 256 to each doubling of its size, at most about 1.1 million."""
+    size = F.floor(F.log2(F.abs(x)) * 256).cast("long") + 300_000
+    return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size)
+
+
+def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Adds the rank from 1 with tied values averaged; null values have no rank.
+
+    Distinct values are counted first and ranked within buckets of their size, so neither a group of any
+    size nor a value that very many rows share is one task's work.
+    """
+    own = list(by)
+    x = F.col(value).cast("double")
+    some = df.where(F.col(value).isNotNull()).groupBy(*own, x.alias("x__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _value_bucket(F.col("x__")))
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))
+    sums = sums.select(*own, "b__", (F.sum("s__").over(Window.partitionBy(*own).orderBy(order("b__"))) - F.col("s__")).alias("below__"))
+    same = lambda p, q, extra: [F.col(f"{p}.{c}").eqNullSafe(F.col(f"{q}.{c}")) for c in own] + [F.col(f"{p}.{extra}") == F.col(f"{q}.{extra}")]
+    inside = Window.partitionBy(*own, "b__").orderBy(order("x__"))
+    placed = some.alias("a").join(sums.alias("s"), same("a", "s", "b__")).select("a.*", "s.below__")
+    ranks = placed.select(*own, "x__", (F.col("below__") + F.sum("n__").over(inside) - F.col("n__") + (F.col("n__") + 1) / 2).alias(out))
+    rows = df.withColumn("x__", x)
+    return rows.alias("r").join(ranks.alias("k"), same("r", "k", "x__"), "left").select("r.*", f"k.{out}").drop("x__")
+
+
 def min_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
     x = F.col(value)
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()
@@ -56,27 +82,28 @@ def _p_bucket(p: Column) -> Column:
 def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
     """Adds adjusted p-values; null p take no part. Each family (all rows by default) is a set of tests.
 
-    Ranks and running minima are taken within buckets of p and joined through one small row a
-    bucket, so a family of any size is dealt over many tasks.
+    Distinct p are counted first; their ranks and running minima are taken within buckets of p and joined
+    through one small row a bucket, so a family of any size, and a p that very many rows share, is
+    dealt over many tasks. Rows with null p go past all that.
     """
     own = list(family)
-    rows = df.withColumn("b__", _p_bucket(F.col(p)))
-    sums = rows.where(F.col(p).isNotNull()).groupBy(*own, "b__").agg(F.count(F.lit(1)).alias("n__"))
+    some = df.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("p__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _p_bucket(F.col("p__")))
+    same = lambda x, y, extra: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in own] + [F.col(f"{x}.{extra}") == F.col(f"{y}.{extra}")]
+    # Buckets are at most 20,000 a family by their rule, so one family's are small enough for any join.
+    few = (lambda t: t) if own else F.broadcast
+    sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))
     w = Window.partitionBy(*own)
-    sums = sums.withColumn("m__", F.sum("n__").over(w)).withColumn("below__", F.sum("n__").over(w.orderBy("b__")) - F.col("n__"))
-    a = rows.alias("a")
-    joined = a.join(F.broadcast(sums.alias("s")) if not own else sums.alias("s"), [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*own, "b__"]], "left").select("a.*", "s.m__", "s.below__")
-    inside = Window.partitionBy(*own, "b__").orderBy(F.col(p))
-    at = F.col("below__") + F.count(p).over(inside)  # with ties: the last of them
-    ranked = joined.withColumn("raw__", F.when(F.col(p).isNotNull(), F.col(p) * F.col("m__") / at))
-    lows = ranked.where(F.col(p).isNotNull()).groupBy(*own, "b__").agg(F.min("raw__").alias("low__"))
+    sums = sums.select(*own, "b__", F.sum("s__").over(w).alias("m__"), (F.sum("s__").over(w.orderBy("b__")) - F.col("s__")).alias("below__"))
+    inside = Window.partitionBy(*own, "b__").orderBy("p__")
+    placed = some.alias("a").join(few(sums.alias("s")), same("a", "s", "b__")).select("a.*", "s.m__", "s.below__")
+    ranked = placed.withColumn("raw__", F.col("p__") * F.col("m__") / (F.col("below__") + F.sum("n__").over(inside)))
     after = Window.partitionBy(*own).orderBy(F.desc("b__")).rowsBetween(Window.unboundedPreceding, -1)
-    lows = lows.select(*own, "b__", F.min("low__").over(after).alias("rest__"))
-    r = ranked.alias("r")
-    joined = r.join(F.broadcast(lows.alias("l")) if not own else lows.alias("l"), [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*own, "b__"]], "left").select("r.*", "l.rest__")
-    down = Window.partitionBy(*own, "b__").orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("raw__").over(down), F.coalesce("rest__", F.lit(1.0))))
-    return joined.withColumn(out, q).drop("b__", "m__", "below__", "raw__", "rest__")
+    lows = ranked.groupBy(*own, "b__").agg(F.min("raw__").alias("low__")).select(*own, "b__", F.min("low__").over(after).alias("rest__"))
+    down = Window.partitionBy(*own, "b__").orderBy(F.desc("p__"))
+    both = ranked.alias("a").join(few(lows.alias("l")), same("a", "l", "b__")).select("a.*", "l.rest__")
+    q = both.select(*own, "p__", F.least(F.lit(1.0), F.min("raw__").over(down), F.coalesce("rest__", F.lit(1.0))).alias(out))
+    rows = df.where(F.col(p).isNotNull()).withColumn("p__", F.col(p)).alias("r").join(q.alias("q"), same("r", "q", "p__")).select("r.*", f"q.{out}").drop("p__")
+    return rows.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def robust_z(df: DataFrame, value: str, out: str, by: Sequence[str] = (), fallback_sd: bool = False, clamp: float | None = None) -> DataFrame:
@@ -84,9 +111,9 @@ def robust_z(df: DataFrame, value: str, out: str, by: Sequence[str] = (), fallba
     own = list(by)
     mid = df.groupBy(*own).agg(F.percentile(value, F.lit(0.5)).alias("mid__"), F.stddev_samp(value).alias("sd__"), F.avg(value).alias("avg__"))
     on = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in own] or F.lit(True)
-    with_mid = df.alias("d").join(F.broadcast(mid.alias("m")), on("d", "m")).select("d.*", "m.mid__", "m.sd__", "m.avg__")
+    with_mid = df.alias("d").join(mid.alias("m") if own else F.broadcast(mid.alias("m")), on("d", "m")).select("d.*", "m.mid__", "m.sd__", "m.avg__")
     mad = with_mid.groupBy(*own).agg(F.percentile(F.abs(F.col(value) - F.col("mid__")), F.lit(0.5)).alias("mad__"))
-    both = with_mid.alias("d").join(F.broadcast(mad.alias("m")), on("d", "m")).select("d.*", "m.mad__")
+    both = with_mid.alias("d").join(mad.alias("m") if own else F.broadcast(mad.alias("m")), on("d", "m")).select("d.*", "m.mad__")
     plain = F.try_divide(F.col(value) - F.col("avg__"), F.col("sd__")) if fallback_sd else F.lit(0.0)
     z = F.when(F.col("mad__") > 0, (F.col(value) - F.col("mid__")) / (1.4826 * F.col("mad__"))).otherwise(F.coalesce(plain, F.lit(0.0)))
     z = F.when(F.col(value).isNotNull(), z)

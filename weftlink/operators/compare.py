@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.scalars import any_above, finite, fold_magnitude, log2_ratio, snake
-from weftlink.functions.stats import average_rank, benjamini_hochberg, digamma, f_upper, t_two_sided, trigamma, trigamma_inverse
+from weftlink.functions.stats import benjamini_hochberg, digamma, f_upper, t_two_sided, trigamma, trigamma_inverse, with_average_rank
 
 KEY = ("tf", "gene_key", "peak_id")
 MEASURES = ("link_score", "fp_score", "tf_expr", "gene_expr")
@@ -58,12 +58,13 @@ def key_faults(a: DataFrame, b: DataFrame, key: Sequence[str] = KEY) -> DataFram
 
 
 def compare(
-    case: DataFrame, control: DataFrame, key: Sequence[str] = KEY, signs: str = "error", pseudo: float = 1.0, only_active_both: bool = False, group: Sequence[str] = (), measures: Sequence[str] = MEASURES
+    case: DataFrame, control: DataFrame, key: Sequence[str] = KEY, signs: str = "error", pseudo: float = 1.0, only_active_both: bool = False, group: Sequence[str] = (), measures: Sequence[str] = MEASURES, ranks: bool = True
 ) -> DataFrame:
     """Case against control by key: delta, log2 ratio and fold of each measure, ranks of scores, changes.
 
     ``group`` columns (a comparison id) part independent comparisons in one table, so many comparisons
     are one join. Unlike signs: ``error``, ``drop``, ``prefer_case`` or ``prefer_max_magnitude``.
+    Without ``ranks`` the rank columns, which take sums and joins of their own, are left out.
     """
     cols = [*measures, "link_sign", "active"]
     side = lambda t, s: t.select(*group, *key, *[F.col(c).alias(f"{c}_{s}") for c in cols])
@@ -83,9 +84,10 @@ def compare(
     for m in measures:
         x, y = F.col(f"{m}_case"), F.col(f"{m}_ctrl")
         rows = rows.withColumn(f"delta_{m}", x - y).withColumn(f"log2FC_{m}", log2_ratio(x, y, pseudo)).withColumn(f"fc_{m}", F.try_divide(x + pseudo, y + pseudo))
-    for s in ("case", "ctrl"):
-        rows = rows.withColumn(f"rank_{s}", average_rank(f"link_score_{s}", list(group), descending=True))
-    rows = rows.withColumn("rank_shift", F.col("rank_case") - F.col("rank_ctrl"))
+    if ranks:
+        for s in ("case", "ctrl"):
+            rows = with_average_rank(rows, f"link_score_{s}", f"rank_{s}", list(group), descending=True)
+        rows = rows.withColumn("rank_shift", F.col("rank_case") - F.col("rank_ctrl"))
     p, q = F.col("active_case") > 0, F.col("active_ctrl") > 0
     change = F.when(p & q, "shared").when(p & ~q, "gain").when(~p & q, "loss").when(~p & ~q, "inactive")
     rows = rows.withColumn("edge_change", change).withColumn("active_both", (p & q).cast("int")).withColumn("active_any", (p | q).cast("int"))
@@ -94,7 +96,7 @@ def compare(
         known = (F.count("active_case").over(w) > 0) & (F.count("active_ctrl").over(w) > 0)
         hide = known & ~F.coalesce(F.col("active_both") == 1, F.lit(False))
         rows = rows.withColumn("hide__", hide)
-        for c in [f"{k}_{m}" for m in measures for k in ("delta", "log2FC", "fc")] + ["rank_shift"]:
+        for c in [f"{k}_{m}" for m in measures for k in ("delta", "log2FC", "fc")] + ["rank_shift"] * ranks:
             rows = rows.withColumn(c, F.when(~F.col("hide__"), F.col(c)))
         rows = rows.drop("hide__")
     return rows
@@ -102,7 +104,7 @@ def compare(
 
 def compare_many(links: DataFrame, specs: DataFrame, **options) -> DataFrame:
     """All comparisons at once: ``links`` has a condition; ``specs`` is (comparison_id, case, control)."""
-    s = F.broadcast(specs)
+    s = specs
     case = links.join(s.select("comparison_id", F.col("case").alias("condition")), "condition").drop("condition")
     control = links.join(s.select("comparison_id", F.col("control").alias("condition")), "condition").drop("condition")
     return compare(case, control, group=("comparison_id",), **options)
@@ -114,9 +116,9 @@ def contrasts(labels: DataFrame, control_tag: str, sep: str = "_") -> DataFrame:
     line = F.substring_index("label", sep, 1)
     rows = labels.select("label", line.alias("line"), F.col("label").endswith(control_tag).alias("is_control")).distinct()
     n = rows.where("is_control").agg(F.count(F.lit(1)).alias("n"))
-    case = rows.where("not is_control").select(F.col("label").alias("case"), "line").crossJoin(F.broadcast(n))
+    case = rows.where("not is_control").select(F.col("label").alias("case"), "line").crossJoin(n)
     control = rows.where("is_control").select(F.col("label").alias("control"), F.col("line").alias("c_line"))
-    pairs = case.join(F.broadcast(control), (F.col("n") == 1) | (F.col("line") == F.col("c_line")))
+    pairs = case.join(control, (F.col("n") == 1) | (F.col("line") == F.col("c_line")))
     return pairs.select(F.concat_ws("_vs_", "case", "control").alias("comparison_id"), "case", "control")
 
 
@@ -203,7 +205,7 @@ def standard_deltas(df: DataFrame, case: str, control: str, measures: Sequence[s
 def file_comparison(path: str = "file") -> dict[str, F.Column]:
     """Expressions case, control and direction of a delta-link file's name."""
     name = F.regexp_extract(F.col(path), r"([^/]+)$", 1)
-    pattern = r"^(.+?)_vs_(.+?)_(?:delta_links|filtered_links(?:_(up|down))?)\.csv"
+    pattern = r"(?i)^(.+?)_vs_(.+?)_(?:delta_links_filtered|filtered_links|delta_links)(?:_(up|down))?\.csv$"
     got = [F.nullif(F.regexp_extract(name, pattern, i), F.lit("")) for i in (1, 2, 3)]
     return {"case": got[0], "control": got[1], "direction": got[2]}
 
@@ -292,7 +294,7 @@ def _shrunk(s2: F.Column, df: float, prior: tuple[float, float]) -> tuple[F.Colu
 def multi_anova(values: DataFrame, info: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Moderated F test of all conditions: ``values`` (key, sample, value), ``info`` (sample, condition).
     Edges with every sample known are tested."""
-    rows = values.join(F.broadcast(info.select("sample", "condition")), "sample")
+    rows = values.join(info.select("sample", "condition"), "sample")
     n_all, k = info.select("sample").distinct().count(), info.select("condition").distinct().count()
     group = rows.groupBy(*key, "condition").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
     edge = group.groupBy(*key).agg(
@@ -315,7 +317,7 @@ def multi_trend(values: DataFrame, info: DataFrame, covariate: str, key: Sequenc
     """Moderated slope on a covariate (with further covariates): sums of products per edge, solved in
     compiled code a batch of edges at a time."""
     names = [covariate, *others]
-    rows = values.join(F.broadcast(info.select("sample", *[finite(c).alias(c) for c in names])), "sample").where("value is not null")
+    rows = values.join(info.select("sample", *[finite(c).alias(c) for c in names]), "sample").where("value is not null")
     x = [F.lit(1.0), *map(F.col, names)]
     p = len(x)
     sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(p) for j in range(p)] + [F.sum(x[i] * F.col("value")).alias(f"y{i}") for i in range(p)]
@@ -350,7 +352,7 @@ def multi_trend(values: DataFrame, info: DataFrame, covariate: str, key: Sequenc
 def multi_lmm(values: DataFrame, info: DataFrame, effects: Sequence[str], group: str, key: Sequence[str] = KEY, rounds: int = 200) -> DataFrame:
     """(key, effect, beta, se, t) of a model with a random intercept a group, by EM on each edge's
     complete rows; edges with fewer than three are left out. An edge's rows are one a sample."""
-    rows = values.join(F.broadcast(info.select("sample", F.col(group).cast("string").alias("group"), *[finite(c).alias(c) for c in effects])), "sample")
+    rows = values.join(info.select("sample", F.col(group).cast("string").alias("group"), *[finite(c).alias(c) for c in effects]), "sample")
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.select(*key).schema.fields) + ", effect string, beta double, se double, t double"
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:

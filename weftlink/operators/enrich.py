@@ -13,6 +13,10 @@ from weftlink.functions.stats import benjamini_hochberg
 from weftlink.operators.topics import marker_overlap
 
 
+#: Gene sets, and genes in all of them, that a running sum takes along, at most.
+MAX_SETS, MAX_SET_GENES = 50_000, 5_000_000
+
+
 def over_representation(gene_sets: DataFrame, pathways: DataFrame, universe: int, min_genes: int = 5, q_max: float | None = 0.05) -> DataFrame:
     """(topic, set, overlap, coverage, odds_ratio, p, p_adj): hypergeometric test of every pathway (set,
     gene) against every topic's genes; adjusted within the topic."""
@@ -24,8 +28,14 @@ def over_representation(gene_sets: DataFrame, pathways: DataFrame, universe: int
 
 def running_sum(ranks: DataFrame, pathways: DataFrame, min_size: int = 10, max_size: int = 500, rounds: int = 1000, seed: int = 1) -> DataFrame:
     """(topic, set, size, es, nes, p, p_adj) by the weighted running sum over a topic's ranked genes
-    (topic, gene, score), with permuted sets of equal size as the null."""
-    sets = [(r.set, sorted(r.genes)) for r in pathways.groupBy("set").agg(F.collect_set("gene").alias("genes")).where(F.size("genes") <= 50 * max_size).limit(50_000).collect()]
+    (topic, gene, score), with permuted sets of equal size as the null. A set's size is that of its
+    overlap with the ranked genes; beyond ``MAX_SETS`` sets or ``MAX_SET_GENES`` genes in them it is refused."""
+    met = pathways.select("set", "gene").distinct().join(ranks.select("gene").distinct(), "gene", "left_semi")
+    large = met.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
+    n = large.agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("genes")).first()
+    if n.sets > MAX_SETS or (n.genes or 0) > MAX_SET_GENES:
+        raise ValueError(f"{n.sets} sets of {n.genes} genes; running sums take {MAX_SETS} sets of {MAX_SET_GENES} genes at most")
+    sets = [(r.set, sorted(r.genes)) for r in met.join(large.select("set"), "set", "left_semi").groupBy("set").agg(F.collect_set("gene").alias("genes")).orderBy("set").collect()]
     kind = ranks.schema["topic"].dataType.simpleString()
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
@@ -72,4 +82,4 @@ def non_redundant(hits: list[tuple[str, float, set]], threshold: float = 0.8) ->
 
 def pathway_links(links: DataFrame, pathways: DataFrame) -> DataFrame:
     """Links whose gene is in a pathway: the sub-network of each set."""
-    return links.join(F.broadcast(pathways.select("set", F.col("gene").alias("gene_key")).distinct()), "gene_key")
+    return links.join(pathways.select("set", F.col("gene").alias("gene_key")).distinct(), "gene_key")

@@ -92,7 +92,7 @@ def topic_summary(edges: DataFrame, min_delta: float = 0.25, weight_by_r: bool =
     per = rows.groupBy("topic").agg(F.coalesce(F.sum(F.abs("d__")), F.lit(0.0)).alias("topic_abs_delta"), F.count(F.lit(1)).alias("topic_links"))
     topic_rank = F.row_number().over(Window.orderBy(F.desc("topic_abs_delta"), "topic"))
     tf_rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("sum_abs_delta"), "tf"))
-    out = agg.join(F.broadcast(per.withColumn("topic_rank", topic_rank)), "topic").withColumn("tf_rank", tf_rank)
+    out = agg.join(per.withColumn("topic_rank", topic_rank), "topic").withColumn("tf_rank", tf_rank)
     return out.join(hub_scores(rows, "topic"), ["topic", "tf"], "left")
 
 
@@ -213,6 +213,9 @@ def louvain(nodes_a: np.ndarray, nodes_b: np.ndarray, weights: np.ndarray, n: in
         a, b = found // (own.max() + 1), found % (own.max() + 1)
 
 
+#: Comparisons that linkage takes to the driver, at most.
+MAX_COMPARISONS = 5000
+
 #: Aggregated edges that community search takes to the driver, at most.
 MAX_EDGES = 2_000_000
 
@@ -244,10 +247,12 @@ def factor_delta_table(edges: DataFrame, factors: Sequence, min_abs: float = 1)
 
 
 def cluster_comparisons(edges: DataFrame, factors: Sequence, k: int, min_abs: float = 1) -> list[tuple[str, int]]:
-    """(comparison, cluster) by Ward linkage of their factor sums; comparisons are few."""
+    """(comparison, cluster) by Ward linkage of their factor sums; beyond ``MAX_COMPARISONS`` it is refused."""
     from weftlink.operators.motif import cut, linkage
 
-    got = factor_delta_table(edges, factors, min_abs).orderBy("comparison_id").limit(5000).toPandas()
+    got = factor_delta_table(edges, factors, min_abs).orderBy("comparison_id").limit(MAX_COMPARISONS + 1).toPandas()
+    if len(got) > MAX_COMPARISONS:
+        raise ValueError(f"linkage takes {MAX_COMPARISONS} comparisons at most")
     x = got.drop(columns="comparison_id").to_numpy(float)
     d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
     return list(zip(got["comparison_id"], cut(linkage(d, "ward"), len(got), min(k, len(got))).tolist(), strict=True))
@@ -257,6 +262,6 @@ def topic_delta_network(deltas: DataFrame, summary: DataFrame, topic: str, top_t
     """Edges of a topic (packed list) of its top factors by |delta|, with pass flags for change and gene fold."""
     w = Window.partitionBy("topic").orderBy(F.desc("sum_abs_delta"), "tf")
     best = summary.where(F.col("topic") == topic).withColumn("i__", F.row_number().over(w)).where(F.col("i__") <= top_tfs).select("tf")
-    rows = deltas.where(topic_filter(topics, topic)).join(F.broadcast(best), "tf", "left_semi")
+    rows = deltas.where(topic_filter(topics, topic)).join(best, "tf", "left_semi")
     changed = F.coalesce(F.abs("log2FC_gene_expr") >= float(np.log2(gene_fold)), F.lit(False))
     return rows.withColumn("pass", F.coalesce(F.abs("delta_link_score") >= min_delta, F.lit(False))).withColumn("gene_changed", changed)

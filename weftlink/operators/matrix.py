@@ -35,7 +35,7 @@ class OmicsSet:
         shared = self.samples.select("sample").distinct()
         for t in (self.fp_score, self.fp_bound, self.rna):
             shared = shared.join(t.select("sample").distinct(), "sample", "left_semi")
-        cut = lambda t: t.join(F.broadcast(shared), "sample", "left_semi")
+        cut = lambda t: t.join(shared, "sample", "left_semi")
         out = {"fp_score": cut(self.fp_score), "fp_bound": cut(self.fp_bound), "rna": cut(self.rna), "samples": cut(self.samples)}
         regions = self.fp_annotation.select("region").distinct()
         for name in ("atac_score", "atac_overlap"):
@@ -65,13 +65,13 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str])
 def by_condition(long: DataFrame, samples: DataFrame, key: Sequence[str], how: str = "mean", condition: str = "condition") -> DataFrame:
     """Mean or median over the samples of each condition; ``samples`` is (sample, condition)."""
     agg = {"mean": F.avg("v__"), "median": F.percentile("v__", F.lit(0.5))}[how]
-    rows = long.withColumn("v__", finite("value")).join(F.broadcast(samples.select("sample", condition)), "sample")
+    rows = long.withColumn("v__", finite("value")).join(samples.select("sample", condition), "sample")
     return rows.groupBy(*key, condition).agg(agg.alias("value"))
 
 
 def expressed_flags(rna: DataFrame, samples: DataFrame, threshold: float = 10, min_samples: int = 1, condition: str = "condition", key: str = "gene") -> DataFrame:
     """1 where at least ``min_samples`` samples of a condition reach the threshold."""
-    rows = rna.join(F.broadcast(samples.select("sample", condition)), "sample")
+    rows = rna.join(samples.select("sample", condition), "sample")
     hits = F.count(F.when(finite("value") >= threshold, 1))
     return rows.groupBy(key, condition).agg((hits >= min_samples).cast("int").alias("flag"))
 
@@ -81,7 +81,7 @@ def bound_by_condition(
 ) -> DataFrame:
     """(peak, condition, flag): bound with a high enough score in ``min_samples`` samples, and the peak's
     region open in any sample, of the condition."""
-    keep = F.broadcast(samples.select("sample", condition))
+    keep = samples.select("sample", condition)
     own = fp_bound.select("peak", "sample", F.col("value").alias("b__")).join(fp_score.select("peak", "sample", finite("value").alias("s__")), ["peak", "sample"], "left").join(keep, "sample")
     bound = own.groupBy("peak", condition).agg(F.count(F.when((F.col("b__") > 0) & (F.col("s__") >= threshold), 1)).alias("n_bound"))
     open_ = atac_overlap.join(keep, "sample").groupBy("region", condition).agg(F.count(F.when(F.col("value") > 0, 1)).alias("n_open"))
@@ -110,7 +110,7 @@ def bound_and_open(fp_bound: DataFrame, atac_overlap: DataFrame, annotation: Dat
 def bound_and_expressed(fp_bound: DataFrame, annotation: DataFrame, motif_db: DataFrame, tf_flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flags that also need a factor of one of the peak's motifs expressed in the sample, and the
     annotation with the peak's expressed factors; peaks without one go."""
-    tfs = annotation.select("peak", "motif").distinct().join(F.broadcast(motif_db), "motif")
+    tfs = annotation.select("peak", "motif").distinct().join(motif_db, "motif")
     tfs = tfs.select("peak", F.explode(split_list("gene_symbol")).alias("tf")).distinct()
     on = tfs.join(tf_flags.where("flag > 0").select(F.col("gene").alias("tf"), "sample"), "tf")
     lit = on.select("peak", "sample").distinct()
@@ -141,7 +141,7 @@ def keep_where(omics: OmicsSet, predicate: Column) -> OmicsSet:
 
 def expressed_genes(rna: DataFrame, tf_list: DataFrame, gene_min: float = 5, tf_min: float = 10, min_samples: int = 1) -> DataFrame:
     """Genes that reach their threshold (factors have their own) in enough samples."""
-    tfs = F.broadcast(tf_list.select(F.col("tf").alias("gene"), F.lit(True).alias("is_tf")).distinct())
+    tfs = tf_list.select(F.col("tf").alias("gene"), F.lit(True).alias("is_tf")).distinct()
     rows = rna.join(tfs, "gene", "left").withColumn("least", F.when(F.col("is_tf"), tf_min).otherwise(gene_min))
     hits = rows.groupBy("gene").agg(F.count(F.when(finite("value") >= F.col("least"), 1)).alias("n_samples"))
     return hits.where(F.col("n_samples") >= min_samples)
@@ -151,7 +151,7 @@ def tf_expression_flags(rna: DataFrame, tf_list: DataFrame, threshold: float = 0
     """(gene, sample, flag) of the factors, by > or >=."""
     v = finite("value")
     hit = v > threshold if strict else v >= threshold
-    return rna.join(F.broadcast(tf_list.select(F.col("tf").alias("gene"))), "gene", "left_semi").select("gene", "sample", F.coalesce(hit, F.lit(False)).cast("int").alias("flag"))
+    return rna.join(tf_list.select(F.col("tf").alias("gene")), "gene", "left_semi").select("gene", "sample", F.coalesce(hit, F.lit(False)).cast("int").alias("flag"))
 
 
 def variance_table(long: DataFrame, key: str) -> DataFrame:
@@ -201,7 +201,7 @@ def gene_keys(rna: DataFrame, mode: str = "both") -> DataFrame:
 
 def attach_tfs(annotation: DataFrame, motif_db: DataFrame) -> DataFrame:
     """Each peak's factors, packed: those of its motifs, or the motif's upper-cased prefix where unknown."""
-    rows = annotation.select("peak", "motif").distinct().join(F.broadcast(motif_db.select("motif", "gene_symbol")), "motif", "left")
+    rows = annotation.select("peak", "motif").distinct().join(motif_db.select("motif", "gene_symbol"), "motif", "left")
     name = F.coalesce(F.nullif(F.col("gene_symbol"), F.lit("")), F.upper(F.substring_index("motif", "_", 1)))
     exploded = rows.select("peak", F.explode(split_list(name)).alias("tf"))
     packed = exploded.groupBy("peak").agg(F.array_join(F.array_sort(F.collect_set("tf")), ",").alias("tfs"))

@@ -94,7 +94,7 @@ def motif_peak_stats(annotation: DataFrame, site_map: DataFrame | None = None, m
 
 def motif_similarity(support: DataFrame, shared: DataFrame, method: str = "jaccard") -> DataFrame:
     """(a, b, similarity) of motifs by shared peaks: weighted Jaccard or cosine."""
-    s = F.broadcast(support)
+    s = support
     rows = shared.join(s.select(F.col("motif").alias("a"), F.col("support").alias("ca")), "a").join(s.select(F.col("motif").alias("b"), F.col("support").alias("cb")), "b")
     w = F.col("shared").cast("double")
     v = F.try_divide(w, F.col("ca") + F.col("cb") - w) if method == "jaccard" else F.try_divide(w, F.sqrt(F.col("ca").cast("double") * F.col("cb")))
@@ -208,7 +208,7 @@ def cluster_name(tfs: Sequence[str], max_parts: int = 4, max_chars: int = 45) ->
 
 def cluster_peak_summary(annotation: DataFrame, clusters: DataFrame, top_n: int = 5) -> DataFrame:
     """(cluster, n_peaks, n_motifs, motifs_per_peak, top): peaks of each motif cluster and its top motifs."""
-    rows = annotation.select("peak", "motif").distinct().join(F.broadcast(clusters), "motif")
+    rows = annotation.select("peak", "motif").distinct().join(clusters, "motif")
     per = rows.groupBy("cluster", "peak").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_peaks"), F.avg("m").alias("motifs_per_peak"), F.count(F.when(F.col("m") > 1, 1)).alias("n_shared"))
     by = rows.groupBy("cluster", "motif").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("cluster").orderBy(F.desc("n"), "motif")
@@ -232,4 +232,4 @@ def apply_clusters(motif_db: DataFrame, clusters: DataFrame) -> DataFrame:
     """The motif table with cluster number and name; motifs without one keep null."""
     names = clusters.join(motif_db.select("motif", "gene_symbol"), "motif").groupBy("cluster").agg(F.array_sort(F.collect_set("gene_symbol")).alias("g"))
     names = names.select("cluster", F.array_join(F.slice("g", 1, 4), "_").alias("cluster_name"))
-    return motif_db.drop("cluster").join(F.broadcast(clusters.join(names, "cluster")), "motif", "left")
+    return motif_db.drop("cluster").join(clusters.join(names, "cluster"), "motif", "left")

@@ -24,7 +24,7 @@ def tf_documents(edges: DataFrame, by: str = "gene", clusters: DataFrame | None
         rows = rows.withColumn("tf_doc", F.col("tf"))
     else:
         c = clusters.select(F.upper("tf").alias("up__"), "cluster").dropDuplicates(["up__"])
-        rows = rows.join(F.broadcast(c), F.upper("tf") == F.col("up__"), "left").withColumn("tf_doc", F.coalesce(F.col("cluster").cast("string"), F.col("tf"))).drop("up__", "cluster")
+        rows = rows.join(c, F.upper("tf") == F.col("up__"), "left").withColumn("tf_doc", F.coalesce(F.col("cluster").cast("string"), F.col("tf"))).drop("up__", "cluster")
     name = F.concat_ws("::", "comparison_id", "tf_doc", "direction")
     return rows.withColumn("doc_id", F.concat(F.lit(f"{modality}::"), name) if modality else name)
 
@@ -281,7 +281,7 @@ def binarize(scores: DataFrame, method: str = "gammafit", p: float = 0.975, top_
         all_terms = Window.partitionBy("topic").orderBy(F.desc("score"), "term_id")
         return rows.withColumn("in_topic", F.row_number().over(all_terms) <= top_n).select("topic", "term_id", "score", "in_topic")
     cut = gamma_cutoffs(scores, p, min_terms)
-    rows = rows.join(F.broadcast(cut), ["topic", "term_class"], "left")
+    rows = rows.join(cut, ["topic", "term_class"], "left")
     return rows.select("topic", "term_id", "score", (F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False)) | (F.col("i") <= min_terms)).alias("in_topic"))
 
 
@@ -346,7 +346,7 @@ def topic_links(edges: DataFrame, scores: DataFrame, in_topic: DataFrame, method
     p_in, g_in = _link_parts(edges, on, "one__")
     links = edges.select("doc_id", "tf", "gene_key", F.col("peak_id").cast("string").alias("peak_id")).distinct()
     topics = scores.select("topic").distinct()
-    rows = links.crossJoin(F.broadcast(topics)).join(peak, ["topic", "peak_id"], "left").join(gene, ["topic", "gene_key"], "left").na.fill(0.0, ["peak_score", "gene_score"])
+    rows = links.crossJoin(topics).join(peak, ["topic", "peak_id"], "left").join(gene, ["topic", "gene_key"], "left").na.fill(0.0, ["peak_score", "gene_score"])
     rows = rows.join(p_in.withColumnRenamed("peak_score", "p_in"), ["topic", "peak_id"], "left").join(g_in.withColumnRenamed("gene_score", "g_in"), ["topic", "gene_key"], "left")
     rows = rows.withColumn("peak_pass", F.col("p_in").isNotNull()).withColumn("gene_pass", F.col("g_in").isNotNull()).drop("p_in", "g_in")
     rows = rows.withColumn("link_score", F.col("peak_score") * F.col("gene_score"))
@@ -527,8 +527,8 @@ def marker_overlap(sets: DataFrame, markers: DataFrame, universe: int, by: Seque
     m = markers.select("set", "gene").distinct()
     sizes = g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_topic"))
     of = m.groupBy("set").agg(F.count(F.lit(1)).alias("n_markers"))
-    hit = g.join(F.broadcast(m), "gene").groupBy(*by, "set").agg(F.count(F.lit(1)).alias("overlap"))
-    rows = sizes.crossJoin(F.broadcast(of)).join(hit, [*by, "set"], "left").na.fill(0, ["overlap"])
+    hit = g.join(m, "gene").groupBy(*by, "set").agg(F.count(F.lit(1)).alias("overlap"))
+    rows = sizes.crossJoin(of).join(hit, [*by, "set"], "left").na.fill(0, ["overlap"])
     a, b = F.col("overlap"), F.col("n_topic") - F.col("overlap")
     c, d = F.col("n_markers") - F.col("overlap"), universe - F.col("n_topic") - F.col("n_markers") + F.col("overlap")
     odds = F.try_divide((a * d).cast("double"), (b * c).cast("double"))
@@ -538,7 +538,7 @@ def marker_overlap(sets: DataFrame, markers: DataFrame, universe: int, by: Seque
 def exclusive_markers(edge_topics_: DataFrame, markers: DataFrame, top_n: int = 1, how: str = "mean") -> DataFrame:
     """(topic, set, n): each marker counts only in its best topics, by mean or summed score or edge count,
     ties to the smaller topic."""
-    both = edge_topics_.select("topic", F.explode(F.array("gene_key", "tf")).alias("gene"), "score").join(F.broadcast(markers), "gene")
+    both = edge_topics_.select("topic", F.explode(F.array("gene_key", "tf")).alias("gene"), "score").join(markers, "gene")
     agg = {"mean": F.avg("score"), "sum": F.sum("score"), "count": F.count(F.lit(1)).cast("double")}[how]
     best = both.groupBy("set", "gene", "topic").agg(agg.alias("s"))
     w = Window.partitionBy("set", "gene").orderBy(F.desc("s"), "topic")

@@ -34,7 +34,7 @@ class Lens:
 
     def annotation(self) -> DataFrame:
         li = self.table("lineitem").select("l_suppkey", "l_partkey").distinct()
-        rows = li.join(F.broadcast(self.table("supplier")), F.col("l_suppkey") == F.col("s_suppkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        rows = li.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
         return rows.select(F.col("l_suppkey").alias("peak"), F.col("s_nationkey").alias("region"), F.col("p_type").alias("motif")).distinct()
 
     def motif_db(self) -> DataFrame:
@@ -46,7 +46,7 @@ class Lens:
         return self.motif_db().select(F.explode(F.split("gene_symbol", "::")).alias("tf")).distinct()
 
     def atac(self) -> DataFrame:
-        s = F.broadcast(self.table("supplier").select(F.col("s_suppkey").alias("peak"), F.col("s_nationkey").alias("region")))
+        s = self.table("supplier").select(F.col("s_suppkey").alias("peak"), F.col("s_nationkey").alias("region"))
         return self.fp().join(s, "peak").groupBy("region", "sample").agg(F.sum("value").alias("value"))
 
     def bound(self) -> DataFrame:
@@ -69,11 +69,11 @@ class Lens:
             (q > 25).cast("int").alias("active"),
         )
 
-    def deltas(self) -> DataFrame:
+    def deltas(self, ranks: bool = False) -> DataFrame:
         """Year against the year before, all comparisons at once."""
         from weftlink.operators.compare import compare_many
 
-        return compare_many(self.standard(), self.specs(), signs="prefer_case")
+        return compare_many(self.standard(), self.specs(), signs="prefer_case", ranks=ranks)
 
     def standard(self) -> DataFrame:
         from weftlink.operators.compare import standard_links
@@ -91,7 +91,7 @@ class Lens:
         return self.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("chrom"), at.cast("long").alias("start"), (at + width + F.floor("value")).cast("long").alias("end"))
 
     def windows(self) -> DataFrame:
-        return self.events(600).where("id % 10 = 0")
+        return self.events(600)
 
     def theta(self) -> DataFrame:
         """Documents are factor::year, topics 1 to 5 by nation of the site: shares of quantity."""
@@ -110,9 +110,8 @@ class Lens:
         return rows.join(total, "topic").select("topic", "term_id", (F.col("x") / F.col("t")).alias("phi"))
 
     def doc_edges(self) -> DataFrame:
-        """Links of one year with their document."""
-        rows = self.standard().where("condition = 1997")
-        return rows.withColumn("doc_id", F.concat_ws("::", F.col("condition").cast("string"), "tf"))
+        """Links with their document."""
+        return self.standard().withColumn("doc_id", F.concat_ws("::", F.col("condition").cast("string"), "tf"))
 
 
 #: The same views as common table expressions.
@@ -144,10 +143,10 @@ deltas AS (SELECT *, link_score_case - link_score_ctrl AS delta_link_score, fp_s
     log2((tf_expr_case + 1) / (tf_expr_ctrl + 1)) AS log2FC_tf_expr, log2((gene_expr_case + 1) / (gene_expr_ctrl + 1)) AS log2FC_gene_expr,
     (active_case > 0 AND active_ctrl > 0)::INT AS active_both, (active_case > 0 OR active_ctrl > 0)::INT AS active_any FROM paired),
 ev AS (SELECT event_id AS id, event_type AS chrom, (floor(epoch(ts)) - 1704067200)::BIGINT AS start, (floor(epoch(ts)) - 1704067200 + 60 + floor(value))::BIGINT AS "end" FROM events),
-win AS (SELECT event_id AS id, event_type AS chrom, (floor(epoch(ts)) - 1704067200)::BIGINT AS start, (floor(epoch(ts)) - 1704067200 + 600 + floor(value))::BIGINT AS "end" FROM events WHERE event_id % 10 = 0),
+win AS (SELECT event_id AS id, event_type AS chrom, (floor(epoch(ts)) - 1704067200)::BIGINT AS start, (floor(epoch(ts)) - 1704067200 + 600 + floor(value))::BIGINT AS "end" FROM events),
 theta AS (SELECT doc_id, topic, x / sum(x) OVER (PARTITION BY doc_id) AS theta FROM (SELECT year(l_shipdate) || '::' || p_type AS doc_id, (l_suppkey % 5 + 1)::INT AS topic, sum(l_quantity) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)),
 phi AS (SELECT topic, term_id, x / sum(x) OVER (PARTITION BY topic) AS phi FROM (
     SELECT (l_linenumber % 5 + 1)::INT AS topic, 'GENE:' || p_brand AS term_id, sum(l_quantity) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
     UNION ALL SELECT (l_linenumber % 5 + 1)::INT AS topic, 'PEAK:' || l_suppkey AS term_id, sum(l_quantity) AS x FROM lineitem GROUP BY 1, 2)),
-doc_edges AS (SELECT *, condition || '::' || tf AS doc_id FROM standard WHERE condition = 1997)
+doc_edges AS (SELECT *, condition || '::' || tf AS doc_id FROM standard)
 """

@@ -86,14 +86,13 @@ def tf_footprint_spearman(l: Lens) -> DataFrame:
     return correlate.correlate(pairs, l.fp(), l.rna().withColumnRenamed("gene", "tf"), "peak", "tf", "spearman")
 
 
-@query("""WITH x AS (SELECT f.peak, r.gene AS tf, f.sample, f.value AS a, r.value AS b FROM fp f JOIN rna r ON f.sample = r.sample WHERE r.gene = 'Brand#1'),
+@query("""WITH x AS (SELECT f.peak, r.gene AS tf, f.sample, f.value AS a, r.value AS b FROM fp f JOIN rna r ON f.sample = r.sample JOIN tf_list ON r.gene = tf_list.tf),
 s AS (SELECT x.peak, x.tf, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, sum(abs(sign(x.a - y.a))) AS na, sum(abs(sign(x.b - y.b))) AS nb, count(DISTINCT x.sample) + 1 AS n
-      FROM x JOIN x y ON x.peak = y.peak AND x.sample < y.sample GROUP BY 1, 2)
+      FROM x JOIN x y ON x.peak = y.peak AND x.tf = y.tf AND x.sample < y.sample GROUP BY 1, 2)
 SELECT peak, tf, n::INT AS n, round(s / sqrt(na) / sqrt(nb), 6) AS r FROM s""")
 def tf_footprint_kendall(l: Lens) -> DataFrame:
-    rna = l.rna().where("gene = 'Brand#1'").withColumnRenamed("gene", "tf")
-    pairs = l.fp().select("peak").distinct().withColumn("tf", F.lit("Brand#1"))
-    return correlate.correlate(pairs, l.fp(), rna, "peak", "tf", "kendall").drop("p")
+    pairs = correlate.tf_footprint_pairs(l.annotation(), "all", l.tf_list())
+    return correlate.correlate(pairs, l.fp(), l.rna().withColumnRenamed("gene", "tf"), "peak", "tf", "kendall").drop("p")
 
 
 @query("""WITH c AS (SELECT f.peak, r.gene AS tf, count(*) AS n, corr(f.value, r.value) AS r0 FROM fp f JOIN rna r ON f.sample = r.sample JOIN tf_list ON r.gene = tf
@@ -108,13 +107,13 @@ def gated_correlation(l: Lens) -> DataFrame:
 
 
 REGION = f"""
-cand AS (SELECT DISTINCT s_nationkey AS region, p_brand AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+cand AS (SELECT DISTINCT s_nationkey AS region, p_brand AS gene FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 c AS (SELECT region, gene, count(*) AS n, CASE WHEN isnan(corr(a.value, r.value)) THEN NULL ELSE corr(a.value, r.value) END AS r FROM cand JOIN atac a USING (region) JOIN rna r USING (gene, sample) GROUP BY 1, 2),
 cp AS (SELECT *, {P} AS p FROM c)"""
 
 
 def _region_candidates(l: Lens) -> DataFrame:
-    li = l.table("lineitem").where("l_quantity > 49").join(l.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(l.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = l.table("lineitem").join(l.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(l.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     return li.select(F.col("s_nationkey").alias("region"), F.col("p_brand").alias("gene")).distinct()
 
 
@@ -129,10 +128,10 @@ def footprint_gene_correlation(l: Lens) -> DataFrame:
     return correlate.correlate_footprints_to_genes(rows, l.fp(), l.rna())
 
 
-@query(f"WITH pairs AS (SELECT DISTINCT t.tf, g.gene FROM tf_list t, (SELECT DISTINCT gene FROM rna WHERE gene LIKE 'Brand#1%') g), c AS (SELECT tf, p.gene, count(*) AS n, corr(a.value, b.value) AS r FROM pairs p JOIN rna a ON a.gene = tf JOIN rna b ON b.gene = p.gene AND a.sample = b.sample GROUP BY 1, 2), cp AS (SELECT tf, gene, n, least(1, r) AS r, CASE WHEN r > 0.999999999 THEN 0 ELSE {P} END AS p FROM c) SELECT tf, p.gene, n::INT AS n_rna_tf, round(r, 6) AS r_rna_tf, round(cp.p, 6) AS p_rna_tf, round(p_adj, 6) AS p_adj_rna_tf FROM pairs p LEFT JOIN ({bh_sql('cp')}) cp USING (tf, gene)")
+@query(f"WITH pairs AS (SELECT DISTINCT t.tf, g.gene FROM tf_list t, (SELECT DISTINCT gene FROM rna) g), c AS (SELECT tf, p.gene, count(*) AS n, corr(a.value, b.value) AS r FROM pairs p JOIN rna a ON a.gene = tf JOIN rna b ON b.gene = p.gene AND a.sample = b.sample GROUP BY 1, 2), cp AS (SELECT tf, gene, n, least(1, r) AS r, CASE WHEN r > 0.999999999 THEN 0 ELSE {P} END AS p FROM c) SELECT tf, p.gene, n::INT AS n_rna_tf, round(r, 6) AS r_rna_tf, round(cp.p, 6) AS p_rna_tf, round(p_adj, 6) AS p_adj_rna_tf FROM pairs p LEFT JOIN ({bh_sql('cp')}) cp USING (tf, gene)")
 def tf_gene_correlation(l: Lens) -> DataFrame:
-    genes = l.rna().where("gene like 'Brand#1%'").select("gene").distinct()
-    return correlate.add_tf_gene_correlation(l.tf_list().crossJoin(F.broadcast(genes)), l.rna())
+    genes = l.rna().select("gene").distinct()
+    return correlate.add_tf_gene_correlation(l.tf_list().crossJoin(genes), l.rna())
 
 
 @query(f"WITH c AS (SELECT peak, count(*) AS n, corr(f.value, r.value) AS r FROM fp f JOIN rna r ON f.sample = r.sample AND gene = 'Brand#7' GROUP BY 1), cp AS (SELECT *, {P} AS p FROM c) SELECT peak, n::INT AS n, round(r, 6) AS r, round(p, 6) AS p, round(p_adj, 6) AS p_adj FROM ({bh_sql('cp')})")
@@ -240,9 +239,9 @@ def unique_labels(l: Lens) -> DataFrame:
     return matrix.named_conditions(rows, "label")
 
 
-@query("SELECT peak::VARCHAR AS peak, count(*) AS n_tables FROM (SELECT DISTINCT peak FROM fp UNION ALL SELECT DISTINCT peak FROM bound WHERE value > 0 AND peak % 4 = 0 UNION ALL SELECT DISTINCT peak FROM annotation) GROUP BY 1 HAVING count(*) < 3")
+@query("SELECT peak::VARCHAR AS peak, count(*) AS n_tables FROM (SELECT DISTINCT peak FROM fp UNION ALL SELECT DISTINCT peak FROM bound WHERE value > 0 UNION ALL SELECT DISTINCT peak FROM annotation) GROUP BY 1 HAVING count(*) < 3")
 def unaligned_sites(l: Lens) -> DataFrame:
-    return matrix.unaligned_keys(l.fp(), l.bound().where("value > 0 and peak % 4 = 0"), l.annotation())
+    return matrix.unaligned_keys(l.fp(), l.bound().where("value > 0"), l.annotation())
 
 
 @query("SELECT tf FROM tf_list")
@@ -275,11 +274,11 @@ def merged_intervals(l: Lens) -> DataFrame:
     return intervals.merged(l.events(), ["chrom"], "start", "end")
 
 
-@query("""WITH d AS (SELECT e.id, w.id AS r_id, abs(w.start - e.start) AS distance, row_number() OVER (PARTITION BY e.id ORDER BY abs(w.start - e.start), w.start, w.id) AS i FROM ev e JOIN win w ON e.chrom = w.chrom AND abs(w.start - e.start) <= 5000)
+@query("""WITH d AS (SELECT e.id, w.id AS r_id, abs(w."end" - e.start) AS distance, row_number() OVER (PARTITION BY e.id ORDER BY abs(w."end" - e.start), w."end", w.id) AS i FROM ev e JOIN win w ON e.chrom = w.chrom AND abs(w."end" - e.start) <= 5000)
 SELECT id, distance FROM d WHERE i = 1""")
 def nearest_site(l: Lens) -> DataFrame:
     a = l.events().select("id", "chrom", F.col("start").alias("pos"))
-    b = l.windows().select("id", "chrom", F.col("start").alias("pos"))
+    b = l.windows().select("id", "chrom", F.col("end").alias("pos"))
     return intervals.nearest(a, b, 5000, ["id"]).select("id", "distance")
 
 
@@ -322,8 +321,7 @@ def ever_active(l: Lens) -> DataFrame:
 
 LIGHT = f"""
 {FLAGS}, {BOUND},
-basal AS (SELECT DISTINCT gene_key AS tf, gene_key, peak_id, 0.5::DOUBLE AS r_gene FROM links WHERE condition = 1997 AND tf = 'PROMO'
-          UNION SELECT DISTINCT 'Brand#3', gene_key, peak_id, 0.5::DOUBLE FROM links WHERE condition = 1997 AND tf = 'PROMO'),
+basal AS (SELECT DISTINCT gene_key AS tf, gene_key, peak_id, 0.5::DOUBLE AS r_gene FROM links UNION SELECT DISTINCT 'Brand#3', gene_key, peak_id, 0.5::DOUBLE FROM links),
 fc AS (SELECT peak, condition, avg(value) AS value FROM fp JOIN samples USING (sample) GROUP BY 1, 2),
 rc AS (SELECT gene, condition, avg(value) AS value FROM rna JOIN samples USING (sample) GROUP BY 1, 2),
 lit AS (SELECT b.*, y.condition, coalesce(fc.value, 0) AS fp_score, coalesce(bc.flag, 0) AS fp_bound, coalesce(t.value, 0) AS tf_expr, coalesce(tf_.flag, 0) AS tf_expr_flag, coalesce(g.value, 0) AS gene_expr, coalesce(gf.flag, 0) AS gene_expr_flag
@@ -334,7 +332,7 @@ lit2 AS (SELECT *, coalesce(tf_expr / nullif(sum(tf_expr) OVER (PARTITION BY con
 
 
 def _lit(l: Lens) -> DataFrame:
-    one = l.links().where("condition = 1997 and tf = 'PROMO'")
+    one = l.links()
     a = one.select(F.col("gene_key").alias("tf"), "gene_key", "peak_id")
     b = one.select(F.lit("Brand#3").alias("tf"), "gene_key", "peak_id")
     basal = a.union(b).distinct().withColumn("r_gene", F.lit(0.5))
@@ -354,16 +352,19 @@ def activity_summary(l: Lens) -> DataFrame:
     return links.activity_summary(l.links())
 
 
-@query("""SELECT coalesce(tf, '__TOTAL__') AS tf, count(*) FILTER (condition = 1996) AS "1996", count(*) FILTER (condition = 1997) AS "1997", count(*) FILTER (condition = 1998) AS "1998"
-FROM standard WHERE active > 0 AND condition BETWEEN 1996 AND 1998 GROUP BY ROLLUP (tf)""")
+#: The conditions that the tables hold.
+YEARS = list(range(1992, 1999))
+
+
+@query("""SELECT coalesce(tf, '__TOTAL__') AS tf, """ + ", ".join(f'count(*) FILTER (condition = {y}) AS "{y}"' for y in YEARS) + """
+FROM standard WHERE active > 0 GROUP BY ROLLUP (tf)""")
 def activity_matrix(l: Lens) -> DataFrame:
-    years = [1996, 1997, 1998]
-    return links.activity_matrix(l.links().where(F.col("condition").isin(years)), years)
+    return links.activity_matrix(l.links(), YEARS)
 
 
 @query("""WITH p AS (SELECT peak, gene, tf, motif, count(*) AS n FROM (SELECT peak, 'g' || (peak % 5) AS gene, motif AS tf, motif FROM annotation) GROUP BY ALL),
 x AS (SELECT *, (peak % 10) / 10.0::DOUBLE AS r1, (peak % 7) / 7.0::DOUBLE AS r2, (peak % 9) / 500.0::DOUBLE AS q1, (peak % 8) / 500.0::DOUBLE AS q2, CASE WHEN peak % 6 = 0 THEN NULL ELSE (peak % 5) - 1.0::DOUBLE END AS rt FROM p)
-SELECT peak, gene, tf, motif, round(r1, 6) AS r_pearson, round(r2, 6) AS r_spearman FROM x WHERE ((q1 < 0.01 AND r1 > 0.3) OR (q2 < 0.01 AND r1 > 0.3)) AND NOT (r1 < 0.3 OR r2 < 0.3 OR coalesce(rt <= 0, FALSE))""")
+SELECT peak, gene, tf, motif, round(r1, 6) AS r_pearson, round(r2, 6) AS r_spearman FROM x WHERE ((q1 < 0.01 AND r1 > 0.3) OR (q2 < 0.01 AND r1 > 0.3)) AND NOT (r1 < 0.3 OR r2 < 0.3 OR coalesce(rt < 0, FALSE))""")
 def links_by_criteria(l: Lens) -> DataFrame:
     k = l.annotation().select("peak", F.concat(F.lit("g"), (F.col("peak") % 5).cast("string")).alias("gene"), F.col("motif").alias("tf"), "motif")
     stats_ = lambda r, q: k.select("*", F.lit(28).alias("n"), r.alias("r"), F.lit(0.0).alias("p"), q.alias("p_adj"))
@@ -381,7 +382,7 @@ SELECT comparison_id, tf, gene_key, peak_id, round(delta_link_score, 6) AS delta
   CASE WHEN active_case > 0 AND active_ctrl > 0 THEN 'shared' WHEN active_case > 0 AND NOT active_ctrl > 0 THEN 'gain' WHEN NOT active_case > 0 AND active_ctrl > 0 THEN 'loss' WHEN NOT active_case > 0 AND NOT active_ctrl > 0 THEN 'inactive' END AS edge_change,
   active_both, active_any, round(rank_case::DOUBLE, 6) AS rank_case, round((rank_case - rank_ctrl)::DOUBLE, 6) AS rank_shift FROM r""")
 def compared_links(l: Lens) -> DataFrame:
-    return l.deltas().select(*DELTA_COLS)
+    return l.deltas(ranks=True).select(*DELTA_COLS)
 
 
 @query("""WITH a AS (SELECT 'line' || (c_custkey % 4) || '_' || CASE WHEN c_custkey % 5 = 0 THEN 'ctrl' ELSE c_mktsegment END AS label FROM customer), d AS (SELECT DISTINCT label, string_split(label, '_')[1] AS line, label LIKE '%ctrl' AS c FROM a)
@@ -392,11 +393,11 @@ def contrasts(l: Lens) -> DataFrame:
     return compare.contrasts(labels, "ctrl")
 
 
-@query("""WITH a AS (SELECT tf, gene_key, peak_id, count(*) AS n FROM standard WHERE condition = 1997 GROUP BY 1, 2, 3), b AS (SELECT tf, gene_key, peak_id, count(*) AS n FROM standard WHERE condition = 1998 GROUP BY 1, 2, 3)
+@query("""WITH a AS (SELECT tf, gene_key, peak_id, count(*) AS n FROM standard WHERE condition <= 1995 GROUP BY 1, 2, 3), b AS (SELECT tf, gene_key, peak_id, count(*) AS n FROM standard WHERE condition > 1995 GROUP BY 1, 2, 3)
 SELECT tf, gene_key, peak_id, CASE WHEN a.n IS NULL THEN 'only in second' ELSE 'only in first' END AS fault FROM a FULL JOIN b USING (tf, gene_key, peak_id) WHERE a.n IS NULL OR b.n IS NULL""")
 def key_faults(l: Lens) -> DataFrame:
-    s = l.links()
-    return compare.key_faults(s.where("condition = 1997"), s.where("condition = 1998"))
+    keys = lambda half: l.links().where(half).select("tf", "gene_key", "peak_id").distinct()
+    return compare.key_faults(keys("condition <= 1995"), keys("condition > 1995"))
 
 
 @query("SELECT tf, gene_key, peak_id, round(max(link_score), 6) AS link_score FROM standard GROUP BY 1, 2, 3")
@@ -462,13 +463,13 @@ def volcano_classes(l: Lens) -> DataFrame:
 
 
 @query("""WITH ch AS (SELECT DISTINCT comparison_id, CASE WHEN log2FC_gene_expr > 0 THEN 'Up' ELSE 'Down' END AS direction, gene_key FROM deltas WHERE abs(log2FC_gene_expr) >= 2),
-per AS (SELECT comparison_id, gene_key, bool_or(coalesce(abs(delta_fp_score) >= 40, FALSE)) AS fp, bool_or(coalesce(abs(log2FC_tf_expr) >= 2.5, FALSE)) AS tf FROM deltas WHERE peak_id % 9 = 0 GROUP BY 1, 2),
+per AS (SELECT comparison_id, gene_key, bool_or(coalesce(abs(delta_fp_score) >= 40, FALSE)) AS fp, bool_or(coalesce(abs(log2FC_tf_expr) >= 2.5, FALSE)) AS tf FROM deltas GROUP BY 1, 2),
 j AS (SELECT ch.*, per.gene_key IS NOT NULL AS linked, coalesce(fp, FALSE) AS fp, coalesce(fp, FALSE) AND coalesce(tf, FALSE) AS tf FROM ch LEFT JOIN per USING (comparison_id, gene_key))
 SELECT comparison_id, direction, s.stage, count(DISTINCT CASE WHEN s.ok THEN gene_key END) AS n_genes FROM (SELECT comparison_id, direction, gene_key, unnest([{'stage': '1_total', 'ok': TRUE}, {'stage': '2_linked', 'ok': linked}, {'stage': '3_footprint', 'ok': fp}, {'stage': '4_tf', 'ok': tf}]) AS s FROM j) GROUP BY 1, 2, 3""")
 def gene_funnel(l: Lens) -> DataFrame:
     d = l.deltas()
     changed = d.where("abs(log2FC_gene_expr) >= 2").select("comparison_id", F.when(F.col("log2FC_gene_expr") > 0, "Up").otherwise("Down").alias("direction"), "gene_key")
-    return compare.gene_funnel(changed, d.where("peak_id % 9 = 0"), 40, 2.5)
+    return compare.gene_funnel(changed, d, 40, 2.5)
 
 
 @query()
@@ -655,17 +656,17 @@ def marker_overlap(l: Lens) -> DataFrame:
     return topics.marker_overlap(sets, marks, 40).drop("odds_ratio")
 
 
-@query("SELECT tf, gene_key AS gene, round(sum(link_score), 6) AS score, count(DISTINCT peak_id) AS n_sites FROM standard WHERE condition = 1997 GROUP BY 1, 2 HAVING sum(link_score) >= 20")
+@query("SELECT tf, gene_key AS gene, round(sum(link_score), 6) AS score, count(DISTINCT peak_id) AS n_sites FROM standard GROUP BY 1, 2 HAVING sum(link_score) >= 20")
 def topic_network(l: Lens) -> DataFrame:
-    rows = l.standard().where("condition = 1997").select("tf", F.col("gene_key").alias("gene"), F.col("peak_id").alias("enhancer"), "link_score")
+    rows = l.standard().select("tf", F.col("gene_key").alias("gene"), F.col("peak_id").alias("enhancer"), "link_score")
     return graph.topic_network(rows, min_score=20)
 
 
-@query("""WITH n AS (SELECT condition, tf, gene_key AS gene, sum(link_score) AS score FROM standard GROUP BY 1, 2, 3), a AS (SELECT * FROM n WHERE condition = 1997), b AS (SELECT * FROM n WHERE condition = 1998)
+@query("""WITH n AS (SELECT condition <= 1995 AS early, tf, gene_key AS gene, sum(link_score) AS score FROM standard GROUP BY 1, 2, 3), a AS (SELECT * FROM n WHERE early), b AS (SELECT * FROM n WHERE NOT early)
 SELECT tf, gene, round(coalesce(a.score, 0), 6) AS score_base, round(coalesce(b.score, 0), 6) AS score_contrast, round(coalesce(b.score, 0) - coalesce(a.score, 0), 6) AS delta FROM a FULL JOIN b USING (tf, gene) WHERE abs(coalesce(b.score, 0) - coalesce(a.score, 0)) >= 10""")
 def delta_network(l: Lens) -> DataFrame:
-    net = lambda y: graph.topic_network(l.standard().where(F.col("condition") == y).select("tf", F.col("gene_key").alias("gene"), F.col("peak_id").alias("enhancer"), "link_score"))
-    return graph.delta_network(net(1997), net(1998), 10)
+    net = lambda half: graph.topic_network(l.standard().where(half).select("tf", F.col("gene_key").alias("gene"), F.col("peak_id").alias("enhancer"), "link_score"))
+    return graph.delta_network(net("condition <= 1995"), net("condition > 1995"), 10)
 
 
 @query()
@@ -683,10 +684,11 @@ def shared_sites(l: Lens) -> DataFrame:
     return graph.shared_sites(l.deltas().where("abs(delta_link_score) > 8"))
 
 
-@query("""WITH d AS (SELECT * FROM deltas WHERE comparison_id = '1998_vs_1997' AND delta_link_score IS NOT NULL), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tf, gene_key ORDER BY abs(delta_link_score) DESC, peak_id) AS i FROM d) WHERE i = 1)
+@query("""WITH d AS (SELECT tf, gene_key, peak_id, round(sum(delta_link_score), 4) AS delta_link_score FROM deltas WHERE delta_link_score IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tf, gene_key ORDER BY abs(delta_link_score) DESC, peak_id) AS i FROM d) WHERE i = 1)
 SELECT tf, gene_key, peak_id, round(delta_link_score, 6) AS delta_link_score FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY abs(delta_link_score) DESC, gene_key, peak_id) AS j FROM b) WHERE j <= 10""")
 def strongest_edges(l: Lens) -> DataFrame:
-    return graph.strongest_edges(l.deltas().where("comparison_id = '1998_vs_1997'"), 10).select("tf", "gene_key", "peak_id", "delta_link_score")
+    rows = l.deltas().where("delta_link_score is not null").groupBy("tf", "gene_key", "peak_id").agg(F.round(F.sum("delta_link_score"), 4).alias("delta_link_score"))
+    return graph.strongest_edges(rows, 10).select("tf", "gene_key", "peak_id", "delta_link_score")
 
 
 @query("SELECT peak_id, gene_key, round(coalesce(sum(CASE WHEN abs(delta_link_score) > 3 THEN CASE WHEN link_sign = '-' THEN -1 ELSE 1 END * delta_link_score END), 0), 6) AS weight, count(*) FILTER (abs(delta_link_score) > 3) AS n_pass FROM deltas GROUP BY 1, 2")
@@ -694,7 +696,7 @@ def site_gene_sums(l: Lens) -> DataFrame:
     return graph.site_gene_sums(l.deltas().withColumn("pass", F.coalesce(F.abs("delta_link_score") > 3, F.lit(False))))
 
 
-NEAR = """e AS (SELECT DISTINCT 'Brand#' || (peak_id % 12 + 1) AS tf, gene_key FROM standard WHERE condition = 1997 AND fp_score > 45 AND peak_id % 4 < 3), mine AS (SELECT gene_key AS node FROM e WHERE tf = 'Brand#3'), tfs AS (SELECT DISTINCT tf AS node FROM e),
+NEAR = """e AS (SELECT DISTINCT 'Brand#' || (peak_id % 12 + 1) AS tf, gene_key FROM standard WHERE fp_score > 45), mine AS (SELECT gene_key AS node FROM e WHERE tf = 'Brand#3'), tfs AS (SELECT DISTINCT tf AS node FROM e),
 child AS (SELECT node FROM mine WHERE node IN (SELECT node FROM tfs)), parent AS (SELECT DISTINCT tf AS node FROM e WHERE gene_key = 'Brand#3' AND tf <> 'Brand#3'), genes AS (SELECT node FROM mine WHERE node NOT IN (SELECT node FROM tfs)),
 near_ AS (SELECT node FROM child UNION SELECT node FROM parent), theirs AS (SELECT DISTINCT gene_key AS node FROM e WHERE tf IN (SELECT node FROM near_))"""
 
@@ -702,7 +704,7 @@ near_ AS (SELECT node FROM child UNION SELECT node FROM parent), theirs AS (SELE
 @query(f"""WITH {NEAR} SELECT node, 'child_tf' AS role FROM child UNION ALL SELECT node, 'parent_tf' FROM parent UNION ALL SELECT node, CASE WHEN node IN (SELECT node FROM theirs) THEN 'common_gene' ELSE 'root_gene' END FROM genes
 UNION ALL SELECT DISTINCT tf, 'co_parent_tf' FROM e WHERE gene_key IN (SELECT node FROM genes) AND tf <> 'Brand#3' AND tf NOT IN (SELECT node FROM near_)""")
 def root_neighbourhood(l: Lens) -> DataFrame:
-    e = l.links().where("condition = 1997 and fp_score > 45 and peak_id % 4 < 3").select(F.concat(F.lit("Brand#"), (F.col("peak_id") % 12 + 1).cast("string")).alias("tf"), "gene_key")
+    e = l.links().where("fp_score > 45").select(F.concat(F.lit("Brand#"), (F.col("peak_id") % 12 + 1).cast("string")).alias("tf"), "gene_key")
     return graph.root_neighbourhood(e, "Brand#3")
 
 
@@ -741,7 +743,7 @@ def binned_changes(l: Lens) -> DataFrame:
 
 @query()
 def versus_random(l: Lens) -> DataFrame:
-    rows = l.deltas().where("comparison_id = '1998_vs_1997'").withColumn("predicted", (F.col("peak_id") % 9 == 0).cast("int")).withColumn("id", F.concat_ws("|", "tf", "gene_key", F.col("peak_id").cast("string")))
+    rows = l.deltas().withColumn("predicted", (F.col("peak_id") % 9 == 0).cast("int")).withColumn("id", F.concat_ws("|", "comparison_id", "tf", "gene_key", F.col("peak_id").cast("string")))
     return benchmark.versus_random(rows, "id", "log2FC_gene_expr", "predicted", "tf")
 
 
@@ -791,7 +793,7 @@ def topic_model_neural(l: Lens) -> DataFrame:
 
 @query()
 def link_communities(l: Lens) -> DataFrame:
-    return graph.assign_communities(l.deltas().where("comparison_id = '1998_vs_1997'"))
+    return graph.assign_communities(l.deltas())
 
 
 @query()
@@ -801,26 +803,26 @@ def pathway_running_sums(l: Lens) -> DataFrame:
     return enrich.running_sum(ranks, sets, min_size=3, rounds=50)
 
 
-@query(f"""WITH {FLAGS}, {BOUND}, {TFS}, s AS (SELECT peak, tf, ((peak % 10) / 10.0)::DOUBLE AS rp, ((peak % 50) / 500.0)::DOUBLE AS qp FROM named), u AS (SELECT peak, tf, ((peak % 7) / 7.0)::DOUBLE AS rs, ((peak % 40) / 500.0)::DOUBLE AS qs FROM named WHERE peak % 3 > 0),
+@query(f"""WITH {FLAGS}, {BOUND}, {TFS}, s AS (SELECT peak, tf, ((peak % 10) / 10.0)::DOUBLE AS rp, ((peak % 50) / 500.0)::DOUBLE AS qp FROM named), u AS (SELECT peak, tf, ((peak % 7) / 7.0)::DOUBLE AS rs, ((peak % 40) / 500.0)::DOUBLE AS qs FROM named),
 b AS (SELECT peak, tf, rp, qp, rs, qs, (coalesce(rp > 0.3 AND qp < 0.05, FALSE) OR coalesce(rs > 0.3 AND qs < 0.05, FALSE))::INT AS bound FROM s FULL JOIN u USING (peak, tf))
 SELECT b.peak, b.tf, bc.condition, b.bound, (b.bound = 1 AND bc.flag > 0 AND coalesce(f.flag, 0) > 0)::INT AS bound_here FROM b JOIN bc USING (peak) LEFT JOIN flags f ON f.gene = b.tf AND f.condition = bc.condition""")
 def factor_site_overview(l: Lens) -> DataFrame:
     named = matrix.expand_tfs(matrix.attach_tfs(l.annotation(), l.motif_db())).select("peak", "tf").distinct()
     p = named.select("peak", "tf", (F.col("peak") % 10 / 10.0).alias("r"), (F.col("peak") % 50 / 500.0).alias("p_adj"))
-    s = named.where("peak % 3 > 0").select("peak", "tf", (F.col("peak") % 7 / 7.0).alias("r"), (F.col("peak") % 40 / 500.0).alias("p_adj"))
+    s = named.select("peak", "tf", (F.col("peak") % 7 / 7.0).alias("r"), (F.col("peak") % 40 / 500.0).alias("p_adj"))
     out = links.tf_overview(p, s, _bound(l), matrix.expressed_flags(l.rna(), l.samples(), 3000, 2))
     return out.select("peak", "tf", "condition", "bound", "bound_here")
 
 
-@query("""SELECT gene_key, tf, peak_id, round(link_score, 6) AS link_score FROM (SELECT *, row_number() OVER (PARTITION BY gene_key ORDER BY CASE WHEN gene_expr > 20 THEN fp_score ELSE -fp_score END, link_score, peak_id) AS i FROM (SELECT gene_key, min(tf) AS tf, peak_id, max(gene_expr) AS gene_expr, max(fp_score) AS fp_score, max(link_score) AS link_score FROM standard WHERE condition = 1997 GROUP BY 1, 3)) WHERE i = 1""")
+@query("""SELECT gene_key, tf, peak_id, round(link_score, 6) AS link_score FROM (SELECT *, row_number() OVER (PARTITION BY gene_key ORDER BY CASE WHEN gene_expr > 20 THEN fp_score ELSE -fp_score END, link_score, peak_id) AS i FROM (SELECT gene_key, min(tf) AS tf, peak_id, max(gene_expr) AS gene_expr, max(fp_score) AS fp_score, max(link_score) AS link_score FROM standard GROUP BY 1, 3)) WHERE i = 1""")
 def best_site_of_gene(l: Lens) -> DataFrame:
-    rows = l.standard().where("condition = 1997").groupBy("gene_key", "peak_id").agg(F.min("tf").alias("tf"), F.max("gene_expr").alias("gene_expr"), F.max("fp_score").alias("fp_score"), F.max("link_score").alias("link_score"))
+    rows = l.standard().groupBy("gene_key", "peak_id").agg(F.min("tf").alias("tf"), F.max("gene_expr").alias("gene_expr"), F.max("fp_score").alias("fp_score"), F.max("link_score").alias("link_score"))
     return benchmark.best_site_per_gene(rows.withColumn("effect", F.col("gene_expr") - 20), "effect", "fp_score", "link_score").select("gene_key", "tf", "peak_id", "link_score")
 
 
 @query("""WITH lp AS (SELECT id AS loop_id, chrom, start, "end", lead(start) OVER (PARTITION BY chrom ORDER BY id) AS s2, lead("end") OVER (PARTITION BY chrom ORDER BY id) AS e2 FROM win),
 sides AS (SELECT loop_id, chrom, start, "end", s2 AS os, e2 AS oe FROM lp WHERE s2 IS NOT NULL UNION ALL SELECT loop_id, chrom, s2, e2, start, "end" FROM lp WHERE s2 IS NOT NULL),
-g AS (SELECT chrom, start AS tss, 'G' || id AS gene_key FROM ev WHERE id % 7 = 0),
+g AS (SELECT chrom, start AS tss, 'G' || id AS gene_key FROM ev),
 hit AS (SELECT DISTINCT loop_id, sides.chrom, os AS start, oe AS "end", gene_key, 'promoter' AS how FROM sides JOIN g ON g.chrom = sides.chrom AND sides.start <= tss + 100 AND sides."end" >= tss - 100),
 l2 AS (SELECT * FROM sides WHERE loop_id NOT IN (SELECT loop_id FROM hit)),
 n AS (SELECT l2.loop_id, l2.chrom, l2.start, l2."end", gene_key, row_number() OVER (PARTITION BY l2.loop_id, l2.start, l2."end" ORDER BY abs(tss - floor((l2.start + l2."end") / 2)), tss) AS i FROM l2 JOIN g ON g.chrom = l2.chrom AND abs(tss - floor((l2.start + l2."end") / 2)) <= 3000)
@@ -831,7 +833,7 @@ def anchored_priors(l: Lens) -> DataFrame:
     w = Window.partitionBy("chrom").orderBy("id")
     lp = l.windows().withColumn("s2", F.lead("start").over(w)).withColumn("e2", F.lead("end").over(w)).where("s2 is not null")
     loops = lp.select(F.col("id").alias("loop_id"), F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("end").alias("end1"), F.col("chrom").alias("chrom2"), F.col("s2").alias("start2"), F.col("e2").alias("end2"))
-    genes = l.events().where("id % 7 = 0").select("chrom", F.col("start").alias("tss"), F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene_key"))
+    genes = l.events().select("chrom", F.col("start").alias("tss"), F.concat(F.lit("G"), F.col("id").cast("string")).alias("gene_key"))
     return links.anchored_priors(loops, genes, 100, 3000)
 
 

@@ -3,6 +3,7 @@ link and delta files, species link tables, study snapshots."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import fields
 from pathlib import PurePosixPath
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlink.functions.scalars import chromosome_order, finite, format_region, safe_name
+from weftlink.functions.scalars import chromosome_order, finite, format_region, log2_ratio, safe_name
 from weftlink.operators.compare import file_comparison, standard_links
 from weftlink.operators.matrix import OmicsSet
 
@@ -41,13 +42,23 @@ def overview_motifs(spark: SparkSession, root: str) -> DataFrame:
     return files.select(part(4).alias("sample"), part(2).alias("motif"), F.col("path").alias("file"))
 
 
+def headed_rows(spark: SparkSession, paths, marks: Sequence[str], sep: str) -> DataFrame:
+    """(file, head, row) of text tables with a head each, in one read: cells as text, whatever columns a file has
+    and in whatever order. A line that holds all ``marks`` as cells is a head."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    cell = lambda mark: F.array_contains(F.transform(F.split(F.col("value"), f"[{sep}]"), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))), mark)
+    is_head = functools.reduce(lambda a, b: a & b, map(cell, marks))
+    width = lines.where(is_head).agg(F.max(F.size(F.split("value", f"[{sep}]")))).first()[0] or 1
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"sep": sep, "nullValue": "NA", "maxColumns": str(width + 1)})
+    rows = lines.select("file", is_head.alias("is_head"), cells.alias("c")).select("file", "is_head", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("row"))
+    heads = rows.where("is_head").select("file", F.col("row").alias("head")).distinct()
+    return rows.where("not is_head").drop("is_head").join(heads, "file")
+
+
 def read_overviews(spark: SparkSession, paths, sample_level: int = 4) -> DataFrame:
     """(motif, peak, region, sample, score, bound) from overview files of many samples in one read: score
     and bound columns are found by their endings, whatever their sample prefix."""
-    raw = spark.read.option("header", False).option("sep", "\t").csv(paths, schema=", ".join(f"c{i} string" for i in range(64)))
-    raw = raw.withColumn("file__", F.input_file_name()).withColumn("row__", F.array(*[f"c{i}" for i in range(64)]))
-    heads = raw.where("c0 = 'TFBS_chr'").select("file__", F.col("row__").alias("head__")).distinct()
-    rows = raw.where("c0 <> 'TFBS_chr'").join(F.broadcast(heads), "file__")
+    rows = headed_rows(spark, paths, ("TFBS_chr",), "\t").withColumnsRenamed({"file": "file__", "head": "head__", "row": "row__"})
 
     def ending(e: str):
         """The value under the first head that ends so."""
@@ -158,19 +169,43 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return standard_links(read_csv(spark, path))
 
 
+#: Measures of a link, and the name that an older file may have for one.
+DELTA_MEASURES, OLDER = ("link_score", "fp_score", "tf_expr", "gene_expr"), {"fp_score": "fp_bed_score"}
+
+
 def read_deltas(spark: SparkSession, paths) -> DataFrame:
-    """Delta files of many comparisons in one read: case, control and direction from file names; columns
-    ``measure_condition`` become ``measure_case`` and ``measure_ctrl`` row by row."""
-    df = read_csv(spark, paths).withColumn("file", F.input_file_name())
+    """Delta files of many comparisons in one read, each under its own head. Case, control and direction come
+    from file names; columns ``measure_condition`` become ``measure_case`` and ``measure_ctrl``; flags that
+    a file lacks are 0. Changes are standard: ``delta_fp``, ``delta_gene``, ``log2fc_fp``, ``log2fc_gene``,
+    ``log2fc_tf`` and their fold sizes ``fc_mag_*``; a lacking ratio is taken from the fold, then the delta.
+    All other ``delta_``, ``log2FC_`` and ``fc_`` columns of any file are carried."""
+    rows = headed_rows(spark, paths, ("tf", "gene_key", "peak_id"), ",")
     name = file_comparison()
-    rows = df.select("*", name["case"].alias("case_"), name["control"].alias("ctrl_"), name["direction"].alias("direction_"))
-    entries = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(f"`{c}`").cast("string")) for c in df.columns if c != "file"]))
-    rows = rows.withColumn("m__", entries)
-    of = lambda m, side: F.expr(f"try_element_at(m__, concat('{m}_', {side}_))").try_cast("double")
-    out = [c for c in ("tf", "gene_key", "peak_id", "link_sign") if c in df.columns]
-    cols = [of(m, s).alias(f"{m}_{s}") for m in ("link_score", "fp_score", "tf_expr", "gene_expr") for s in ("case", "ctrl")]
-    given = [finite(F.expr(f"try_cast(`{c}` as double)")).alias(c) for c in df.columns if c.startswith(("delta_", "log2FC_", "fc_"))]
-    return rows.select(*out, F.concat_ws("_vs_", "case_", "ctrl_").alias("comparison_id"), F.col("direction_").alias("file_direction"), *cols, *given)
+    rows = rows.select("head", "row", F.coalesce(name["case"], F.raise_error(F.concat(F.lit("no case and control in the name of "), "file")).cast("string")).alias("case_"), name["control"].alias("ctrl_"), name["direction"].alias("direction_"))
+    at = lambda c: F.get("row", (F.array_position("head", c) - 1).cast("int"))
+    number = lambda c: finite(at(c).try_cast("double"))
+    sided = lambda m, s: number(F.concat(F.lit(f"{m}_"), F.col(f"{s}_")))
+    measure = lambda m, s: F.coalesce(sided(m, s), sided(OLDER[m], s)) if m in OLDER else sided(m, s)
+    cols = [measure(m, s).alias(f"{m}_{s}") for m in DELTA_MEASURES for s in ("case", "ctrl")]
+    cols += [F.coalesce(sided(m, s), F.lit(0.0)).cast("int").alias(f"{m}_{s}") for m in ("fp_bound", "tf_expr_flag", "gene_expr_flag") for s in ("case", "ctrl")]
+    has = lambda c: F.array_contains("head", c)
+    first = lambda *known: functools.reduce(lambda rest, k: F.when(has(k[0]), k[1]).otherwise(rest), reversed(known), F.lit(None).cast("double"))
+    fold = lambda c: F.when(number(c) > 0, number(c))
+    size = lambda x: F.greatest(x, 1 / x)
+    log2fc_fp = first(*[(c, number(c)) for c in ("log2FC_fp_score", "log2FC_fp_bed_score")], *[(c, F.log2(fold(c))) for c in ("fc_fp_score", "fc_fp_bed_score")], *[(c, number(c)) for c in ("delta_fp_score", "delta_fp_bed_score")])
+    log2fc_gene = first(("log2FC_gene_expr", number("log2FC_gene_expr")), ("fc_gene_expr", F.log2(fold("fc_gene_expr"))), ("delta_gene_expr", number("delta_gene_expr")))
+    log2fc_tf = F.when(has("log2FC_tf_expr"), number("log2FC_tf_expr")).otherwise(log2_ratio(sided("tf_expr", "case"), sided("tf_expr", "ctrl")))
+    cols += [first(("delta_fp_score", number("delta_fp_score")), ("delta_fp_bed_score", number("delta_fp_bed_score"))).alias("delta_fp"), number("delta_gene_expr").alias("delta_gene")]
+    cols += [log2fc_fp.alias("log2fc_fp"), log2fc_gene.alias("log2fc_gene"), log2fc_tf.alias("log2fc_tf")]
+    cols += [
+        F.when(has("fc_fp_score") | has("fc_fp_bed_score"), size(first(("fc_fp_score", fold("fc_fp_score")), ("fc_fp_bed_score", fold("fc_fp_bed_score"))))).otherwise(F.pow(2.0, F.abs(log2fc_fp))).alias("fc_mag_fp"),
+        F.when(has("fc_gene_expr"), size(fold("fc_gene_expr"))).otherwise(F.pow(2.0, F.abs(log2fc_gene))).alias("fc_mag_gene"),
+        F.pow(2.0, F.abs(log2fc_tf)).alias("fc_mag_tf"),
+    ]
+    heads = rows.select(F.explode("head").alias("c")).distinct().where("c like 'delta\\_%' or c like 'log2FC\\_%' or c like 'fc\\_%'")
+    given = [number(r.c).alias(r.c) for r in heads.orderBy("c").collect()]
+    keys = [at(c).alias(c) for c in ("tf", "gene_key", "peak_id", "link_sign")]
+    return rows.select(*keys, F.concat_ws("_vs_", "case_", "ctrl_").alias("comparison_id"), F.col("direction_").alias("file_direction"), *cols, *given)
 
 
 def write_by_condition(rows: DataFrame, path: str, *by: str) -> None:
