@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import forget, numbered, staged, text_key, word_count
+from weftlink.llm.common import forget, numbered, small_side, staged, text_key, word_count
 
 #: Words in a run, at least, for its later copies to be deleted.
 MIN_WORDS = 20
@@ -73,61 +73,62 @@ def repeated_lines(lines: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataF
     names = lines.groupBy("p", "q").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("p", "q")
     # Places of equal texts are equal and meet before the shuffle.
     held = lines.join(numbered(names, ["p", "q"], "r"), ["p", "q"]).select("tkey", "ord", "pos", "words", "r").dropDuplicates(["tkey", "ord"])
-    held = staged(held, "lines-repeated")
+    held = staged(held, "lines-repeated", like=lines)
     first = texts.join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", (~F.col("first_null")).alias("named"), F.col("first").alias("id"))
-    docs = staged(numbered(first, ["named", "id", "tkey"], "doc").select("tkey", "id", "doc"), "lines-docs")
+    docs = staged(numbered(first, ["named", "id", "tkey"], "doc").select("tkey", "id", "doc"), "lines-docs", like=held)
     rows = held.join(docs.select("tkey", "doc"), "tkey").select("doc", "ord", F.col("pos").alias("first"), F.col("pos").alias("last"), F.col("words").alias("w"), "r")
-    suffixes = staged(numbered(rows, ["doc", "ord"], "g"), "suffixes-0")
+    suffixes = staged(numbered(rows, ["doc", "ord"], "g"), "suffixes-0", like=held)
     forget(held)
     return suffixes, docs
 
 
-def ranked(suffixes: DataFrame) -> list[DataFrame]:
-    """Prefix doubling: for each k the suffixes whose first 2^k lines are repeated, with their rank ``r`` by these
-    lines, the words ``w`` in them and the place ``last`` of the last of them."""
-    levels, n = [suffixes], suffixes.count()
-    while n:
-        step, now = 1 << (len(levels) - 1), levels[-1]
+def ranked(suffixes: DataFrame) -> list[tuple[DataFrame, int]]:
+    """Prefix doubling: for each k the suffixes whose first 2^k lines are repeated, and how many; with their rank
+    ``r`` by these lines, the words ``w`` in them and the place ``last`` of the last of them."""
+    levels = [(suffixes, suffixes.count())]
+    while levels[-1][1]:
+        step, (now, n) = 1 << (len(levels) - 1), levels[-1]
         on = now.select("doc", (F.col("ord") - step).alias("ord"), F.col("last").alias("last2"), F.col("w").alias("w2"), F.col("r").alias("r2"))
         pairs = now.join(on, ["doc", "ord"])
         several = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "r2")
         made = pairs.join(numbered(several, ["r", "r2"], "rank"), ["r", "r2"])
         made = made.select("doc", "ord", "first", F.col("last2").alias("last"), (F.col("w") + F.col("w2")).alias("w"), F.col("rank").alias("r"), "g")
-        levels.append(staged(made, f"suffixes-{len(levels)}", n))
-        n = levels[-1].count()
-    if len(levels) > 1:
-        forget(levels.pop())
+        made = staged(made, f"suffixes-{len(levels)}", n)
+        levels.append((made, made.count()))
     return levels
 
 
-def longest_previous(levels: list[DataFrame]) -> DataFrame:
+def longest_previous(levels: list[tuple[DataFrame, int]]) -> DataFrame:
     """(doc, ord, first, last, w, ell): of every suffix that has one, its longest common prefix with a place before
     it, as lines ``ell``, words and last place.
 
     A row stands in the interval (ell, lo): the suffixes that share ``ell`` lines with the suffix ``lo``. A
     ``guest`` stands for the first copy of its interval and is no result.
     """
-    state = None
+    state, n_state = None, 0
     for k in range(len(levels) - 1, -1, -1):
-        here = levels[k]
-        new = here if k + 1 == len(levels) else here.join(levels[k + 1].select("doc", "ord"), ["doc", "ord"], "left_anti")
+        (here, n), (above, n_above) = levels[k], levels[k + 1] if k + 1 < len(levels) else (None, 0)
+        if k and not n:
+            continue
+        new = here.join(above.select("doc", "ord"), ["doc", "ord"], "left_anti") if n_above else here
         new = new.select("doc", "ord", "first", "g", F.lit(0).alias("ell"), F.lit(-1).cast("long").alias("lo"), F.lit(False).alias("guest"), F.col("first").alias("last"), F.lit(0).cast("long").alias("w"))
         rows = new if state is None else state.unionByName(new)
         after = here.select("doc", F.col("ord").alias("at"), F.col("r"), F.col("last").alias("last2"), F.col("w").alias("w2"))
-        met = rows.withColumn("at", F.col("ord") + F.col("ell")).join(after, ["doc", "at"], "left")
+        n_state += n - n_above
         # What is not followed by a repeated run of this length shares it with nothing: a rank of its own.
-        met = met.withColumn("r", F.coalesce("r", -1 - F.col("g")))
+        met = rows.withColumn("at", F.col("ord") + F.col("ell")).join(after, ["doc", "at"], "left").withColumn("r", F.coalesce("r", -1 - F.col("g")))
+        met = staged(met, f"intervals-{k}", n_state)
+        # Staged, so that rows of a common interval can be split over tasks where they come back to its head.
         parts = met.where("r >= 0").groupBy("ell", "lo", "r").agg(F.min("g").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        met = met.join(parts, ["ell", "lo", "r"], "left")
+        parts = staged(parts, f"heads-{k}", n_state // 2 + 1)
+        n_parts = parts.count()
+        moved = met.join(small_side(parts, n_parts), ["ell", "lo", "r"], "left")
         stay = F.struct("ell", "lo", "guest", "last", "w")
         deeper = lambda guest: F.struct(
             (F.col("ell") + (1 << k)).alias("ell"), F.col("head").alias("lo"), F.lit(guest).alias("guest"), F.col("last2").alias("last"), (F.col("w") + F.col("w2")).alias("w")
         )
         where = F.when(F.col("head").isNull(), F.array(stay)).when(F.col("head") == F.col("g"), F.array(stay, deeper(True))).otherwise(F.array(deeper(False)))
-        made = staged(met.select("doc", "ord", "first", "g", F.explode(where).alias("s")).select("doc", "ord", "first", "g", "s.*"), f"intervals-{k}")
-        if state is not None:
-            forget(state)
-        state = made
+        state, n_state = moved.select("doc", "ord", "first", "g", F.explode(where).alias("s")).select("doc", "ord", "first", "g", "s.*"), n_state + n_parts
     return state.where("not guest and ell > 0").select("doc", "ord", "first", "last", "w", "ell")
 
 
@@ -135,16 +136,17 @@ def maximal_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     """Later copies of maximal repeated runs: (id, tkey, first, last, words) of runs within the first document of
     each text, and (id, tkey, first, last) of documents that repeat a whole text that counts."""
     lines = staged(line_rows(df, key, text), "lines")
-    texts = staged(equal_texts(lines), "texts")
+    texts = staged(equal_texts(lines), "texts", like=lines)
     suffixes, docs = repeated_lines(lines, texts)
     levels = ranked(suffixes)
-    runs = longest_previous(levels).where(F.col("w") >= min_words)
+    runs = staged(longest_previous(levels).where(F.col("w") >= min_words), "runs", levels[0][1])
     # The run of the line before, if it counts, holds this one unless this one ends later.
     before = runs.select("doc", (F.col("ord") + 1).alias("ord"), F.col("last").alias("held"))
     runs = runs.join(before, ["doc", "ord"], "left").where("held is null or held < last")
     within = runs.join(docs, "doc").select("id", "tkey", "first", "last", F.col("w").alias("words"))
     again = texts.where(F.col("several") & (F.col("words") >= min_words)).select("tkey", F.col("first").alias("own"), F.col("lo").alias("first"), F.col("hi").alias("last"))
-    whole = lines.where("ord = 0").select("id", "tkey").join(again, "tkey").where(~F.col("id").eqNullSafe(F.col("own"))).select("id", "tkey", "first", "last").distinct()
+    again = staged(again, "texts-again", like=texts)
+    whole = lines.where("ord = 0").select("id", "tkey").join(small_side(again, again.count()), "tkey").where(~F.col("id").eqNullSafe(F.col("own"))).select("id", "tkey", "first", "last").distinct()
     return within, whole
 
 
