@@ -177,22 +177,22 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, id, score) of each query's ``k`` nearest rows by inner product. ``is_query`` is a
     condition on the key, given as a column named ``id``."""
-    vectors = staged(clean_vectors(df, key, vector), "vectors")
+    vectors = staged(clean_vectors(df, key, vector), "vectors", like=df)
     shape = "query_id long, rank int, id long, score double"
     sample = fit_sample(vectors, fit_rows)
     d = sample.shape[1]
     # Equal vectors under 128 bits that stand for them.
     vectors = vectors.where(F.size("v") == d).withColumn("p", F.xxhash64("v")).withColumn("q", F.xxhash64(F.lit("second"), "v"))
     own = vectors.groupBy("p", "q").agg(F.min(F.struct("id", "v")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(own.select("m.id", "m.v", "p", "q", "copies"), "classes")
-    asked = staged(vectors.where(is_query).select(F.col("id").alias("query_id"), "p", "q").join(classes.select(F.col("id").alias("own"), "p", "q"), ["p", "q"]).select("query_id", "own"), "queries")
-    queries = staged(classes.join(asked.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "query-classes")
+    classes = staged(own.select("m.id", "m.v", "p", "q", "copies"), "classes", like=vectors)
+    asked = staged(vectors.where(is_query).select(F.col("id").alias("query_id"), "p", "q").join(classes.select(F.col("id").alias("own"), "p", "q"), ["p", "q"]).select("query_id", "own"), "queries", like=vectors)
+    queries = staged(classes.join(asked.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "query-classes", like=classes)
     n_rows, n_queries = classes.count(), queries.count()
     if not n_queries or len(sample) < 1:
         return df.sparkSession.createDataFrame([], shape)
     quantiser = Quantiser.fit(sample)
     codes = staged(encoded(classes, quantiser), "codes")
-    near = staged(shortlist(queries, codes, quantiser, rerank, n_queries, n_rows), "shortlist")
+    near = staged(shortlist(queries, codes, quantiser, rerank, n_queries, n_rows), "shortlist", like=classes)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pairs = near.join(classes.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     scored = pairs.select(F.col("query_id").alias("own"), F.col("id").alias("class"), exact.alias("score"))

@@ -14,8 +14,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: A side of at most this many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 20_000
 
-#: Rows of a staged table whose size is known beforehand that go into one file.
-FILE_ROWS = 50_000
+#: Rows, or bytes, of a staged table whose size is known beforehand that go into one file.
+FILE_ROWS, FILE_BYTES = 50_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +36,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftlink/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def table_bytes(df: DataFrame) -> float:
+    """Bytes of ``df`` by the planner's estimate: for tables that are read, those of their files."""
+    # As text: the estimate of a join may be beyond 64 bits.
+    number, unit = df._jdf.queryExecution().optimizedPlan().stats().simpleString().split(",")[0].removeprefix("sizeInBytes=").split()
+    return float(number) * 1024 ** ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB").index(unit)
+
+
+def staged(df: DataFrame, label: str, rows: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    ``rows`` is a known upper bound of its rows: a table known to be small goes into few files.
+    ``rows`` is a known upper bound of its rows: a table known to be small goes into few files. ``like`` is a
+    table that it is at most about as large as: files are no smaller than ``FILE_BYTES``, but for two a core.
+    Both are for plans that end with a shuffle and little work after it, as files are also tasks.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    path, files = new_path(spark, label), None
+    if rows is not None:
+        files = -(-rows // FILE_ROWS)
+    elif like is not None:
+        files = int(min(max(2 * spark.sparkContext.defaultParallelism, table_bytes(like) // FILE_BYTES), 1 << 30))
+    (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -90,6 +103,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
+        like=edges,
     )
     # A set of links stands still when its size and two sums of hashes do.
     sums = [F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (0, 1)]

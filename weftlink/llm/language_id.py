@@ -106,7 +106,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     """Profiles from a hash sample of the labelled documents that are not held out; about ``per_language``
     documents of each language, all of them where there are fewer."""
     rows = df.where(F.col(lang).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counted = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    counted = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs", like=df)
     n = counted.count()
     if n > MAX_LANGUAGES:
         raise ValueError(f"{n} languages; profiles are made for at most {MAX_LANGUAGES}")

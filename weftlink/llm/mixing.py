@@ -72,10 +72,10 @@ def mix(
         "sized",
     )
     step = HASH_BITS - LEVEL_BITS
-    hist = staged(sized.groupBy("source", F.shiftright("h", step).alias("b")).agg(F.sum("size").alias("n")), "hist")
+    hist = staged(sized.groupBy("source", F.shiftright("h", step).alias("b")).agg(F.sum("size").alias("n")), "hist", like=sized)
     goals = source_targets(hist.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    goals = staged(goals.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "goals")
+    goals = staged(goals.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "goals", like=hist)
     n_sources = goals.count()
 
     # The bucket in which each source's budget ends, and what lies before it.
@@ -93,7 +93,7 @@ def mix(
         run = F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         cells = left.join(right, F.col("l.source").eqNullSafe(F.col("s"))).withColumn("upto", F.col("acc") + run)
         cells = cells.where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
-        bounds = staged(cells.select("source", "rest", (F.col("upto") - F.col("n")).cast("double").alias("acc"), "b", "upto"), "bounds")
+        bounds = staged(cells.select("source", "rest", (F.col("upto") - F.col("n")).cast("double").alias("acc"), "b", "upto"), "bounds", like=goals)
     # The last bucket is one hash value: it belongs to the mix if that comes nearer to the budget.
     near = F.col("upto") - F.col("rest") < F.col("rest") - F.col("acc")
     ends = bounds.select(F.col("source").alias("s"), (F.col("b") + near.cast("long")).alias("below"))

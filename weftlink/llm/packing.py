@@ -113,7 +113,7 @@ def pack(df: DataFrame, key: str, size: str, source: str, cluster: str, capacity
     rows = df.select(
         F.col(key).cast("long").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("binary").alias("cluster")
     )
-    same = staged(rows.groupBy("id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    same = staged(rows.groupBy("id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("copies")), "sizes", like=df)
     n = same.agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.floor(F.col("size") / capacity)).alias("full")).first()
     shards = max(1, -(-((n.n or 0) + (n.full or 0)) // SHARD_PIECES))
     each = same.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))

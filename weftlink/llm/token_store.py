@@ -261,7 +261,8 @@ def write_tokens(df: DataFrame, tokenizer: str, vocab_size: int = 50_257, end_id
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.withColumn("salt", F.xxhash64("text")).repartitionByRange("id", "salt").sortWithinPartitions("id", "salt")
     made = dealt.select("id", "text").mapInPandas(encode, "shard string, part long, seq long, n_docs long, n_ids long, n_bytes long")
-    return staged(made, "manifest"), root
+    # One row a shard: it goes into few files, however many tasks encode.
+    return staged(made.repartition(2 * spark.sparkContext.defaultParallelism), "manifest"), root
 
 
 def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
