@@ -10,9 +10,9 @@ Candidates go through three steps, none of which has a cap:
 
 1. Below a node all pairs are held against each other by a 64-byte sketch in memory. Each text passes on
    one likely partner before it, which is compared exactly. Links found that way make families.
-2. Nodes are gone through again, now by the texts with a likely partner alone, and every likely pair of
-   two families is passed on and compared exactly. Links join families to groups. A pair in one family
-   needs no test of its own here, as both texts are in one group by links that were proved.
+2. Nodes are gone through again, now by the texts with a likely partner alone. Texts that likely pairs of
+   two families connect are compared exactly, all of them, in blocks; links join families to groups. A pair
+   in one family needs no test of its own here, as both texts are in one group by links that were proved.
 3. Within a group all texts are compared exactly, through their shingles, in blocks, for the number of
    links. Pairs never leave a task.
 
@@ -210,9 +210,25 @@ def pairs_below(node: np.ndarray, block: np.ndarray, words: np.ndarray, most: in
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
+def star(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), j the smallest number that i is connected with, that connect what the given pairs do."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[i], top[j])
+        new = top.copy()
+        for end in (i, j, top[i], top[j]):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == top).all():
+            at = np.flatnonzero(top != np.arange(n))
+            return at, top[at]
+        top = new
+
+
 def likely_pairs(below: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """(a, b), a before b: one likely partner before each text of a node, or, ``across``, all likely pairs of
-    different families. ``below`` has (k, c, blocks, sketch, family)."""
+    """(a, b), a before b: one likely partner before each text of a node, or, ``across``, pairs that connect just
+    the texts that all likely pairs of different families do. ``below`` has (k, c, blocks, sketch, family)."""
     most = int(SKETCH * (1 - (1 / 16 + 15 / 16 * (similarity - SLACK))))
     sure = int(SKETCH * 15 / 16 * (1 - similarity))
 
@@ -223,7 +239,7 @@ def likely_pairs(below: DataFrame, similarity: float, across: bool) -> DataFrame
         if across:
             family = rows["family"].to_numpy()
             ok = family[i] != family[j]
-            i, j = i[ok], j[ok]
+            i, j = star(len(c), i[ok], j[ok])
         else:
             # The first that is very likely, else the likeliest.
             strong = d <= sure
@@ -285,54 +301,85 @@ def proved(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> Dat
     return held.select("a", "b", "t", "u").mapInPandas(verify, "a long, b long")
 
 
-def block_links(part: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
-    """How many documents the texts of two blocks of a group (or of one) link with across (or within) them."""
+def links_between(part: pd.DataFrame, similarity: float, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows that text i links with) of the texts of two blocks of a group across them, or of one within it;
+    a pair comes once."""
     a, b = int(part["x"].iat[0]), int(part["y"].iat[0])
-    part = part.sort_values("c", kind="stable").reset_index(drop=True)
     sets = [shingles(t, n) for t in part["text"]]
-    sizes, block, copies = np.array(list(map(len, sets))), part["block"].to_numpy(), part["copies"].to_numpy()
+    sizes, block = np.array(list(map(len, sets))), part["block"].to_numpy()
     left, right = np.nonzero(block == a)[0], np.nonzero(block == b)[0]
-    counts = np.zeros(len(part), np.int64)
-    if len(left) and len(right):
-        values = np.concatenate([sets[i] for i in right])
-        owner = np.repeat(np.arange(len(right)), sizes[right])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        for i in left:
-            lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-            n_hits = hi - lo
-            if not n_hits.any():
-                continue
+    if not len(left) or not len(right):
+        return
+    values = np.concatenate([sets[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for i in left:
+        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        n_hits = hi - lo
+        if n_hits.any():
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n_hits)[:-1]]), n_hits) + np.arange(n_hits.sum())
             both = np.bincount(owner[at], minlength=len(right))
             hit = right[linked(both, sizes[i] + sizes[right], similarity)]
-            hit = hit[hit > i] if a == b else hit
-            counts[i] += copies[hit].sum()
-            counts[hit] += copies[i]
+            yield i, hit[hit > i] if a == b else hit
+
+
+def block_links(part: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
+    """(c, n): how many documents each text of two blocks links with."""
+    part = part.sort_values("c", kind="stable").reset_index(drop=True)
+    copies, counts = part["copies"].to_numpy(), np.zeros(len(part), np.int64)
+    for i, hit in links_between(part, similarity, n):
+        counts[i] += copies[hit].sum()
+        counts[hit] += copies[i]
     some = counts > 0
     return pd.DataFrame({"c": part["c"].to_numpy()[some], "n": counts[some]})
 
 
+def block_joins(part: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
+    """(a, b): links that connect just the texts of different families that all links of two blocks do."""
+    part = part.sort_values("c", kind="stable").reset_index(drop=True)
+    family, found = part["family"].to_numpy(), []
+    for i, hit in links_between(part, similarity, n):
+        hit = hit[family[hit] != family[i]]
+        if len(hit):
+            found.append((np.full(len(hit), i), hit))
+    c = part["c"].to_numpy()
+    at, top = star(len(part), *(np.concatenate(z) for z in zip(*found, strict=True))) if found else (np.zeros(0, int), np.zeros(0, int))
+    return pd.DataFrame({"a": c[top], "b": c[at]})
+
+
+def in_blocks(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The members (c, n_sh, component, ...) of groups with their texts, dealt into all pairs (x, y) of blocks of
+    their group."""
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int")
+    sized = members.groupBy("component").agg(n_blocks.alias("blocks"))
+    placed = members.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = texts.join(placed.drop("n_sh"), "c").select("*", other).drop("blocks")
+    return dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other").groupBy("component", "x", "y")
+
+
 def groups_of(df: DataFrame, classes: DataFrame, key: str, text: str, similarity: float, n: int) -> tuple[DataFrame, DataFrame]:
     """(c, text) of the texts with a likely partner, and (c, component) of those with a link."""
-    below = staged(below_nodes(classes, similarity), "below")
+    below = staged(below_nodes(classes, similarity), "below", like=classes)
     sketches = classes.select("c", "sketch")
-    first = staged(likely_pairs(below.join(sketches.withColumn("family", F.col("c")), "c"), similarity, False), "likely")
-    nodes = staged(first.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "nodes")
+    first = staged(likely_pairs(below.join(sketches.withColumn("family", F.col("c")), "c"), similarity, False), "likely", like=classes)
+    nodes = staged(first.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "nodes", like=first)
     held = classes.join(nodes, "c").select("c", F.col("id").alias("own"), "tkey")
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("own"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
-    texts = staged(rows.join(held, ["own", "tkey"]).select("c", "text").dropDuplicates(["c"]), "texts")
-    family = staged(connected_components(proved(first, texts, similarity, n)), "families")
+    texts = staged(rows.join(held, ["own", "tkey"]).select("c", "text").dropDuplicates(["c"]), "texts", like=df)
+    family = staged(connected_components(proved(first, texts, similarity, n)), "families", like=nodes)
     again = below.join(sketches.join(nodes, "c"), "c").join(family.withColumnRenamed("node", "c"), "c", "left").withColumn("family", F.coalesce("component", "c")).drop("component")
-    more = likely_pairs(again, similarity, True).join(first, ["a", "b"], "left_anti")
-    joins = staged(proved(staged(more, "likely-across"), texts, similarity, n), "joins")
+    unsure = staged(connected_components(likely_pairs(again, similarity, True)).withColumnRenamed("node", "c"), "unsure", like=nodes)
+    unsure = unsure.join(classes.select("c", "n_sh"), "c").join(family.select(F.col("node").alias("c"), F.col("component").alias("family")), "c", "left").withColumn("family", F.coalesce("family", "c"))
+    joins = staged(in_blocks(texts, unsure).applyInPandas(lambda part: block_joins(part, similarity, n), "a long, b long"), "joins")
     forget(below, first)
     # Families that a link joins, by the families' names.
     name = lambda end: family.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     ends = joins.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    joined = staged(connected_components(ends), "joined").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    joined = staged(connected_components(ends), "joined", like=nodes).select(F.col("node").alias("component"), F.col("component").alias("top"))
     known = family.unionByName(joins.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(family.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
-    return texts, staged(known.join(joined, "component", "left").select(F.col("node").alias("c"), F.coalesce("top", "component").alias("component")), "groups")
+    return texts, staged(known.join(joined, "component", "left").select(F.col("node").alias("c"), F.coalesce("top", "component").alias("component")), "groups", like=nodes)
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
@@ -351,17 +398,12 @@ def joined_rows(df: DataFrame, key: str, text: str, similarity: float, n: int) -
     # Texts without words are no class: each such row stands for itself.
     own = signed.where("n_sh > 0").groupBy("tkey").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "n_sh", "sig", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
     # Classes are numbered in the order of their ids, so the smallest number of a group has its smallest id.
-    classes = staged(numbered(own.select("tkey", "m.*", "copies"), ["id", "tkey"], "c"), "classes")
+    classes = staged(numbered(own.select("tkey", "m.*", "copies"), ["id", "tkey"], "c"), "classes", like=signed)
     texts, groups = groups_of(df, classes, key, text, similarity, n)
     # The members of groups, each once, dealt into blocks.
     members = classes.join(groups, "c").select("c", "n_sh", "copies", "component")
-    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int")
-    sized = members.groupBy("component").agg(n_blocks.alias("blocks"))
-    members = members.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = texts.join(members, "c").select("c", "text", "copies", "component", "block", others).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    found = dealt.groupBy("component", "x", "y").applyInPandas(lambda part: block_links(part, similarity, n), "c long, n long")
-    counts = staged(found.groupBy("c").agg(F.sum("n").alias("n_links")), "links")
+    found = in_blocks(texts, members).applyInPandas(lambda part: block_links(part, similarity, n), "c long, n long")
+    counts = staged(found.groupBy("c").agg(F.sum("n").alias("n_links")), "links", like=classes)
     heads = groups.select("component").distinct().join(classes.select(F.col("c").alias("component"), F.col("id").alias("group")), "component")
     grouped = groups.join(heads, "component").select("c", "group", (F.col("c") == F.col("component")).alias("head"))
     whole = classes.select("tkey", "c", "id", "copies").join(counts, "c", "left").join(grouped, "c", "left")
