@@ -5,9 +5,13 @@ source's budget ends is refined, ten bits at a time, until it is a single hash v
 then taken when its hash lies below the threshold of its source, so nothing is sorted by row, and
 budgets nest: a smaller budget takes a subset of a larger one.
 
+The hash is of the key, the text and, among rows that repeat both within a source, their number, so
+rows without a key, or with the same one, are told apart.
+
 Defined cases: a null text has size 0; a null source is a source of its own, after all others;
-sources without words get target 0; rows that repeat a key share one hash, so they are taken
-together; an empty table gives an empty result; columns other than the named ones are carried.
+sources without words get target 0; null and repeated keys are rows like any other; an empty table
+gives an empty result; columns other than the named ones are carried. Sources are names of collections:
+targets are set over one small row a source, in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import small_side, staged, word_count
+from weftlink.llm.common import small_side, staged, text_key, word_count
 
 #: Bits of the row hash, and bits that one histogram level resolves.
 HASH_BITS, LEVEL_BITS = 60, 10
@@ -25,9 +29,10 @@ HASH_BITS, LEVEL_BITS = 60, 10
 SALTS = 64
 
 
-def row_hash(key: Column) -> Column:
-    """60 bits of md5 of the key's text form (null: empty)."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(key: Column, tkey: Column, nth: Column) -> Column:
+    """60 bits of md5 of the key's text form (null: empty), the text's key and the row's number among equal ones."""
+    whole = F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), F.lower(F.hex(tkey)), nth.cast("string"))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
@@ -67,10 +72,16 @@ def mix(
     cap: float = 3.0,
 ) -> DataFrame:
     """(key, source, size, source_size, target, copies) for every row of ``df``: how often the mix takes it."""
-    sized = staged(
-        df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")),
-        "sized",
-    )
+    return mixed_rows(df, key, text, source, weights, share, cap).drop("tkey")
+
+
+def mixed_rows(df: DataFrame, key: str, text: str, source: str, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: float = 3.0) -> DataFrame:
+    """The rows of ``mix`` with the key ``tkey`` of each row's text."""
+    rows = df.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), text_key(F.col(text)).alias("tkey"), word_count(F.col(text)).alias("size"))
+    # Equal rows meet before the shuffle and are numbered where they part again.
+    same = rows.groupBy("key", "source", "tkey", "size").agg(F.count(F.lit(1)).alias("n"))
+    each = same.select("key", "source", "tkey", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    sized = staged(each.select("key", "source", "tkey", "size", row_hash(F.col("key"), F.col("tkey"), F.col("nth")).alias("h")), "sized", like=df)
     step = HASH_BITS - LEVEL_BITS
     hist = staged(sized.groupBy("source", F.shiftright("h", step).alias("b")).agg(F.sum("size").alias("n")), "hist", like=sized)
     goals = source_targets(hist.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
@@ -105,13 +116,27 @@ def mix(
         salted = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = sized.join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("h") % SALTS == F.col("salt")))
     copies = F.col("full") + (F.col("h") < F.col("below")).cast("long")
-    return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select(F.col("key").alias(key), "source", "tkey", "size", "source_size", "target", copies.alias("copies"))
 
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with the columns of ``df``."""
-    takes = mix(df, key, text, source, **options)
-    # The copies of a row depend on its hash and source alone; one row per key and source joins back.
-    takes = takes.groupBy(F.col(key).alias("key__"), F.col("source").alias("source__")).agg(F.max("copies").alias("copies__"))
-    joined = df.join(takes, df[key].eqNullSafe(F.col("key__")) & df[source].cast("string").eqNullSafe(F.col("source__"))).where("copies__ > 0")
-    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).select([df[c] for c in df.columns])
+    """The rows of ``df``, each as often as the mix takes it, with the columns of ``df``.
+
+    Rows that repeat key, source and text share what the mix takes of them as evenly as whole copies go; the
+    rest is copies of the first of them by the other columns.
+    """
+    takes = mixed_rows(df.select(key, text, source), key, text, source, **options)
+    own = ["key__", "source__", "tkey__"]
+    takes = takes.groupBy(F.col(key).alias("key__"), F.col("source").alias("source__"), F.col("tkey").alias("tkey__"))
+    takes = staged(takes.agg(F.sum("copies").alias("copies__"), F.count(F.lit(1)).alias("rows__")), "takes", like=df)
+    rows = df.withColumn("own__", text_key(df[text]))
+    same = rows[key].eqNullSafe(F.col("key__")) & rows[source].cast("string").eqNullSafe(F.col("source__")) & (F.col("own__") == F.col("tkey__"))
+    joined = rows.join(takes, same)
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    each = F.floor(F.col("copies__") / F.col("rows__")).cast("long")
+    out = joined.where(each > 0).withColumn("copy__", times(each)).select([df[c] for c in df.columns])
+    uneven = (F.col("rows__") > 1) & (F.col("copies__") % F.col("rows__") > 0)
+    if not takes.where(uneven).limit(1).count():
+        return out
+    first = joined.where(uneven).groupBy(*own).agg(F.min(F.struct(*[df[c] for c in df.columns])).alias("row"), F.first(F.col("copies__") % F.col("rows__")).alias("more"))
+    return out.unionByName(first.withColumn("copy__", times(F.col("more"))).select("row.*"))
