@@ -14,12 +14,12 @@ from ``unmatched`` and never crash; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -100,42 +100,35 @@ def fingerprint(record: Column) -> Column:
     return F.md5(F.schema_of_variant(record))
 
 
-def schema_paths(schema: StructType, above: str = "") -> list[str]:
-    """Nested field paths of a typed table, in order."""
-    out = []
-    for f in schema.fields:
-        kind, path = f.dataType, f"{above}{f.name}"
-        while hasattr(kind, "elementType"):
-            kind, path = kind.elementType, path + "[]"
-        out += schema_paths(kind, path + ".") if isinstance(kind, StructType) else [f"{path}:{kind.simpleString()}"]
-    return sorted(out)
-
-
-#: Typed tables with one row per turn: fingerprint of (turn, role, text) and the columns that hold them.
-ROW_LAYOUTS = {
-    hashlib.md5("|".join(paths).encode()).hexdigest(): names
-    for paths, names in (
-        (("role:string", "text:string", "turn:bigint"), ("turn", "role", "text")),
-        (("role:string", "text:string", "turn:int"), ("turn", "role", "text")),
-        (("content:string", "position:bigint", "role:string"), ("position", "role", "content")),
-    )
-}
+#: Layouts with one record a turn: the columns that hold its place, role and text.
+ROW_LAYOUTS = (("turn", "role", "text"), ("position", "role", "content"))
+
+
+def row_shapes(names: tuple[str, str, str]) -> list[str]:
+    """Variant types of one-turn records: a null has a type of its own."""
+    kinds = dict(zip(names, ("BIGINT", "STRING", "STRING"), strict=True))
+    every = itertools.product(*[(f"{n}: {kinds[n]}", f"{n}: VOID") for n in sorted(names)])
+    return ["OBJECT<" + ", ".join(fields) + ">" for fields in every]
 
 
 def turns_of_rows(df: DataFrame, conv: str) -> DataFrame:
-    """Canonical turns (conv, turn, role, text) of a typed table with one row per turn.
+    """Canonical turns (conv, turn, role, text) of a table with one row per turn.
 
-    Columns beyond a known layout are ignored; a table that holds none is refused.
+    The columns of a layout become a record, of which the fingerprint picks the mapping, row by row. Columns
+    beyond the layout are ignored; a table that holds none, or rows of other types, are refused.
     """
-    paths = [p for p in schema_paths(df.schema) if p.rpartition(":")[0] != conv]
-    known = {p.rpartition(":")[0] for p in paths}
-    for names in ROW_LAYOUTS.values():
-        if set(names) <= known:
-            own = "|".join(sorted(p for p in paths if p.rpartition(":")[0] in names))
-            turn, role, text = ROW_LAYOUTS.get(hashlib.md5(own.encode()).hexdigest(), (None,) * 3)
-            if turn:
-                return df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError("no known layout of turns: " + ", ".join(paths))
+    found = [names for names in ROW_LAYOUTS if set(names) <= set(df.columns)]
+    if not found:
+        raise ValueError("no known layout of turns: " + ", ".join(df.columns))
+    turn, role, text = found[0]
+    record = F.to_variant_object(F.struct(*[F.col(n).alias(n) for n in found[0]]))
+    rows = df.select(F.col(conv).alias("conv_id"), record.alias("v"))
+    known = [hashlib.md5(shape.encode()).hexdigest() for shape in row_shapes(found[0])]
+    said = F.struct(
+        F.try_variant_get("v", f"$.{turn}", "bigint").alias("turn"), F.try_variant_get("v", f"$.{role}", "string").alias("role"), F.try_variant_get("v", f"$.{text}", "string").alias("text")
+    )
+    refused = F.raise_error(F.concat(F.lit("no mapping for records of the type "), F.schema_of_variant("v"))).cast("struct<turn:bigint,role:string,text:string>")
+    return rows.select("conv_id", F.when(fingerprint(F.col("v")).isin(known), said).otherwise(refused).alias("said")).select("conv_id", "said.*")
 
 
 def turns_of_records(df: DataFrame, conv: str, record: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
