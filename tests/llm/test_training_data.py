@@ -69,11 +69,27 @@ def test_mix_takes_what_its_targets_say(spark, corpus):
     again = mix(corpus).toPandas()
     key = ["doc_id", "source", "size", "copies"]
     assert got.sort_values(key)[key].fillna(-1).values.tolist() == again.sort_values(key)[key].fillna(-1).values.tolist()
-    out = apply_mix(corpus.drop("size", "h"))
-    assert out.columns == corpus.drop("size", "h").columns
+    out = apply_mix(corpus)
+    assert out.columns == corpus.columns
     assert mix(corpus.limit(0)).count() == 0
 
 
+def test_mix_of_rows_without_an_id(spark):
+    from weftlink.llm.mixing import apply_mix, mix
+
+    rng = np.random.default_rng(41)
+    rows = [(None if i < 400 else 7 if i < 700 else i, prose(rng, int(rng.integers(1, 40))) if i % 9 else "twice over", "x", "a" if i < 400 else "b" if i < 700 else "c", i) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("nth", F.lit(1)).withColumn("copies", F.lit("clash")).withColumn("own__x", F.lit(2))
+    got = mix(df).toPandas()
+    per = got.assign(taken=got["size"] * got.copies).groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert len(got) == 1000 and ((per.taken - per.target).abs() <= per.most).all() and (got.copies <= 3).all()
+    out = apply_mix(df)
+    kept = out.toPandas()
+    assert out.columns == df.columns and kept.text.map(lambda t: len(t.split())).sum() == per.taken.sum()
+    again = apply_mix(df.repartition(7)).toPandas()
+    assert sorted(kept.astype(str).values.tolist()) == sorted(again.astype(str).values.tolist())
+
+
 def test_budgets_nest(spark, corpus):
     from weftlink.llm.mixing import mix
 
@@ -397,15 +413,21 @@ def test_projection_forest_against_all_pairs(spark):
     base = vectors(rng, 150, 24)
     x = np.concatenate([base, base[:60] + rng.normal(0, 0.12, (60, 24)), base[0] + rng.normal(0, 0.2, (300, 24)), np.repeat(base[3:4], 5, 0)])
     label = [int(k) for k in rng.integers(0, 3, len(x))]
-    rows = [(i, v.tolist(), label[i]) for i, v in enumerate(x)] + [(9000, None, 1), (9001, [0.0] * 24, 1), (9002, [float("inf")] * 24, 1), (9003, base[0].tolist(), None), (9004, [1.0], 1), (2, x[2].tolist(), label[2])]
-    got = {r.id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=64).collect()}
+    # Ids may repeat, with the same vector or another one.
+    x, label = np.concatenate([x, x[2:3], base[7:8], x[5:6]]), [*label, label[2], 1, label[5]]
+    ids = [*range(len(x) - 3), 2, 2, 40]
+    rows = [(i, v.tolist(), k) for i, v, k in zip(ids, x, label, strict=True)]
+    odd = [(9000, None, 1), (9001, [0.0] * 24, 1), (9002, [float("inf")] * 24, 1), (9003, base[0].tolist(), None), (9004, [1.0], 1), (9005, [None] * 24, 1), (9006, [], 1), (None, base[0].tolist(), label[0]), (None, base[0].tolist(), label[0]), (None, None, None)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(0)).withColumn("v", F.lit("x")).withColumn("leaf", F.lit(1)).withColumn("copies", F.lit(9))
+    got = near_duplicates(df, leaf=64).collect()
+    assert len(got) == len(rows) + len(odd)
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None, :])
     np.fill_diagonal(s, False)
-    found, true = sum(got[i].n_links for i in range(len(x))), int(s.sum())
-    assert all(got[i].n_links <= s[i].sum() for i in range(len(x))) and found >= 0.97 * true > 0
-    assert all(got[k].n_links == 0 and got[k].kept and got[k].component_id == k for k in range(9000, 9005))
-    assert len(got) == len({r[0] for r in rows})
+    by_id = lambda pairs: {i: sorted(n for k, n in pairs if k == i) for i, _ in pairs}
+    true, found = by_id([(i, int(n)) for i, n in zip(ids, s.sum(1), strict=True)]), by_id([(r.id, r.n_links) for r in got if r.id is not None and r.id < 9000])
+    assert all(m <= n for i in true for m, n in zip(found[i], true[i], strict=True)) and sum(map(sum, found.values())) >= 0.97 * s.sum() > 0
+    assert all(r.n_links == 0 and r.kept and r.component_id == r.id for r in got if r.id is None or r.id >= 9000)
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
