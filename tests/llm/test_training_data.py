@@ -1,7 +1,9 @@
 """Operators of the training-data package against brute force, round trips and odd rows."""
 
+import collections
 import itertools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -171,6 +173,61 @@ def test_language_id_on_held_out_documents(spark):
     assert identify(df, fit(df.where("lang is null"))).where("lang_pred <> 'und'").count() == 0
 
 
+def gram_code(gram):
+    """The 32-bit number that stands for a gram, by which ties between grams go."""
+    n = (ord(gram[0]) + 1) * 0x9E3779B1 % (1 << 32)
+    for c, salt, factor in zip(gram[1:], (0x55555555, 0x33333333), (0x85EBCA6B, 0xC2B2AE35), strict=False):
+        n = ((n ^ salt) * factor + ord(c)) % (1 << 32)
+    return n
+
+
+def gram_table(text):
+    """Counts of the 1- to 3-grams of a text, one string at a time."""
+    s = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    words = s.split()
+    s = " " + " ".join(words) + " " if words else ""
+    grams = collections.Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    return collections.Counter({g: k for g, k in grams.items() if g.strip() and not (len(g) == 3 and g[1] == " ")})
+
+
+def ranked_grams(counts, size):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], gram_code(x[0])))[:size]]
+
+
+def language_truth(profiles, text, size):
+    """(language, score) by out-of-place distances, one gram at a time."""
+    grams = ranked_grams(gram_table(text), size)
+    if not grams or not profiles:
+        return "und", 0.0
+    sums = {name: sum(abs(i - ranks[g]) if g in ranks else size for i, g in enumerate(grams)) for name, ranks in profiles.items()}
+    best = min(sorted(sums), key=lambda k: sums[k])
+    return best, 1 - sums[best] / (size * len(grams))
+
+
+def profile_truth(rows, size):
+    """Profiles of (id, text, lang) rows that are not held out."""
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2):
+            sums.setdefault(lang, collections.Counter()).update(gram_table(text))
+    return {k: {g: n for n, g in enumerate(ranked_grams(v, size))} for k, v in sums.items()}
+
+
+@pytest.mark.parametrize("size", [400, 12])
+def test_language_id_against_counters(spark, corpus, size):
+    from weftlink.llm.language_id import fit, identify
+
+    more = [(300, "été où ça Œuvre", "fr", "s", 0), (301, "été où ça Œuvre", "fr", "s", 0), (301, "été où ça Œuvre", "fr", "s", 0), (302, "ab ba", "xx", "s", 0), (303, "ab ba", "yy", "s", 0), (304, "ab", None, "s", 0)]
+    more += [(305, "İstanbul ΑΣ ß 漢字 a1b", "zz", "s", 0), (306, "don't — x_y", "zz", "s", 0), (307, None, "zz", "s", 0)]
+    df = corpus.select(*SCHEMA_COLS).union(spark.createDataFrame(more, SCHEMA)).withColumn("id", F.lit("clash")).withColumn("score", F.lit(-1.0)).withColumn("code", F.lit(0))
+    rows = df.collect()
+    profiles = profile_truth([(r.doc_id, r.text, r.lang) for r in rows], size)
+    want = [(r.doc_id is None, r.doc_id or 0, *language_truth(profiles, r.text, size)) for r in rows]
+    got = [(r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in identify(df, fit(df, size=size)).collect()]
+    key = lambda r: (*r[:3], round(r[3], 9))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and {"xx", "und", "fr"} <= {r[2] for r in got}
+
+
 def vectors(rng, n, d=16):
     return rng.normal(size=(n, d))
 
@@ -397,6 +454,46 @@ def test_token_counts_add_up(spark, corpus, rule):
 SCHEMA_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def token_truth(text, enc, rule):
+    """(section, characters, tokens, crossing) of every line, one token at a time."""
+    if not text:
+        return [(0, 0, 0.0, 0)]
+    lines = [x for x in text.split("\n")]
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    own = [k for k, line in enumerate(lines) for _ in line]  # of each character
+    of_byte = [i for i, c in enumerate(text) for _ in c.encode("utf-8", "surrogatepass")]
+    out, at = [[k, len(line), 0.0, 0] for k, line in enumerate(lines)], 0
+    for t in enc.encode_ordinary(text):
+        n = len(enc.decode_single_token_bytes(t))
+        chars = range(of_byte[at], of_byte[at + n - 1] + 1)
+        at += n
+        held = collections.Counter(own[i] for i in chars)
+        first, last = own[chars[0]], own[chars[-1]]
+        out[first][3] += first != last
+        if rule == "share":
+            for k, m in held.items():
+                out[k][2] += m / len(chars)
+        else:
+            out[{"start": first, "end": last, "most": min(held, key=lambda k: (-held[k], k))}[rule]][2] += 1
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("rule", ["start", "end", "most", "share"])
+def test_token_counts_against_single_tokens(spark, corpus, rule):
+    import public_tokenizers
+
+    from weftlink.llm.token_attribution import attribute, vocabulary
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    more = [(700, "é😀 naïve\n\n\nünï\n", "x", "s", 0), (701, "\n\n \n\t\n", "x", "s", 0), (702, "漢\n字\r\n a", "x", "s", 0), (703, "a\n\n\n\n\n\nb", "x", "s", 0), (None, None, "x", "s", 0), (None, "z\ny", "x", "s", 0), (703, "a\n\n\n\n\n\nb", "x", "s", 0)]
+    df = corpus.select(*SCHEMA_COLS).union(spark.createDataFrame(more, SCHEMA)).withColumn("section", F.lit(7)).withColumn("id", F.lit("clash"))
+    enc, _ = vocabulary(path)
+    want = [(r.doc_id is None, r.doc_id or 0, *x) for r in df.collect() for x in token_truth(r.text, enc, rule)]
+    got = [(r.doc_id is None, r.doc_id or 0, r.section, r.n_chars, r.n_tokens, r.n_crossing) for r in attribute(df, path, rule).collect()]
+    key = lambda r: (*r[:4], round(r[4], 6), r[5])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and sum(r[5] for r in got) > 0
+
+
 def test_crossing_tokens_follow_their_rule():
     from weftlink.llm.token_attribution import allot
 
@@ -517,6 +614,109 @@ def test_line_dedup_deletes_exactly_later_copies(spark, least):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def mix_truth(rows):
+    """Copies of (id, text, source) rows: each source's rows in order of their hash, as far as its budget goes."""
+    import hashlib
+
+    size = lambda t: len([w for w in re.split("[\\x20\\x09-\\x0D]+", t or "") if w])
+    nth, marked = collections.Counter(), []
+    for i, text, source in rows:
+        nth[i, text, source] += 1
+        tkey = hashlib.md5((b"t" + text.encode()) if text is not None else b"").hexdigest()
+        name = f"{'' if i is None else i}|{tkey}|{nth[i, text, source]}"
+        marked.append((source, int(hashlib.md5(name.encode()).hexdigest()[:15], 16), size(text), (i, text, source)))
+    sizes = collections.Counter()
+    for source, _, n, _ in marked:
+        sizes[source] += n
+    names = sorted(sizes, key=lambda k: (k is None, (k or "").encode()))
+    weight = {k: (5, 2, 1)[j % 3] for j, k in enumerate(names)}
+    target, left, open_ = {}, float(sum(sizes.values())), list(names)
+    while open_:
+        level = left / sum(weight[k] for k in open_)
+        full = [k for k in open_ if weight[k] * level >= 3 * sizes[k]]
+        if not full:
+            target |= {k: weight[k] * level for k in open_}
+            break
+        target |= {k: 3.0 * sizes[k] for k in full}
+        left -= sum(target[k] for k in full)
+        open_ = [k for k in open_ if k not in full]
+    out = []
+    for source in names:
+        whole = int(target[source] // sizes[source]) if sizes[source] else 0
+        rest, upto = target[source] - whole * sizes[source], 0
+        for _, _, n, row in sorted((m for m in marked if m[0] == source), key=lambda m: m[1]):
+            more = rest > 1e-9 and upto < rest and (upto + n < rest or upto + n - rest < rest - upto)
+            upto += n
+            out += [row] * (whole + more)
+    return out
+
+
+def fit_truth(rows, capacity=4096, most=8):
+    """(id, words, bin) of pieces put one by one into the tightest compatible of all bins."""
+    sizes = [len((t or "").split()) for _, t, _ in rows]
+    order, sources, out, bins = [], {}, [], []
+    for i, (_, text, source) in enumerate(rows):
+        sources.setdefault(source, len(sources))
+        full, rest = divmod(sizes[i], capacity)
+        out += [(rows[i][0], capacity, f"full{i}.{k}") for k in range(full)]
+        if rest or not full:
+            order.append((-rest, zkey(text) if text else b"", sources[source], i))
+    for at, (minus, cluster, source, i) in enumerate(sorted(order)):
+        fits = [b for b in bins if b["left"] >= -minus and (not cluster or cluster not in b["held"]) and len(b["sources"] | {source}) <= most]
+        b = min(fits, key=lambda b: (b["left"], -b["at"]), default=None)
+        if b is None:
+            b = {"left": capacity, "held": set(), "sources": set(), "name": f"bin{len(bins)}"}
+            bins.append(b)
+        b["left"] += minus
+        b["held"].add(cluster)
+        b["sources"].add(source)
+        b["at"] = at
+        out.append((rows[i][0], -minus, b["name"]))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(77)
+    shared = prose(rng, 60)
+    docs = [(300 + i, prose(rng, int(rng.integers(30, 90))) + "\n" + shared + "\n" + prose(rng, 20), "en", f"s{i % 5}", 0) for i in range(12)]
+    docs += [(400, "Привет мир как дела", None, "s1", 0), (401, "漢字だけのテキスト", None, "s2", 0)]
+    corpus.select(*SCHEMA_COLS).union(spark.createDataFrame(docs, SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()]
+    profiles = profile_truth([r[:3] for r in rows], 400)
+    known = [(i, t, s) for i, t, _, s in rows for lang, score in [language_truth(profiles, t, 400)] if lang != "und" and score >= 0.2]
+    assert not {200, 201, 202, 203, 400, 401} & {i for i, _, _ in known}
+    gone, unique = line_truth([r[:2] for r in known], 20), []
+    for i, t, s in known:
+        left = [x for p, x in enumerate(t.split("\n")) if p not in gone.get((i, t), ())]
+        if any(x.strip(" \t\n\x0b\x0c\r") for x in left):
+            unique.append((i, "\n".join(left) if gone.get((i, t)) else t, s))
+    links, top = jaccard_truth([r[:2] for r in unique]), list(range(len(unique)))
+    rank = lambda k: (unique[k][0] is not None, unique[k][0] or 0, zkey(unique[k][1]))
+    same = collections.defaultdict(set)
+    for k, r in enumerate(unique):
+        same[r[1]].add(k)
+    changed = True
+    while changed:
+        changed = False
+        for k in range(len(unique)):
+            best = min((top[j] for j in links[k] | same[unique[k][1]] | {k}), key=rank)
+            changed, top[k] = changed or rank(best) < rank(top[k]), min(best, top[k], key=rank)
+    unlike = list({(unique[k][0], unique[k][1]): unique[k] for k in range(len(unique)) if rank(top[k]) == rank(k)}.values())
+    mixed = mix_truth(unlike)
+    want = fit_truth(sorted(mixed, key=lambda r: (r[0] is not None, r[0] or 0)))
+    got = [(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.n_words), f"{r.shard}.{r.bin}") for r in corpus_pipeline.run(spark, str(tmp_path)).toPandas().itertuples()]
+
+    def bins(rows):
+        held = collections.defaultdict(list)
+        for i, n, b in rows:
+            held[b].append((i is None, i or 0, n))
+        return sorted(map(sorted, held.values()))
+
+    assert bins(got) == bins(want) and len(got) > 40
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
 

@@ -28,6 +28,8 @@ from weftlink.llm.common import small_side, staged
 #: Grams in a profile; labelled documents a language to fit on; languages at most.
 PROFILE, TRAIN_DOCS, MAX_LANGUAGES = 400, 1000, 500
 UNKNOWN = "und"
+#: A text whose nearest profile lies farther than this score is in no known language.
+MIN_SCORE = 0.2
 
 _letters: list[np.ndarray] = []
 
@@ -144,11 +146,13 @@ def identify(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
     return out.withColumnRenamed("id", key)
 
 
-def keep_known(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose language is known: ``und`` goes, all else stays, columns unchanged."""
+def keep_known(df: DataFrame, profiles: Profiles, text: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``df`` whose language is known, columns unchanged: ``und`` goes, and so does a text that is near no
+    profile (score below ``least``)."""
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([profiles.predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
+        found = (profiles.predict(t) for t in texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
     return df.where(known(F.col(text)))
