@@ -96,7 +96,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (columns a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star contraction on DataFrames; each round is staged.
-    Hubs meet only in joins that AQE can split and in sums that combine map-side.
+    Hubs meet only in joins that the engine can split and in sums that combine before the shuffle.
     """
     links = staged(
         edges.where("a is not null and b is not null and a <> b")
@@ -111,14 +111,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds if mark[0] else 0):
         n = mark[0]
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Staged, so that the links of a hub are split over tasks where they come back to its sum.
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", 2 * n)
         large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            both.join(small_side(low, low.count()), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         large = staged(large, "large", n)
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        lows = staged(large.groupBy("u").agg(F.min("v").alias("m")), "lows", n)
         small = (
-            large.join(lows, "u")
+            large.join(small_side(lows, lows.count()), "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
             .select("e.u", F.col("e.m").alias("v"))
             .where("u <> v")
@@ -126,7 +127,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         small = staged(small, "small", 2 * n)
         before, mark = mark, tuple(small.agg(F.count(F.lit(1)), *sums).first())
-        forget(links, large)
+        forget(links, low, large, lows)
         links = small
         if mark == before:
             break
