@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``docs``. ``run`` applies them to the table documents, writing each stage's rows as Parquet and
-reading them back.
+reading them back; rows that the next stage has been made of are deleted.
+
+Defined cases: a null or empty text, or one without a letter, has no language and goes, so a table of such
+texts gives an empty result, as does an empty table; a null source is a source of its own; rows that share
+an id but not the text are documents of their own; rows that repeat both are one document from the Jaccard
+stage on, until the mix repeats it; other columns are carried to the mix and end with the packing.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import staged, text_key, word_count
+from weftlink.llm.common import forget, staged, text_key, word_count
 from weftlink.llm.jaccard_join import drop_near_copies
 from weftlink.llm.language_id import fit, keep_known
 from weftlink.llm.line_dedup import dedup_lines
@@ -19,7 +24,7 @@ from weftlink.llm.packing import pack
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null texts and texts without letters go."""
+    """Documents whose language is known; null texts, texts without letters and texts near no learned language go."""
     return keep_known(docs, fit(docs))
 
 
@@ -62,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(*before)
+        before = [docs]
     return docs
