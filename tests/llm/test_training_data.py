@@ -272,6 +272,28 @@ def test_additive_search_among_many_copies_takes_the_smallest_ids(spark):
     assert got.query_id.nunique() == 85 and hit / (85 * 20) >= 0.95
 
 
+def test_search_in_many_blocks_with_ties_and_clashing_columns(spark, monkeypatch):
+    from weftlink.llm import aq_search as a
+
+    rng = np.random.default_rng(51)
+    x = np.round(vectors(rng, 700, 8) * 2) / 2  # many equal scores
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (40, (x[40] + 9).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("v", F.lit(1)).withColumn("qb", F.lit(0)).withColumn("score", F.lit(0.0))
+    one = sorted(map(tuple, a.search(df, F.col("id") % 20 == 0, k=10).collect()))
+    monkeypatch.setattr(a, "ROW_BLOCK", 40)
+    monkeypatch.setattr(a, "MERGE", 3)
+    many = sorted(map(tuple, a.search(df, F.col("id") % 20 == 0, k=10).collect()))
+    hit, smallest = 0, {i: min([v, w]) if (w := (x[40] + 9).tolist()) and i == 40 else v for i, v in enumerate(x.tolist())}
+    full = np.array([smallest[i] for i in range(700)])
+    for q in range(0, 700, 20):
+        s = full @ full[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(700), -s))[:10]
+        hit += len(set(want) & {r[2] for r in many if r[0] == q})
+    assert hit / 350 >= 0.95 and len(one) == len(many) == 350 and {r[0] for r in many} == set(range(0, 700, 20))
+    assert all(p[:2] == q[:2] and abs(p[3] - q[3]) < 1e-9 for p, q in zip(one, many, strict=True) if p[2] == q[2])
+
+
 def test_chat_layouts_become_turns(spark):
     from weftlink.llm.chat_format import read_back, render, turns_of_records, unmatched
 

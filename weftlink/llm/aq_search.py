@@ -33,8 +33,8 @@ from weftlink.llm.common import staged
 
 #: Vectors to fit codebooks on, codebooks, codewords in each, partial sums kept while encoding.
 FIT_ROWS, CODEBOOKS, CODEWORDS, BEAM = 8192, 16, 256, 8
-#: Shortlist of a query that is scored exactly; queries and candidates in a block.
-RERANK, QUERY_BLOCK, ROW_BLOCK = 200, 1024, 65536
+#: Shortlist of a query that is scored exactly; queries and candidates in a block, at most; lists merged at once.
+RERANK, QUERY_BLOCK, ROW_BLOCK, MERGE = 200, 4096, 65536, 32
 FIT_ROUNDS = 8
 
 
@@ -138,7 +138,9 @@ def encoded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
 def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank: int, n_queries: int, n_rows: int, metric: str = "ip") -> DataFrame:
     """(query_id, id): each query's best ``rerank`` by table scores, ties to the smaller id, over all classes;
     its own is left out where it holds no copy."""
-    q_blocks, r_blocks = -(-n_queries // QUERY_BLOCK), -(-n_rows // ROW_BLOCK)
+    # Blocks are large where there are many queries, as every block of them reads all codes, and small where few.
+    cores = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    q_blocks, r_blocks = max(-(-n_queries // QUERY_BLOCK), min(cores, -(-n_queries // 256))), -(-n_rows // ROW_BLOCK)
     m = quantiser.books.shape[0]
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
     right = codes.withColumn("rb", F.pmod(F.xxhash64("id", F.lit("row")), F.lit(r_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
@@ -163,13 +165,17 @@ def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank
                 best = np.nonzero(score > least)[0]
                 best = np.concatenate([best, np.nonzero(score == least)[0][: k - len(best)]])
                 best = best[np.isfinite(score[best])]
-                out.append((qid, [{"minus": -float(a), "id": int(b)} for a, b in zip(score[best], ids[best], strict=True)]))
-        return pd.DataFrame(out, columns=["query_id", "best"])
-
-    # One row a query and block; a query's lists meet, and its best are taken, before they become rows.
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(scan, "query_id long, best array<struct<minus double, id long>>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank)
-    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best.id").alias("id"))
+                out.append((qid, int(r["rb"].iat[0]), -score[best].astype(np.float64), ids[best]))
+        return pd.DataFrame(out, columns=["query_id", "rb", "minus", "ids"])
+
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(scan, "query_id long, rb int, minus array<double>, ids array<long>")
+    lists = found.select("query_id", "rb", F.zip_with("minus", "ids", lambda s, i: F.struct(s.alias("minus"), i.alias("id"))).alias("best"))
+    # One list a query and block; some lists of a query meet at a time, and its best are taken, round by round.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank).alias("best")
+    while r_blocks > MERGE:
+        r_blocks = -(-r_blocks // MERGE)
+        lists = lists.groupBy("query_id", F.floor(F.col("rb") / MERGE).cast("int").alias("rb")).agg(best)
+    return lists.groupBy("query_id").agg(best).select("query_id", F.explode("best.id").alias("id"))
 
 
 def search(
