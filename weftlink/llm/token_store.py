@@ -93,6 +93,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_alphabet()
+        # Held once: the library makes a new handle at each access.
+        self.cut = self.tokenizer.model.tokenize
+        self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # A space that another white space (or nothing) follows, or a special token: no cut is safe.
         self.odd = re.compile("|".join([r" (?:\s|\Z)", *map(re.escape, special)]))
@@ -114,8 +117,7 @@ class Encoder:
             token = self.letters[32] + token[1:] if token[0] == " " else token
         else:
             token = token.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.tokenizer.model.tokenize(token)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.id_bytes[t.id] for t in self.cut(token)])
 
     def _word(self, word: str) -> bytes:
         """Ids of a word, with the space before it if it has one."""
@@ -136,15 +138,25 @@ class Encoder:
             self.marks[mark] = self._at_once(mark)
         return self.marks[mark]
 
+    def _after_space(self, word: str) -> bytes:
+        """Ids of a word and the space before it; what stands before marks is remembered too."""
+        if word.isalpha():
+            return self._merged(" " + word)
+        core = word.rstrip(string.punctuation)
+        if len(core) == len(word) or not core.isalpha():
+            return self._word(" " + word)
+        ids = self.words.get(core) or self.old.get(core) or self._merged(" " + core)
+        self.words[core] = ids
+        return ids + self._mark(word[len(core) :])
+
     def _learn(self, words: list[str]) -> None:
         if len(self.words) > REMEMBERED:
             self.words, self.old = {}, self.words
         if len(self.marks) > REMEMBERED // 8:
             self.marks = {}
         known, old = self.words, self.old
-        for w in set(words):
-            if w not in known:
-                known[w] = old.get(w) or self._word(" " + w)
+        for w in set(words).difference(known):
+            known[w] = old.get(w) or self._after_space(w)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word or self.odd.search(text):
