@@ -27,24 +27,33 @@ def _value_bucket(x: Column) -> Column:
     return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size)
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Adds the rank from 1 with tied values averaged; null values have no rank.
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """(by, x__, n__, below__) of every distinct value: how often it occurs, and how many lie before it.
 
-    Distinct values are counted first and ranked within buckets of their size, so neither a group of any
-    size nor a value that very many rows share is one task's work.
+    Values are counted first and placed within buckets of their size, so neither a group of any size nor
+    a value that very many rows share is one task's work.
     """
     own = list(by)
-    x = F.col(value).cast("double")
-    some = df.where(F.col(value).isNotNull()).groupBy(*own, x.alias("x__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _value_bucket(F.col("x__")))
+    some = df.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("x__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _value_bucket(F.col("x__")))
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))
-    sums = sums.select(*own, "b__", (F.sum("s__").over(Window.partitionBy(*own).orderBy(order("b__"))) - F.col("s__")).alias("below__"))
-    same = lambda p, q, extra: [F.col(f"{p}.{c}").eqNullSafe(F.col(f"{q}.{c}")) for c in own] + [F.col(f"{p}.{extra}") == F.col(f"{q}.{extra}")]
-    inside = Window.partitionBy(*own, "b__").orderBy(order("x__"))
-    placed = some.alias("a").join(sums.alias("s"), same("a", "s", "b__")).select("a.*", "s.below__")
-    ranks = placed.select(*own, "x__", (F.col("below__") + F.sum("n__").over(inside) - F.col("n__") + (F.col("n__") + 1) / 2).alias(out))
-    rows = df.withColumn("x__", x)
-    return rows.alias("r").join(ranks.alias("k"), same("r", "k", "x__"), "left").select("r.*", f"k.{out}").drop("x__")
+    sums = sums.select(*own, "b__", (F.sum("s__").over(Window.partitionBy(*own).orderBy(order("b__"))) - F.col("s__")).alias("before__"))
+    inside = F.sum("n__").over(Window.partitionBy(*own, "b__").orderBy(order("x__")))
+    placed = some.alias("a").join(sums.alias("s"), _same("a", "s", own, "b__")).select("a.*", "s.before__")
+    return placed.select(*own, "x__", "n__", (F.col("before__") + inside - F.col("n__")).alias("below__"))
+
+
+def _same(a: str, b: str, own: Sequence[str], value: str) -> list[Column]:
+    """Null-safe equality of the group, plain equality of the value."""
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in own] + [F.col(f"{a}.{value}") == F.col(f"{b}.{value}")]
+
+
+def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Adds the rank from 1 with tied values averaged; null values have no rank."""
+    own = list(by)
+    ranks = value_counts(df, value, own, descending).select(*own, "x__", (F.col("below__") + (F.col("n__") + 1) / 2).alias(out))
+    rows = df.withColumn("x__", F.col(value).cast("double"))
+    return rows.alias("r").join(ranks.alias("k"), _same("r", "k", own, "x__"), "left").select("r.*", f"k.{out}").drop("x__")
 
 
 def min_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
@@ -88,21 +97,20 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
     """
     own = list(family)
     some = df.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("p__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _p_bucket(F.col("p__")))
-    same = lambda x, y, extra: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in own] + [F.col(f"{x}.{extra}") == F.col(f"{y}.{extra}")]
     # Buckets are at most 20,000 a family by their rule, so one family's are small enough for any join.
     few = (lambda t: t) if own else F.broadcast
     sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))
     w = Window.partitionBy(*own)
     sums = sums.select(*own, "b__", F.sum("s__").over(w).alias("m__"), (F.sum("s__").over(w.orderBy("b__")) - F.col("s__")).alias("below__"))
     inside = Window.partitionBy(*own, "b__").orderBy("p__")
-    placed = some.alias("a").join(few(sums.alias("s")), same("a", "s", "b__")).select("a.*", "s.m__", "s.below__")
+    placed = some.alias("a").join(few(sums.alias("s")), _same("a", "s", own, "b__")).select("a.*", "s.m__", "s.below__")
     ranked = placed.withColumn("raw__", F.col("p__") * F.col("m__") / (F.col("below__") + F.sum("n__").over(inside)))
     after = Window.partitionBy(*own).orderBy(F.desc("b__")).rowsBetween(Window.unboundedPreceding, -1)
     lows = ranked.groupBy(*own, "b__").agg(F.min("raw__").alias("low__")).select(*own, "b__", F.min("low__").over(after).alias("rest__"))
     down = Window.partitionBy(*own, "b__").orderBy(F.desc("p__"))
-    both = ranked.alias("a").join(few(lows.alias("l")), same("a", "l", "b__")).select("a.*", "l.rest__")
+    both = ranked.alias("a").join(few(lows.alias("l")), _same("a", "l", own, "b__")).select("a.*", "l.rest__")
     q = both.select(*own, "p__", F.least(F.lit(1.0), F.min("raw__").over(down), F.coalesce("rest__", F.lit(1.0))).alias(out))
-    rows = df.where(F.col(p).isNotNull()).withColumn("p__", F.col(p)).alias("r").join(q.alias("q"), same("r", "q", "p__")).select("r.*", f"q.{out}").drop("p__")
+    rows = df.where(F.col(p).isNotNull()).withColumn("p__", F.col(p)).alias("r").join(q.alias("q"), _same("r", "q", own, "p__")).select("r.*", f"q.{out}").drop("p__")
     return rows.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 

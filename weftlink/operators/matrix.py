@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.scalars import finite, split_list
+from weftlink.functions.stats import value_counts
 
 
 @dataclass(frozen=True)
@@ -163,18 +164,18 @@ def variance_table(long: DataFrame, key: str) -> DataFrame:
 def quantile_normalise(long: DataFrame, key: str = "peak", ties: str = "average") -> DataFrame:
     """Each sample's i-th smallest value becomes the mean of all samples' i-th smallest, over samples
     that have as many values; tied values get the mean of their places (or keep their order by key).
-    A repeated key takes its first value."""
-    w = Window.partitionBy(key, "sample").orderBy("value")
-    one = long.select(key, "sample", finite("value").alias("value")).withColumn("nth__", F.row_number().over(w)).where("nth__ = 1").drop("nth__")
-    order = Window.partitionBy("sample").orderBy(F.col("value").asc_nulls_last(), key)
-    placed = one.withColumn("place", F.when(F.col("value").isNotNull(), F.row_number().over(order)))
-    reference = placed.where("place is not null").groupBy("place").agg(F.avg("value").alias("ref"))
-    back = placed.join(reference, "place", "left")
+    A repeated key takes its smallest value."""
+    one = long.select(key, "sample", finite("value").cast("double").alias("value")).groupBy(key, "sample").agg(F.min("value").alias("value"))
+    # A value that occurs n times holds n places; no sample is sorted as a whole.
+    counts = value_counts(one, "value", ["sample"])
+    places = counts.select("sample", "x__", F.explode(F.sequence(F.col("below__") + 1, F.col("below__") + F.col("n__"))).alias("place"))
+    reference = places.groupBy("place").agg(F.avg("x__").alias("ref"))
     if ties == "first":
-        return back.select(key, "sample", F.when(F.col("value").isNotNull(), F.col("ref")).alias("value"))
-    tied = back.where("value is not null").groupBy("sample", "value").agg(F.avg("ref").alias("q__"))
-    joined = back.join(tied, ["sample", "value"], "left")
-    return joined.select(key, "sample", F.col("q__").alias("value"))
+        nth = F.row_number().over(Window.partitionBy("sample", "value").orderBy(key))
+        placed = one.join(counts.withColumnRenamed("x__", "value"), ["sample", "value"], "left").withColumn("place", F.col("below__") + nth)
+        return placed.join(reference, "place", "left").select(key, "sample", F.col("ref").alias("value"))
+    tied = places.join(reference, "place").groupBy("sample", F.col("x__").alias("value")).agg(F.avg("ref").alias("q__"))
+    return one.join(tied, ["sample", "value"], "left").select(key, "sample", F.col("q__").alias("value"))
 
 
 def named_conditions(samples: DataFrame, label: str) -> DataFrame:

@@ -92,18 +92,23 @@ def preset_terms(edges: DataFrame, preset: str, **options) -> DataFrame:
     return document_terms(edges, term, weight, **options)
 
 
-def joint_terms(edges: DataFrame, peak_weight: str = "delta_fp_score", gene_weight: str = "fc_mag_gene_expr", balance: str = "min", count: str = "count_bin", min_df: int = 2, **options) -> DataFrame:
-    """Sites and genes in one table; with ``balance="min"`` each document's modalities are scaled to the
-    smaller total (rounded half to even, zeros dropped)."""
-    p = document_terms(edges, "peak", peak_weight, min_df=min_df, **options).select("doc_id", "term_id", F.col(count).alias("n"), F.lit("peak").alias("modality"))
-    g = document_terms(edges, "gene", gene_weight, min_df=min_df, **options).select("doc_id", "term_id", F.col(count).alias("n"), F.lit("gene").alias("modality"))
-    rows = p.unionByName(g)
+def joint_terms(edges: DataFrame, peak_weight: str = "delta_fp_score", gene_weight: str = "fc_mag_gene_expr", balance: str = "min", count: str = "count_bin", min_df: int = 2, top_n: int = 500, scale: float = 50) -> DataFrame:
+    """Sites and genes in one table, of one pass over the edges; with ``balance="min"`` each document's
+    modalities are scaled to the smaller total (rounded half to even, zeros dropped)."""
+    links = edges.select("doc_id", "gene_key", "peak_id", F.abs(F.col(peak_weight)).alias("p__"), F.abs(F.col(gene_weight)).alias("g__")).where("p__ > 0 or g__ > 0")
+    links = links.groupBy("doc_id", "gene_key", "peak_id").agg(F.sum(F.when(F.col("p__") > 0, F.col("p__"))).alias("p__"), F.max(F.when(F.col("g__") > 0, F.col("g__"))).alias("g__"))
+    named = lambda modality, name, w: F.struct(F.lit(modality).alias("modality"), F.concat(F.lit(f"{modality.upper()}:"), F.col(name).cast("string")).alias("term_id"), F.col(w).alias("w__"))
+    both = links.select("doc_id", F.explode(F.array(named("peak", "peak_id", "p__"), named("gene", "gene_key", "g__"))).alias("t")).select("doc_id", "t.*").where("w__ is not null")
+    terms = both.groupBy("doc_id", "modality", "term_id").agg(F.sum("w__").alias("weight"))
+    w = Window.partitionBy("doc_id", "modality").orderBy(F.desc("weight"), "term_id")
+    terms = min_document_frequency(terms.withColumn("n__", F.row_number().over(w)).where(F.col("n__") <= top_n).drop("n__"), min_df)
+    top = terms.agg(*[F.max(F.when(F.col("modality") == m, F.col("weight"))).alias(m) for m in ("peak", "gene")])
+    share = {"count_bin": F.col("weight") / F.when(F.col("modality") == "peak", F.col("peak")).otherwise(F.col("gene")), "count_log": F.log1p("weight")}[count]
+    rows = terms.crossJoin(F.broadcast(top)).select("doc_id", "modality", "term_id", F.greatest(F.ceil(share * scale), F.lit(1)).cast("long").alias("n"))
     if balance == "min":
-        own = Window.partitionBy("doc_id", "modality")
-        rows = rows.withColumn("own__", F.sum("n").over(own))
-        low = rows.groupBy("doc_id").agg(F.min("own__").alias("low__"), F.countDistinct("modality").alias("k__"))
-        rows = rows.join(low, "doc_id").where("k__ = 2")
-        rows = rows.withColumn("n", F.bround(F.col("n") * F.col("low__") / F.col("own__")).cast("long")).where("n > 0").drop("own__", "low__", "k__")
+        sums = rows.groupBy("doc_id").agg(*[F.sum(F.when(F.col("modality") == m, F.col("n"))).alias(m) for m in ("peak", "gene")]).where("peak is not null and gene is not null")
+        own = F.when(F.col("modality") == "peak", F.col("peak")).otherwise(F.col("gene"))
+        rows = rows.join(sums, "doc_id").withColumn("n", F.bround(F.col("n") * F.least("peak", "gene") / own).cast("long")).where("n > 0")
     return min_document_frequency(rows.groupBy("doc_id", "term_id").agg(F.sum("n").alias("pseudo_count")), min_df)
 
 
@@ -130,10 +135,17 @@ def gene_documents(edges: DataFrame, doc: str = "gene", term: str = "tf", **opti
 
 
 def index_terms(doc_term: DataFrame, count: str = "pseudo_count") -> tuple[DataFrame, DataFrame]:
-    """(documents with sparse vectors, vocabulary): terms numbered by order, documents as one vector each."""
+    """(documents with sparse vectors, vocabulary): terms numbered by order, documents as one vector each.
+
+    Terms that share their first eight characters are numbered together, after all terms before them, so
+    the vocabulary is not one task's work.
+    """
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    vocab = doc_term.select("term_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("term_id")) - 1)
+    terms = doc_term.select("term_id").distinct().withColumn("b__", F.substring("term_id", 1, 8))
+    sums = terms.groupBy("b__").agg(F.count(F.lit(1)).alias("n__"))
+    sums = sums.select("b__", (F.sum("n__").over(Window.orderBy("b__")) - F.col("n__")).alias("before__"))
+    vocab = terms.join(sums, "b__").select("term_id", (F.col("before__") + F.row_number().over(Window.partitionBy("b__").orderBy("term_id")) - 1).cast("int").alias("i"))
     n = vocab.count()
     rows = doc_term.join(vocab, "term_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col(count).cast("double").alias("v")))).alias("x"))
     build = F.udf(lambda x: SparseVector(n, [(r["i"], r["v"]) for r in x]), VectorUDT())
