@@ -293,5 +293,7 @@ def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
                 out.loc[r.docs["null"], "id"] = pd.NA
                 yield out
 
-    spread = shards.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    # Two tasks a core, and more where a task would read more than 64 shards.
+    n, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
+    spread = shards.repartition(max(1, min(n, max(2 * cores, -(-n // 64)))))
     return spread.mapInPandas(decode, "id long, start long, n_tokens long, ids_crc32 long")
