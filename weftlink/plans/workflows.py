@@ -1,4 +1,8 @@
-"""The engine's three modules end to end, as compositions of operators; every result stays lazy."""
+"""The engine's three modules end to end, as compositions of operators.
+
+Tables that several later steps read are staged in the shared folder: each is computed once, plans stay small
+and a lost executor costs no more than the step it was in.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftlink.operators import compare, correlate, graph, links, matrix, topics
 from weftlink.operators.matrix import OmicsSet
+from weftlink.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -32,7 +37,7 @@ def prepare(study: OmicsSet, cut: Cutoffs = Cutoffs(), condition: str = "conditi
     s = study.restricted()
     kept = matrix.often_bound(s.fp_bound, cut.min_bound)
     s = s.with_tables(fp_score=matrix.keep_keys(s.fp_score, kept), fp_bound=matrix.keep_keys(s.fp_bound, kept), fp_annotation=matrix.keep_keys(s.fp_annotation, kept))
-    normal = matrix.quantile_normalise(s.fp_score)
+    normal = staged(matrix.quantile_normalise(s.fp_score), "normal")
     tables = {
         "fp_normal": normal,
         "fp_condition": matrix.by_condition(normal, s.samples, ["peak"], condition=condition),
@@ -43,14 +48,14 @@ def prepare(study: OmicsSet, cut: Cutoffs = Cutoffs(), condition: str = "conditi
         tables["fp_bound_condition"] = matrix.bound_by_condition(s.fp_bound, s.fp_score, s.atac_overlap, s.fp_annotation, s.samples, cut.fp_score, cut.min_samples, condition)
     if s.motif_db is not None:
         tables["fp_annotation"] = matrix.attach_tfs(s.fp_annotation, s.motif_db)
-    return s.with_tables(**tables)
+    return s.with_tables(**{name: t if name == "fp_normal" else staged(t, name) for name, t in tables.items()})
 
 
 def factors_of_sites(study: OmicsSet, cut: Cutoffs = Cutoffs(), mode: str = "canonical", family: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Factor statistics by both methods, all of them and those that pass."""
     out = {}
     for m in ("pearson", "spearman"):
-        found = correlate.correlate_tfs_to_footprints(study.fp_annotation, study.derived["fp_normal"], study.rna, m, mode, study.tf_list, family=family)
+        found = staged(correlate.correlate_tfs_to_footprints(study.fp_annotation, study.derived["fp_normal"], study.rna, m, mode, study.tf_list, family=family), f"tfs-{m}")
         out[m], out[f"{m}_kept"] = found, correlate.passing(found, cut.r_min, cut.q_max)
     return out
 
@@ -59,19 +64,22 @@ def link_study(study: OmicsSet, candidates: DataFrame, tf_stats: DataFrame, cut:
     """Links of candidate (region, gene) pairs: tested by both methods, filtered, supported by their factor,
     and lit in every condition."""
     rows = study.fp_annotation.withColumn("tf", F.explode(F.split("tfs", ","))).join(candidates, "region").select("peak", "gene", "tf", "motif").distinct()
-    p, s = (correlate.correlate_footprints_to_genes(rows, study.derived["fp_normal"], study.rna, m) for m in ("pearson", "spearman"))
+    rows = staged(rows, "candidates")
+    p, s = (staged(correlate.correlate_footprints_to_genes(rows, study.derived["fp_normal"], study.rna, m), f"genes-{m}") for m in ("pearson", "spearman"))
     both = correlate.add_tf_gene_correlation(links.combine_methods(p, s), study.rna)
-    kept = links.supported_by_tf(links.links_by_criteria(both, cut.link_q_max, cut.r_min), tf_stats, cut.r_min, cut.q_max)
+    kept = staged(links.supported_by_tf(links.links_by_criteria(both, cut.link_q_max, cut.r_min), tf_stats, cut.r_min, cut.q_max), "links")
     named = kept.select("tf", "gene", "peak", *[F.col(f"{c}_pearson").alias(c) for c in ("n", "r", "p", "p_adj")])
     basal = links.basal_links(named, tf_stats, matrix.variance_table(study.derived["fp_normal"], "peak"), matrix.variance_table(study.rna, "gene"))
+    basal = staged(basal, "basal")
     d = study.derived
     lit = links.light_by_condition(basal, study.samples.select(F.col(condition).alias("condition")), d["fp_condition"], d["fp_bound_condition"], d["rna_condition"], d["rna_expressed"], tf_min=cut.tf_expr)
+    lit = staged(lit, "lit")
     return {"links": kept, "basal": basal, "by_condition": lit, "status": links.link_status(basal, d["fp_bound_condition"], d["rna_expressed"])}
 
 
 def differential(by_condition: DataFrame, specs: DataFrame, gene_log2fc: float = 0.5, fp_delta: float = 0.5, **options) -> dict[str, DataFrame]:
     """Deltas of all comparisons, filtered and directed, with hubs."""
-    deltas = compare.compare_many(compare.standard_links(by_condition), specs, **options)
+    deltas = staged(compare.compare_many(compare.standard_links(by_condition), specs, **options), "deltas")
     directed = compare.with_direction(compare.filter_deltas(deltas, gene_log2fc=gene_log2fc), gene_log2fc, fp_delta)
     return {"deltas": deltas, "directed": directed, "hubs": compare.tf_hub_summary(directed)}
 
@@ -79,7 +87,8 @@ def differential(by_condition: DataFrame, specs: DataFrame, gene_log2fc: float =
 def topics_of_deltas(deltas: DataFrame, ks: Sequence[int], clusters: DataFrame | None = None, fit=topics.fit_lda, **options) -> tuple[DataFrame, dict[int, topics.TopicModel]]:
     """Documents of filtered deltas and a model for each k."""
     edges = topics.tf_documents(compare.filter_for_topics(deltas), clusters=clusters)
-    terms = topics.joint_terms(edges, "delta_fp_score", "delta_gene_expr")
+    edges = staged(edges, "edges")
+    terms = staged(topics.joint_terms(edges, "delta_fp_score", "delta_gene_expr"), "terms")
     return edges, {k: fit(terms, k, **options) for k in ks}
 
 
@@ -87,6 +96,7 @@ def regulatory_topics(edges: DataFrame, model: topics.TopicModel, method: str =
     """Membership of terms, links that pass, gene sets, and the network summary of a model."""
     scores = topics.normalised_scores(model.phi).select("topic", "term_id", "score")
     member = topics.binarize(scores, binarize)
-    found = topics.topic_links(edges, scores, member, method)
+    member = staged(member, "members")
+    found = staged(topics.topic_links(edges, scores, member, method), "topic-links")
     passing = topics.passing_links(found, "gene_prob" if method == "gene_prob" else "link_prob")
     return {"members": member, "links": found, "passing": passing, "gene_sets": topics.link_gene_sets(passing), "hubs": graph.hub_scores(passing)}
