@@ -106,3 +106,46 @@ def test_stream_of_pairs(spark, tmp_path):
     stream = spark.readStream.schema("k long").parquet(src)
     incremental.stream_pairs(stream, path, ["k"], lambda d: d.selectExpr("k", "k + 1 as v"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(path).count() == 4
+
+
+def test_results_of_other_parameters_are_computed_anew(spark, tmp_path):
+    path, wanted = str(tmp_path / "grown"), spark.range(3).withColumnRenamed("id", "k")
+    made = lambda c: lambda d: d.selectExpr("k", f"k + {c} as v")
+    run = lambda c: sorted(r.v for r in incremental.extend(spark, path, wanted, ["k"], made(c), {"cutoff": c, "mode": "a"}).collect())
+    assert run(1) == [1, 2, 3] and run(5) == [5, 6, 7] and run(1) == [1, 2, 3]
+    assert incremental.fingerprint({"a": 1, "b": 2}) == incremental.fingerprint({"b": 2, "a": 1})
+
+
+def test_links_of_several_samples(spark):
+    shape = "tf string, gene_key string, peak_id string, link_score double"
+    a = spark.createDataFrame([("t", "g", "p", 1.0), ("t", "g", "p", 4.0), ("t", "h", "p", None)], shape)
+    b = spark.createDataFrame([("t", "g", "p", 2.0), ("t", "h", "p", 3.0)], shape)
+    got = {(r.gene_key, r["sample"]): r.value for r in tables.link_samples({"a": a, "b": b}).collect()}
+    assert got == {("g", "a"): 4.0, ("h", "a"): None, ("g", "b"): 2.0, ("h", "b"): 3.0}
+    with pytest.raises(Exception, match="not in every sample"):
+        tables.link_samples({"a": a, "b": b.where("gene_key = 'g'")}).collect()
+    assert tables.link_samples({"a": a, "b": b.where("gene_key = 'g'")}, strict=False).count() == 3
+    with pytest.raises(ValueError):
+        tables.link_samples({"a": a})
+
+
+def test_cached_aligned_sites(spark, tmp_path):
+    (tmp_path / "fp_scores_x.csv").write_text("peak_ID,s1,s2\nchr1:1-5,1.5,NA\nchr1:1-5,9,9\nchr1:7-9,2,3\n")
+    (tmp_path / "fp_bounds_x.csv").write_text("peak_ID,s1,s2\nchr1:7-9,1,0\nchr1:1-5,1,1\nchr1:1-5,0,0\n")
+    (tmp_path / "fp_annotation_x.csv").write_text("fp_peak,atac_peak,motifs\nchr1:1-5,chr1:0-9,M1\n")
+    got = tables.read_aligned_sites(spark, str(tmp_path), "x", distinct=True)
+    assert sorted((r.peak, r["sample"], r.value) for r in got["fp_score"].where("value is not null").collect()) == [("chr1:1-5", "s1", 1.5), ("chr1:7-9", "s1", 2.0), ("chr1:7-9", "s2", 3.0)]
+    assert {r.value for r in got["fp_bound"].where("peak = 'chr1:1-5'").collect()} == {1.0}
+    assert got["id_map"].collect()[0].asDict() == {"peak_ID": "chr1:1-5", "fp_peak_bak": "chr1:1-5", "atac_peak": "chr1:0-9", "group_size": None}
+    (tmp_path / "fp_bounds_x.csv").write_text("peak_ID,s1\nchr1:7-9,1\n")
+    with pytest.raises(ValueError):
+        tables.read_aligned_sites(spark, str(tmp_path), "x")
+
+
+def test_network_as_json(spark):
+    import json
+
+    from weftlink.operators import graph
+
+    text = graph.network_json(spark.createDataFrame([("a", 1)], "id string, n int"), spark.createDataFrame([("a", 'q"', None), ("a", "c", 0.5)], "tf string, gene string, w double"))
+    assert json.loads(text) == {"nodes": [{"id": "a", "n": 1}], "edges": [{"tf": "a", "gene": "c", "w": 0.5}, {"tf": "a", "gene": 'q"'}]}

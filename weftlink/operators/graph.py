@@ -235,6 +235,21 @@ def assign_communities(edges: DataFrame, weight: str = "delta_link_score", min_a
     return edges.sparkSession.createDataFrame(got[["tf", "gene_key", "topic"]], shape)
 
 
+#: Rows of nodes and edges that one JSON text holds, at most.
+MAX_DRAWN = 100_000
+
+
+def network_json(nodes: DataFrame, edges: DataFrame) -> str:
+    """{"nodes": [...], "edges": [...]}, each row an object without its nulls; refused beyond ``MAX_DRAWN`` rows."""
+    parts = {}
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        got = [r[0] for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).orderBy("j").limit(MAX_DRAWN + 1).collect()]
+        if len(got) > MAX_DRAWN:
+            raise ValueError(f"a drawn network holds {MAX_DRAWN} {name} at most")
+        parts[name] = got
+    return "{" + ", ".join(f'"{name}": [{", ".join(rows)}]' for name, rows in parts.items()) + "}"
+
+
 def topic_filter(topics: str, topic: str, sep: str = ";"):
     """Whether a packed list holds a topic as a whole item."""
     return F.array_contains(F.transform(F.split(topics, sep), lambda x: F.trim(x)), topic)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.functions.scalars import chromosome_order, finite, format_region, log2_ratio, safe_name
-from weftlink.operators.compare import file_comparison, standard_links
+from weftlink.operators.compare import file_comparison, one_a_key, standard_links
 from weftlink.operators.matrix import OmicsSet
 
 #: Canonical columns of an enhancer-gene prior and their other spellings.
@@ -208,6 +208,51 @@ def read_deltas(spark: SparkSession, paths) -> DataFrame:
     return rows.select(*keys, F.concat_ws("_vs_", "case_", "ctrl_").alias("comparison_id"), F.col("direction_").alias("file_direction"), *cols, *given)
 
 
+def link_samples(tables: dict[str, DataFrame], value: str = "link_score", strict: bool = True, keep: str = "max_link_score") -> DataFrame:
+    """(tf, gene_key, peak_id, sample, value) of the standard link tables of several samples. A key that repeats
+    in a sample keeps one row (``max_link_score``, or ``first`` by score and value); with ``strict`` every sample must
+    hold the same keys, else the first key that does not is named when the rows are read."""
+    if len(tables) < 2:
+        raise ValueError("at least two samples are needed")
+    parts = []
+    for name, table in tables.items():
+        if value not in table.columns:
+            raise ValueError(f"no column {value} in sample {name}")
+        parts.append(table.select("tf", "gene_key", "peak_id", F.lit(name).alias("sample"), "link_score", F.col(value).cast("double").alias("value")))
+    rows = one_a_key(functools.reduce(lambda a, b: a.unionByName(b), parts), ("tf", "gene_key", "peak_id", "sample"), keep).drop("link_score")
+    if not strict:
+        return rows
+    keys = ["tf", "gene_key", "peak_id"]
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"))
+    fault = F.raise_error(F.concat(F.lit("not in every sample: "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+    return rows.join(n, keys).withColumn("value", F.when(F.col("n__") == len(tables), F.col("value")).otherwise(fault.cast("double"))).drop("n__")
+
+
+def read_aligned_sites(spark: SparkSession, folder: str, tag: str, distinct: bool = False) -> dict[str, DataFrame]:
+    """Cached aligned sites: ``fp_score`` and ``fp_bound`` (peak, sample, value), ``fp_annotation`` and ``id_map``.
+    With ``distinct`` the first row of a repeated peak counts; both matrices must hold the same peaks."""
+
+    def long(kind: str) -> DataFrame:
+        df = read_csv(spark, f"{folder}/fp_{kind}_{tag}.csv").withColumn("row__", F.monotonically_increasing_id())
+        if distinct:
+            first = df.groupBy("peak_ID").agg(F.min("row__").alias("row__"))
+            df = df.join(first, ["peak_ID", "row__"], "left_semi")
+        samples = [c for c in df.columns if c not in ("peak_ID", "row__")]
+        values = df.select(F.col("peak_ID").alias("peak"), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in samples])
+        return values.unpivot("peak", samples, "sample", "value")
+
+    score, bound, annotation = long("scores"), long("bounds"), read_csv(spark, f"{folder}/fp_annotation_{tag}.csv")
+    a, b = score.select("peak").distinct(), bound.select("peak").distinct()
+    if a.exceptAll(b).unionAll(b.exceptAll(a)).limit(1).count():
+        raise ValueError("scores and flags do not hold the same peaks")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/fp_id_map_{tag}.csv")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        ids = read_csv(spark, path.toString())
+    else:
+        ids = annotation.select(F.col("fp_peak").alias("peak_ID"), F.col("fp_peak").alias("fp_peak_bak"), "atac_peak", F.lit(None).cast("double").alias("group_size"))
+    return {"fp_score": score, "fp_bound": bound, "fp_annotation": annotation, "id_map": ids}
+
+
 def write_by_condition(rows: DataFrame, path: str, *by: str) -> None:
     """Partitioned Parquet, one folder a value."""
     rows.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,17 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def extend(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Compute the wanted keys that the table at ``path`` lacks, append them, and return all wanted rows."""
+def fingerprint(parameters: dict) -> str:
+    """A name for a set of parameters: equal values, equal name."""
+    return hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def extend(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], parameters: dict | None = None) -> DataFrame:
+    """Compute the wanted keys that the table at ``path`` lacks, append them, and return all wanted rows.
+
+    Results of other ``parameters`` are another table: a changed threshold never meets old rows.
+    """
+    path = path if parameters is None else f"{path}/parameters={fingerprint(parameters)}"
     known = stored(spark, path)
     fresh = wanted.select(*keys).distinct()
     if known is not None:
@@ -23,10 +34,10 @@ def extend(spark: SparkSession, path: str, wanted: DataFrame, keys: Sequence[str
     return spark.read.parquet(path).join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def stream_pairs(pairs: DataFrame, path: str, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], checkpoint: str):
+def stream_pairs(pairs: DataFrame, path: str, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], checkpoint: str, parameters: dict | None = None):
     """A query that computes each new pair of a stream once and appends it to the table at ``path``."""
 
     def batch(df: DataFrame, _: int) -> None:
-        extend(df.sparkSession, path, df, keys, compute)
+        extend(df.sparkSession, path, df, keys, compute, parameters)
 
     return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
