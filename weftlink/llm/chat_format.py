@@ -7,7 +7,8 @@ canonical turns (role, text). Turns are rendered as ``<|im_start|>role\\ntext<|i
 template's control strings never occur in a text and reading back is exact.
 
 Defined cases: null role or text counts as empty; turns are ordered by turn, role, text, null
-first; repeated turns are kept; records with an unknown fingerprint or invalid JSON come back
+first; repeated turns are kept; rows without a conversation id are one conversation; a conversation is
+one string, and so one row of one task, however long it is; records with an unknown fingerprint or invalid JSON come back
 from ``unmatched`` and never crash; an empty table gives an empty result.
 """
 
