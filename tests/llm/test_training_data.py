@@ -251,6 +251,21 @@ def test_additive_search_recall_and_exact_scores(spark):
     assert search(few.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_additive_search_recall_in_a_table_far_larger_than_the_shortlist(spark):
+    from weftlink.llm.aq_search import search
+
+    x = vectors(np.random.default_rng(61), 20_000, 64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = search(df, F.col("id") % 500 == 0, k=20).toPandas().groupby("query_id").id.apply(set)
+    hit = 0
+    for q in range(0, len(x), 500):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:20]) & got[q])
+    assert hit / (20 * len(got)) >= 0.95 and len(got) == 40
+
+
 def test_additive_search_among_many_copies_takes_the_smallest_ids(spark):
     from weftlink.llm.aq_search import search
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from weftlink.llm.common import staged
 
 #: Vectors to fit codebooks on, codebooks, codewords in each, partial sums kept while encoding.
-FIT_ROWS, CODEBOOKS, CODEWORDS, BEAM = 8192, 16, 256, 8
+FIT_ROWS, CODEBOOKS, CODEWORDS, BEAM = 8192, 32, 256, 4
 #: Shortlist of a query that is scored exactly; queries and candidates in a block, at most; lists merged at once.
 RERANK, QUERY_BLOCK, ROW_BLOCK, MERGE = 200, 4096, 65536, 32
 FIT_ROUNDS = 8
