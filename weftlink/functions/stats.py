@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from weftlink.sources.staging import staged
+
 
 def average_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
     """Rank from 1 with tied values averaged; null values have no rank. For groups that one task can sort."""
@@ -93,9 +95,10 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
 
     Distinct p are counted first; their ranks and running minima are taken within buckets of p and joined
     through one small row a bucket, so a family of any size, and a p that very many rows share, is
-    dealt over many tasks. Rows with null p go past all that.
+    dealt over many tasks. Rows with null p go past all that. The tests are staged first: they are needed more
+    than once, and a condition on p would otherwise be pushed into, and repeat, the expression that made p.
     """
-    own = list(family)
+    own, df = list(family), staged(df, "tests")
     some = df.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("p__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _p_bucket(F.col("p__")))
     # Buckets are at most 20,000 a family by their rule, so one family's are small enough for any join.
     few = (lambda t: t) if own else F.broadcast
