@@ -99,3 +99,33 @@ def test_too_large_work_is_refused(spark, monkeypatch):
     edges = spark.createDataFrame([(f"c{i}", "f", float(i + 1)) for i in range(3)], "comparison_id string, tf string, delta_link_score double")
     with pytest.raises(ValueError):
         graph.cluster_comparisons(edges, ["f"], 2)
+
+
+def test_exact_quantiles_equal_the_engine_s(spark):
+    rng = np.random.default_rng(8)
+    rows = [("ab"[i % 2] if i % 5 else None, float(v)) for i, v in enumerate(np.round(rng.normal(0, 2, 201), 1))] + [("a", None), ("z", None), ("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        want = {r.g: r.v for r in df.groupBy("g").agg(F.percentile("x", F.lit(q)).alias("v")).collect() if r.v is not None}
+        got = {r.g: r.v for r in stats.exact_quantile(df, "x", q, "v", ["g"]).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+        assert stats.exact_quantile(df, "x", q, "v").first().v == pytest.approx(df.agg(F.percentile("x", F.lit(q))).first()[0])
+    assert stats.exact_quantile(df.limit(0), "x", 0.5, "v").collect()[0].v is None
+
+
+def test_robust_z_by_group(spark):
+    rows = [("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 5.0), ("b", 5.0), (None, 1.0), (None, None), ("n", None)]
+    got = sorted(((r.g or "", r.x if r.x is not None else -1, r.z) for r in stats.robust_z(spark.createDataFrame(rows, "g string, x double"), "x", "z", ["g"]).collect()), key=str)
+    assert len(got) == len(rows) and [z for g, x, z in got if g == "b"] == [0.0, 0.0] and all(z is None for _, x, z in got if x == -1)
+    assert {x: z for g, x, z in got if g == "a"} == pytest.approx({x: (x - 3) / 1.4826 for x in (1, 2, 3, 4, 100)})
+
+
+def test_models_that_fail_are_listed(spark):
+    from weftlink.plans import workflows
+
+    def fit(terms, k):
+        if k > 2:
+            raise ValueError("too many topics\nmore")
+        return k
+
+    assert workflows.model_grid(None, {"a": {"k": 2}, "b": {"k": 9}}, fit) == ({"a": 2}, [("b", {"k": 9}, "too many topics")])

@@ -58,6 +58,19 @@ def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (
     return rows.alias("r").join(ranks.alias("k"), _same("r", "k", own, "x__"), "left").select("r.*", f"k.{out}").drop("x__")
 
 
+def exact_quantile(df: DataFrame, value: str, q: float, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, out): the q-quantile of the values that are not null, between two places in proportion; one row with null
+    for no values at all. Values are counted, not gathered, so a table of any size will do."""
+    own = list(by)
+    counts = value_counts(df, value, own)
+    total = counts.groupBy(*own).agg(((F.sum("n__") - 1) * q).alias("h__"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in own]
+    held = (counts.alias("c").join(total.alias("t"), same) if own else counts.alias("c").crossJoin(F.broadcast(total.alias("t")))).select("c.*", "t.h__")
+    at = lambda i: F.max(F.when((F.col("below__") <= i) & (i < F.col("below__") + F.col("n__")), F.col("x__")))
+    found = held.groupBy(*own).agg(at(F.floor("h__")).alias("lo__"), at(F.ceil("h__")).alias("hi__"), F.max(F.col("h__") - F.floor("h__")).alias("part__"))
+    return found.select(*own, (F.col("lo__") + F.col("part__") * (F.col("hi__") - F.col("lo__"))).alias(out))
+
+
 def min_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
     x = F.col(value)
     order = x.desc_nulls_last() if descending else x.asc_nulls_last()
@@ -118,19 +131,22 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
 
 
 def robust_z(df: DataFrame, value: str, out: str, by: Sequence[str] = (), fallback_sd: bool = False, clamp: float | None = None) -> DataFrame:
-    """(x - median) / (1.4826 MAD); MAD 0 gives 0, or the plain z score with ``fallback_sd``."""
-    own = list(by)
-    mid = df.groupBy(*own).agg(F.percentile(value, F.lit(0.5)).alias("mid__"), F.stddev_samp(value).alias("sd__"), F.avg(value).alias("avg__"))
-    on = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in own] or F.lit(True)
-    with_mid = df.alias("d").join(mid.alias("m") if own else F.broadcast(mid.alias("m")), on("d", "m")).select("d.*", "m.mid__", "m.sd__", "m.avg__")
-    mad = with_mid.groupBy(*own).agg(F.percentile(F.abs(F.col(value) - F.col("mid__")), F.lit(0.5)).alias("mad__"))
-    both = with_mid.alias("d").join(mad.alias("m") if own else F.broadcast(mad.alias("m")), on("d", "m")).select("d.*", "m.mad__")
+    """(x - median) / (1.4826 MAD); MAD 0 gives 0, or the plain z score with ``fallback_sd``. Staged, as both medians
+    need the rows again."""
+    own, df = list(by), staged(df, "values")
+    with_row = lambda rows, side, names: (
+        rows.alias("d").join(side.alias("m"), [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in own], "left") if own else rows.alias("d").crossJoin(F.broadcast(side.alias("m")))
+    ).select("d.*", *[f"m.{n}" for n in names])
+    spread = df.groupBy(*own).agg(F.stddev_samp(value).alias("sd__"), F.avg(value).alias("avg__"))
+    with_mid = with_row(with_row(df, spread, ["sd__", "avg__"]), exact_quantile(df, value, 0.5, "mid__", own), ["mid__"])
+    far = staged(with_mid.withColumn("far__", F.abs(F.col(value) - F.col("mid__"))), "far")
+    both = with_row(far, exact_quantile(far, "far__", 0.5, "mad__", own), ["mad__"])
     plain = F.try_divide(F.col(value) - F.col("avg__"), F.col("sd__")) if fallback_sd else F.lit(0.0)
     z = F.when(F.col("mad__") > 0, (F.col(value) - F.col("mid__")) / (1.4826 * F.col("mad__"))).otherwise(F.coalesce(plain, F.lit(0.0)))
     z = F.when(F.col(value).isNotNull(), z)
     if clamp is not None:
         z = F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clamp)), F.lit(clamp)))
-    return both.withColumn(out, z).drop("mid__", "sd__", "avg__", "mad__")
+    return both.withColumn(out, z).drop("mid__", "sd__", "avg__", "mad__", "far__")
 
 
 def gamma_moments(value: Column | str, least: int = 10) -> Column:

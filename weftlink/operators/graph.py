@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.functions.stats import robust_z
+from weftlink.functions.stats import exact_quantile, robust_z
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
@@ -121,7 +121,9 @@ def site_gene_sums(edges: DataFrame) -> DataFrame:
 def caps(df: DataFrame, value: str, q: float = 0.995) -> DataFrame:
     """The quantile of positive and of negative magnitudes, 1 where there are none."""
     x = F.col(value)
-    return df.agg(F.coalesce(F.percentile(F.when(x > 0, x), F.lit(q)), F.lit(1.0)).alias("cap_pos"), F.coalesce(F.percentile(F.when(x < 0, -x), F.lit(q)), F.lit(1.0)).alias("cap_neg"))
+    sizes = df.select(F.when(x > 0, x).cast("double").alias("cap_pos"), F.when(x < 0, -x).cast("double").alias("cap_neg"))
+    one = lambda name: exact_quantile(sizes, name, q, name).select(F.coalesce(name, F.lit(1.0)).alias(name))
+    return one("cap_pos").crossJoin(F.broadcast(one("cap_neg")))
 
 
 def shared_sites(edges: DataFrame, least: int = 2) -> DataFrame:

@@ -185,10 +185,10 @@ MAX_ITEMS = 5000
 
 def cluster_similarity(table: DataFrame, k: int | None = None, method: str = "average") -> tuple[list[tuple[str, int]], int]:
     """(item, cluster) from (a, b, similarity); absent pairs are 0. The number of items is checked."""
-    got = table.select("a", "b", "similarity").limit(MAX_ITEMS * MAX_ITEMS + 1).toPandas()
-    ids = sorted({*got["a"], *got["b"]})
-    if len(ids) > MAX_ITEMS:
+    if table.select(F.explode(F.array("a", "b"))).distinct().limit(MAX_ITEMS + 1).count() > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
+    got = table.select("a", "b", "similarity").groupBy("a", "b").agg(F.max("similarity").alias("similarity")).toPandas()
+    ids = sorted({*got["a"], *got["b"]})
     at = {v: i for i, v in enumerate(ids)}
     d = np.ones((len(ids), len(ids)))
     i, j = got["a"].map(at).to_numpy(int), got["b"].map(at).to_numpy(int)

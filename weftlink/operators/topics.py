@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.functions.stats import benjamini_hochberg, gamma_cutoff, gamma_moments
+from weftlink.functions.stats import benjamini_hochberg, exact_quantile, gamma_cutoff, gamma_moments
 
 
 def tf_documents(edges: DataFrame, by: str = "gene", clusters: DataFrame | None = None, modality: str | None = None) -> DataFrame:
@@ -120,8 +120,9 @@ def pooled_terms(edges: DataFrame, which: str = "abs", min_abs: float | None = N
     rows = edges.where(F.abs(d) >= min_abs) if min_abs is not None else edges
     rows = rows.withColumn("w__", w)
     if boosts:
-        stats = rows.agg(*[F.percentile(F.abs(c), F.lit(q)).alias(f"q{i}__") for i, (c, _) in enumerate(boosts)])
-        rows = rows.crossJoin(F.broadcast(stats))
+        sizes = rows.select(*[F.abs(c).cast("double").alias(f"s{i}__") for i, (c, _) in enumerate(boosts)])
+        for i in range(len(boosts)):
+            rows = rows.crossJoin(F.broadcast(exact_quantile(sizes, f"s{i}__", q, f"q{i}__")))
         for i, (c, b) in enumerate(boosts):
             share = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.abs(c), F.col(f"q{i}__")), F.lit(0.0)))
             rows = rows.withColumn("w__", F.col("w__") * (1 + b * share))
@@ -247,7 +248,7 @@ def annotate_links(links: DataFrame, k: int, which: str = "abs", min_df: int = 2
     """Links with the packed topics of their factor, from an LDA of factors over genes with counts of
     max(1, round(10 w / q90))."""
     terms = pooled_terms(links, which, doc=("tf",), min_df=min_df)
-    q = terms.agg(F.percentile("weight", F.lit(0.9)).alias("q__"))
+    q = exact_quantile(terms, "weight", 0.9, "q__")
     counts = terms.crossJoin(F.broadcast(q)).withColumn("pseudo_count", F.greatest(F.lit(1), F.bround(10 * F.col("weight") / F.col("q__")).cast("long")))
     model = fit_lda(counts, k, seed=seed, **options)
     return links.join(assign_topics(model.theta, cutoff).withColumnRenamed("doc_id", "tf"), "tf", "left")

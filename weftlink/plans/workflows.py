@@ -92,6 +92,18 @@ def topics_of_deltas(deltas: DataFrame, ks: Sequence[int], clusters: DataFrame |
     return edges, {k: fit(terms, k, **options) for k in ks}
 
 
+def model_grid(terms: DataFrame, settings: dict[str, dict], fit=topics.fit_lda) -> tuple[dict[str, topics.TopicModel], list[tuple[str, dict, str]]]:
+    """A model for each named setting, and (name, setting, error) of those that could not be fitted: one that fails
+    does not cost the others."""
+    models, failures = {}, []
+    for name, options in settings.items():
+        try:
+            models[name] = fit(terms, **options)
+        except Exception as error:  # noqa: BLE001  whatever a model fails with belongs to the summary
+            failures.append((name, options, str(error).split("\n")[0]))
+    return models, failures
+
+
 def regulatory_topics(edges: DataFrame, model: topics.TopicModel, method: str = "link_score_prob", binarize: str = "gammafit") -> dict[str, DataFrame]:
     """Membership of terms, links that pass, gene sets, and the network summary of a model."""
     scores = topics.normalised_scores(model.phi).select("topic", "term_id", "score")
