@@ -171,3 +171,15 @@ def test_mixed_model_finds_the_slope(spark):
     info = spark.createDataFrame([(s, float(s % 5), str(s // 5)) for s in range(20)], "sample int, x double, grp string")
     got = compare.multi_lmm(spark.createDataFrame(rows, "tf string, gene_key string, peak_id string, sample int, value double"), info, ["x"], "grp").collect()
     assert got[0].beta == pytest.approx(2, abs=0.1)
+
+
+def test_ranks_of_small_and_large_comparisons_agree(spark, monkeypatch):
+    from weftlink.operators import compare
+
+    rows = [("t", f"g{i}", "p", c, float((i * 7) % 5) if i % 6 else None, 1.0, 1.0, 1.0, 1, "+") for i in range(40) for c in ("a", "b")]
+    df = spark.createDataFrame(rows, "tf string, gene_key string, peak_id string, condition string, link_score double, fp_score double, tf_expr double, gene_expr double, active int, link_sign string")
+    specs = spark.createDataFrame([("b_vs_a", "b", "a"), ("a_vs_b", "a", "b")], "comparison_id string, case string, control string")
+    run = lambda: sorted(compare.compare_many(df, specs).select("comparison_id", "gene_key", "rank_case", "rank_ctrl", "rank_shift").collect(), key=str)
+    small = run()
+    monkeypatch.setattr(compare, "RANK_ROWS", 3)
+    assert run() == small and len(small) == 80 and any(r.rank_case is None for r in small)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.scalars import any_above, finite, fold_magnitude, log2_ratio, snake
-from weftlink.functions.stats import benjamini_hochberg, digamma, f_upper, t_two_sided, trigamma, trigamma_inverse, with_average_rank
+from weftlink.functions.stats import average_rank, benjamini_hochberg, digamma, f_upper, t_two_sided, trigamma, trigamma_inverse, with_average_rank
+from weftlink.sources.staging import staged
 
 KEY = ("tf", "gene_key", "peak_id")
+#: Rows of a comparison, at most, that one task ranks.
+RANK_ROWS = 2_000_000
 MEASURES = ("link_score", "fp_score", "tf_expr", "gene_expr")
 #: Other spellings of columns, in order of preference.
 ALIASES = {"link_score": ("edge_weight", "link_weight", "weight"), "fp_score": ("fp_bed_score", "footprint_score"), "active": ("active_link",), "r_gene": ("r", "corr")}
@@ -85,8 +88,14 @@ def compare(
         x, y = F.col(f"{m}_case"), F.col(f"{m}_ctrl")
         rows = rows.withColumn(f"delta_{m}", x - y).withColumn(f"log2FC_{m}", log2_ratio(x, y, pseudo)).withColumn(f"fc_{m}", F.try_divide(x + pseudo, y + pseudo))
     if ranks:
+        # Staged: the rows are needed again to be counted. Groups that one task sorts quickly are ranked by windows.
+        rows = once = staged(rows, "compared")
+        largest = once.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         for s in ("case", "ctrl"):
-            rows = with_average_rank(rows, f"link_score_{s}", f"rank_{s}", list(group), descending=True)
+            if largest <= RANK_ROWS:
+                rows = rows.withColumn(f"rank_{s}", average_rank(f"link_score_{s}", list(group), descending=True))
+            else:
+                rows = with_average_rank(rows, f"link_score_{s}", f"rank_{s}", list(group), descending=True, counted=once)
         rows = rows.withColumn("rank_shift", F.col("rank_case") - F.col("rank_ctrl"))
     p, q = F.col("active_case") > 0, F.col("active_ctrl") > 0
     change = F.when(p & q, "shared").when(p & ~q, "gain").when(~p & q, "loss").when(~p & ~q, "inactive")
