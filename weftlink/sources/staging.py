@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="weftlink-")
+        made = tempfile.mkdtemp(prefix="weftlink-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = "file://" + made
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
