@@ -49,6 +49,8 @@ def test_delta_files_keep_their_own_heads(spark, tmp_path):
     (tmp_path / "A1_vs_B1_delta_links.csv").write_text("tf,gene_key,peak_id,fp_score_A1,fp_score_B1,tf_expr_A1,tf_expr_B1,delta_fp_score,fc_gene_expr,fp_bound_A1\nt,g,p,3,1,7,3,2,0.25,1\n")
     (tmp_path / "A2_vs_B2_delta_links_filtered_down.csv").write_text('"peak_id","tf","gene_key","log2FC_fp_bed_score","fp_bed_score_B2","fp_bed_score_A2","log2FC_gene_expr"\n"p,2",t2,g2,-1,8,4,NA\n')
     got = {r.comparison_id: r for r in tables.read_deltas(spark, str(tmp_path)).collect()}
+    files = sorted(map(str, tmp_path.iterdir()))
+    assert tables.read_deltas(spark, files).count() == 2 and [r.comparison_id for r in tables.read_deltas(spark, files, 1).collect()] == ["A1_vs_B1"]
     a, b = got["A1_vs_B1"], got["A2_vs_B2"]
     assert (a.tf, a.peak_id, a.fp_score_case, a.fp_score_ctrl, a.file_direction) == ("t", "p", 3.0, 1.0, None)
     assert (a.delta_fp, a.log2fc_fp, a.fc_mag_fp, a.log2fc_gene, a.fc_mag_gene, a.log2fc_tf, a.fc_mag_tf) == (2.0, 2.0, 4.0, -2.0, 4.0, 1.0, 2.0)

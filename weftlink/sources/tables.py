@@ -173,12 +173,15 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 DELTA_MEASURES, OLDER = ("link_score", "fp_score", "tf_expr", "gene_expr"), {"fp_score": "fp_bed_score"}
 
 
-def read_deltas(spark: SparkSession, paths) -> DataFrame:
+def read_deltas(spark: SparkSession, paths, max_files: int | None = None) -> DataFrame:
     """Delta files of many comparisons in one read, each under its own head. Case, control and direction come
     from file names; columns ``measure_condition`` become ``measure_case`` and ``measure_ctrl``; flags that
     a file lacks are 0. Changes are standard: ``delta_fp``, ``delta_gene``, ``log2fc_fp``, ``log2fc_gene``,
     ``log2fc_tf`` and their fold sizes ``fc_mag_*``; a lacking ratio is taken from the fold, then the delta.
-    All other ``delta_``, ``log2FC_`` and ``fc_`` columns of any file are carried."""
+    All other ``delta_``, ``log2FC_`` and ``fc_`` columns of any file are carried. Of a list of files the first
+    ``max_files`` are read."""
+    if max_files is not None and not isinstance(paths, str):
+        paths = list(paths)[:max_files]
     rows = headed_rows(spark, paths, ("tf", "gene_key", "peak_id"), ",")
     name = file_comparison()
     rows = rows.select("head", "row", F.coalesce(name["case"], F.raise_error(F.concat(F.lit("no case and control in the name of "), "file")).cast("string")).alias("case_"), name["control"].alias("ctrl_"), name["direction"].alias("direction_"))
