@@ -96,6 +96,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op11_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.sharding import balanced_shards, text_bytes
+
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    law = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return balanced_shards(docs, F.col("size"), ["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", *law)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.centroids import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlink.llm.code_compression import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -109,6 +130,9 @@ QUERIES = {
         op8_token_attribution,
         op9_projection_forest,
         op10_line_dedup,
+        op11_byte_shards,
+        op12_centroid_clusters,
+        op13_vector_codes,
     )
 }
 
@@ -219,3 +243,77 @@ SELECT d.doc_id, CASE WHEN n_deleted > 0 THEN CASE WHEN words > 0 THEN o.text EL
        coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_deleted, 0)::INT AS n_deleted
 FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(coalesce('t' || d.text, '')) = o.tkey
 """
+
+#: The check sum is made byte by byte from its polynomial.
+ORACLE_SQL["op11_byte_shards"] = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+bytes AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+docs AS (
+  SELECT doc_id, rid, len(h) // 2 + 8 AS size,
+         xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+             lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::INT])), 4294967295) AS text_crc32
+  FROM bytes, tab),
+run AS (
+  SELECT *, row_number() OVER o AS nth, (sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size)::HUGEINT AS before, (sum(size) OVER ())::HUGEINT AS total
+  FROM docs WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, rid)),
+put AS (SELECT *, ((2 * before + size) * 24 // (2 * total))::INT AS shard FROM run)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       (nth - min(nth) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM put
+"""
+
+
+def _rounds(first: str, step: str, n: int) -> str:
+    """Common table expressions of n rounds; {p} and {c} are the numbers of the former and this one."""
+    return ",\n".join([first, *[step.format(p=i, c=i + 1) for i in range(n)]])
+
+
+ORACLE_SQL["op12_centroid_clusters"] = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+"""
+    + _rounds(
+        r"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < 16),
+a0 AS (SELECT rid, min(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c0.v[i]) * (k.v[i] - c0.v[i])))::BIGINT * 16 + c) AS m FROM kept k, c0 GROUP BY rid)""",
+        r"""s{c} AS (SELECT m % 16 AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM kept JOIN a{p} USING (rid), range(1, 65) t(i) GROUP BY m % 16, i),
+m{c} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{c} GROUP BY c),
+c{c} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{p} o LEFT JOIN m{c} m ON o.c = m.c),
+a{c} AS (SELECT rid, min(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c{c}.v[i]) * (k.v[i] - c{c}.v[i])))::BIGINT * 16 + c) AS m FROM kept k, c{c} GROUP BY rid)""",
+        3,
+    )
+    + r"""
+SELECT vec_id, (m % 16)::INT AS cluster, m // 16 AS distance, (sum(m // 16) OVER (PARTITION BY m % 16))::BIGINT AS cluster_inertia,
+       (sum(m // 16) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM kept JOIN a3 USING (rid) JOIN c3 ON c3.c = m % 16
+"""
+)
+
+ORACLE_SQL["op13_vector_codes"] = (
+    r"""
+WITH fine AS (
+  SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT len(v) // 16 AS w FROM fine WHERE len(v) > 0 AND len(v) % 16 = 0 GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1),
+kept AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM fine, w WHERE len(v) = 16 * w),
+parts AS (SELECT rid, e, p, w, v[(p * w + 1):(p * w + w)] AS v FROM kept, range(16) t(p)),
+"""
+    + _rounds(
+        r"""c0 AS (SELECT p, e, v FROM parts WHERE e < 64),
+a0 AS (SELECT rid, p, min(list_sum(list_transform(range(1, w + 1), lambda i: (k.v[i] - c0.v[i]) * (k.v[i] - c0.v[i])))::BIGINT * 64 + c0.e) AS m FROM parts k JOIN c0 USING (p) GROUP BY rid, p)""",
+        r"""s{c} AS (SELECT p, m % 64 AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, m, v, unnest(range(1, w + 1)) AS i FROM parts JOIN a{p} USING (rid, p)) GROUP BY p, m % 64, i),
+m{c} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{c} GROUP BY p, e),
+c{c} AS (SELECT o.p, o.e, coalesce(m.v, o.v) AS v FROM c{p} o LEFT JOIN m{c} m ON o.p = m.p AND o.e = m.e),
+a{c} AS (SELECT rid, p, min(list_sum(list_transform(range(1, w + 1), lambda i: (k.v[i] - c{c}.v[i]) * (k.v[i] - c{c}.v[i])))::BIGINT * 64 + c{c}.e) AS m FROM parts k JOIN c{c} USING (p) GROUP BY rid, p)""",
+        2,
+    )
+    + r""",
+coded AS (SELECT rid, string_agg(lower(format('{:02x}', m % 64)), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), book
+"""
+)
