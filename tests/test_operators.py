@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink.operators import compare, correlate, graph, intervals, matrix, motif, topics
+from weftlink.operators.components import agreeing
 
 
 def test_overlap_conventions(spark):
@@ -21,7 +22,7 @@ def test_touching_intervals_merge(spark):
 
 def test_alike_sites_chain_and_null_equals_null(spark):
     df = spark.createDataFrame([("r", "A", [1.0, 2.0, None]), ("r", "B", [1.0, 9.0, None]), ("r", "C", [7.0, 9.0, None])], "region string, peak string, v array<double>")
-    got = {r.peak: r.cluster for r in intervals.similar_within(df, "region", "peak", "v", 0.6).collect()}
+    got = {r.peak: r.cluster for r in agreeing(df, "region", "peak", "v", 0.6).collect()}
     assert set(got.values()) == {"A"}
 
 
