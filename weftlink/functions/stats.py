@@ -23,7 +23,7 @@ def average_rank(value: str, by: Sequence[str] = (), descending: bool = False) -
     return F.when(x.isNotNull(), F.rank().over(w.orderBy(order)) + (peers - 1) / 2)
 
 
-def _value_bucket(x: Column) -> Column:
+def value_bucket(x: Column) -> Column:
     """A bucket that grows with a number: 256 to each doubling of its size, at most about 1.1 million."""
     size = F.floor(F.log2(F.abs(x)) * 256).cast("long") + 300_000
     return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size)
@@ -36,7 +36,7 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), descending:
     a value that very many rows share is one task's work.
     """
     own = list(by)
-    some = df.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("x__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _value_bucket(F.col("x__")))
+    some = df.where(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("x__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", value_bucket(F.col("x__")))
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))
     sums = sums.select(*own, "b__", (F.sum("s__").over(Window.partitionBy(*own).orderBy(order("b__"))) - F.col("s__")).alias("before__"))

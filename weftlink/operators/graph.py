@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.stats import exact_quantile, robust_z
+from weftlink.operators.numbering import same, small
+from weftlink.sources.staging import forget, staged
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
@@ -45,27 +47,33 @@ def delta_network(base: DataFrame, contrast: DataFrame, min_delta: float = 0, mi
     return rows.where(keep)
 
 
-def hub_scores(edges: DataFrame, by: str = "topic", rounds: int = 100) -> DataFrame:
+def hub_scores(edges: DataFrame, by: str = "topic", rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:
     """(by, tf, hub): HITS hub scores of the distinct edges of each group, scaled to 1; out-degrees where
-    they are all zero. A group's graph (factors x genes) is one task's array."""
-
-    def hits(part: pd.DataFrame) -> pd.DataFrame:
-        tf, tfs = pd.factorize(part["tf"], sort=True)
-        gene, _ = pd.factorize(part["gene_key"], sort=True)
-        h = np.ones(len(tfs))
-        for _ in range(rounds):
-            a = np.bincount(gene, h[tf])
-            new = np.bincount(tf, a[gene], len(tfs))
-            new = new / (np.linalg.norm(new) or 1)
-            if np.abs(new - h).max() < 1e-12:
-                break
-            h = new
-        if not h.max() > 0:
-            h = np.bincount(tf, minlength=len(tfs)).astype(float)
-        return pd.DataFrame({by: part[by].iat[0], "tf": tfs, "hub": h / h.max()})
-
-    kind = edges.schema[by].dataType.simpleString()
-    return edges.select(by, "tf", "gene_key").where("tf is not null and gene_key is not null").distinct().groupBy(by).applyInPandas(hits, f"{by} {kind}, tf string, hub double")
+    they are all zero.
+
+    Power iteration over all groups at once: a round is two joins of the edges with scores and their sums, staged, until
+    no score moves by more than the tolerance. A factor's or gene's edges meet only in sums, so a group of any size is
+    many tasks.
+    """
+    e = edges.select(F.col(by).alias("g"), "tf", F.col("gene_key").alias("gene")).where("tf is not null and gene is not null")
+    e = staged(e.distinct(), "edges")
+    now = staged(e.groupBy("g", "tf").agg(F.count(F.lit(1)).cast("double").alias("degree")).withColumn("h", F.lit(1.0)), "hubs")
+    n_groups = now.select("g").distinct().count()
+    for _ in range(rounds if n_groups else 0):
+        authority = e.alias("e").join(now.alias("h"), same("e", "h", ["g", "tf"])).groupBy("e.g", "e.gene").agg(F.sum("h.h").alias("a"))
+        sums = e.alias("e").join(authority.alias("a"), same("e", "a", ["g", "gene"])).groupBy("e.g", "e.tf").agg(F.sum("a.a").alias("s"))
+        new = staged(sums.alias("s").join(now.alias("h"), same("s", "h", ["g", "tf"])).select("s.g", "s.tf", "s.s", "h.degree", F.col("h.h").alias("old")), "hub-sums")
+        norm = new.groupBy("g").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+        scaled = new.alias("n").join(small(norm, n_groups).alias("m"), same("n", "m", ["g"]))
+        after = staged(scaled.select("n.g", "n.tf", "n.degree", F.coalesce(F.try_divide(F.col("n.s"), F.col("m.norm")), F.lit(0.0)).alias("h"), "n.old"), "hubs")
+        gap = after.agg(F.max(F.abs(F.col("h") - F.col("old")))).first()[0]
+        forget(now, new)
+        now = after
+        if gap < tolerance:
+            break
+    top = now.groupBy("g").agg(F.max("h").alias("most"), F.max("degree").alias("most_edges"))
+    share = F.when(F.col("t.most") > 0, F.col("n.h") / F.col("t.most")).otherwise(F.col("n.degree") / F.col("t.most_edges"))
+    return now.alias("n").join(small(top, n_groups).alias("t"), same("n", "t", ["g"])).select(F.col("n.g").alias(by), "n.tf", share.alias("hub"))
 
 
 def explode_topics(df: DataFrame, topics: str = "topics", sep: str = ";") -> DataFrame:

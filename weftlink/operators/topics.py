@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.stats import benjamini_hochberg, exact_quantile, gamma_cutoff, gamma_moments
+from weftlink.operators.numbering import counts_at_least, numbered_within, same, small
+from weftlink.sources.staging import staged
 
 
 def tf_documents(edges: DataFrame, by: str = "gene", clusters: DataFrame | None = None, modality: str | None = None) -> DataFrame:
@@ -330,24 +332,45 @@ def link_topic_scores(edges: DataFrame, theta: DataFrame, phi: DataFrame, in_top
     return rows.where((F.col("topic_rank") <= top_k) & (F.col("prob") >= min_prob)).select("doc_id", "tf", "gene_key", "peak_id", "topic", "score", "prob", "topic_rank")
 
 
+#: Permuted pairs that are staged at once, about.
+PERMUTED_ROWS = 200_000_000
+
+
+def permutation_hash(seed: int, by: str, round_: Column, number: Column) -> Column:
+    """What a round's permutation of a group orders its numbered rows by."""
+    return F.xxhash64(F.lit(seed), F.col(by).cast("string"), round_.cast("long"), number.cast("long"))
+
+
 def empirical_fdr(rows: DataFrame, by: str = "topic", rounds: int = 100, seed: int = 1) -> DataFrame:
     """Adds ``p_perm``: share of permuted products of site and gene score at least as large as a link's,
-    per group, counting the observed one; and q over the group. A group is one topic's links."""
-    names = rows.columns
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", p_perm double"
-    keys = [c for c in names if c not in ("peak_score", "gene_score")]
-
-    def permute(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(keys, kind="stable").reset_index(drop=True)
-        p, g = part["peak_score"].to_numpy(float), part["gene_score"].to_numpy(float)
-        obs, n = p * g, len(part)
-        rng, larger = np.random.default_rng([seed, zlib.crc32(str(part[by].iat[0]).encode())]), np.zeros(n, np.int64)
-        for _ in range(rounds):
-            null = np.sort(p * rng.permutation(g))
-            larger += n - np.searchsorted(null, obs, "left")
-        return part.assign(p_perm=(1 + larger) / (1 + rounds * n))
+    per group, counting the observed one; and q over the group.
 
-    return benjamini_hochberg(rows.groupBy(by).applyInPandas(permute, shape), "p_perm", "q_perm", (by,))
+    A group's rows are numbered once. In each round they are ordered by a hash of round and number, and the gene score in
+    place i is paired with the site score of number i. Products are counted by value, and a link's count is sought among
+    the counted values, so rounds are sums and a group is as many tasks as it fills. The same seed gives the same result.
+    """
+    keys = [c for c in rows.columns if c not in ("peak_score", "gene_score", by)]
+    score = lambda c: F.col(c).cast("double")
+    base = staged(numbered_within(rows, [by], [*keys, "peak_score", "gene_score"], "i__").withColumn("obs__", score("peak_score") * score("gene_score")), "links")
+    sizes = staged(base.groupBy(by).agg(F.count(F.lit(1)).alias("all__")), "sizes")
+    n, n_groups = sizes.agg(F.coalesce(F.sum("all__"), F.lit(0)), F.count(F.lit(1))).first()
+    at_once, nulls = int(max(1, min(rounds, PERMUTED_ROWS // max(n, 1)))), []
+    for first in range(0, rounds, at_once):
+        turns = F.explode(F.sequence(F.lit(first), F.lit(min(first + at_once, rounds) - 1)))
+        dealt = base.select(by, "i__", F.col("gene_score").alias("g__")).withColumn("round__", turns)
+        dealt = dealt.withColumn("h__", permutation_hash(seed, by, F.col("round__"), F.col("i__"))).withColumn("id__", F.col("i__")).drop("i__")
+        placed = numbered_within(dealt, [by, "round__"], ["h__", "id__"], "i__")
+        pairs = placed.alias("g").join(base.select(by, "i__", "peak_score").alias("p"), same("g", "p", [by, "i__"]))
+        product = pairs.select(F.col(f"g.{by}").alias(by), (score("p.peak_score") * score("g.g__")).alias("x"))
+        nulls.append(staged(product.groupBy(by, "x").agg(F.count(F.lit(1)).alias("n")), "null-products"))
+    null = nulls[0]
+    for more in nulls[1:]:
+        null = null.unionByName(more)
+    larger = counts_at_least(null, base.select(by, F.col("obs__").alias("x")), [by])
+    found = base.alias("b").join(larger.alias("l"), [F.col(f"b.{by}").eqNullSafe(F.col(f"l.{by}")), F.col("b.obs__") == F.col("l.x")], "left").select("b.*", "l.larger")
+    sized = found.alias("f").join(small(sizes, n_groups).alias("s"), same("f", "s", [by])).select("f.*", "s.all__")
+    p = (1 + F.col("larger")) / (1 + rounds * F.col("all__"))
+    return benjamini_hochberg(sized.withColumn("p_perm", p).drop("i__", "obs__", "larger", "all__"), "p_perm", "q_perm", (by,))
 
 
 def topic_links(edges: DataFrame, scores: DataFrame, in_topic: DataFrame, method: str = "link_score_prob", prob_cutoff: float = 0.3, fdr: float = 0.2, rounds: int = 100, seed: int = 1) -> DataFrame:

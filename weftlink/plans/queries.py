@@ -302,7 +302,16 @@ def _sites(l: Lens) -> tuple[DataFrame, DataFrame]:
     return scores, ann
 
 
-@query()
+@query("""WITH site AS (SELECT s_suppkey AS peak, s_nationkey::VARCHAR AS region, s_suppkey * 15 AS start, s_suppkey * 15 + 10 AS "end" FROM supplier WHERE s_suppkey IN (SELECT peak FROM fp)),
+names AS (SELECT DISTINCT sample FROM fp), cell AS (SELECT peak, sample, floor(value / 400) AS v FROM (SELECT peak FROM site) CROSS JOIN names LEFT JOIN fp USING (peak, sample)),
+agree AS (SELECT x.peak AS a, y.peak AS b FROM site x JOIN site y USING (region) JOIN cell a ON a.peak = x.peak JOIN cell b ON b.peak = y.peak AND a.sample = b.sample
+  GROUP BY 1, 2 HAVING count(*) FILTER (a.v IS NOT DISTINCT FROM b.v) >= ceil(0.5 * (SELECT count(*) FROM names))),
+reach(a, b) AS (SELECT DISTINCT a, a FROM agree UNION SELECT r.a, g.b FROM reach r JOIN agree g ON r.b = g.a),
+clus AS (SELECT a AS peak, min(b) AS cluster FROM reach GROUP BY 1),
+m AS (SELECT *, (start + "end") // 2 AS mid FROM site JOIN clus USING (peak)),
+c AS (SELECT *, max(mid + 200) OVER (PARTITION BY region, cluster ORDER BY mid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m),
+k AS (SELECT *, sum(CASE WHEN seen IS NULL OR mid - 200 > seen THEN 1 ELSE 0 END) OVER (PARTITION BY region, cluster ORDER BY mid ROWS UNBOUNDED PRECEDING) AS chain FROM c)
+SELECT peak, region, 'chr1:' || min(start) OVER g || '-' || max("end") OVER g AS merged_id, count(*) OVER g AS group_size FROM k WINDOW g AS (PARTITION BY region, cluster, chain)""")
 def aligned_sites(l: Lens) -> DataFrame:
     return intervals.align_sites(*_sites(l), slop=200, least=0.5)
 
@@ -669,9 +678,18 @@ def delta_network(l: Lens) -> DataFrame:
     return graph.delta_network(net("condition <= 1995"), net("condition > 1995"), 10)
 
 
-@query()
+HUBS = "WITH e AS (SELECT DISTINCT condition AS topic, tf, gene_key FROM standard), h0 AS MATERIALIZED (SELECT DISTINCT topic, tf, 1.0::DOUBLE AS h FROM e)" + "".join(
+    f""",
+a{i} AS MATERIALIZED (SELECT topic, gene_key, sum(h) AS a FROM e JOIN h{i} USING (topic, tf) GROUP BY 1, 2),
+s{i} AS MATERIALIZED (SELECT topic, tf, sum(a) AS s FROM e JOIN a{i} USING (topic, gene_key) GROUP BY 1, 2),
+h{i + 1} AS MATERIALIZED (SELECT topic, tf, s / sqrt(sum(s * s) OVER (PARTITION BY topic)) AS h FROM s{i})"""
+    for i in range(15)
+)
+
+
+@query(f"{HUBS} SELECT topic, tf, round(h / max(h) OVER (PARTITION BY topic), 6) AS hub FROM h15")
 def hub_scores(l: Lens) -> DataFrame:
-    return graph.hub_scores(l.standard().where("fp_score > 40").withColumn("topic", F.col("condition")))
+    return graph.hub_scores(l.standard().withColumn("topic", F.col("condition")))
 
 
 @query("SELECT round(coalesce(quantile_cont(delta_link_score, 0.995) FILTER (delta_link_score > 0), 1), 6) AS cap_pos, round(coalesce(quantile_cont(-delta_link_score, 0.995) FILTER (delta_link_score < 0), 1), 6) AS cap_neg FROM deltas")
