@@ -7,16 +7,21 @@ JVM. Nothing is shuffled but pairs and packed rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from weftlink.functions.scalars import finite, split_list
 from weftlink.functions.stats import benjamini_hochberg, correlation_p, normal_two_sided
 
 #: Samples that an array may span; the list of samples is gathered, so its size is checked.
 MAX_SAMPLES = 100_000
+#: Values of pairs whose inversions are counted at once.
+MERGE_CELLS = 1 << 21
 
 
 def sample_names(*tables: DataFrame) -> list:
@@ -31,12 +36,23 @@ def sample_names(*tables: DataFrame) -> list:
     return sorted(x for x in found if x is not None)
 
 
+def numbered_samples(table: DataFrame, samples: Sequence) -> DataFrame:
+    """(sample, i__): places of the samples; their number is checked where they are gathered."""
+    rows = [(i, s) for i, s in enumerate(samples)]
+    kind = table.schema["sample"].dataType.simpleString()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, f"i__ int, sample {kind}"))
+
+
 def pack(long: DataFrame, key: str, samples: Sequence, value: Column | str = "value") -> DataFrame:
     """(key, v): one array a key over the samples; the smallest value where a key repeats in a sample."""
-    v = finite(value)
-    cells = long.select(key, "sample", v.alias("v__")).groupBy(key, "sample").agg(F.min("v__").alias("v__")).where("sample is not null")
-    held = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("sample", "v__"))).alias("m__"))
-    return held.select(key, F.transform(F.array(*map(F.lit, samples)), lambda s: F.try_element_at("m__", s)).alias("v"))
+    v, n = finite(value), len(samples)
+    cells = long.select(key, "sample", v.alias("v__")).where("sample is not null").join(numbered_samples(long, samples), "sample", "left")
+    cells = cells.groupBy(key, "i__").agg(F.min("v__").alias("v__"))
+    held = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("i__").isNotNull(), F.struct("i__", "v__")))).alias("c__"))
+    every = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    absent = F.transform(F.array_except(every, F.col("c__.i__")), lambda i: F.struct(i.alias("i__"), F.lit(None).cast("double").alias("v__")))
+    whole = F.when(F.size("c__") == n, F.col("c__")).otherwise(F.array_sort(F.concat("c__", absent)))
+    return held.select(key, F.transform(whole, lambda x: x["v__"]).alias("v"))
 
 
 def _both(x: str, y: str, gate: str | None) -> Column:
@@ -47,12 +63,108 @@ def _both(x: str, y: str, gate: str | None) -> Column:
     return F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
 
-def _ranks(pairs: Column, name: str) -> Column:
-    """Average ranks of one side within the pairs."""
-    return F.transform(
-        pairs,
-        lambda p: F.aggregate(pairs, F.lit(0.5), lambda s, q: s + F.when(q[name] < p[name], 1.0).when(q[name] == p[name], 0.5).otherwise(0.0)),
-    )
+def rank_rows(x: np.ndarray) -> np.ndarray:
+    """Average ranks from 1 within each row."""
+    order = np.argsort(x, axis=1, kind="stable")
+    ordered = np.take_along_axis(x, order, 1)
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    # Runs of equal values over all rows, one after the other; every row begins a run.
+    run = np.cumsum(new.ravel()) - 1
+    first = np.flatnonzero(new.ravel())
+    size = np.diff(np.append(first, x.size))
+    mean = first % x.shape[1] + (size + 1) / 2
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, mean[run].reshape(x.shape), 1)
+    return out
+
+
+def by_length(*columns: pd.Series) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(rows, matrices) of the arrays of each length; null and empty arrays are left out."""
+    size = columns[0].map(lambda v: 0 if v is None else len(v)).to_numpy()
+    for n in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == n)
+        yield at, [np.stack(c.iloc[at].to_numpy()).astype(float) for c in columns]
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def average_ranks(v: pd.Series) -> pd.Series:
+    """Average ranks of arrays without nulls; null for null."""
+    out = np.full(len(v), None, object)
+    for at, (x,) in by_length(v):
+        for i, row in zip(at, rank_rows(x), strict=True):
+            out[i] = row
+    return pd.Series(out)
+
+
+def inversions(x: np.ndarray) -> np.ndarray:
+    """How many pairs of each row stand in falling order: merges of sorted halves, all rows at once."""
+    m, n = x.shape
+    levels = max(0, n - 1).bit_length()
+    # Ranks within a row keep blocks apart by whole numbers; what fills a row up stands last and is largest.
+    _, flat = np.unique(x, return_inverse=True)
+    top = int(flat.max(initial=0)) + 2
+    full = np.full((m, 1 << levels), top - 1, np.int64)
+    full[:, :n] = flat.reshape(m, n)
+    count = np.zeros(m, np.int64)
+    for level in range(levels):
+        width = 1 << level
+        blocks = full.reshape(-1, 2, width)
+        shift = np.arange(len(blocks), dtype=np.int64)[:, None] * top
+        left, right = (blocks[:, 0] + shift).ravel(), blocks[:, 1] + shift
+        upto = np.searchsorted(left, right.ravel(), "right").reshape(right.shape) - np.arange(len(blocks))[:, None] * width
+        count += (width - upto).sum(1).reshape(m, -1).sum(1)
+        full = np.sort(blocks.reshape(len(blocks), -1), axis=1)
+    return count
+
+
+def tie_sizes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, size) of every run of equal values in rows that are sorted."""
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = x[:, 1:] != x[:, :-1]
+    first = np.flatnonzero(new.ravel())
+    return first // x.shape[1], np.diff(np.append(first, x.size)).astype(float)
+
+
+def kendall_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tau-b, tie-corrected normal score) of each pair of rows, in O(n log n) comparisons a pair and level of merging."""
+    m, n = a.shape
+    order = np.lexsort((b, a), axis=1)
+    a, b = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
+    # Sorted by a, then b: pairs that are tied in a never fall.
+    falling = inversions(b)
+    over = lambda runs, f: np.bincount(runs[0], f(runs[1]), m)
+    ra, rb = tie_sizes(a), tie_sizes(np.sort(b, axis=1))
+    both = np.ones((m, n), bool)
+    both[:, 1:] = (a[:, 1:] != a[:, :-1]) | (b[:, 1:] != b[:, :-1])
+    first = np.flatnonzero(both.ravel())
+    rab = first // n, np.diff(np.append(first, m * n)).astype(float)
+    pair = lambda t: t * (t - 1) / 2
+    total, ta, tb, tab = n * (n - 1) / 2, over(ra, pair), over(rb, pair), over(rab, pair)
+    s = total - ta - tb + tab - 2 * falling
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tau = s / (np.sqrt(total - ta) * np.sqrt(total - tb))
+        v = (n * (n - 1) * (2 * n + 5) - over(ra, lambda t: t * (t - 1) * (2 * t + 5)) - over(rb, lambda t: t * (t - 1) * (2 * t + 5))) / 18
+        v += 4 * ta * tb / (2 * n * (n - 1))
+        if n > 2:
+            three = lambda t: t * (t - 1) * (t - 2)
+            v += over(ra, three) * over(rb, three) / (9 * n * (n - 1) * (n - 2))
+        z = s / np.sqrt(v)
+    blank = lambda x: np.where(np.isfinite(x), x, np.nan)
+    return blank(tau), blank(z)
+
+
+@F.pandas_udf(StructType([StructField("tau", DoubleType()), StructField("z", DoubleType())]))
+def kendall(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """tau-b and its normal score of two arrays of one length without nulls."""
+    out = pd.DataFrame({"tau": np.full(len(a), np.nan), "z": np.full(len(a), np.nan)})
+    for at, (x, y) in by_length(a, b):
+        if x.shape[1] > 1:
+            # So many cells at once, that no batch of long arrays is copied as a whole.
+            step = max(1, MERGE_CELLS // x.shape[1])
+            for lo in range(0, len(at), step):
+                out.iloc[at[lo : lo + step], 0], out.iloc[at[lo : lo + step], 1] = kendall_rows(x[lo : lo + step], y[lo : lo + step])
+    return out.astype(object).where(out.notna(), None)
 
 
 def _pearson(pairs: Column) -> Column:
@@ -70,24 +182,10 @@ def _pearson(pairs: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda s: F.try_divide(s["xy"], F.sqrt(s["xx"]) * F.sqrt(s["yy"])))
 
 
-def _kendall(pairs: Column) -> Column:
-    """struct(tau, z): tau-b and the tie-corrected normal score."""
-    n = F.size(pairs).cast("double")
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.aggregate(pairs, F.lit(0.0), lambda t, q: t + f(p, q)))
-    sign = lambda a, b: F.signum(a - b)
-    s = total(lambda p, q: sign(p["a"], q["a"]) * sign(p["b"], q["b"])) / 2
-    peers = lambda k: F.transform(pairs, lambda p: F.aggregate(pairs, F.lit(0.0), lambda t, q: t + F.when(q[k] == p[k], 1.0).otherwise(0.0)))
-    add = lambda array, f: F.aggregate(array, F.lit(0.0), lambda t, c: t + f(c))
-    ta, tb = peers("a"), peers("b")
-    pairs_all = n * (n - 1) / 2
-    ties = lambda t: add(t, lambda c: (c - 1) / 2)
-    tau = F.try_divide(s, F.sqrt(pairs_all - ties(ta)) * F.sqrt(pairs_all - ties(tb)))
-    v0 = n * (n - 1) * (2 * n + 5)
-    vt = lambda t: add(t, lambda c: (c - 1) * (2 * c + 5))
-    one = lambda t: add(t, lambda c: c - 1)
-    two = lambda t: add(t, lambda c: (c - 1) * (c - 2))
-    var = (v0 - vt(ta) - vt(tb)) / 18 + F.try_divide(one(ta) * one(tb), 2 * n * (n - 1)) + F.coalesce(F.try_divide(two(ta) * two(tb), 9 * n * (n - 1) * (n - 2)), F.lit(0.0))
-    return F.struct(tau.alias("tau"), F.try_divide(s, F.sqrt(var)).alias("z"))
+def _ranked_keys(packed: DataFrame, name: str) -> DataFrame:
+    """A packed table with the ranks of each key that has every sample, made once a key."""
+    whole = F.forall("v", lambda v: v.isNotNull())
+    return packed.withColumn(f"{name}r__", average_ranks(F.when(whole, F.col("v")))).withColumnRenamed("v", f"{name}__")
 
 
 def correlate(
@@ -107,10 +205,13 @@ def correlate(
     below ``min_n`` places or where a side is constant."""
     samples = list(samples) if samples is not None else sample_names(x, y)
     rows = pairs.select(x_key, y_key).distinct()
-    rows = rows.join(pack(x, x_key, samples).withColumnRenamed("v", "x__"), x_key).join(pack(y, y_key, samples).withColumnRenamed("v", "y__"), y_key)
+    packed = lambda table, key, name: pack(table, key, samples).withColumnRenamed("v", f"{name}__")
+    if method == "spearman":
+        packed = lambda table, key, name: _ranked_keys(pack(table, key, samples), name)
+    rows = rows.join(packed(x, x_key, "x"), x_key).join(packed(y, y_key, "y"), y_key)
     gate = None
     if x_open is not None or y_open is not None:
-        gate = F.transform(F.array(*map(F.lit, samples)), lambda _: F.lit(True))
+        gate = F.array_repeat(F.lit(True), len(samples))
         for name, key, flags in (("go__", x_key, x_open), ("hi__", y_key, y_open)):
             if flags is not None:
                 rows = rows.join(pack(flags, key, samples).withColumnRenamed("v", name), key, "left")
@@ -119,13 +220,17 @@ def correlate(
         gate = "gate__"
     rows = rows.withColumn("p__", _both("x__", "y__", gate))
     n = F.size("p__")
+    side = lambda name: F.transform("p__", lambda p: p[name])
     if method == "kendall":
-        out = rows.select(x_key, y_key, n.alias("n"), _kendall(F.col("p__")).alias("k"))
-        ok = F.col("n") >= min_n
-        return out.select(x_key, y_key, "n", F.when(ok, F.col("k.tau")).alias("r"), normal_two_sided(F.when(ok, F.col("k.z"))).alias("p"))
+        out = rows.select(x_key, y_key, n.alias("n"), kendall(F.when(n >= min_n, side("a")), F.when(n >= min_n, side("b"))).alias("k"))
+        return out.select(x_key, y_key, "n", F.col("k.tau").alias("r"), normal_two_sided(F.col("k.z")).alias("p"))
     if method == "spearman":
-        rows = rows.withColumn("ra__", _ranks(F.col("p__"), "a")).withColumn("rb__", _ranks(F.col("p__"), "b"))
-        rows = rows.withColumn("p__", F.zip_with("ra__", "rb__", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        # Where a pair shares all samples, the ranks are those of its keys; else they are those within the pair.
+        rows = rows.withColumn("n__", n)
+        n = F.col("n__")
+        part = n < len(samples)
+        ranked = lambda key, name: F.when(part, average_ranks(F.when(part & (n >= min_n), side(name)))).otherwise(F.col(key))
+        rows = rows.withColumn("p__", F.when(n >= min_n, F.zip_with(ranked("xr__", "a"), ranked("yr__", "b"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     out = rows.select(x_key, y_key, n.alias("n"), F.when(n >= min_n, _pearson(F.col("p__"))).alias("r"))
     return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
