@@ -307,6 +307,39 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_tail(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
 
 
+def beta_tails(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``beta_tail`` of many values at once."""
+    a, b, x = (np.asarray(v, float).copy() for v in (a, b, x))
+    turned = x > (a + 1) / (a + b + 2)
+    a[turned], b[turned], x[turned] = b[turned], a[turned], 1 - x[turned]
+    x = np.clip(x, 1e-300, 1 - 1e-16)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)) / a if len(a) else a
+    c, d = np.ones(len(a)), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(d == 0, 1e-300, d)
+    h = d.copy()
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(d == 0, 1e-300, d)
+            c = 1 + num / c
+            c = np.where(c == 0, 1e-300, c)
+            h *= d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    out = front * h
+    return np.where(turned, 1 - out, out)
+
+
+def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p of many t values; NaN where t or the degrees of freedom are not finite."""
+    out = np.full(len(t), np.nan)
+    ok = np.isfinite(t) & np.isfinite(df) & (df > 0)
+    t, df = t[ok], df[ok]
+    out[ok] = np.where(t == 0, 1.0, beta_tails(df / 2, np.full(len(df), 0.5), df / (df + t * t)))
+    return out
+
+
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_tail(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if d2 < 1e12 else 1 - _gamma_p(d1 / 2, d1 * f / 2)
 

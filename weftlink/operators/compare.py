@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftlink.functions.scalars import any_above, finite, fold_magnitude, log2_ratio, snake
-from weftlink.functions.stats import average_rank, benjamini_hochberg, digamma, f_upper, t_two_sided, trigamma, trigamma_inverse, with_average_rank
+from weftlink.functions.stats import average_rank, benjamini_hochberg, digamma, exact_quantile, f_upper, t_tails, trigamma, trigamma_inverse, with_average_rank
+from weftlink.operators.mixed import mixed_models
 from weftlink.sources.staging import staged
 
 KEY = ("tf", "gene_key", "peak_id")
@@ -282,120 +284,102 @@ def gene_funnel(changed: DataFrame, links: DataFrame, fp_cut: float = 0.5, tf_cu
 # Many conditions: moderated tests over an edges x samples table.
 
 
-def _prior(variances: DataFrame, df_resid: float) -> tuple[float, float]:
-    """Prior degrees of freedom and variance from moments of log variances, all rows in one aggregate."""
-    z = F.log("s2") - F.lit(digamma(df_resid / 2) - np.log(df_resid / 2))
-    m = variances.where("s2 > 0").agg(F.avg(z).alias("mean"), F.var_samp(z).alias("var"), F.count(F.lit(1)).alias("n")).first()
-    if not m.n or m.n < 2:
-        return 0.0, 1.0
-    extra = (m["var"] or 0.0) - trigamma(df_resid / 2)
-    if extra <= 0:
-        return float("inf"), float(np.exp(m["mean"]))
-    d0 = 2 * trigamma_inverse(extra)
-    return d0, float(np.exp(m["mean"] + digamma(d0 / 2) - np.log(d0 / 2)))
-
-
-def _shrunk(s2: F.Column, df: float, prior: tuple[float, float]) -> tuple[F.Column, float]:
-    d0, s0 = prior
-    return (F.lit(s0), float("inf")) if np.isinf(d0) else ((F.lit(d0 * s0) + df * s2) / (d0 + df), d0 + df)
+@F.pandas_udf(StructType([StructField("shift", DoubleType()), StructField("spread", DoubleType())]))
+def _log_chi(df: pd.Series) -> pd.DataFrame:
+    """Mean shift and variance of the logarithm of a variance estimate with these degrees of freedom."""
+    made = {d: (np.log(d / 2) - digamma(d / 2), trigamma(d / 2)) for d in df.dropna().unique() if d > 0}
+    return pd.DataFrame([made.get(d, (None, None)) for d in df], columns=["shift", "spread"], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    return pd.Series([f_upper(max(x, 0.0), a, min(b, 1e12)) if x == x and a > 0 and b > 0 else None for x, a, b in zip(f, d1, d2, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series(t_tails(t.to_numpy(float), np.minimum(df.to_numpy(float), 1e9)))
+
+
+def moderated(edges: DataFrame) -> DataFrame:
+    """Adds ``s2_post`` and ``df_total`` to edges with a variance ``s2`` and its degrees of freedom ``df``: variances are
+    drawn to a prior whose weight and size come from the moments of all log variances. Edges without degrees of
+    freedom take the prior. Staged."""
+    edges = staged(edges, "variances")
+    some = edges.where("df > 0 and s2 is not null")
+    mid = exact_quantile(some, "s2", 0.5, "mid").first()[0]
+    if mid is None:
+        return edges.withColumn("s2_post", F.lit(None).cast("double")).withColumn("df_total", F.lit(None).cast("double"))
+    # A variance of 0 has no logarithm; it counts as a small share of the middle one.
+    x = F.greatest(F.col("s2"), F.lit(1e-5 * (mid or 1.0)))
+    e = some.select("df", x.alias("x"), _log_chi(F.col("df").cast("double")).alias("c")).withColumn("e", F.log("x") + F.col("c.shift"))
+    m = e.agg(F.avg("e").alias("mean"), F.var_samp("e").alias("var"), F.avg("c.spread").alias("own"), F.sum("df").alias("pooled"), F.avg("x").alias("whole")).first()
+    extra = (m["var"] or 0.0) - m["own"]
+    if extra > 0:
+        d0 = 2 * trigamma_inverse(extra)
+        s0 = float(np.exp(m["mean"] + digamma(d0 / 2) - np.log(d0 / 2)))
+        post = (F.lit(d0 * s0) + F.col("df") * F.coalesce("s2", F.lit(0.0))) / (F.lit(d0) + F.col("df"))
+        total = F.least(F.lit(d0) + F.col("df"), F.lit(float(m["pooled"])))
+    else:
+        post, total = F.lit(m["whole"]), F.lit(float(m["pooled"]))
+    return edges.withColumn("s2_post", post).withColumn("df_total", total)
 
 
 def multi_anova(values: DataFrame, info: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Moderated F test of all conditions: ``values`` (key, sample, value), ``info`` (sample, condition).
-    Edges with every sample known are tested."""
-    rows = values.join(info.select("sample", "condition"), "sample")
-    n_all, k = info.select("sample").distinct().count(), info.select("condition").distinct().count()
-    group = rows.groupBy(*key, "condition").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
+    """(key, F, df1, df2, p, p_adj, means): moderated F test that the means of all conditions are 0, as in a model without
+    an intercept. ``values`` is (key, sample, value), ``info`` (sample, condition). Samples without a value or a
+    condition do not count for an edge; ``means`` maps the conditions that it has to their means."""
+    rows = values.select(*key, "sample", finite("value").alias("value")).join(info.select("sample", "condition"), "sample").where("value is not null and condition is not null")
+    group = rows.groupBy(*key, "condition").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    means = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("condition").cast("string"), "m")))).alias("means")
     edge = group.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum((F.col("n") - 1) * F.col("v")).alias("ss"), F.sum(F.col("n") * F.col("m")).alias("sm"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("smm")
-    ).where(F.col("n") == n_all)
-    df = n_all - k
-    edge = edge.withColumn("s2", F.col("ss") / df)
-    s2, df_all = _shrunk(F.col("s2"), df, _prior(edge, df))
-    f = (F.col("smm") - F.col("sm") * F.col("sm") / F.col("n")) / (k - 1) / s2
-
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return pd.Series([f_upper(max(v, 0.0), k - 1, df_all) if v == v else None for v in x], dtype="float64")
-
-    out = edge.select(*key, f.alias("F")).withColumn("p", tail("F"))
-    return benjamini_hochberg(out, "p", "p_adj")
+        F.sum(F.col("n") * F.col("v")).alias("ss"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("smm"), F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("df"), means
+    )
+    edge = moderated(edge.withColumn("s2", F.try_divide(F.col("ss"), F.col("df"))))
+    f = F.try_divide(F.col("smm") / F.col("k"), F.col("s2_post"))
+    out = edge.select(*key, f.alias("F"), F.col("k").cast("double").alias("df1"), F.col("df_total").alias("df2"), "means")
+    return benjamini_hochberg(out.withColumn("p", _f_tail("F", "df1", "df2")), "p", "p_adj").select(*key, "F", "df1", "df2", "p", "p_adj", "means")
 
 
 def multi_trend(values: DataFrame, info: DataFrame, covariate: str, key: Sequence[str] = KEY, others: Sequence[str] = ()) -> DataFrame:
-    """Moderated slope on a covariate (with further covariates): sums of products per edge, solved in
-    compiled code a batch of edges at a time."""
-    names = [covariate, *others]
-    rows = values.join(info.select("sample", *[finite(c).alias(c) for c in names]), "sample").where("value is not null")
-    x = [F.lit(1.0), *map(F.col, names)]
-    p = len(x)
-    sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(p) for j in range(p)] + [F.sum(x[i] * F.col("value")).alias(f"y{i}") for i in range(p)]
-    edge = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") ** 2).alias("yy"), *sums)
-    n_all = info.select("sample").distinct().count()
-    edge = edge.where(F.col("n") == n_all)
-    df = n_all - p
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edge.select(*key).schema.fields) + ", slope double, unscaled double, s2 double"
+    """(key, slope, se, t, df, p, p_adj): moderated slope on a covariate, with further covariates in the model. Centred
+    sums of products per edge over the samples that it has; edges whose covariates depend on each other, or
+    that have no more samples than coefficients, have no slope."""
+    names = [f"x{i}" for i in range(1 + len(others))]
+    k = len(names)
+    known = info.select("sample", *[finite(c).alias(n) for c, n in zip((covariate, *others), names, strict=True)])
+    rows = values.select(*key, "sample", finite("value").alias("y")).join(known, "sample").dropna(subset=["y", *names])
+    size = F.count(F.lit(1))
+    sums = [(F.covar_pop(names[i], names[j]) * size).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
+    edge = rows.groupBy(*key).agg(size.alias("n"), (F.var_pop("y") * size).alias("yy"), *sums, *[(F.covar_pop(x, "y") * size).alias(f"y{i}") for i, x in enumerate(names)])
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edge.select(*key).schema.fields) + ", slope double, unscaled double, s2 double, df double"
 
     def solve(batches):
         for b in batches:
-            a = np.stack([b[f"x{i}_{j}"].to_numpy() for i in range(p) for j in range(p)], 1).reshape(-1, p, p)
-            y = np.stack([b[f"y{i}"].to_numpy() for i in range(p)], 1)
-            inv = np.linalg.pinv(a)
-            beta = (inv @ y[:, :, None])[:, :, 0]
+            a = np.stack([b[f"x{min(i, j)}_{max(i, j)}"].to_numpy(float) for i in range(k) for j in range(k)], 1).reshape(-1, k, k)
+            y = np.stack([b[f"y{i}"].to_numpy(float) for i in range(k)], 1)
+            scale = np.sqrt(np.maximum(np.einsum("eii->ei", a), 1e-300))
+            unit = a / scale[:, :, None] / scale[:, None, :]
+            df = b["n"].to_numpy(float) - k - 1
+            ok = (np.linalg.eigvalsh(unit)[:, 0] > 1e-9) & (df >= 0) if len(b) else np.zeros(0, bool)
+            inv = np.full(a.shape, np.nan)
+            inv[ok] = np.linalg.inv(unit[ok]) / scale[ok][:, :, None] / scale[ok][:, None, :]
+            beta = np.einsum("eij,ej->ei", inv, y)
+            rest = np.maximum(b["yy"].to_numpy(float) - (beta * y).sum(1), 0)
             out = b[list(key)].copy()
-            out["slope"], out["unscaled"] = beta[:, 1], inv[:, 1, 1]
-            out["s2"] = np.maximum(b["yy"].to_numpy() - (beta * y).sum(1), 0) / df
+            with np.errstate(divide="ignore", invalid="ignore"):
+                made = {"slope": beta[:, 0], "unscaled": inv[:, 0, 0], "s2": np.where(df > 0, rest / df, np.nan), "df": np.where(ok, df, np.nan)}
+            for c, v in made.items():
+                out[c] = pd.Series(v, index=out.index).astype(object).where(np.isfinite(v), None)
             yield out
 
-    fit = edge.mapInPandas(solve, shape)
-    s2, df_all = _shrunk(F.col("s2"), df, _prior(fit, df))
-
-    @F.pandas_udf("double")
-    def tail(t: pd.Series) -> pd.Series:
-        return pd.Series([t_two_sided(v, df_all if np.isfinite(df_all) else 1e9) if v == v else None for v in t], dtype="float64")
-
-    out = fit.select(*key, "slope", F.try_divide(F.col("slope"), F.sqrt(F.col("unscaled") * s2)).alias("t")).withColumn("p", tail("t"))
-    return benjamini_hochberg(out, "p", "p_adj")
-
-
-def multi_lmm(values: DataFrame, info: DataFrame, effects: Sequence[str], group: str, key: Sequence[str] = KEY, rounds: int = 200) -> DataFrame:
-    """(key, effect, beta, se, t) of a model with a random intercept a group, by EM on each edge's
-    complete rows; edges with fewer than three are left out. An edge's rows are one a sample."""
-    rows = values.join(info.select("sample", F.col(group).cast("string").alias("group"), *[finite(c).alias(c) for c in effects]), "sample")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.select(*key).schema.fields) + ", effect string, beta double, se double, t double"
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        head = part.iloc[:1][list(key)]
-        part = part.dropna(subset=["value", "group", *effects])
-        blank = pd.DataFrame(columns=[*key, "effect", "beta", "se", "t"])
-        if len(part) < 3:
-            return blank
-        y = part["value"].to_numpy(float)
-        x = np.column_stack([np.ones(len(part)), *[part[c].to_numpy(float) for c in effects]])
-        if np.linalg.matrix_rank(x) < x.shape[1] or len(part) <= x.shape[1]:
-            return blank
-        _, at = np.unique(part["group"].to_numpy(), return_inverse=True)
-        n = np.bincount(at)
-        s2 = tau2 = max(float(np.var(y)), 1e-9) / 2
-        for _ in range(rounds):
-            shrink = tau2 / (s2 + n * tau2)  # inverse of V = s2 I + tau2 ZZ' by groups
-            vi = lambda v: (v - np.array([shrink[g] for g in range(len(n))])[at][:, None] * np.array([v[at == g].sum(0) for g in range(len(n))])[at]) / s2  # noqa: B023, E731
-            xt = vi(x)
-            inv = np.linalg.inv(x.T @ xt)
-            beta = inv @ (xt.T @ y)
-            r = y - x @ beta
-            u = shrink * np.bincount(at, r)
-            var_u = s2 * shrink
-            new_tau = float(np.mean(u**2 + var_u))
-            e = r - u[at]
-            new_s = float((e @ e + (n * var_u).sum()) / len(y))
-            if abs(new_s - s2) + abs(new_tau - tau2) < 1e-10 * (s2 + tau2):
-                break
-            s2, tau2 = max(new_s, 1e-12), max(new_tau, 1e-12)
-        se = np.sqrt(np.diag(inv))
-        out = pd.DataFrame({"effect": list(effects), "beta": beta[1:], "se": se[1:], "t": beta[1:] / se[1:]})
-        for c in reversed(key):
-            out.insert(0, c, head[c].iat[0])
-        return out
-
-    return rows.groupBy(*key).applyInPandas(fit, shape)
+    fit = moderated(edge.mapInPandas(solve, shape))
+    se = F.sqrt(F.col("unscaled") * F.col("s2_post"))
+    df = F.when(F.col("slope").isNotNull(), F.col("df_total"))
+    out = fit.select(*key, "slope", F.when(F.col("slope").isNotNull(), se).alias("se"), F.try_divide(F.col("slope"), se).alias("t"), df.alias("df")).withColumn("p", _t_tail("t", "df"))
+    return benjamini_hochberg(out.withColumn("p", finite("p")), "p", "p_adj").select(*key, "slope", "se", "t", "df", "p", "p_adj")
+
+
+def multi_lmm(values: DataFrame, info: DataFrame, effects: Sequence[str], group: str, key: Sequence[str] = KEY, reml: bool = True) -> DataFrame:
+    """(key, effect, beta, se, t, df, p, p_adj) of a model with a random intercept a group; see ``mixed_models``."""
+    return mixed_models(values, info, effects, group, key, reml)

@@ -484,7 +484,7 @@ def gene_funnel(l: Lens) -> DataFrame:
 @query()
 def multi_condition_anova(l: Lens) -> DataFrame:
     v = l.fp().select(F.lit("t").alias("tf"), F.lit("g").alias("gene_key"), F.col("peak").alias("peak_id"), "sample", "value")
-    return compare.multi_anova(v, l.samples())
+    return compare.multi_anova(v, l.samples()).drop("means")
 
 
 @query()
