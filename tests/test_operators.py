@@ -146,13 +146,6 @@ def test_linkage_and_silhouette():
     assert motif.best_k(d, motif.linkage(d.copy()))[0] in (2, 3)
 
 
-def test_communities_part_two_cliques():
-    a = np.array([0, 0, 1, 3, 3, 4, 2])
-    b = np.array([1, 2, 2, 4, 5, 5, 3])
-    own = graph.louvain(a, b, np.array([1, 1, 1, 1, 1, 1, 0.1]), 6)
-    assert own[0] == own[1] == own[2] != own[3] == own[4] == own[5]
-
-
 def test_hubs_scale_to_one(spark):
     e = spark.createDataFrame([("1", "A", g) for g in "abc"] + [("1", "B", "a")], "topic string, tf string, gene_key string")
     got = {r.tf: r.hub for r in graph.hub_scores(e).collect()}

@@ -180,69 +180,23 @@ def node_medians(edges: DataFrame) -> DataFrame:
     return t.unionByName(g)
 
 
-def louvain(nodes_a: np.ndarray, nodes_b: np.ndarray, weights: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
-    """Communities of a weighted graph by local moving and contraction."""
-    rng, of = np.random.default_rng(seed), np.arange(n)
-    a, b, w = nodes_a, nodes_b, weights.astype(float)
-    while True:
-        m = int(max(a.max(initial=-1), b.max(initial=-1))) + 1
-        total = w.sum()
-        if not total:
-            return of
-        degree = np.bincount(a, w, m) + np.bincount(b, w, m)
-        near: list[dict[int, float]] = [{} for _ in range(m)]
-        for i, j, x in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-            if i != j:
-                near[i][j] = near[i].get(j, 0) + x
-                near[j][i] = near[j].get(i, 0) + x
-        own, inside, moved = np.arange(m), degree.copy(), False
-        for _ in range(50):
-            again = False
-            for i in rng.permutation(m).tolist():
-                to: dict[int, float] = {}
-                for j, x in near[i].items():
-                    to[own[j]] = to.get(own[j], 0) + x
-                inside[own[i]] -= degree[i]
-                gain = lambda c: to.get(c, 0.0) - inside[c] * degree[i] / (2 * total)  # noqa: B023, E731
-                best = max(sorted({*to, own[i]}), key=lambda c: (gain(c), c == own[i]))  # noqa: B023
-                if gain(best) <= gain(own[i]) + 1e-12:
-                    best = own[i]
-                again |= best != own[i]
-                own[i] = best
-                inside[best] += degree[i]
-            moved |= again
-            if not again:
-                break
-        if not moved:
-            return of
-        _, own = np.unique(own, return_inverse=True)
-        of = own[of]
-        keys = np.minimum(own[a], own[b]) * (own.max() + 1) + np.maximum(own[a], own[b])
-        found, at = np.unique(keys, return_inverse=True)
-        w = np.bincount(at, w)
-        a, b = found // (own.max() + 1), found % (own.max() + 1)
-
-
 #: Comparisons that linkage takes to the driver, at most.
 MAX_COMPARISONS = 5000
 
-#: Aggregated edges that community search takes to the driver, at most.
-MAX_EDGES = 2_000_000
-
-
-def assign_communities(edges: DataFrame, weight: str = "delta_link_score", min_abs: float = 0.0, seed: int = 1) -> DataFrame:
-    """(tf, gene_key, topic): community of the gene, or of the factor. The graph is summed to one row a
-    (tf, gene) first; beyond ``MAX_EDGES`` rows it is refused, not sampled."""
-    rows = edges.where(F.abs(weight) >= min_abs).groupBy("tf", "gene_key").agg(F.sum(F.abs(weight)).alias("w")).where("w > 0").orderBy("tf", "gene_key")
-    got = rows.limit(MAX_EDGES + 1).toPandas()
-    if len(got) > MAX_EDGES:
-        raise ValueError("the graph is too large for community search on the driver")
-    names = pd.unique(pd.concat(["T:" + got["tf"].astype(str), "G:" + got["gene_key"].astype(str)]))
-    at = {v: i for i, v in enumerate(sorted(names))}
-    own = louvain(("T:" + got["tf"].astype(str)).map(at).to_numpy(int), ("G:" + got["gene_key"].astype(str)).map(at).to_numpy(int), got["w"].to_numpy(), len(at), seed)
-    got["topic"] = [int(own[at["G:" + str(g)]]) + 1 for g in got["gene_key"]]
-    shape = f"tf {edges.schema['tf'].dataType.simpleString()}, gene_key {edges.schema['gene_key'].dataType.simpleString()}, topic int"
-    return edges.sparkSession.createDataFrame(got[["tf", "gene_key", "topic"]], shape)
+def assign_communities(edges: DataFrame, weight: str = "delta_link_score", min_abs: float | None = None, seed: int = 1) -> DataFrame:
+    """(comparison_id, tf, gene_key, peak_id, topic_score, topic), as far as ``edges`` has these columns: each distinct edge of
+    positive weight with the community of its gene. Factors and genes of one name are one node; weights are summed
+    over sites and comparisons first."""
+    from weftlink.operators.communities import communities
+
+    w = F.col(weight).cast("double")
+    rows = edges.where(F.col("tf").isNotNull() & F.col("gene_key").isNotNull() & (w > 0) & ~F.isnan(w) & (w < float("inf")))
+    if min_abs is not None:
+        rows = rows.where(w >= min_abs)
+    held = [c for c in ("comparison_id", "tf", "gene_key", "peak_id") if c in edges.columns]
+    rows = staged(rows.select(*held, w.alias("topic_score")).distinct(), "weighted-edges")
+    found = communities(rows.select(F.col("tf").cast("string").alias("a"), F.col("gene_key").cast("string").alias("b"), "topic_score"), weight="topic_score", seed=seed)
+    return rows.join(found, F.col("gene_key").cast("string") == F.col("node")).select(*held, "topic_score", F.col("community").alias("topic"))
 
 
 #: Rows of nodes and edges that one JSON text holds, at most.

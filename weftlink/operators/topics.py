@@ -182,6 +182,14 @@ def fit_lda(doc_term: DataFrame, k: int, count: str = "pseudo_count", rounds: in
     return TopicModel(theta, phi, {"k": k} | perplexity(doc_term, theta, phi, count))
 
 
+def fit_sampled_lda(doc_term: DataFrame, k: int, count: str = "pseudo_count", sweeps: int = 50, alpha: float | None = None, beta: float = 0.1, seed: int = 1) -> TopicModel:
+    """LDA by sampling with delayed counts, priors 50/K and 0.1; see ``sample_topics``."""
+    from weftlink.operators.warp import sample_topics
+
+    theta, phi = sample_topics(doc_term, k, count, sweeps, alpha, beta, seed)
+    return TopicModel(theta, phi, {"k": k} | perplexity(doc_term.where(F.col(count) >= 1), theta, phi, count))
+
+
 def perplexity(doc_term: DataFrame, theta: DataFrame, phi: DataFrame, count: str = "pseudo_count") -> dict:
     """exp(-log likelihood per token) of counts under theta phi."""
     p = doc_term.join(theta, "doc_id").join(phi, ["topic", "term_id"]).groupBy("doc_id", "term_id").agg(F.first(count).alias("n"), F.sum(F.col("theta") * F.col("phi")).alias("p"))
@@ -200,40 +208,17 @@ def select_models(metrics: Sequence[dict]) -> dict[str, int]:
     return {"loglik": max(rows, key=lambda r: r["loglik"])["k"], "perplexity": min(rows, key=lambda r: r["perplexity"])["k"]} | ({"bend": max(bend, key=lambda k: bend[k])} if bend else {})
 
 
-#: Cells of a count table that a factorisation takes to one machine, at most.
-MAX_CELLS = 20_000_000
+def fit_nmf(doc_term: DataFrame, k: int, count: str = "weight", runs: int = 1, rounds: int = 100, seed: int = 1, method: str = "brunet", **options) -> TopicModel:
+    """Non-negative factors of the sparse table by multiplicative updates (``brunet``, ``lee``, ``nsNMF``), best of several
+    starts; theta are a document's shares, phi those of a topic's terms. See ``factors``."""
+    from weftlink.operators.factorise import column_sums, factors, numbers
 
-
-def fit_nmf(doc_term: DataFrame, k: int, count: str = "weight", runs: int = 3, rounds: int = 200, seed: int = 1) -> TopicModel:
-    """Non-negative factors by multiplicative updates for divergence, best of several starts. The count
-    table comes to the driver, whose size is checked; larger ones are refused."""
-    n_docs, n_terms = doc_term.agg(F.countDistinct("doc_id"), F.countDistinct("term_id")).first()
-    if n_docs * n_terms > MAX_CELLS:
-        raise ValueError("the count table is too large to factorise on the driver; use fit_lda")
-    got = doc_term.select("doc_id", "term_id", F.col(count).cast("double").alias("x")).orderBy("doc_id", "term_id").toPandas()
-    d, d_names = pd.factorize(got["doc_id"], sort=True)
-    t, t_names = pd.factorize(got["term_id"], sort=True)
-    v = np.zeros((len(d_names), len(t_names)))
-    np.add.at(v, (d, t), got["x"].to_numpy())
-    best, rng, eps = None, np.random.default_rng(seed), 1e-12
-    for _ in range(runs):
-        w, h = rng.random((v.shape[0], k)) + 0.1, rng.random((k, v.shape[1])) + 0.1
-        for _ in range(rounds):
-            w *= (v / (w @ h + eps)) @ h.T / (h.sum(1) + eps)
-            h *= w.T @ (v / (w @ h + eps)) / (w.sum(0)[:, None] + eps)
-        wh = w @ h + eps
-        loss = float((wh - v + v * np.log((v + eps) / wh)).sum())
-        if best is None or loss < best[0]:
-            best = loss, w, h
-    loss, w, h = best
-    scale = h.sum(1)
-    w, h = w * scale, h / scale[:, None]
-    w = w / np.maximum(w.sum(1, keepdims=True), eps)
-    spark = doc_term.sparkSession
-    topics = np.arange(1, k + 1)
-    theta = pd.DataFrame({"doc_id": np.repeat(d_names, k), "topic": np.tile(topics, len(d_names)), "theta": w.reshape(-1)})
-    phi = pd.DataFrame({"topic": np.repeat(topics, len(t_names)), "term_id": np.tile(t_names, k), "phi": h.reshape(-1)})
-    return TopicModel(spark.createDataFrame(theta), spark.createDataFrame(phi), {"k": k, "divergence": loss})
+    w, h, figures = factors(doc_term, k, count, method, runs, rounds, seed, **options)
+    spread = lambda df, name, to, share: df.select(F.col(name).alias(to), F.posexplode(share).alias("at", "x")).withColumn("topic", (F.col("at") + 1).cast("int"))
+    scale, total = numbers(column_sums(h, k)) if figures["losses"] else numbers(np.ones(k)), F.aggregate("f", F.lit(0.0), lambda s, x: s + x)
+    theta = spread(w, "d", "doc_id", F.transform("f", lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))).select("doc_id", "topic", F.col("x").alias("theta"))
+    phi = spread(h, "t", "term_id", F.zip_with("f", scale, lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)))).select("topic", "term_id", F.col("x").alias("phi"))
+    return TopicModel(theta, phi, figures | {"divergence": figures["loss"]})
 
 
 def assign_topics(theta: DataFrame, cutoff: float = 0.2, top_n: int | None = None, sep: str = ";") -> DataFrame:
@@ -590,6 +575,10 @@ def purity(counts: DataFrame) -> DataFrame:
     return rows.where("i = 1").select("set", F.col("topic").alias("best_topic"), "n", "purity", "share")
 
 
+#: Cells of a count table that the neural model takes to one machine, at most.
+MAX_CELLS = 20_000_000
+
+
 # Neural topic model: a logistic-normal encoder in numpy, for count tables that fit one machine.
 
 

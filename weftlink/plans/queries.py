@@ -798,9 +798,15 @@ def topic_model_lda(l: Lens) -> DataFrame:
     return topics.fit_lda(terms, 4, rounds=5).theta
 
 
+@query()
+def topic_model_sampled(l: Lens) -> DataFrame:
+    terms = topics.pooled_terms(l.deltas(), min_abs=1).withColumn("pseudo_count", F.ceil("weight"))
+    return topics.fit_sampled_lda(terms, 4, sweeps=10).theta
+
+
 @query()
 def topic_model_nmf(l: Lens) -> DataFrame:
-    return topics.fit_nmf(topics.pooled_terms(l.deltas(), min_abs=1), 4, runs=1, rounds=50).theta
+    return topics.fit_nmf(topics.pooled_terms(l.deltas(), min_abs=1), 4, runs=1, rounds=10).theta
 
 
 @query()
