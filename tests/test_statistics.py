@@ -87,14 +87,14 @@ def test_spread_ranks_and_adjusted_p_equal_the_plain_ones(spark):
 
 
 def test_too_large_work_is_refused(spark, monkeypatch):
-    from weftlink.operators import enrich, graph
+    from weftlink.operators import enrich, graph, running
 
-    monkeypatch.setattr(enrich, "MAX_SETS", 2)
+    monkeypatch.setattr(running, "MAX_RANKED", 8)
     sets = spark.createDataFrame([(f"s{k}", f"g{i}") for k in range(3) for i in range(5)], "set string, gene string")
     ranks = spark.createDataFrame([("t", f"g{i}", float(i)) for i in range(9)], "topic string, gene string, score double")
     with pytest.raises(ValueError):
         enrich.running_sum(ranks, sets, 3, rounds=5)
-    assert enrich.running_sum(ranks, sets.where("set <> 's0'"), 3, rounds=5).count() == 2
+    assert enrich.running_sum(ranks.where("score > 0"), sets, 3, rounds=5).count() == 3
     monkeypatch.setattr(graph, "MAX_COMPARISONS", 2)
     edges = spark.createDataFrame([(f"c{i}", "f", float(i + 1)) for i in range(3)], "comparison_id string, tf string, delta_link_score double")
     with pytest.raises(ValueError):

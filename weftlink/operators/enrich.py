@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.functions.stats import benjamini_hochberg
+from weftlink.operators.running import running_sum
 from weftlink.operators.topics import marker_overlap
 
-
-#: Gene sets, and genes in all of them, that a running sum takes along, at most.
-MAX_SETS, MAX_SET_GENES = 50_000, 5_000_000
+__all__ = ["non_redundant", "over_representation", "pathway_links", "running_sum"]
 
 
 def over_representation(gene_sets: DataFrame, pathways: DataFrame, universe: int, min_genes: int = 5, q_max: float | None = 0.05) -> DataFrame:
@@ -26,50 +21,6 @@ def over_representation(gene_sets: DataFrame, pathways: DataFrame, universe: int
     return out.where(F.col("p_adj") < q_max) if q_max is not None else out
 
 
-def running_sum(ranks: DataFrame, pathways: DataFrame, min_size: int = 10, max_size: int = 500, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """(topic, set, size, es, nes, p, p_adj) by the weighted running sum over a topic's ranked genes
-    (topic, gene, score), with permuted sets of equal size as the null. A set's size is that of its
-    overlap with the ranked genes; beyond ``MAX_SETS`` sets or ``MAX_SET_GENES`` genes in them it is refused."""
-    met = pathways.select("set", "gene").distinct().join(ranks.select("gene").distinct(), "gene", "left_semi")
-    large = met.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    n = large.agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("genes")).first()
-    if n.sets > MAX_SETS or (n.genes or 0) > MAX_SET_GENES:
-        raise ValueError(f"{n.sets} sets of {n.genes} genes; running sums take {MAX_SETS} sets of {MAX_SET_GENES} genes at most")
-    sets = [(r.set, sorted(r.genes)) for r in met.join(large.select("set"), "set", "left_semi").groupBy("set").agg(F.collect_set("gene").alias("genes")).orderBy("set").collect()]
-    kind = ranks.schema["topic"].dataType.simpleString()
-
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "gene"], ascending=[False, True]).drop_duplicates("gene")
-        at, w = {g: i for i, g in enumerate(part["gene"])}, np.abs(part["score"].to_numpy(float))
-        n, rng, out, nulls = len(part), np.random.default_rng([seed, zlib.crc32(str(part["topic"].iat[0]).encode())]), [], {}
-
-        def es(idx: np.ndarray) -> float:
-            idx = np.sort(idx)
-            hits = np.cumsum(w[idx])
-            if not hits[-1] or len(idx) == n:
-                return 0.0
-            hits = hits / hits[-1]
-            miss = (idx - np.arange(len(idx))) / (n - len(idx))
-            up, down = (hits - miss).max(), (np.concatenate([[0], hits[:-1]]) - miss).min()
-            return float(up if up > -down else down)
-
-        for name, genes in sets:
-            idx = np.array([at[g] for g in genes if g in at], int)
-            if not min_size <= len(idx) <= max_size:
-                continue
-            if len(idx) not in nulls:
-                nulls[len(idx)] = np.array([es(rng.choice(n, len(idx), replace=False)) for _ in range(rounds)])
-            e, null = es(idx), nulls[len(idx)]
-            side = null[null >= 0] if e >= 0 else null[null < 0]
-            scale = np.abs(side).mean() if len(side) else np.nan
-            p = (1 + (np.abs(side) >= abs(e)).sum()) / (1 + len(side))
-            out.append((part["topic"].iat[0], name, len(idx), e, e / scale if scale else np.nan, p))
-        return pd.DataFrame(out, columns=["topic", "set", "size", "es", "nes", "p"])
-
-    found = ranks.select("topic", "gene", "score").groupBy("topic").applyInPandas(test, f"topic {kind}, set string, size int, es double, nes double, p double")
-    return benjamini_hochberg(found, "p", "p_adj", ("topic",))
-
-
 def non_redundant(hits: list[tuple[str, float, set]], threshold: float = 0.8) -> list[str]:
     """Pathways (name, p, genes) without those that a larger one holds, or shares the threshold of the
     smaller set with; larger first, then smaller p, then name."""

@@ -823,8 +823,8 @@ def link_communities(l: Lens) -> DataFrame:
 @query()
 def pathway_running_sums(l: Lens) -> DataFrame:
     ranks = topics.topic_genes(_binary(l)[1], l.doc_edges(), "sum")
-    sets = l.table("part").select(F.concat(F.lit("set"), (F.col("p_size") % 6).cast("string")).alias("set"), F.col("p_brand").alias("gene")).where("p_size < 14").distinct()
-    return enrich.running_sum(ranks, sets, min_size=3, rounds=50)
+    sets = l.table("part").select(F.concat(F.lit("set"), (F.col("p_size") % 6).cast("string")).alias("set"), F.col("p_brand").alias("gene")).distinct()
+    return enrich.running_sum(ranks, sets, min_size=3, rounds=200).drop("leading_edge")
 
 
 @query(f"""WITH {FLAGS}, {BOUND}, {TFS}, s AS (SELECT peak, tf, ((peak % 10) / 10.0)::DOUBLE AS rp, ((peak % 50) / 500.0)::DOUBLE AS qp FROM named), u AS (SELECT peak, tf, ((peak % 7) / 7.0)::DOUBLE AS rs, ((peak % 40) / 500.0)::DOUBLE AS qs FROM named),
