@@ -12,13 +12,16 @@ named rule:
 Under each rule the counts of a document's sections add up to its tokens, as sections tile the text.
 
 Defined cases: a null or empty text has no section and no tokens, and gives one row with section 0;
-very long texts are encoded whole; repeated rows give repeated results; an empty table gives an
+very long texts are encoded whole, and so are white-space runs of any length: the rule always cuts
+before a run and before its last character, so a long run is merged as the one word that it is, without
+the rule's search; repeated rows give repeated results; an empty table gives an
 empty result; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 #: Cutting rule of the byte-level vocabulary.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "end", "most", "share")
+#: White space as the cutting rule knows it, in runs so long that its search, which steps back from the end, is spared.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 _loaded: dict[str, tuple] = {}
+_words: dict = {}
 
 
 def vocabulary(path: str):
@@ -43,14 +49,31 @@ def vocabulary(path: str):
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
-        _loaded[path] = tiktoken.Encoding("offsets", pat_str=WORD_RULE, mergeable_ranks=ranks, special_tokens={}), sizes
+        made = [tiktoken.Encoding(name, pat_str=rule, mergeable_ranks=ranks, special_tokens={}) for name, rule in (("offsets", WORD_RULE), ("word", "(?s:.+)"))]
+        _loaded[path], _words[path] = (made[0], sizes), made[1]
     return _loaded[path]
 
 
-def token_spans(text: str, encoding, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def single_word(path: str):
+    """The encoding that takes what it is given as one word."""
+    vocabulary(path)
+    return _words[path]
+
+
+def encode(text: str, encoding, word) -> list[int]:
+    """Ids of a whole text; long white-space runs but for their last character, if a word follows, are words."""
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()]) + word.encode_ordinary(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
+def token_spans(text: str, encoding, sizes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
     """First character and one past the last character of every token; a character that several
     tokens share lies in the span of each."""
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    ids = np.array(encode(text, encoding, word), np.int64)
     ends = np.cumsum(sizes[ids])
     starts = ends - sizes[ids]
     if text.isascii():
@@ -101,7 +124,7 @@ def attribute(
         raise ValueError(f"rule is one of {RULES}")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding, sizes = vocabulary(vocabulary_file)
+        loaded = *vocabulary(vocabulary_file), single_word(vocabulary_file)
         for batch in batches:
             rows: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, body in enumerate(batch["text"].array):
@@ -109,7 +132,7 @@ def attribute(
                     parts = np.zeros(1, int), np.zeros(1), np.zeros(1), np.zeros(1)
                 else:
                     edges = sections(body)
-                    tokens, crossing = allot(*token_spans(body, encoding, sizes), edges, rule)
+                    tokens, crossing = allot(*token_spans(body, *loaded), edges, rule)
                     parts = np.arange(len(edges) - 1), np.diff(edges), tokens, crossing
                 for have, more in zip(rows, (np.full(len(parts[0]), i), *parts), strict=True):
                     have.append(more)
