@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -138,17 +137,12 @@ def gene_documents(edges: DataFrame, doc: str = "gene", term: str = "tf", **opti
 
 
 def index_terms(doc_term: DataFrame, count: str = "pseudo_count") -> tuple[DataFrame, DataFrame]:
-    """(documents with sparse vectors, vocabulary): terms numbered by order, documents as one vector each.
-
-    Terms that share their first eight characters are numbered together, after all terms before them, so
-    the vocabulary is not one task's work.
-    """
+    """(documents with sparse vectors, vocabulary): terms numbered by order over all tasks, documents
+    as one vector each."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    terms = doc_term.select("term_id").distinct().withColumn("b__", F.substring("term_id", 1, 8))
-    sums = terms.groupBy("b__").agg(F.count(F.lit(1)).alias("n__"))
-    sums = sums.select("b__", (F.sum("n__").over(Window.orderBy("b__")) - F.col("n__")).alias("before__"))
-    vocab = terms.join(sums, "b__").select("term_id", (F.col("before__") + F.row_number().over(Window.partitionBy("b__").orderBy("term_id")) - 1).cast("int").alias("i"))
+    terms = doc_term.select("term_id").distinct().withColumn("all__", F.lit(1))
+    vocab = numbered_within(terms, ["all__"], ["term_id"], "i").select("term_id", F.col("i").cast("int").alias("i"))
     n = vocab.count()
     rows = doc_term.join(vocab, "term_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col(count).cast("double").alias("v")))).alias("x"))
     build = F.udf(lambda x: SparseVector(n, [(r["i"], r["v"]) for r in x]), VectorUDT())
@@ -575,64 +569,9 @@ def purity(counts: DataFrame) -> DataFrame:
     return rows.where("i = 1").select("set", F.col("topic").alias("best_topic"), "n", "purity", "share")
 
 
-#: Cells of a count table that the neural model takes to one machine, at most.
-MAX_CELLS = 20_000_000
-
-
-# Neural topic model: a logistic-normal encoder in numpy, for count tables that fit one machine.
-
-
 def fit_neural(doc_term: DataFrame, k: int, variant: str = "split", epochs: int = 200, batch: int = 64, hidden: int = 128, rate: float = 1e-3, seed: int = 1, count: str = "pseudo_count", embedding: int = 32) -> TopicModel:
-    """theta from the encoder's mean, phi from the decoder. Loss: -sum x log(reconstruction) + KL to a
-    standard normal; trained by Adam. Variants: ``plain`` (free phi), ``embedded`` (phi from topic and
-    word vectors), ``split`` (gene and site counts enter through layers of their own)."""
-    n_docs, n_terms = doc_term.agg(F.countDistinct("doc_id"), F.countDistinct("term_id")).first()
-    if n_docs * n_terms > MAX_CELLS:
-        raise ValueError("the count table is too large for the neural model; use fit_lda")
-    got = doc_term.select("doc_id", "term_id", F.col(count).cast("double").alias("x")).orderBy("doc_id", "term_id").toPandas()
-    d, d_names = pd.factorize(got["doc_id"], sort=True)
-    t, t_names = pd.factorize(got["term_id"], sort=True)
-    x = np.zeros((len(d_names), len(t_names)))
-    np.add.at(x, (d, t), got["x"].to_numpy())
-    rng, v = np.random.default_rng(seed), len(t_names)
-    mask = np.ones((v, hidden))
-    if variant == "split":
-        gene = np.array([str(n).startswith("GENE:") for n in t_names])
-        mask[gene, hidden // 2 :] = 0
-        mask[~gene, : hidden // 2] = 0
-    p = {"w1": rng.normal(0, 1 / np.sqrt(v), (v, hidden)) * mask, "b1": np.zeros(hidden), "wm": rng.normal(0, 0.1, (hidden, k)), "bm": np.zeros(k), "ws": rng.normal(0, 0.01, (hidden, k)), "bs": np.zeros(k)}
-    p |= {"tv": rng.normal(0, 0.3, (k, embedding)), "wv": rng.normal(0, 0.3, (v, embedding))} if variant == "embedded" else {"beta": rng.normal(0, 0.1, (k, v))}
-    m1, m2, step = {n: np.zeros_like(a) for n, a in p.items()}, {n: np.zeros_like(a) for n, a in p.items()}, 0
-    soft = lambda z: np.exp(z - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)
-    logits = lambda: p["tv"] @ p["wv"].T if variant == "embedded" else p["beta"]
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch))):
-            xb = x[at]
-            e = np.log1p(xb)
-            h0 = e @ p["w1"] + p["b1"]
-            h = np.maximum(h0, 0)
-            mu, ls = h @ p["wm"] + p["bm"], np.clip(h @ p["ws"] + p["bs"], -8, 8)
-            eps, sd = rng.standard_normal(mu.shape), np.exp(ls / 2)
-            th, ph = soft(mu + eps * sd), soft(logits())
-            rec = th @ ph + 1e-12
-            g_rec = -(xb / rec) / len(at)
-            g_th, g_ph = g_rec @ ph.T, th.T @ g_rec
-            g_z = th * (g_th - (g_th * th).sum(1, keepdims=True))
-            g_lo = ph * (g_ph - (g_ph * ph).sum(1, keepdims=True))
-            g_mu = g_z + mu / len(at)
-            g_ls = g_z * eps * sd / 2 + (np.exp(ls) - 1) / 2 / len(at)
-            g_h = (g_mu @ p["wm"].T + g_ls @ p["ws"].T) * (h0 > 0)
-            g = {"w1": e.T @ g_h * mask, "b1": g_h.sum(0), "wm": h.T @ g_mu, "bm": g_mu.sum(0), "ws": h.T @ g_ls, "bs": g_ls.sum(0)}
-            g |= {"tv": g_lo @ p["wv"], "wv": g_lo.T @ p["tv"]} if variant == "embedded" else {"beta": g_lo}
-            step += 1
-            for n in p:
-                m1[n] += 0.1 * (g[n] - m1[n])
-                m2[n] += 0.001 * (g[n] ** 2 - m2[n])
-                p[n] -= rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.999**step)) + 1e-8)
-    theta = soft(np.maximum(np.log1p(x) @ p["w1"] + p["b1"], 0) @ p["wm"] + p["bm"])
-    phi = soft(logits())
-    nll = -(x * np.log(theta @ phi + 1e-12)).sum()
-    spark, topics = doc_term.sparkSession, np.arange(1, k + 1)
-    th = pd.DataFrame({"doc_id": np.repeat(d_names, k), "topic": np.tile(topics, len(d_names)), "theta": theta.reshape(-1)})
-    ph = pd.DataFrame({"topic": np.repeat(topics, len(t_names)), "term_id": np.tile(t_names, k), "phi": phi.reshape(-1)})
-    return TopicModel(spark.createDataFrame(th), spark.createDataFrame(ph), {"k": k, "n_tokens": float(x.sum()), "loglik": float(-nll), "perplexity": float(np.exp(nll / x.sum()))})
+    """A logistic-normal model trained by Adam on gradients summed over executors. Variants: ``plain`` (free phi), ``embedded``
+    (phi from topic and word vectors), ``split`` (gene and site counts enter through layers of their own)."""
+    from weftlink.operators.neural import fit_documents
+
+    return TopicModel(*fit_documents(doc_term, k, variant, epochs, batch, hidden, rate, seed, count, embedding))
