@@ -342,17 +342,3 @@ def t_tails(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_tail(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if d2 < 1e12 else 1 - _gamma_p(d1 / 2, d1 * f / 2)
-
-
-def rank_sum(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(W, two-sided p) of the rank-sum test, normal form with ties and continuity."""
-    both = np.concatenate([x, y])
-    _, at, n = np.unique(both, return_inverse=True, return_counts=True)
-    ends = np.cumsum(n)
-    ranks = (ends - (n - 1) / 2)[at]
-    w = ranks[: len(x)].sum() - len(x) * (len(x) + 1) / 2
-    size = len(both)
-    var = len(x) * len(y) / 12 * (size + 1 - (n**3 - n).sum() / (size * (size - 1)))
-    z = w - len(x) * len(y) / 2
-    z = (z - math.copysign(0.5, z) if z else 0.0) / math.sqrt(var) if var > 0 else 0.0
-    return float(w), math.erfc(abs(z) / math.sqrt(2))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.functions.stats import confusion_metrics, rank_sum
+from weftlink.functions.stats import confusion_metrics, exact_quantile, normal_two_sided, value_counts, with_average_rank
 from weftlink.operators.intervals import overlap_fraction, overlap_join
+from weftlink.operators.numbering import numbered_within, same, small
+from weftlink.sources.staging import staged
 
 
 def truth_by_overlap(predicted: DataFrame, truth: DataFrame, least: float = 0.5, key: str = "id") -> DataFrame:
@@ -44,21 +45,32 @@ def binned_counts(df: DataFrame, value: str, breaks: Sequence[float], by: Sequen
 
 
 def versus_random(df: DataFrame, group: str, value: str, predicted: str, by: str, seed: int = 1) -> DataFrame:
-    """(by, n, median_predicted, median_random, W, p): predicted rows against as many random others, chosen
-    by hash, in a rank-sum test."""
-    h = F.xxhash64(F.col(group).cast("string"), F.lit(seed))
-    n = F.count(F.when(F.col(predicted) == 1, 1)).over(Window.partitionBy(by))
-    i = F.row_number().over(Window.partitionBy(by, predicted).orderBy(h, group))
-    rows = df.where(F.col(value).isNotNull()).withColumn("n__", n).withColumn("i__", i).where((F.col(predicted) == 1) | (F.col("i__") <= F.col("n__")))
-    kind = df.schema[by].dataType.simpleString()
-
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = (part.loc[part[predicted] == k, value].to_numpy(float) for k in (1, 0))
-        w, p = rank_sum(x, y) if len(x) and len(y) else (np.nan, np.nan)
-        med = lambda v: float(np.median(v)) if len(v) else np.nan
-        return pd.DataFrame({by: [part[by].iat[0]], "n": [len(x)], "median_predicted": [med(x)], "median_random": [med(y)], "W": [w], "p": [p]})
-
-    return rows.select(by, predicted, value).groupBy(by).applyInPandas(test, f"{by} {kind}, n long, median_predicted double, median_random double, W double, p double")
+    """(by, n, median_predicted, median_random, W, p): predicted rows against as many random others, the first by a hash of
+    ``group``, in a rank-sum test: normal form with ties and continuity.
+
+    Others are numbered by their hash, values are ranked by counted values, and all figures are sums, so a comparison of
+    any size is many tasks. Rows without a value do not count; W and p are null where a side is empty or all values are one.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(group).cast("string").alias("g"), (F.col(predicted) == 1).cast("int").alias("x"), F.col(value).cast("double").alias("v")).where("x is not null")
+    rows = staged(rows, "rows")
+    n = staged(rows.groupBy("by").agg(F.sum("x").alias("n")), "sizes")
+    n_by = n.count()
+    others = rows.where("x = 0").withColumn("h", F.md5(F.concat_ws("|", "g", F.lit(str(seed)))))
+    placed = numbered_within(others, ["by"], ["h", "g", "v"], "i")
+    some = placed.alias("o").join(small(n, n_by).alias("n"), same("o", "n", ["by"])).where("i < n").select("o.by", "o.x", "o.v")
+    chosen = staged(rows.where("x = 1").select("by", "x", "v").unionByName(some), "chosen")
+    ranked = with_average_rank(chosen, "v", "rank", ["by"])
+    sums = ranked.groupBy("by").agg(F.sum("x").cast("double").alias("nx"), F.sum(1 - F.col("x")).cast("double").alias("ny"), F.sum(F.col("x") * F.col("rank")).alias("rx"))
+    ties = value_counts(chosen, "v", ["by"]).groupBy("by").agg(F.sum(F.pow(F.col("n__").cast("double"), 3) - F.col("n__")).alias("ties"))
+    middle = exact_quantile(chosen, "v", 0.5, "m", ["by", "x"]).groupBy("by").agg(F.max(F.when(F.col("x") == 1, F.col("m"))).alias("mx"), F.max(F.when(F.col("x") == 0, F.col("m"))).alias("my"))
+    both = sums.alias("s").join(small(ties, n_by).alias("t"), same("s", "t", ["by"])).join(small(middle, n_by).alias("m"), same("s", "m", ["by"]))
+    both = both.select("s.*", "t.ties", "m.mx", "m.my")
+    size, w = F.col("nx") + F.col("ny"), F.col("rx") - F.col("nx") * (F.col("nx") + 1) / 2
+    spread = F.col("nx") * F.col("ny") / 12 * (size + 1 - F.try_divide(F.col("ties"), size * (size - 1)))
+    off = w - F.col("nx") * F.col("ny") / 2
+    z = F.try_divide(off - F.signum(off) * 0.5, F.sqrt(F.when(spread > 1e-12, spread)))
+    tested = (F.col("nx") > 0) & (F.col("ny") > 0)
+    return both.select(F.col("by").alias(by), F.col("nx").cast("long").alias("n"), F.col("mx").alias("median_predicted"), F.col("my").alias("median_random"), F.when(tested, w).alias("W"), normal_two_sided(F.when(tested, z)).alias("p"))
 
 
 def normal_reference(values: Sequence[float], n: int) -> list[int]:

@@ -654,14 +654,14 @@ def topic_distances(l: Lens) -> DataFrame:
     return topics.topic_distances(l.phi())
 
 
-@query("""WITH s AS (SELECT DISTINCT topic, gene FROM (SELECT (peak_id % 5 + 1)::INT AS topic, gene_key AS gene FROM doc_edges WHERE fp_score > 60)), m AS (SELECT DISTINCT CASE WHEN p_size < 10 THEN 'epi' ELSE 'mes' END AS set, p_brand AS gene FROM part WHERE p_size < 3 OR p_size > 48),
+@query("""WITH s AS (SELECT DISTINCT topic, gene FROM (SELECT (peak_id % 5 + 1)::INT AS topic, gene_key AS gene FROM doc_edges WHERE fp_score > 60)), m AS (SELECT DISTINCT 'S' || p_size AS set, p_brand AS gene FROM part),
 g AS (SELECT topic, count(*) AS n_topic FROM s GROUP BY 1), k AS (SELECT set, count(*) AS n_markers FROM m GROUP BY 1), h AS (SELECT topic, set, count(*) AS o FROM s JOIN m USING (gene) GROUP BY 1, 2)
 SELECT topic, set, n_topic, n_markers, coalesce(o, 0) AS overlap, round(coalesce(o, 0)::DOUBLE / n_markers, 6) AS coverage,
  round(list_sum(list_transform(range(coalesce(o, 0), least(n_topic, n_markers) + 1), lambda x: CASE WHEN 40 - n_topic - n_markers + x < 0 THEN 0 ELSE exp(lgamma(n_topic + 1) + lgamma(41 - n_topic) + lgamma(n_markers + 1) + lgamma(41 - n_markers) - lgamma(41) - lgamma(x + 1) - lgamma(n_topic - x + 1) - lgamma(n_markers - x + 1) - lgamma(40 - n_topic - n_markers + x + 1)) END)), 6) AS p
 FROM g CROSS JOIN k LEFT JOIN h USING (topic, set)""")
 def marker_overlap(l: Lens) -> DataFrame:
     sets = l.doc_edges().where("fp_score > 60").select((F.col("peak_id") % 5 + 1).cast("int").alias("topic"), F.col("gene_key").alias("gene"))
-    marks = l.table("part").where("p_size < 3 or p_size > 48").select(F.when(F.col("p_size") < 10, "epi").otherwise("mes").alias("set"), F.col("p_brand").alias("gene"))
+    marks = l.table("part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("set"), F.col("p_brand").alias("gene"))
     return topics.marker_overlap(sets, marks, 40).drop("odds_ratio")
 
 
@@ -697,9 +697,9 @@ def colour_caps(l: Lens) -> DataFrame:
     return graph.caps(l.deltas(), "delta_link_score")
 
 
-@query("SELECT peak_id, count(DISTINCT tf) AS n_tfs, count(DISTINCT gene_key) AS n_genes FROM deltas WHERE abs(delta_link_score) > 8 GROUP BY 1 HAVING count(DISTINCT tf) >= 2")
+@query("SELECT peak_id, count(DISTINCT tf) AS n_tfs, count(DISTINCT gene_key) AS n_genes FROM deltas GROUP BY 1 HAVING count(DISTINCT tf) >= 2")
 def shared_sites(l: Lens) -> DataFrame:
-    return graph.shared_sites(l.deltas().where("abs(delta_link_score) > 8"))
+    return graph.shared_sites(l.deltas())
 
 
 @query("""WITH d AS (SELECT tf, gene_key, peak_id, round(sum(delta_link_score), 4) AS delta_link_score FROM deltas WHERE delta_link_score IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tf, gene_key ORDER BY abs(delta_link_score) DESC, peak_id) AS i FROM d) WHERE i = 1)
@@ -714,7 +714,7 @@ def site_gene_sums(l: Lens) -> DataFrame:
     return graph.site_gene_sums(l.deltas().withColumn("pass", F.coalesce(F.abs("delta_link_score") > 3, F.lit(False))))
 
 
-NEAR = """e AS (SELECT DISTINCT 'Brand#' || (peak_id % 12 + 1) AS tf, gene_key FROM standard WHERE fp_score > 45), mine AS (SELECT gene_key AS node FROM e WHERE tf = 'Brand#3'), tfs AS (SELECT DISTINCT tf AS node FROM e),
+NEAR = """e AS (SELECT DISTINCT 'Brand#' || (peak_id % 12 + 1) AS tf, gene_key FROM standard), mine AS (SELECT gene_key AS node FROM e WHERE tf = 'Brand#3'), tfs AS (SELECT DISTINCT tf AS node FROM e),
 child AS (SELECT node FROM mine WHERE node IN (SELECT node FROM tfs)), parent AS (SELECT DISTINCT tf AS node FROM e WHERE gene_key = 'Brand#3' AND tf <> 'Brand#3'), genes AS (SELECT node FROM mine WHERE node NOT IN (SELECT node FROM tfs)),
 near_ AS (SELECT node FROM child UNION SELECT node FROM parent), theirs AS (SELECT DISTINCT gene_key AS node FROM e WHERE tf IN (SELECT node FROM near_))"""
 
@@ -722,7 +722,7 @@ near_ AS (SELECT node FROM child UNION SELECT node FROM parent), theirs AS (SELE
 @query(f"""WITH {NEAR} SELECT node, 'child_tf' AS role FROM child UNION ALL SELECT node, 'parent_tf' FROM parent UNION ALL SELECT node, CASE WHEN node IN (SELECT node FROM theirs) THEN 'common_gene' ELSE 'root_gene' END FROM genes
 UNION ALL SELECT DISTINCT tf, 'co_parent_tf' FROM e WHERE gene_key IN (SELECT node FROM genes) AND tf <> 'Brand#3' AND tf NOT IN (SELECT node FROM near_)""")
 def root_neighbourhood(l: Lens) -> DataFrame:
-    e = l.links().where("fp_score > 45").select(F.concat(F.lit("Brand#"), (F.col("peak_id") % 12 + 1).cast("string")).alias("tf"), "gene_key")
+    e = l.links().select(F.concat(F.lit("Brand#"), (F.col("peak_id") % 12 + 1).cast("string")).alias("tf"), "gene_key")
     return graph.root_neighbourhood(e, "Brand#3")
 
 
@@ -759,7 +759,14 @@ def binned_changes(l: Lens) -> DataFrame:
     return benchmark.binned_counts(l.deltas(), "log2FC_gene_expr", [-6, 0, 4], ["tf"])
 
 
-@query()
+@query("""WITH r AS (SELECT tf, comparison_id || '|' || tf || '|' || gene_key || '|' || peak_id AS id, log2FC_gene_expr AS v, (peak_id % 9 = 0)::INT AS x FROM deltas WHERE log2FC_gene_expr IS NOT NULL),
+s AS (SELECT *, sum(x) OVER (PARTITION BY tf) AS n, row_number() OVER (PARTITION BY tf, x ORDER BY md5(id || '|1'), id, v) AS i FROM r),
+c AS (SELECT tf, x, v, rank() OVER (PARTITION BY tf ORDER BY v) + (count(*) OVER (PARTITION BY tf, v) - 1) / 2.0 AS k FROM s WHERE x = 1 OR i <= n),
+t AS (SELECT tf, sum(m * m * m - m)::DOUBLE AS ties FROM (SELECT tf, v, count(*) AS m FROM c GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT tf, sum(x)::DOUBLE AS nx, sum(1 - x)::DOUBLE AS ny, sum(x * k) - sum(x) * (sum(x) + 1) / 2 AS w, median(v) FILTER (x = 1) AS mx, median(v) FILTER (x = 0) AS my FROM c GROUP BY 1),
+z AS (SELECT a.*, (w - nx * ny / 2 - sign(w - nx * ny / 2) * 0.5) / sqrt(nx * ny / 12 * (nx + ny + 1 - ties / ((nx + ny) * (nx + ny - 1)))) AS z FROM a JOIN t USING (tf))
+SELECT tf, nx::BIGINT AS n, round(mx, 6) AS median_predicted, round(my, 6) AS median_random, round(w, 6) AS "W",
+ round(CASE WHEN abs(z) > 5.6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(80), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(greatest(abs(z), 1e-300) / sqrt(2)) - lgamma(j + 1)) / (2 * j + 1))) END, 6) AS p FROM z""")
 def versus_random(l: Lens) -> DataFrame:
     rows = l.deltas().withColumn("predicted", (F.col("peak_id") % 9 == 0).cast("int")).withColumn("id", F.concat_ws("|", "comparison_id", "tf", "gene_key", F.col("peak_id").cast("string")))
     return benchmark.versus_random(rows, "id", "log2FC_gene_expr", "predicted", "tf")
@@ -894,8 +901,8 @@ def correlation_histogram(l: Lens) -> DataFrame:
     return quality.correlation_summary(found, ["tf"], q_max=0.9)
 
 
-@query("""SELECT comparison_id, topic, set, count(DISTINCT gene_key) AS overlap FROM (SELECT comparison_id, (peak_id % 5 + 1)::INT AS topic, gene_key FROM deltas WHERE abs(delta_link_score) > 6) JOIN (SELECT DISTINCT CASE WHEN p_size < 10 THEN 'epi' ELSE 'mes' END AS set, p_brand FROM part WHERE p_size < 3 OR p_size > 48) ON p_brand = gene_key GROUP BY 1, 2, 3""")
+@query("""SELECT comparison_id, topic, set, count(DISTINCT gene_key) AS overlap FROM (SELECT comparison_id, (peak_id % 5 + 1)::INT AS topic, gene_key FROM deltas WHERE abs(delta_link_score) > 6) JOIN (SELECT DISTINCT 'S' || p_size AS set, p_brand FROM part) ON p_brand = gene_key GROUP BY 1, 2, 3""")
 def marker_overlap_by_comparison(l: Lens) -> DataFrame:
     sets = l.deltas().where("abs(delta_link_score) > 6").select("comparison_id", (F.col("peak_id") % 5 + 1).cast("int").alias("topic"), F.col("gene_key").alias("gene"))
-    marks = l.table("part").where("p_size < 3 or p_size > 48").select(F.when(F.col("p_size") < 10, "epi").otherwise("mes").alias("set"), F.col("p_brand").alias("gene"))
+    marks = l.table("part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("set"), F.col("p_brand").alias("gene"))
     return topics.marker_overlap(sets, marks, 40, ("comparison_id", "topic")).where("overlap > 0").select("comparison_id", "topic", "set", "overlap")
