@@ -86,8 +86,8 @@ def sign_faults(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.coalesce(F.signum(a) != F.signum(b), F.lit(False)))
 
 
-def topic_summary(edges: DataFrame, min_delta: float = 0.25, weight_by_r: bool = False) -> DataFrame:
-    """(topic, tf, ...) sums, counts, hub score and ranks of annotated links (topics packed)."""
+def topic_summary(edges: DataFrame, min_delta: float = 0.25, weight_by_r: bool = False, hubs: bool = True) -> DataFrame:
+    """(topic, tf, ...) sums, counts, hub score (if asked) and ranks of annotated links (topics packed)."""
     d = F.col("delta_link_score") * (F.abs("r_tf") if weight_by_r else F.lit(1.0))
     rows = explode_topics(edges.where(F.abs("delta_link_score") >= min_delta)).withColumn("d__", d)
     agg = rows.groupBy("topic", "tf").agg(
@@ -101,7 +101,7 @@ def topic_summary(edges: DataFrame, min_delta: float = 0.25, weight_by_r: bool =
     topic_rank = F.row_number().over(Window.orderBy(F.desc("topic_abs_delta"), "topic"))
     tf_rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("sum_abs_delta"), "tf"))
     out = agg.join(per.withColumn("topic_rank", topic_rank), "topic").withColumn("tf_rank", tf_rank)
-    return out.join(hub_scores(rows, "topic"), ["topic", "tf"], "left")
+    return out.join(hub_scores(rows, "topic"), ["topic", "tf"], "left") if hubs else out
 
 
 def expression_bubbles(summary: DataFrame, top_n: int = 20) -> DataFrame:

@@ -730,13 +730,13 @@ SUMMARY = """ex AS (SELECT (peak_id % 5 + 1)::VARCHAR AS topic, * FROM deltas WH
 ag AS (SELECT topic, tf, count(*) AS n_links, count(DISTINCT gene_key) AS n_genes, sum(delta_link_score) AS sum_delta, sum(abs(delta_link_score)) AS sum_abs_delta, max(log2FC_tf_expr) AS log2fc_tf FROM ex GROUP BY 1, 2)"""
 
 
-def _summary(l: Lens) -> DataFrame:
-    return graph.topic_summary(l.deltas().withColumn("topics", (F.col("peak_id") % 5 + 1).cast("string")))
+def _summary(l: Lens, hubs: bool = False) -> DataFrame:
+    return graph.topic_summary(l.deltas().withColumn("topics", (F.col("peak_id") % 5 + 1).cast("string")), hubs=hubs)
 
 
 @query(f"WITH {SUMMARY} SELECT topic, tf, n_links, n_genes, round(sum_delta, 6) AS sum_delta, round(sum_abs_delta, 6) AS sum_abs_delta, row_number() OVER (PARTITION BY topic ORDER BY sum_abs_delta DESC, tf)::INT AS tf_rank FROM ag")
 def topic_summary(l: Lens) -> DataFrame:
-    return _summary(l).select("topic", "tf", "n_links", "n_genes", "sum_delta", "sum_abs_delta", "tf_rank")
+    return _summary(l, hubs=True).select("topic", "tf", "n_links", "n_genes", "sum_delta", "sum_abs_delta", "tf_rank")
 
 
 @query(f"""WITH {SUMMARY}, k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sum_abs_delta DESC, tf) AS i FROM ag), t AS (SELECT * FROM k WHERE i <= 4), m AS (SELECT quantile_cont(log2fc_tf, 0.5) AS m FROM t), d AS (SELECT quantile_cont(abs(log2fc_tf - m), 0.5) AS mad FROM t, m)
