@@ -44,7 +44,8 @@ def overview_motifs(spark: SparkSession, root: str) -> DataFrame:
 
 def headed_rows(spark: SparkSession, paths, marks: Sequence[str], sep: str) -> DataFrame:
     """(file, head, row) of text tables with a head each, in one read: cells as text, whatever columns a file has
-    and in whatever order. A line that holds all ``marks`` as cells is a head."""
+    and in whatever order. A line that holds all ``marks`` as cells is a head. Quoted cells may hold separators, not line
+    feeds: a row is a line."""
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
     cell = lambda mark: F.array_contains(F.transform(F.split(F.col("value"), f"[{sep}]"), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))), mark)
     is_head = functools.reduce(lambda a, b: a & b, map(cell, marks))
@@ -262,12 +263,12 @@ def write_by_condition(rows: DataFrame, path: str, *by: str) -> None:
 
 
 def write_bed(rows: DataFrame, path: str, by: Sequence[str] = ("tf", "condition"), region: str = "peak") -> None:
-    """Tab-separated intervals in one folder a factor and condition."""
+    """Tab-separated intervals, sorted in every file, in one folder a factor and condition."""
     from weftlink.functions.scalars import parse_region
 
     r = parse_region(region)
     names = [F.regexp_replace(F.col(b).cast("string"), r"[^A-Za-z0-9_.-]+", "_").alias(b) for b in by]
-    rows.select(r["chrom"].alias("chrom"), r["start"].alias("start"), r["end"].alias("end"), *names).sortWithinPartitions("chrom", "start", "end").write.mode("overwrite").option("sep", "\t").partitionBy(*by).csv(path)
+    rows.select(r["chrom"].alias("chrom"), r["start"].alias("start"), r["end"].alias("end"), *names).sortWithinPartitions(*by, "chrom", "start", "end").write.mode("overwrite").option("sep", "\t").partitionBy(*by).csv(path)
 
 
 class LinkTables:
