@@ -785,12 +785,20 @@ def motif_similarity(l: Lens) -> DataFrame:
     return motif.motif_similarity(*motif.motif_peak_stats(ann, min_support=5))
 
 
+def _matrices(l: Lens) -> DataFrame:
+    """A count matrix a brand, 6 to 8 places wide: letters are suppliers, places are orders, counted over all of lineitem."""
+    rows = l.table("lineitem").join(l.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    w = (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 3 + 6).alias("w")
+    rows = rows.select(F.col("p_brand").alias("id"), w, F.pmod("l_suppkey", F.lit(4)).alias("letter"), "l_orderkey")
+    cell = (F.col("letter") * F.col("w") + F.pmod(F.col("l_orderkey"), F.col("w"))).cast("int").alias("cell")
+    counts = rows.groupBy("id", "w", cell).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = counts.groupBy("id", "w").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("c"))
+    return held.select("id", "w", F.transform(F.sequence(F.lit(0), F.col("w") * 4 - 1), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0.0))).alias("m"))
+
+
 @query()
 def motif_alignments(l: Lens) -> DataFrame:
-    from weftlink.sources.tables import example_matrix
-
-    rows = [(f"M{i}", 6 + i % 3, example_matrix(6 + i % 3, i)) for i in range(12)]
-    return motif.pairwise_alignments(l.spark.createDataFrame(rows, "id string, w int, m array<double>"), blocks=3)
+    return motif.pairwise_alignments(_matrices(l), blocks=3)
 
 
 @query("""WITH m AS (SELECT DISTINCT peak, motif FROM annotation), c AS (SELECT motif, substr(motif, 1, 1) AS cluster FROM motif_db), x AS (SELECT * FROM m JOIN c USING (motif)), n AS (SELECT cluster, peak, count(*) AS k FROM x GROUP BY 1, 2), t AS (SELECT cluster, motif, count(*) AS k FROM x GROUP BY 1, 2)

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from dataclasses import fields
 from pathlib import PurePosixPath
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -334,8 +333,3 @@ def save_study(omics: OmicsSet, path: str) -> None:
 def load_study(spark: SparkSession, path: str, slots: Sequence[str] = ("fp_score", "fp_bound", "fp_annotation", "rna", "samples")) -> OmicsSet:
     """The named slots, lazily."""
     return OmicsSet(**{s: spark.read.parquet(f"{path}/{s}") for s in slots})
-
-
-def example_matrix(width: int, seed: int) -> list[float]:
-    """A random position matrix for tests."""
-    return np.random.default_rng(seed).integers(1, 100, 4 * width).astype(float).tolist()
