@@ -4,7 +4,6 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
