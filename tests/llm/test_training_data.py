@@ -298,15 +298,43 @@ def test_search_in_many_blocks_with_ties_and_clashing_columns(spark, monkeypatch
     monkeypatch.setattr(a, "ROW_BLOCK", 40)
     monkeypatch.setattr(a, "MERGE", 3)
     many = sorted(map(tuple, a.search(df, F.col("id") % 20 == 0, k=10).collect()))
-    hit, smallest = 0, {i: min([v, w]) if (w := (x[40] + 9).tolist()) and i == 40 else v for i, v in enumerate(x.tolist())}
-    full = np.array([smallest[i] for i in range(700)])
-    for q in range(0, 700, 20):
+    # Row 700 repeats id 40: it is a query and a candidate of its own.
+    full, ids = np.vstack([x, x[40] + 9]), np.array([*range(700), 40])
+    lists = {}
+    for r in many:
+        lists.setdefault((r[0], r[4]), []).append((r[1], r[2], r[3]))
+    hit, at_40 = 0, sorted(key for key in lists if key[0] == 40)
+    assert len(at_40) == 2
+    for q in [*range(0, 700, 20), 700]:
         s = full @ full[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(700), -s))[:10]
-        hit += len(set(want) & {r[2] for r in many if r[0] == q})
-    assert hit / 350 >= 0.95 and len(one) == len(many) == 350 and {r[0] for r in many} == set(range(0, 700, 20))
-    assert all(p[:2] == q[:2] and abs(p[3] - q[3]) < 1e-9 for p, q in zip(one, many, strict=True) if p[2] == q[2])
+        want = np.lexsort((ids, -s))[:10]
+        rows = [lists[k] for k in lists if k[0] == ids[q]]
+        hit += max(len(set(ids[want]) & {i for _, i, _ in r}) for r in rows)
+        assert any(sorted(r)[0][2] == s[want[0]] for r in rows)
+    assert hit / 360 >= 0.95 and len(one) == len(many) == 360 and {r[0] for r in many} == set(range(0, 700, 20))
+    assert all(p[:2] == q[:2] and abs(p[3] - q[3]) < 1e-9 for p, q in zip(sorted(one, key=lambda r: (r[0], r[4], r[1])), sorted(many, key=lambda r: (r[0], r[4], r[1])), strict=True) if p[2] == q[2])
+
+
+def test_search_among_vectors_of_several_lengths(spark):
+    from weftlink.llm.aq_search import search
+
+    rng = np.random.default_rng(52)
+    sets = [vectors(rng, 600, 16), vectors(rng, 500, 8), vectors(rng, 30, 4), vectors(rng, 1, 2)]
+    rows = [v.tolist() for part in sets for v in part]
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    got = search(spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=20).toPandas()
+    hit = total = 0
+    for q in range(0, len(rows), 20):
+        part = got[got.query_id == q].sort_values("rank")
+        s = [(-float(np.dot(v, rows[q])), i) for i, v in enumerate(rows) if len(v) == len(rows[q]) and i != q]
+        want = [i for _, i in sorted(s)[:20]]
+        assert len(part) == len(want) and all(len(rows[i]) == len(rows[q]) for i in part.id)
+        if len(rows[q]) <= 4:
+            assert part.id.tolist() == want
+        hit, total = hit + len(set(want) & set(part.id)), total + len(want)
+    assert hit / total >= 0.95
 
 
 def test_chat_layouts_become_turns(spark):

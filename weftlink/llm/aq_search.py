@@ -14,10 +14,14 @@ its smallest id, and then gives its smallest ids, so copies never crowd each oth
 Queries and candidates meet block by block (a stated query set against all rows). Blocks have
 bounded size, so no task and no broadcast grows with the table.
 
-Defined cases: vectors that are null, empty, zero, of another length than most of the sample, or
-hold null or non-finite components take no part; of rows that repeat a vec_id the one with the
-smallest vector counts; ties go to the smaller vec_id; fewer candidates than asked are all
-returned; an empty table gives an empty result; other columns are ignored.
+Vectors meet only vectors of their own length. Each length of more than ``RERANK`` classes has codebooks of
+its own; below that a shortlist would hold all classes, and every query is scored exactly with all of them.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without
+a vec_id take no part; rows that repeat a vec_id are queries and candidates of their own (``query_row``
+tells their lists apart); ties go to the smaller vec_id; fewer candidates than asked are all
+returned; an empty table gives an empty result; other columns are ignored; more than ``LENGTHS`` lengths
+that need codebooks are refused.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm.common import staged
+from weftlink.llm.common import forget, numbered, small_side, staged
 
 #: Vectors to fit codebooks on, codebooks, codewords in each, partial sums kept while encoding.
 FIT_ROWS, CODEBOOKS, CODEWORDS, BEAM = 8192, 32, 256, 4
 #: Shortlist of a query that is scored exactly; queries and candidates in a block, at most; lists merged at once.
 RERANK, QUERY_BLOCK, ROW_BLOCK, MERGE = 200, 4096, 65536, 32
 FIT_ROUNDS = 8
+#: Lengths of vectors, at most, that codebooks are fitted for one by one.
+LENGTHS = 64
 
 
 def usable(vector: Column) -> Column:
@@ -45,10 +51,12 @@ def usable(vector: Column) -> Column:
 
 
 def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part, one a key; a null key takes no part."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    """(id, v array<double>, d, p, q, row) of the rows that take part: length, 128 bits that stand for the vector,
+    and a number that follows the ids."""
     # Adding 0 leaves no negative zero, so equal vectors are equal in every bit.
-    return rows.groupBy("id").agg(F.transform(F.min("v"), lambda x: x + F.lit(0.0)).alias("v"))
+    v = F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))
+    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    return numbered(rows.select("id", "v", F.size("v").alias("d"), F.xxhash64("v").alias("p"), F.xxhash64(F.lit("second"), "v").alias("q")), ["id", "p", "q"], "row")
 
 
 class Quantiser:
@@ -109,18 +117,13 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def fit_sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
-    """At most ``rows`` vectors of the commonest length, those with the smallest hash of their id."""
-    got = vectors.select("v", F.xxhash64("id", F.lit("fit")).alias("h")).orderBy("h", "v").limit(rows).select("v").toPandas()
-    if not len(got):
-        return np.zeros((0, 0))
-    sizes = got["v"].map(len)
-    return matrix(got.loc[sizes == sizes.mode()[0], "v"])
+    """At most ``rows`` vectors, those with the smallest hash of id and vector."""
+    got = vectors.select("v", F.xxhash64("id", "p", F.lit("fit")).alias("h")).orderBy("h", "v").limit(rows).select("v").toPandas()
+    return matrix(got["v"])
 
 
 def encoded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
     """(id, copies, codes, scale, norm2): codes with the stored norms."""
-    d = quantiser.books.shape[2]
-
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 2048):
@@ -132,7 +135,7 @@ def encoded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
                 scale = np.sqrt((x**2).sum(1) / np.maximum(norm2, 1e-30))
                 yield pd.DataFrame({"id": batch["id"].to_numpy(), "copies": batch["copies"].to_numpy(), "codes": [c.tobytes() for c in codes], "scale": scale, "norm2": norm2})
 
-    return vectors.where(F.size("v") == d).select("id", "v", "copies").mapInPandas(encode, "id long, copies long, codes binary, scale double, norm2 double")
+    return vectors.select("id", "v", "copies").mapInPandas(encode, "id long, copies long, codes binary, scale double, norm2 double")
 
 
 def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank: int, n_queries: int, n_rows: int, metric: str = "ip") -> DataFrame:
@@ -178,37 +181,46 @@ def shortlist(queries: DataFrame, codes: DataFrame, quantiser: Quantiser, rerank
     return lists.groupBy("query_id").agg(best).select("query_id", F.explode("best.id").alias("id"))
 
 
+def candidates(vectors: DataFrame, classes: DataFrame, queries: DataFrame, rerank: int, fit_rows: int) -> DataFrame:
+    """(query_id, id): the classes that are scored exactly for each query class, length by length."""
+    sizes = staged(queries.groupBy("d").agg(F.count(F.lit(1)).alias("n_queries")).join(classes.groupBy("d").agg(F.count(F.lit(1)).alias("n_rows")), "d"), "lengths")
+    few = sizes.where(F.col("n_rows") <= rerank).select("d")
+    right = classes.join(small_side(few, few.count()), "d").select("d", "id")
+    near = queries.select("d", F.col("id").alias("query_id")).join(right, "d").select("query_id", "id")
+    large = sizes.where(F.col("n_rows") > rerank).orderBy("d").limit(LENGTHS + 1).collect()
+    if len(large) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} lengths that need codebooks")
+    for d, n_queries, n_rows in large:
+        mine = F.col("d") == d
+        quantiser = Quantiser.fit(fit_sample(vectors.where(mine), fit_rows))
+        codes = staged(encoded(classes.where(mine), quantiser), "codes")
+        near = near.unionByName(staged(shortlist(queries.where(mine), codes, quantiser, rerank, n_queries, n_rows), "shortlist", like=classes))
+        forget(codes)
+    return near
+
+
 def search(
     df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """(query_id, rank, id, score) of each query's ``k`` nearest rows by inner product. ``is_query`` is a
-    condition on the key, given as a column named ``id``."""
+    """(query_id, rank, id, score, query_row) of each query's ``k`` nearest rows by inner product. ``is_query``
+    is a condition on the key, given as a column named ``id``."""
     vectors = staged(clean_vectors(df, key, vector), "vectors", like=df)
-    shape = "query_id long, rank int, id long, score double"
-    sample = fit_sample(vectors, fit_rows)
-    d = sample.shape[1]
-    # Equal vectors under 128 bits that stand for them.
-    vectors = vectors.where(F.size("v") == d).withColumn("p", F.xxhash64("v")).withColumn("q", F.xxhash64(F.lit("second"), "v"))
-    own = vectors.groupBy("p", "q").agg(F.min(F.struct("id", "v")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(own.select("m.id", "m.v", "p", "q", "copies"), "classes", like=vectors)
-    asked = staged(vectors.where(is_query).select(F.col("id").alias("query_id"), "p", "q").join(classes.select(F.col("id").alias("own"), "p", "q"), ["p", "q"]).select("query_id", "own"), "queries", like=vectors)
-    queries = staged(classes.join(asked.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "query-classes", like=classes)
-    n_rows, n_queries = classes.count(), queries.count()
-    if not n_queries or len(sample) < 1:
-        return df.sparkSession.createDataFrame([], shape)
-    quantiser = Quantiser.fit(sample)
-    codes = staged(encoded(classes, quantiser), "codes")
-    near = staged(shortlist(queries, codes, quantiser, rerank, n_queries, n_rows), "shortlist", like=classes)
+    own = vectors.groupBy("d", "p", "q").agg(F.min(F.struct("row", "v")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(own.select(F.col("m.row").alias("id"), "m.v", "d", "p", "q", "copies"), "classes", like=vectors)
+    asked = vectors.where(is_query).select(F.col("id").alias("query_id"), F.col("row").alias("query_row"), "p", "q")
+    asked = staged(asked.join(classes.select(F.col("id").alias("own"), "p", "q"), ["p", "q"]).select("query_id", "query_row", "own"), "queries", like=vectors)
+    queries = staged(classes.join(asked.select(F.col("own").alias("id")).distinct(), "id", "left_semi").select("id", "v", "d"), "query-classes", like=classes)
+    near = candidates(vectors, classes, queries, rerank, fit_rows)
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pairs = near.join(classes.select("id", "v"), "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     scored = pairs.select(F.col("query_id").alias("own"), F.col("id").alias("class"), exact.alias("score"))
     # One more than asked of everything, as one of a query's rows may be itself.
     place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "class"))
     best = scored.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
-    nth = F.row_number().over(Window.partitionBy("p", "q").orderBy("id"))
-    first = vectors.select("id", "p", "q").withColumn("nth", nth).where(F.col("nth") <= k + 1)
-    held = first.join(classes.select(F.col("id").alias("class"), "p", "q"), ["p", "q"]).select("class", "id")
-    lists = best.join(held, "class").groupBy("own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))), 1, k + 1).alias("best"))
-    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
-    out = asked.join(lists, "own").select("query_id", F.posexplode(others).alias("at", "b"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.id", (-F.col("b.minus")).alias("score"))
+    nth = F.row_number().over(Window.partitionBy("p", "q").orderBy("row"))
+    first = vectors.select("id", "row", "p", "q").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    held = first.join(classes.select(F.col("id").alias("class"), "p", "q"), ["p", "q"]).select("class", "id", "row")
+    lists = best.join(held, "class").groupBy("own").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "row", "id"))), 1, k + 1).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["row"] != F.col("query_row")), 1, k)
+    out = asked.join(lists, "own").select("query_id", "query_row", F.posexplode(others).alias("at", "b"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.id", (-F.col("b.minus")).alias("score"), "query_row")
