@@ -631,6 +631,44 @@ def test_large_groups_of_near_copies_keep_their_links(spark):
     assert sum(got[i].n_links for i in range(len(x))) >= 0.999 * s.sum() > 1_000_000
 
 
+@pytest.mark.parametrize("scale", [1, 100])
+def test_dense_groups_of_many_sizes_keep_their_links(spark, monkeypatch, scale):
+    """With constants scaled down, cells are split level by level and large leaves are compared block by block."""
+    from weftlink.llm import rp_dedup as r
+
+    if scale > 1:
+        for name in ("FIT_ROWS", "CELL_ROWS", "UPPER_ROWS"):
+            monkeypatch.setattr(r, name, max(getattr(r, name) // scale, 400 if name == "CELL_ROWS" else 40))
+        monkeypatch.setattr(r, "BLOCK", 300)
+        monkeypatch.setattr(r, "COMMON", 3)
+    else:
+        monkeypatch.setattr(r, "UPPER_ROWS", 1000)
+    rng = np.random.default_rng(23)
+    groups = [c + rng.normal(0, 0.2, (n, 24)) for n, c in zip((150, 400, 900, 1800), rng.normal(size=(4, 24)), strict=True)]
+    x = np.concatenate([vectors(rng, 3000, 24), *groups])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    got = {t.id: t for t in r.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), leaf=128).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T >= 0.93
+    np.fill_diagonal(s, False)
+    assert len(got) == len(x) and all(got[i].n_links <= s[i].sum() for i in range(len(x)))
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * s.sum() > 1_000_000
+
+
+def test_a_pair_counts_once_over_leaves_that_compare_it():
+    from weftlink.llm import rp_dedup as r
+
+    v = np.eye(4)[[0, 0, 0, 0]] + 0.01 * np.eye(4)
+    # Leaf 2 compares rows 0 and 1 only with 0 (its core); leaf 4 holds all, row 3 as no core.
+    keys = [[3, 5], [2, 5], [2, 5], [4]]
+    part = pd.DataFrame({"id": range(4), "v": list(v), "copies": 1, "leaves": keys, "leaf": 4, "key": [5, 5, 5, 4], "block": 0, "x": 0, "y": 0})
+    got = r.leaf_links(part, 0.9)
+    counts = got[got.n.notna()].set_index("a").n.to_dict()
+    # 0-1 and 0-2 count in leaf 2; 1-2, and 3 with each, count here.
+    assert counts == {0: 1, 1: 2, 2: 2, 3: 3}
+
+
 def line_truth(rows, least):
     """Longest previous match of every start, by comparing all pairs of starts."""
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, zkey(r[1])))

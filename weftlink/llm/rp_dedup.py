@@ -7,13 +7,16 @@ are aggregates, and every other cell is split further where its vectors are: no
 such a cell at any size of table. Many trees are grown. Equal vectors of a label are one class, which
 stands in the trees once and counts with its number of copies.
 
-Splits cut through a group of near copies that is larger than a leaf, so such groups do not enter the
-trees. Leaders are the densest vectors of a bounded hash sample; a vector within the threshold's angle
-of a leader is core, and all its links lie within twice that angle of the leader. There core vectors
-are compared exactly with all others, block against block, and only pairs of other vectors are left
-to the trees.
- Within a leaf all vectors are compared exactly in double precision, in memory; a
-pair counts in the smallest of the leaves that both vectors share, so no pair is written or counted
+Splits cut through a group of near copies that is a large share of its cell. So before every split, upper
+ones included, a hash sample of the cell is looked at: where one of its vectors (a pivot) has at least the
+spill's share of them within the threshold, the cell does not fall apart there. The vectors of the cell within the
+threshold of a pivot are its core; all their links in the cell lie within twice that angle. Core and
+surroundings become a leaf of their own, in which core vectors are compared with all, block against block where it is
+large; the other vectors of the cell are split further. A group's share of its cell grows with every split, so
+it is seen at some level however small its share of the table is, as long as it is larger than a leaf.
+
+Within a leaf vectors are compared exactly in double precision, in memory; a
+pair counts in the smallest of the leaves that compare it, so no pair is written or counted
 twice. Each leaf passes on one count a vector and a spanning forest of its links; components are
 joined from the forests.
 
@@ -30,6 +33,7 @@ they are alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm.aq_search import matrix, usable
-from weftlink.llm.common import connected_components, numbered, small_side, staged
+from weftlink.llm.common import connected_components, forget, numbered, small_side, staged
 
 #: Trees, vectors in a leaf, share of a cell that spills over a split, vectors the upper splits are fitted on.
 TREES, LEAF, SPILL, FIT_ROWS = 8, 512, 0.08, 4096
@@ -45,121 +49,158 @@ TREES, LEAF, SPILL, FIT_ROWS = 8, 512, 0.08, 4096
 SPILL_SUM = 0.7
 #: Vectors of a cell, at most, that one task splits into leaves.
 CELL_ROWS = 50_000
-#: A cell of the upper tree holds at least this many sample vectors.
-SAMPLE_LEAF = 64
-#: Vectors that leaders are sought in, at least and at most, and one in how many between.
-LEADER_ROWS, LEADER_ROWS_MOST, LEADER_SHARE = 16_384, 131_072, 64
-#: A leader stands for about this many vectors at least, and for this many of the sample.
-DENSE, DENSE_SAMPLE = 128, 8
-#: Vectors in a block around a leader.
+#: A cell of the upper tree holds at least this many sample vectors, and about this many vectors.
+SAMPLE_LEAF, UPPER_ROWS = 64, 12_500
+#: Vectors of a cell that are looked at; vectors of the cell, and of those looked at, that a pivot stands for at least.
+LOOK, DENSE, DENSE_SEEN = 256, 128, 8
+#: Vectors in a block of a large leaf.
 BLOCK = 4096
+#: Earlier leaves of a part whose shared pairs are found by products; those of the rest are looked up.
+COMMON = 256
 
 
-def grow(x: np.ndarray, at: np.ndarray, leaf: int, spill: float, rng: np.random.Generator, path: int = 1) -> list[tuple[int, np.ndarray]]:
-    """Leaves (path, rows) of one random tree over the rows ``at`` of ``x``."""
+def units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def pivots(seen: np.ndarray, rows: float, threshold: float, spill: float) -> np.ndarray:
+    """Unit vectors out of those ``seen`` of a cell of ``rows``, densest first, until none has enough of those
+    that are left within the threshold."""
+    left, chosen = np.ones(len(seen), bool), []
+    least = max(DENSE_SEEN, spill * len(seen), DENSE * len(seen) / max(rows, 1))
+    near = seen @ seen.T >= threshold
+    while len(seen) and (n := (near & left).sum(1)).max() >= least:
+        best = int(n.argmax())
+        chosen.append(best)
+        left &= ~near[best]
+    return seen[chosen]
+
+
+def around(unit: np.ndarray, found: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the pivot it is core of, or -1, and whether it lies around each pivot."""
+    # Twice the angle of the threshold, a little wider than the rounding of single precision.
+    wide = 2 * threshold**2 - 1 - 1e-6 if threshold > 0 else -2.0
+    cos = unit @ found.T
+    best = cos.argmax(1)
+    return np.where(cos[np.arange(len(unit)), best] >= threshold, best, -1), cos >= wide
+
+
+def grow(x: np.ndarray, at: np.ndarray, leaf: int, spill: float, threshold: float, rng: np.random.Generator, path: int = 1) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Leaves (path, rows, which are core) of one random tree over the rows ``at`` of the unit vectors ``x``."""
+    out = []
+    if len(at) > leaf:
+        seen = at if len(at) <= LOOK else at[rng.choice(len(at), LOOK, replace=False)]
+        if len(found := pivots(x[seen], len(at), threshold, spill)):
+            core, near = around(x[at], found, threshold)
+            out += [(f"{path}:{k}", at[near[:, k]], core[near[:, k]] == k) for k in range(len(found)) if (core == k).any()]
+            at = at[core < 0]
     if len(at) <= leaf or path >= 1 << 40:
-        return [(path, at)]
+        return [*out, (str(path), at, np.ones(len(at), bool))] if len(at) else out
     p = x[at] @ rng.standard_normal(x.shape[1])
     low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-    if not p.min() < p.max():
-        # Equal projections cannot be told apart; halves by order, each with the other's edge.
+    left, right = at[p <= high], at[p >= low]
+    if len(left) == len(at) or len(right) == len(at):
+        # Projections that cannot be told apart: halves by order, each with the other's edge.
+        order = np.argsort(p, kind="stable")
         half, edge = len(at) // 2, max(1, int(len(at) * spill))
-        left, right = at[: half + edge], at[half - edge :]
-    else:
-        left, right = at[p <= high], at[p >= low]
-        if len(left) == len(at) or len(right) == len(at):
-            order = np.argsort(p, kind="stable")
-            half, edge = len(at) // 2, max(1, int(len(at) * spill))
-            left, right = at[np.sort(order[: half + edge])], at[np.sort(order[half - edge :])]
-    return grow(x, left, leaf, spill, rng, 2 * path) + grow(x, right, leaf, spill, rng, 2 * path + 1)
+        left, right = at[np.sort(order[: half + edge])], at[np.sort(order[half - edge :])]
+    return out + grow(x, left, leaf, spill, threshold, rng, 2 * path) + grow(x, right, leaf, spill, threshold, rng, 2 * path + 1)
 
 
 class UpperTree:
-    """Splits fitted on a sample: node to (direction seed, low, high)."""
+    """Splits fitted on a sample of unit vectors, each of which stands for ``share`` vectors: node to low and high
+    on a direction made from its number, and the pivots of a node."""
 
-    def __init__(self, sample: np.ndarray, tree: int, spill: float):
-        self.tree, self.nodes, self.d = tree, {}, sample.shape[1] if sample.size else 0
-        if sample.size:
-            self._fit(sample, 1, spill)
+    def __init__(self, sample: np.ndarray, tree: int, spill: float, threshold: float, share: float):
+        self.tree, self.nodes, self.found, self.d = tree, {}, {}, sample.shape[1]
+        self.spill, self.threshold, self.share = spill, threshold, share
+        self._fit(sample, 1)
 
     def _way(self, node: int) -> np.ndarray:
         return np.random.default_rng([self.tree, node]).standard_normal(self.d)
 
-    def _fit(self, x: np.ndarray, node: int, spill: float) -> None:
-        if len(x) < 2 * SAMPLE_LEAF:
+    def _fit(self, x: np.ndarray, node: int) -> None:
+        if len(x) < 2 * SAMPLE_LEAF or len(x) * self.share <= UPPER_ROWS:
             return
+        seen = x if len(x) <= LOOK else x[np.random.default_rng([self.tree, node, 2]).choice(len(x), LOOK, replace=False)]
+        if len(found := pivots(seen, len(x) * self.share, self.threshold, self.spill)):
+            self.found[node] = found
+            x = x[around(x, found, self.threshold)[0] < 0]
+            if len(x) < 2 * SAMPLE_LEAF:
+                return
         p = x @ self._way(node)
-        low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
+        low, high = np.quantile(p, [0.5 - self.spill, 0.5 + self.spill])
         left, right = x[p <= high], x[p >= low]
         if len(left) == len(x) or len(right) == len(x):
             return
         self.nodes[node] = low, high
-        self._fit(left, 2 * node, spill)
-        self._fit(right, 2 * node + 1, spill)
-
-    def route(self, x: np.ndarray, at: np.ndarray | None = None, node: int = 1) -> list[tuple[int, np.ndarray]]:
-        at = np.arange(len(x)) if at is None else at
+        self._fit(left, 2 * node)
+        self._fit(right, 2 * node + 1)
+
+    def route(self, x: np.ndarray, at: np.ndarray | None = None, node: int = 1) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(node, pivot, rows, which are core) of the cells (pivot -1) and of the leaves around pivots."""
+        at, out = np.arange(len(x)) if at is None else at, []
+        if node in self.found and len(at):
+            core, near = around(x[at], self.found[node], self.threshold)
+            out = [(node, k, at[near[:, k]], core[near[:, k]] == k) for k in range(near.shape[1])]
+            at = at[core < 0]
         if node not in self.nodes or not len(at):
-            return [(node, at)] if len(at) else []
+            return [*out, (node, -1, at, np.ones(len(at), bool))] if len(at) else out
         low, high = self.nodes[node]
         p = x[at] @ self._way(node)
-        return self.route(x, at[p <= high], 2 * node) + self.route(x, at[p >= low], 2 * node + 1)
-
-
-def union_forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b among n nodes."""
-    top, out = list(range(n)), []
-
-    def head(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
+        return out + self.route(x, at[p <= high], 2 * node) + self.route(x, at[p >= low], 2 * node + 1)
+
+
+def earlier_leaves(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are in, and core of, the commonest leaves before this one; and keys of the rest, a row each (-1: none)."""
+    own, keys = int(part["leaf"].iat[0]), part["leaves"].to_numpy()
+    row, key = np.repeat(np.arange(len(part)), [len(k) for k in keys]), np.concatenate(keys).astype(np.int64)
+    row, key = row[(key & -2) < own], key[(key & -2) < own]
+    leaf, column, n = np.unique(key & -2, return_inverse=True, return_counts=True)
+    # A leaf of one row shares no pair.
+    order = np.argsort(-n, kind="stable")
+    place = np.full(len(leaf), -1)
+    common = order[:COMMON][n[order[:COMMON]] > 1]
+    place[common] = np.arange(len(common))
+    inside, core = np.zeros((len(part), len(common)), np.float32), np.zeros((len(part), len(common)), np.float32)
+    hit = place[column] >= 0
+    inside[row[hit], place[column[hit]]] = 1
+    core[row[hit], place[column[hit]]] = key[hit] & 1
+    more = ~hit & (n[column] > 1)
+    row, column, flag = row[more], column[more], key[more] & 1
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    rest = np.full((len(part), int(nth.max()) + 1 if len(nth) else 0), -1, np.int64)
+    rest[row, nth] = 2 * column + flag
+    return inside, core, rest, (rest >= 0).any(1)
 
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := head(i)) != (q := head(j)):
-            top[max(p, q)] = min(p, q)
-            out.append((i, j))
-    return out
 
-
-def find_leaders(x: np.ndarray, threshold: float, least: int) -> np.ndarray:
-    """Unit vectors of the sample ``x``, densest first, until no vector has ``least`` sample vectors that are
-    not yet within the threshold of a leader."""
-    unit = x / np.sqrt((x**2).sum(1))[:, None]
-    left, chosen = np.ones(len(x), bool), []
-    n = np.concatenate([(unit[lo : lo + 512] @ unit.T >= threshold).sum(1) for lo in range(0, len(x), 512)])
-    while n.max() >= least:
-        best = int(n.argmax())
-        gone = np.nonzero((unit @ unit[best] >= threshold) & left)[0]
-        chosen.append(best)
-        left[gone] = False
-        n[best] = 0
-        for lo in range(0, len(gone), 512):
-            n -= (unit @ unit[gone[lo : lo + 512]].T >= threshold).sum(1)
-    return unit[chosen]
-
-
-def core_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Counts and a spanning forest of the links between a block of core vectors of a leader and a block of
-    the vectors around it: rows (a, n, null) and (a, null, b)."""
-    part = part.sort_values(["id", "left"], kind="stable").reset_index(drop=True)
-    x, leader = matrix(part["v"]), int(part["leader"].iat[0])
-    unit = x / np.sqrt((x**2).sum(1))[:, None]
-    ids, node = np.unique(part["id"].to_numpy(np.int64), return_inverse=True)
-    left, copies = part["left"].to_numpy(bool), part["copies"].to_numpy(np.int64)
-    a, b = np.nonzero(left)[0], np.nonzero(~left)[0]
-    core = part["core"].to_numpy(np.int64)[b]
+def leaf_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Counts and a spanning forest of the links of a leaf, or between two blocks of a large one: rows
+    (a, n, null) and (a, null, b)."""
+    part = part.sort_values(["block", "id"], kind="stable").reset_index(drop=True)
+    unit, ids, copies = units(matrix(part["v"])), part["id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64)
+    own_core, block = (part["key"].to_numpy(np.int64) & 1).astype(bool), part["block"].to_numpy()
+    a, b = np.nonzero(block == part["x"].iat[0])[0], np.nonzero(block == part["y"].iat[0])[0]
+    inside, core, rest, has_rest = earlier_leaves(part)
     counts, top, links = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-    # A pair of core vectors counts at the smaller leader, and there from its smaller id.
-    always, own = (core < 0) | (core > leader), core == leader
     for lo in range(0, len(a), 256):
         rows = a[lo : lo + 256]
-        near = (unit[rows] @ unit[b].T >= threshold) & (always | (own & (node[b] > node[rows][:, None])))
-        np.add.at(counts, node[rows], near @ copies[b])
-        np.add.at(counts, node[b], copies[rows] @ near)
-        for i, hits in zip(node[rows], near, strict=True):
-            to = node[b[hits]]
+        near = (unit[rows] @ unit[b].T >= threshold) & (own_core[rows][:, None] | own_core[b]) & (b > rows[:, None])
+        if inside.shape[1] and near.any():
+            near &= core[rows] @ inside[b].T + inside[rows] @ core[b].T == 0
+        i, j = np.nonzero(near & has_rest[rows][:, None] & has_rest[b])
+        for at in range(0, len(i), 20_000):
+            ii, jj = i[at : at + 20_000], j[at : at + 20_000]
+            p, q = rest[rows[ii]], rest[b[jj]]
+            shared = np.zeros(len(ii), bool)
+            for c in range(rest.shape[1]):
+                mine = p[:, c : c + 1]
+                shared |= ((mine >= 0) & (q >= 0) & (mine >> 1 == q >> 1) & ((mine | q) & 1 == 1)).any(1)
+            near[ii[shared], jj[shared]] = False
+        counts[rows] += near @ copies[b]
+        counts[b] += copies[rows] @ near
+        for i, hits in zip(rows, near, strict=True):
+            to = b[hits]
             other = to[top[to] != top[i]]
             if len(other):
                 heads, first = np.unique(top[other], return_index=True)
@@ -175,87 +216,69 @@ def core_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     )
 
 
-def around_leaders(good: DataFrame, leaders: dict[int, np.ndarray], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The vectors that are no core, and counts and forests of all links of the core vectors."""
-    # Twice the angle of the threshold, a little wider than rounding.
-    wide = 2 * threshold**2 - 1 - 1e-9 if threshold > 0 else -2.0
-
-    def mark(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                core, near = np.full(len(part), -1, np.int64), np.full(len(part), None, object)
-                for d, rows in part.groupby("d").indices.items():
-                    near[rows] = [[] for _ in rows]
-                    if d in leaders:
-                        x = matrix(part["v"].iloc[rows])
-                        cos = (x / np.sqrt((x**2).sum(1))[:, None]) @ leaders[d].T
-                        best = cos.argmax(1)
-                        core[rows] = np.where(cos[np.arange(len(rows)), best] >= threshold, best, -1)
-                        near[rows] = [np.nonzero(c >= wide)[0].tolist() for c in cos]
-                yield part.assign(core=core, near=near)
-
-    names = ["id", "label", "v", "p", "q", "copies", "d"]
-    marked = staged(good.select(names).mapInPandas(mark, "id long, label string, v array<double>, p long, q long, copies long, d int, core long, near array<long>"), "marked")
-    spot = ["label", "d", "leader"]
-    members = marked.select("id", "label", "d", "v", "copies", "core", F.explode("near").alias("leader"))
-    is_core = F.col("core") == F.col("leader")
-    sizes = members.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.max(is_core).alias("any")).where("any").drop("any")
-    blocks = members.join(sizes, spot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = [*spot, "id", "v", "copies", "core"]
-    dealt = blocks.select(*rows, F.lit(False).alias("left"), F.col("other").alias("x"), F.col("block").alias("y"))
-    dealt = dealt.unionByName(blocks.where(is_core).select(*rows, F.lit(True).alias("left"), F.col("block").alias("x"), F.col("other").alias("y")))
-    found = dealt.groupBy(*spot, "x", "y").applyInPandas(lambda part: core_links(part, threshold), "a long, n long, b long")
-    return marked.where("core < 0").select(names), found
-
-
-def leaf_links(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Counts and a spanning forest of a leaf's links: rows (a, n, null) and (a, null, b)."""
-    part = part.sort_values("id", kind="stable").reset_index(drop=True)
-    x = matrix(part["v"])
-    unit = x / np.sqrt((x**2).sum(1))[:, None]
-    own, keys = part["leaf"].iat[0], part["leaves"].map(np.asarray)
-    width = max(map(len, keys))
-    table = np.full((len(part), width), np.iinfo(np.int64).max)
-    for i, k in enumerate(keys):
-        table[i, : len(k)] = k
-    table[table >= own] = np.iinfo(np.int64).max  # only leaves before this one matter
-    table.sort(axis=1)
-    table = table[:, : max(1, int((table != np.iinfo(np.int64).max).sum(1).max()))]
-    counts, links, copies = np.zeros(len(part), np.int64), [], part["copies"].to_numpy()
-    for lo in range(0, len(part), 256):
-        near = unit[lo : lo + 256] @ unit.T >= threshold
-        i, j = np.nonzero(near)
-        i = i + lo
-        i, j = i[j > i], j[j > i]
-        shared = np.zeros(len(i), bool)
-        for c in range(table.shape[1]):
-            mine = table[i, c]
-            shared |= ((table[j] == mine[:, None]).any(1)) & (mine != np.iinfo(np.int64).max)
-        i_own, j_own = i[~shared], j[~shared]
-        np.add.at(counts, i_own, copies[j_own])
-        np.add.at(counts, j_own, copies[i_own])
-        links.append((i_own, j_own))
-    a, b = (np.concatenate(z) for z in zip(*links, strict=True))
-    ids, forest = part["id"].to_numpy(), union_forest(len(part), a, b)
-    some = counts > 0
-    return pd.DataFrame(
-        {
-            "a": np.concatenate([ids[some], ids[[p for p, _ in forest]]]).astype(np.int64),
-            "n": pd.array([*counts[some], *[None] * len(forest)], dtype="Int64"),
-            "b": pd.array([*[None] * int(some.sum()), *ids[[q for _, q in forest]]], dtype="Int64"),
-        }
-    )
-
-
-def split_again(cells: DataFrame, spill: float) -> DataFrame:
-    """The cells (label, d, tree, node, id, v) with those of more than ``CELL_ROWS`` vectors split, level by level.
+def in_blocks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows``, one a leaf, with the pairs of blocks (x, y) they meet in: one pair in leaves of up to ``BLOCK`` vectors;
+    in larger ones blocks of core vectors meet all blocks."""
+    is_core = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
+    n = marks.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_core).alias("n_core")).where(F.col("n") > BLOCK)
+    parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    n = staged(n.select("leaf", parts(F.col("n_core")).alias("cores"), parts(F.col("n") - F.col("n_core")).alias("others")), "leaves-large")
+    rows = rows.join(small_side(n, n.count()), "leaf", "left")
+    at = lambda blocks: F.pmod(F.xxhash64("id", "leaf"), F.col(blocks)).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("cores").isNull(), 0).when(is_core, at("cores")).otherwise(F.col("cores") + at("others")))
+    last = F.when(F.col("cores").isNull(), 0).when(is_core, F.col("cores") + F.col("others") - 1).otherwise(F.col("cores") - 1)
+    # A leaf of the upper tree may have no core in some labels: nothing is compared there.
+    rows = rows.withColumn("o", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    return rows.withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o")).drop("cores", "others", "o")
+
+
+CELL = ["label", "d", "tree", "node"]
+
+
+def take_dense(rows: DataFrame, sizes: DataFrame, n_sizes: int, threshold: float, spill: float) -> tuple[DataFrame, DataFrame | None]:
+    """What is left of large cells (label, d, tree, node, n) without the cores of their pivots, and the marks
+    (id, mark, core) of the leaves around those; no task holds more than about ``CELL_ROWS`` vectors."""
+    large = rows.join(small_side(sizes, n_sizes), CELL)
+    part = F.pmod(F.xxhash64("id", "tree", F.lit("look")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def find(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values("id", kind="stable")
+        found = pivots(units(matrix(cell["v"])), float(cell["n"].iat[0]), threshold, spill)
+        return pd.DataFrame({**{c: cell[c].iat[0] for c in [*CELL, "n"]}, "pivot": np.arange(len(found)), "w": pd.Series(list(found), dtype=object)}, columns=[*CELL, "n", "pivot", "w"])
+
+    shape = "label string, d int, tree int, node long"
+    found = staged(large.where(part < F.lit(2.0 * LOOK) / F.col("n")).groupBy(*CELL).applyInPandas(find, shape + ", n long, pivot int, w array<double>"), "pivots")
+    if not found.limit(1).count():
+        return rows, None
+    chunks = F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int")
+
+    def mark(cell: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names = [*CELL, "id", "v", "pivot", "core"]
+        if not len(cell) or not len(found):
+            return cell.assign(pivot=-1, core=True)[names]
+        found = found.sort_values("pivot")
+        core, near = around(units(matrix(cell["v"])), matrix(found["w"]), threshold)
+        out = [cell[core < 0].assign(pivot=-1, core=True)]
+        out += [cell[near[:, k]].assign(pivot=p, core=core[near[:, k]] == k, v=None) for k, p in enumerate(found["pivot"])]
+        return pd.concat(out)[names]
+
+    left = large.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).drop("n").groupBy(*CELL, "chunk")
+    right = found.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("n").groupBy(*CELL, "chunk")
+    looked = staged(left.cogroup(right).applyInPandas(mark, shape + ", id long, v array<float>, pivot int, core boolean"), "cells-looked")
+    name = F.concat_ws("|", *CELL, F.concat(F.lit("c"), F.col("pivot")))
+    small = rows.join(small_side(sizes.select(CELL), n_sizes), CELL, "left_anti")
+    return small.unionByName(looked.where("pivot < 0").drop("pivot", "core")), looked.where("pivot >= 0").select("id", name.alias("mark"), "core")
+
+
+def split_again(cells: DataFrame, spill: float, take: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The cells (label, d, tree, node, id, v) with those of more than ``CELL_ROWS`` vectors split, level by level,
+    after ``take`` has taken out of (cells, sizes of the large ones, their number) what is not to be split.
 
     A level projects the vectors of large cells, takes both quantiles of each cell as an aggregate and
     sends each vector to one child, or between the quantiles to both. Where the quantiles are equal,
     the vectors upon them are told apart by a hash, with the same spill.
     """
-    cell = ["label", "d", "tree", "node"]
+    cell = CELL
 
     def project(batches):
         for batch in batches:
@@ -271,6 +294,8 @@ def split_again(cells: DataFrame, spill: float) -> DataFrame:
         n_large = sizes.count()
         if not n_large:
             return rows if done is None else done.unionByName(rows)
+        if take is not None:
+            rows = take(rows, sizes, n_large)
         small = rows.join(small_side(sizes.select(cell), n_large), cell, "left_anti")
         done = small if done is None else done.unionByName(small)
         shape = "label string, d int, tree int, node long, id long, v array<float>"
@@ -300,54 +325,76 @@ def near_duplicates(
     good = staged(classes, "classes", like=df)
     n_good = good.count()
     spill = min(spill, SPILL_SUM / max(1, math.ceil(math.log2(max(2, n_good / leaf)))))
-    wanted = min(max(LEADER_ROWS, n_good // LEADER_SHARE), LEADER_ROWS_MOST)
-    seen = good.select("v", "d", F.xxhash64("id", F.lit("lead")).alias("h")).orderBy("h").limit(wanted).toPandas()
-    least = max(DENSE_SAMPLE, -(-DENSE * len(seen) // max(n_good, 1)))
-    leaders = {int(d): found for d, g in seen.groupby("d") if len(found := find_leaders(matrix(g["v"]), threshold, least))} if len(seen) else {}
-    rest, at_leaders = around_leaders(good, leaders, threshold) if leaders else (good, None)
-    got = rest.select("v", "d", F.xxhash64("id", F.lit("fit")).alias("h")).orderBy("h").limit(FIT_ROWS).toPandas()
-    uppers = {int(d): [UpperTree(matrix(g["v"]), t, spill) for t in range(trees)] for d, g in got.groupby("d")} if len(got) else {}
-
-    def placed(part: pd.DataFrame, d: int):
-        """(tree, nodes, rows) of the cells of each tree that the vectors go to."""
-        x = matrix(part["v"])
+    got = good.select("v", "d", F.xxhash64("id", F.lit("fit")).alias("h")).orderBy("h").limit(FIT_ROWS).toPandas()
+    share = n_good / max(1, len(got))
+    uppers = {int(d): [UpperTree(units(matrix(g["v"])), t, spill, threshold, share) for t in range(trees)] for d, g in got.groupby("d")} if len(got) else {}
+
+    def placed(part: pd.DataFrame, d: int, dense: bool):
+        """(tree, nodes, pivots, rows, core) of the cells of each tree that the vectors go to, or of the leaves around pivots."""
+        x = units(matrix(part["v"]))
         for t in range(trees):
-            cells = uppers[d][t].route(x) if d in uppers else [(1, np.arange(len(x)))]
-            yield t, np.repeat([node for node, _ in cells], [len(at) for _, at in cells]), np.concatenate([at for _, at in cells])
+            cells = uppers[d][t].route(x) if d in uppers else [(1, -1, np.arange(len(x)), np.ones(len(x), bool))]
+            if cells := [c for c in cells if (c[1] >= 0) == dense]:
+                size = [len(c[2]) for c in cells]
+                yield t, np.repeat([c[0] for c in cells], size), np.repeat([c[1] for c in cells], size), *(np.concatenate([c[i] for c in cells]) for i in (2, 3))
 
     def route(batches):
         for batch in batches:
             for d, part in batch.groupby("d"):
                 ids, labels, v = part["id"].to_numpy(), part["label"].to_numpy(), part["v"].to_numpy()
-                for t, node, at in placed(part, d):
+                for t, node, _, at, _ in placed(part, d, False):
                     yield pd.DataFrame({"label": labels[at], "d": d, "tree": t, "node": node, "id": ids[at], "v": v[at]})
 
+    def route_dense(batches):
+        for batch in batches:
+            for d, part in batch.groupby("d"):
+                ids, labels = part["id"].to_numpy(), part["label"].to_numpy()
+                for t, node, pivot, at, core in placed(part, d, True):
+                    yield pd.DataFrame({"label": labels[at], "d": d, "tree": t, "node": node, "pivot": pivot, "id": ids[at], "core": core})
+
     def count_cells(batches):
         for batch in batches:
             for d, part in batch.groupby("d"):
                 labels = part["label"].to_numpy()
-                for t, node, at in placed(part, d):
+                for t, node, _, at, _ in placed(part, d, False):
                     n = pd.DataFrame({"label": labels[at], "node": node}).groupby(["label", "node"], as_index=False).size()
                     yield n.rename(columns={"size": "n"}).assign(d=d, tree=t)[["label", "d", "tree", "node", "n"]]
 
-    cells = rest.mapInPandas(route, "label string, d int, tree int, node long, id long, v array<float>")
-    counted = rest.mapInPandas(count_cells, "label string, d int, tree int, node long, n long").groupBy("label", "d", "tree", "node").agg(F.sum("n").alias("n"))
+    dense = []
+    if any(u.found for of_d in uppers.values() for u in of_d):
+        at_pivots = good.mapInPandas(route_dense, "label string, d int, tree int, node long, pivot int, id long, core boolean")
+        dense.append(at_pivots.select("id", F.concat_ws("|", *CELL, F.concat(F.lit("u"), F.col("pivot"))).alias("mark"), "core"))
+
+    def take(cells: DataFrame, sizes: DataFrame, n_sizes: int) -> DataFrame:
+        left, marks = take_dense(cells, sizes, n_sizes, threshold, spill)
+        dense.extend([] if marks is None else [marks])
+        return left
+
+    cells = good.mapInPandas(route, "label string, d int, tree int, node long, id long, v array<float>")
+    counted = good.mapInPandas(count_cells, "label string, d int, tree int, node long, n long").groupBy(*CELL).agg(F.sum("n").alias("n"))
     if counted.where(F.col("n") > CELL_ROWS).limit(1).count():
-        cells = split_again(cells, spill)
+        cells = split_again(cells, spill, take)
 
     def split(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
-        x, tree, node = matrix(part["v"]), int(part["tree"].iat[0]), int(part["node"].iat[0])
-        leaves = grow(x, np.arange(len(x)), leaf, spill, np.random.default_rng([tree, node, 1]))
+        x, tree, node = units(matrix(part["v"])), int(part["tree"].iat[0]), int(part["node"].iat[0])
+        leaves = grow(x, np.arange(len(x)), leaf, spill, threshold, np.random.default_rng([tree, node, 1]))
         ids = part["id"].to_numpy()
-        mark = [f"{part['label'].iat[0]}|{part['d'].iat[0]}|{tree}|{node}|{path}" for path, _ in leaves]
-        return pd.DataFrame({"id": np.concatenate([ids[at] for _, at in leaves]), "mark": np.repeat(mark, [len(at) for _, at in leaves])})
-
-    marks = cells.groupBy("label", "d", "tree", "node").applyInPandas(split, "id long, mark string").select("id", F.xxhash64("mark").alias("leaf"))
-    leaves = marks.groupBy("id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
-    spread = rest.select("id", "v", "copies").join(leaves, "id").withColumn("leaf", F.explode("leaves"))
-    found = spread.groupBy("leaf").applyInPandas(lambda part: leaf_links(part, threshold), "a long, n long, b long")
-    found = staged(found if at_leaders is None else found.unionByName(at_leaders), "links")
+        mark = [f"{part['label'].iat[0]}|{part['d'].iat[0]}|{tree}|{node}|{path}" for path, _, _ in leaves]
+        size = [len(at) for _, at, _ in leaves]
+        return pd.DataFrame({"id": np.concatenate([ids[at] for _, at, _ in leaves]), "mark": np.repeat(mark, size), "core": np.concatenate([core for _, _, core in leaves])})
+
+    marks = cells.groupBy(*CELL).applyInPandas(split, "id long, mark string, core boolean")
+    for more in dense:
+        marks = marks.unionByName(more)
+    # A leaf is an even number; a key of its core vectors is one more.
+    leaf_of = F.shiftleft(F.xxhash64("mark"), 1)
+    marks = staged(marks.select("id", leaf_of.alias("leaf"), (leaf_of + F.col("core").cast("long")).alias("key")), "marks")
+    leaves = marks.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("leaves"))
+    spread = good.select("id", "v", "copies").join(leaves, "id").withColumn("key", F.explode("leaves")).withColumn("leaf", F.col("key").bitwiseAND(F.lit(-2).cast("long")))
+    found = in_blocks(spread, marks).groupBy("leaf", "x", "y").applyInPandas(lambda part: leaf_links(part, threshold), "a long, n long, b long")
+    found = staged(found, "links")
+    forget(marks)
     counts = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
     heads = good.select(F.col("id").alias("component"), F.col("vec").alias("head"))
