@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.stats import confusion_metrics, exact_quantile, normal_two_sided, value_counts, with_average_rank
-from weftlink.operators.intervals import overlap_fraction, overlap_join
+from weftlink.operators.intervals import meeting_intervals, overlap_fraction
 from weftlink.operators.numbering import numbered_within, same, small
 from weftlink.sources.staging import staged
 
 
 def truth_by_overlap(predicted: DataFrame, truth: DataFrame, least: float = 0.5, key: str = "id") -> DataFrame:
     """(key, truth): whether a prediction is covered by a true interval to the given share."""
-    hit = overlap_join(predicted, truth).withColumn("f__", overlap_fraction()).where(F.col("f__") >= least).select(key).distinct()
+    hit = predicted.join(meeting_intervals(predicted, truth, more=overlap_fraction() >= least), ["chrom", "start", "end"], "left_semi").select(key).distinct()
     return predicted.select(key).join(hit.withColumn("truth", F.lit(1)), key, "left").na.fill(0, ["truth"])
 
 
