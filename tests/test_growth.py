@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import benchmark, intervals, links
+from weftlink.operators import benchmark, intervals, links, topics
 
 
 def shuffled(spark, df) -> int:
@@ -112,3 +112,23 @@ def test_truth_does_not_make_pairs(spark, plain_joins):
     want = {i: int(any(min(s + 6, q + 9) - max(s, q) >= 3 for q in starts)) for i in range(900) for s in [i % 10 * 7]}
     assert {r.id: r.truth for r in df.collect()} == want and not math.prod(want.values())
     assert shuffled(spark, df) < 20_000
+
+
+def test_topics_of_links_are_ranked_within_their_rows(spark, plain_joins):
+    n, k = 400, 6
+    edges = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit("t").alias("tf"), F.concat(F.lit("g"), (F.col("id") % 4).cast("string")).alias("gene_key"), F.col("id").alias("peak_id"))
+    theta = spark.createDataFrame([("d", t, t / 21) for t in range(1, k + 1)], "doc_id string, topic int, theta double")
+    genes = spark.createDataFrame([(t, f"g{g}", (t * g % 5 + 1) / 10) for t in range(1, k + 1) for g in range(4)], "topic int, term_id string, phi double")
+    sites = spark.range(n).crossJoin(theta.select("topic")).select("topic", F.concat(F.lit("PEAK:"), "id").alias("term_id"), ((F.col("id") + F.col("topic")) % 7 / 10).alias("phi"))
+    phi = genes.withColumn("term_id", F.concat(F.lit("GENE:"), "term_id")).unionByName(sites)
+    scores = phi.withColumnRenamed("phi", "score")
+    for df, rows in (
+        (topics.edge_topics(edges, theta, genes, 2), 2 * n),
+        (topics.link_topic_scores(edges, theta, phi, top_k=2), 2 * n),
+        (topics.topic_links(edges, scores, scores.withColumn("in_topic", F.col("score") > 0.3)), k * n),
+    ):
+        assert df.count() == rows
+        # A distinct of the links and a join by site, but no row a topic.
+        assert shuffled(spark, df) < 3 * n
+    best = {r.gene_key: r.topic for r in topics.edge_topics(edges, theta, genes, 1).collect()}
+    assert best == {f"g{g}": min(range(1, k + 1), key=lambda t: (-t * (t * g % 5 + 1), t)) for g in range(4)}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.stats import benjamini_hochberg, exact_quantile, gamma_cutoff, gamma_moments
-from weftlink.operators.numbering import counts_at_least, numbered_within, same, small
+from weftlink.operators.numbering import FEW, counts_at_least, numbered_within, same, small
 from weftlink.sources.staging import staged
 
 
@@ -235,15 +235,52 @@ def annotate_links(links: DataFrame, k: int, which: str = "abs", min_df: int = 2
     return links.join(assign_topics(model.theta, cutoff).withColumnRenamed("doc_id", "tf"), "tf", "left")
 
 
+def _topic_list(df: DataFrame) -> Column:
+    """The topics of ``df`` in order, as an array."""
+    kind = df.schema["topic"].dataType
+    return F.array(*[F.lit(r.topic).cast(kind) for r in df.select("topic").distinct().orderBy("topic").collect()]).cast(f"array<{kind.simpleString()}>")
+
+
+def _by_topic(df: DataFrame, key: str, topics: Column, value: Column, out: str) -> tuple[DataFrame, int]:
+    """(key, out): values of each key in the order of ``topics``, null where there is none; and the number of keys.
+
+    ``df`` has one row a topic and key. Staged, as it is joined to links and counted.
+    """
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("topic", value.alias("v"))).alias("x__"))
+    in_order = F.transform(topics, lambda t: F.get(F.filter("x__", lambda x: x["topic"] == t), 0)["v"])
+    rows = staged(per.select(key, in_order.alias(out)), "by-topic")
+    return rows, rows.count()
+
+
+def _links_with(edges: DataFrame, site: tuple[DataFrame, int], others: dict[str, tuple[tuple[DataFrame, int], str]]) -> DataFrame:
+    """Distinct links (doc_id, tf, gene_key, peak_id) with the arrays of their site and of other columns.
+
+    Many sites: links are shuffled once, by site, for the distinct and the join. Few: nothing but for the distinct.
+    """
+    links = edges.select("doc_id", "tf", "gene_key", F.col("peak_id").cast("string").alias("peak_id"))
+    links = (links if site[1] <= FEW else links.repartition("peak_id")).distinct().join(small(*site), "peak_id", "left")
+    for key, (table, how) in others.items():
+        links = links.join(small(*table), key, how)
+    return links
+
+
 def edge_topics(edges: DataFrame, theta: DataFrame, phi: DataFrame, top_n: int = 1, min_score: float | None = None, sum_sites: bool = False) -> DataFrame:
-    """The best topics of each edge by theta(document, topic) x phi(topic, gene)."""
+    """The best topics of each edge by theta(document, topic) x phi(topic, gene).
+
+    Documents and genes come to an edge with all their topics, which are ranked within its row.
+    """
     keys = ["doc_id", "tf", "gene_key"] + ([] if sum_sites else ["peak_id"])
-    rows = edges.select(*keys).distinct().join(theta, "doc_id").join(phi.withColumnRenamed("term_id", "gene_key"), ["topic", "gene_key"])
-    rows = rows.select(*keys, "topic", (F.col("theta") * F.col("phi")).alias("score"))
+    theta = staged(theta.select("doc_id", "topic", "theta").where("topic is not null"), "theta")
+    topics = _topic_list(theta)
+    doc, gene = _by_topic(theta, "doc_id", topics, F.col("theta"), "t__"), _by_topic(phi.withColumnRenamed("term_id", "gene_key"), "gene_key", topics, F.col("phi"), "g__")
+    rows = edges.select(*keys).distinct().join(small(*doc), "doc_id").join(small(*gene), "gene_key")
+    score = lambda t, i: F.get("t__", i) * F.get("g__", i)
+    held = F.filter(F.transform(topics, lambda t, i: F.struct((-score(t, i)).alias("less"), t.alias("topic"), score(t, i).alias("score"))), lambda x: x["score"].isNotNull())
     if min_score is not None:
-        rows = rows.where(F.col("score") >= min_score)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "topic")
-    return rows.withColumn("topic_rank", F.row_number().over(w)).where(F.col("topic_rank") <= top_n)
+        held = F.filter(held, lambda x: x["score"] >= min_score)
+    best = F.slice(F.array_sort(held), 1, top_n)
+    rows = rows.select(*keys, F.posexplode(best).alias("at__", "x__"))
+    return rows.select(*keys, "x__.topic", "x__.score", (F.col("at__") + 1).alias("topic_rank"))
 
 
 def normalised_scores(phi: DataFrame) -> DataFrame:
@@ -287,28 +324,42 @@ def _link_parts(edges: DataFrame, phi: DataFrame, value: str) -> tuple[DataFrame
 
 def link_topic_scores(edges: DataFrame, theta: DataFrame, phi: DataFrame, in_topic: DataFrame | None = None, gate: str = "none", top_k: int = 3, min_prob: float = 0, with_tf: bool = False) -> DataFrame:
     """(doc_id, tf, gene_key, peak_id, topic, score, prob, topic_rank): theta x phi(site) x phi(gene)
-    (x phi(factor)); gated by membership of gene, site, both or either; prob within the link, uniform
+    (x phi(factor)), topics being ranked within a link's row; gated by membership of gene, site, both or either; prob within the link, uniform
     where all scores are 0."""
-    peak, gene = _link_parts(edges, phi, "phi")
-    rows = edges.select("doc_id", "tf", "gene_key", F.col("peak_id").cast("string").alias("peak_id")).distinct().join(theta, "doc_id")
-    rows = rows.join(peak, ["topic", "peak_id"], "left").join(gene, ["topic", "gene_key"], "left")
-    s = F.col("theta") * F.coalesce("peak_score", F.lit(0.0)) * F.coalesce("gene_score", F.lit(0.0))
+    theta, phi = staged(theta.select("doc_id", "topic", "theta").where("topic is not null"), "theta"), staged(phi, "phi")
+    topics, one = _topic_list(theta), F.struct(F.col("theta").alias("x"))
+    parts = _link_parts(edges, phi, "phi")
+    others = {"doc_id": (_by_topic(theta, "doc_id", topics, one, "t__"), "inner"), "gene_key": (_by_topic(parts[1], "gene_key", topics, F.col("gene_score"), "g__"), "left")}
+    factors = ["g__", "p__"]
     if with_tf:
-        tf = phi.where(F.col("term_id").startswith("TF:")).select("topic", F.expr("substring(term_id, 4)").alias("tf"), F.col("phi").alias("tf_score"))
-        rows = rows.join(tf, ["topic", "tf"], "left")
-        s = s * F.coalesce("tf_score", F.lit(0.0))
+        tf = phi.where(F.col("term_id").startswith("TF:")).select("topic", F.expr("substring(term_id, 4)").alias("tf"), "phi")
+        others["tf"] = (_by_topic(tf, "tf", topics, F.col("phi"), "f__"), "left")
+        factors.append("f__")
+    rows = _links_with(edges, _by_topic(parts[0], "peak_id", topics, F.col("peak_score"), "p__"), others)
+    inside = F.lit(True)
+    at = lambda c, i: F.get(c, i)
     if gate != "none" and in_topic is not None:
-        on = in_topic.where("in_topic").withColumn("one__", F.lit(1.0))
+        on = staged(in_topic.where("in_topic").withColumn("one__", F.lit(1.0)), "members")
         p, g = _link_parts(edges, on, "one__")
-        rows = rows.join(p.withColumnRenamed("peak_score", "p_in"), ["topic", "peak_id"], "left").join(g.withColumnRenamed("gene_score", "g_in"), ["topic", "gene_key"], "left")
-        pin, gin = F.col("p_in").isNotNull(), F.col("g_in").isNotNull()
-        s = F.when({"peak": pin, "gene": gin, "both": pin & gin, "either": pin | gin}[gate], s).otherwise(0.0)
-    rows = rows.withColumn("score", s)
-    link = Window.partitionBy("doc_id", "tf", "gene_key", "peak_id")
-    total = F.sum("score").over(link)
-    rows = rows.withColumn("prob", F.when(total > 0, F.col("score") / total).otherwise(F.lit(1.0) / F.count(F.lit(1)).over(link)))
-    rows = rows.withColumn("topic_rank", F.row_number().over(link.orderBy(F.desc("prob"), "topic")))
-    return rows.where((F.col("topic_rank") <= top_k) & (F.col("prob") >= min_prob)).select("doc_id", "tf", "gene_key", "peak_id", "topic", "score", "prob", "topic_rank")
+        rows = rows.join(small(*_by_topic(p, "peak_id", topics, F.col("peak_score"), "pin__")), "peak_id", "left").join(small(*_by_topic(g, "gene_key", topics, F.col("gene_score"), "gin__")), "gene_key", "left")
+
+    def score(i: Column) -> Column:
+        s = at("t__", i)["x"]
+        for c in ("p__", "g__", *factors[2:]):
+            s = s * F.coalesce(at(c, i), F.lit(0.0))
+        if gate != "none" and in_topic is not None:
+            pin, gin = at("pin__", i).isNotNull(), at("gin__", i).isNotNull()
+            s = F.when({"peak": pin, "gene": gin, "both": pin & gin, "either": pin | gin}[gate], s).otherwise(0.0)
+        return s
+
+    held = F.filter(F.transform(topics, lambda t, i: F.struct(at("t__", i).isNotNull().alias("here"), t.alias("topic"), score(i).alias("score"))), lambda x: x["here"])
+    total = F.aggregate("s__", F.lit(0.0), lambda a, x: a + F.coalesce(x["score"], F.lit(0.0)))
+    prob = lambda x: F.when(F.col("all__") > 0, x["score"] / F.col("all__")).otherwise(F.lit(1.0) / F.size("s__"))
+    keys = ["doc_id", "tf", "gene_key", "peak_id"]
+    rows = rows.select(*keys, held.alias("s__")).select(*keys, "s__", total.alias("all__"))
+    ranked = F.array_sort(F.transform("s__", lambda x: F.struct(prob(x).isNull().alias("none"), (-prob(x)).alias("less"), x["topic"].alias("topic"), x["score"].alias("score"), prob(x).alias("prob"))))
+    rows = rows.select(*keys, F.posexplode(F.slice(ranked, 1, top_k)).alias("at__", "x__"))
+    return rows.select(*keys, "x__.topic", "x__.score", "x__.prob", (F.col("at__") + 1).alias("topic_rank")).where(F.col("prob") >= min_prob)
 
 
 #: Permuted pairs that are staged at once, about.
@@ -356,18 +407,20 @@ def topic_links(edges: DataFrame, scores: DataFrame, in_topic: DataFrame, method
     """Every link in every topic with site and gene score, membership of both, probability of the link
     (score share) and of the gene, and whether the link passes by the method: ``link_score_prob``,
     ``gene_prob`` or ``link_score_efdr``."""
-    peak, gene = _link_parts(edges, scores, "score")
-    on = in_topic.where("in_topic").withColumn("one__", F.lit(1.0))
-    p_in, g_in = _link_parts(edges, on, "one__")
-    links = edges.select("doc_id", "tf", "gene_key", F.col("peak_id").cast("string").alias("peak_id")).distinct()
-    topics = scores.select("topic").distinct()
-    rows = links.crossJoin(topics).join(peak, ["topic", "peak_id"], "left").join(gene, ["topic", "gene_key"], "left").na.fill(0.0, ["peak_score", "gene_score"])
-    rows = rows.join(p_in.withColumnRenamed("peak_score", "p_in"), ["topic", "peak_id"], "left").join(g_in.withColumnRenamed("gene_score", "g_in"), ["topic", "gene_key"], "left")
-    rows = rows.withColumn("peak_pass", F.col("p_in").isNotNull()).withColumn("gene_pass", F.col("g_in").isNotNull()).drop("p_in", "g_in")
-    rows = rows.withColumn("link_score", F.col("peak_score") * F.col("gene_score"))
-    link = Window.partitionBy("doc_id", "tf", "gene_key", "peak_id")
-    share = lambda c: F.when(F.sum(c).over(link) > 0, F.col(c) / F.sum(c).over(link)).otherwise(F.lit(1.0) / F.count(F.lit(1)).over(link))
-    rows = rows.withColumn("link_prob", share("link_score")).withColumn("gene_prob", share("gene_score"))
+    terms = scores.select("topic", "term_id", "score").join(in_topic.where("in_topic").select("topic", "term_id", F.lit(True).alias("in__")), ["topic", "term_id"], "full")
+    terms = staged(terms.withColumn("v__", F.struct(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"), F.coalesce("in__", F.lit(False)).alias("pass"))), "terms")
+    topics = _topic_list(scores)
+    peak, gene = _link_parts(edges, terms, "v__")
+    rows = _links_with(edges, _by_topic(peak, "peak_id", topics, F.col("peak_score"), "p__"), {"gene_key": (_by_topic(gene, "gene_key", topics, F.col("gene_score"), "g__"), "left")})
+    value = lambda c, i: F.coalesce(F.get(c, i)["score"], F.lit(0.0))
+    passes = lambda c, i: F.coalesce(F.get(c, i)["pass"], F.lit(False))
+    entry = lambda t, i: F.struct(t.alias("topic"), value("p__", i).alias("peak_score"), value("g__", i).alias("gene_score"), passes("p__", i).alias("peak_pass"), passes("g__", i).alias("gene_pass"), (value("p__", i) * value("g__", i)).alias("link_score"))
+    total = lambda c: F.aggregate("x__", F.lit(0.0), lambda a, x: a + x[c])
+    keys = ["gene_key", "peak_id", "doc_id", "tf"]
+    rows = rows.select(*keys, F.transform(topics, entry).alias("x__"))
+    rows = rows.select(*keys, total("link_score").alias("links__"), total("gene_score").alias("genes__"), F.size("x__").alias("n__"), F.explode("x__").alias("e__"))
+    share = lambda c, t: F.when(F.col(t) > 0, F.col(f"e__.{c}") / F.col(t)).otherwise(F.lit(1.0) / F.col("n__"))
+    rows = rows.select("e__.topic", *keys, *[f"e__.{c}" for c in ("peak_score", "gene_score", "peak_pass", "gene_pass", "link_score")], share("link_score", "links__").alias("link_prob"), share("gene_score", "genes__").alias("gene_prob"))
     member = F.col("peak_pass") & F.col("gene_pass")
     if method == "link_score_efdr":
         rows = empirical_fdr(rows, rounds=rounds, seed=seed)
