@@ -1,6 +1,7 @@
 """What goes through shuffles grows with the rows of a query, not with their pairs."""
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,17 @@ def test_topics_of_links_are_ranked_within_their_rows(spark, plain_joins):
         assert shuffled(spark, df) < 3 * n
     best = {r.gene_key: r.topic for r in topics.edge_topics(edges, theta, genes, 1).collect()}
     assert best == {f"g{g}": min(range(1, k + 1), key=lambda t: (-t * (t * g % 5 + 1), t)) for g in range(4)}
+
+
+def test_rounds_leave_no_numbered_links_behind(spark, monkeypatch):
+    from urllib.parse import urlparse
+
+    from weftlink.sources.staging import shared_dir
+
+    kept = lambda: {p.name for p in Path(urlparse(shared_dir(spark)).path, "weftlink").glob("numbered-*")}
+    df = spark.createDataFrame([(f"d{i}", 1, i % 7 / 7, i % 5 / 5) for i in range(30)], "doc_id string, topic int, peak_score double, gene_score double")
+    monkeypatch.setattr(topics, "PERMUTED_ROWS", 60)
+    before = kept()
+    assert topics.empirical_fdr(df, rounds=4).where("p_perm > 0").count() == 30
+    # The links' own numbers stay, those of two batches of rounds do not.
+    assert len(kept() - before) <= 1

@@ -24,7 +24,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Adds the number from 0 of each row of its group by ``order``, which must tell a group's rows apart. Staged.
+    """Adds the number from 0 of each row of its group by ``order``, which must tell a group's rows apart. Staged:
+    ``made_from`` holds the tables to forget when no later plan reads the result.
 
     After the sort by range a group is consecutive in each part that holds some of it, so a row's number is its place
     in the part and what the group's rows in parts before come to: one row a part and group.
@@ -35,7 +36,9 @@ def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out:
     before = F.sum("n__").over(Window.partitionBy(*own).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
     shifts = staged(parts.withColumn("shift__", F.coalesce(before, F.lit(0)) - F.col("first__")), "shifts")
     joined = rows.alias("r").join(small(shifts, shifts.count()).alias("s"), same("r", "s", [*own, "part__"]))
-    return joined.select(*[f"r.`{c}`" for c in df.columns], (F.col("r.pos__") + F.col("s.shift__")).alias(out))
+    placed = joined.select(*[f"r.`{c}`" for c in df.columns], (F.col("r.pos__") + F.col("s.shift__")).alias(out))
+    placed.made_from = (rows, shifts)
+    return placed
 
 
 def counts_at_least(null: DataFrame, observed: DataFrame, by: Sequence[str], value: str = "x", out: str = "larger") -> DataFrame:

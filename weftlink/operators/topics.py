@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftlink.functions.stats import benjamini_hochberg, exact_quantile, gamma_cutoff, gamma_moments
 from weftlink.operators.numbering import FEW, counts_at_least, numbered_within, same, small
-from weftlink.sources.staging import staged
+from weftlink.sources.staging import forget, staged
 
 
 def tf_documents(edges: DataFrame, by: str = "gene", clusters: DataFrame | None = None, modality: str | None = None) -> DataFrame:
@@ -393,6 +393,7 @@ def empirical_fdr(rows: DataFrame, by: str = "topic", rounds: int = 100, seed: i
         pairs = placed.alias("g").join(base.select(by, "i__", "peak_score").alias("p"), same("g", "p", [by, "i__"]))
         product = pairs.select(F.col(f"g.{by}").alias(by), (score("p.peak_score") * score("g.g__")).alias("x"))
         nulls.append(staged(product.groupBy(by, "x").agg(F.count(F.lit(1)).alias("n")), "null-products"))
+        forget(*placed.made_from)
     null = nulls[0]
     for more in nulls[1:]:
         null = null.unionByName(more)
