@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import benchmark, intervals, links, topics
+from weftlink.operators import benchmark, compare, intervals, links, topics
 
 
 def shuffled(spark, df) -> int:
@@ -147,3 +147,34 @@ def test_rounds_leave_no_numbered_links_behind(spark, monkeypatch):
     assert topics.empirical_fdr(df, rounds=4).where("p_perm > 0").count() == 30
     # The links' own numbers stay, those of two batches of rounds do not.
     assert len(kept() - before) <= 1
+
+
+LINK = "tf string, gene_key string, peak_id int, condition int, link_score double, fp_score double, tf_expr double, gene_expr double, active int, link_sign string"
+
+
+def test_conditions_of_a_key_meet_in_one_shuffle(spark, plain_joins, monkeypatch):
+    n = 2000
+    df = spark.range(4 * n).select(F.lit("t").alias("tf"), F.lit("g").alias("gene_key"), F.shiftright("id", 2).cast("int").alias("peak_id"), F.pmod("id", F.lit(4)).cast("int").alias("condition"))
+    df = df.withColumns({m: F.pmod("peak_id", F.col("condition") + 5).cast("double") for m in compare.MEASURES}).withColumn("active", F.lit(1)).withColumn("link_sign", F.lit("+"))
+    specs = spark.createDataFrame([(f"{i}", i, i - 1) for i in (1, 2, 3)], "comparison_id string, case int, control int")
+    found = compare.compare_many(df, specs, ranks=False)
+    assert found.count() == found.where("delta_link_score is not null").count() == 3 * n
+    # A row a key is gathered, and neither cases nor controls are dealt again by comparison.
+    assert shuffled(spark, found) <= 4 * n
+    monkeypatch.setattr(compare, "RANK_ROWS", 3)
+    # Ranks come to the rows that were kept.
+    assert shuffled(spark, compare.compare_many(df, specs)) == 0
+
+
+def test_gathered_controls_are_those_of_a_join(spark):
+    rows = [(t, g, p, c, float((p * 7 + (c or 0)) % 5), 1.0, float(c or 0), 2.0, p % 2, "+-"[p % 2]) for t in ("a", None) for g in ("x", "y") for p in range(5) for c in (1, 2, 3, None) if (p + (c or 0)) % 4]
+    rows += [("a", "x", 1, 1, 9.0, 1.0, 1.0, 2.0, 1, "-"), ("a", "x", 1, 1, 9.0, 1.0, 1.0, 2.0, 1, "-"), ("a", "x", None, 2, 9.0, 1.0, 1.0, 2.0, 1, None)]
+    specs = [("2_1", 2, 1), ("1_2", 1, 2), ("3_9", 3, 9), ("1_1", 1, 1), ("3_", 3, None)]
+    got = compare.compare_many(spark.createDataFrame(rows, LINK), spark.createDataFrame(specs, "comparison_id string, case int, control int"), signs="prefer_case")
+    want = []
+    for name, case, control in specs:
+        for r in (r for r in rows if r[3] == case):
+            met = [q[4] for q in rows if control is not None and q[3] == control and None not in r[:3] and q[:3] == r[:3]] or [None]
+            want += [(name, *r[:3], r[4], x, None if x is None else r[4] - x) for x in met]
+    seen = got.select("comparison_id", "tf", "gene_key", "peak_id", "link_score_case", "link_score_ctrl", "delta_link_score").collect()
+    assert sorted(map(str, map(tuple, seen))) == sorted(map(str, want))

@@ -50,11 +50,15 @@ def _same(a: str, b: str, own: Sequence[str], value: str) -> list[Column]:
     return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in own] + [F.col(f"{a}.{value}") == F.col(f"{b}.{value}")]
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False, counted: DataFrame | None = None) -> DataFrame:
+def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False, counted: DataFrame | None = None, held: int = 0) -> DataFrame:
     """Adds the rank from 1 with tied values averaged; null values have no rank. ``counted`` is a cheaper table of the
-    same rows to count from."""
+    same rows to count from. Where there are at most ``held`` distinct values, their ranks are staged, counted and
+    broadcast, so the rows are not shuffled."""
     own = list(by)
     ranks = value_counts(df if counted is None else counted, value, own, descending).select(*own, "x__", (F.col("below__") + (F.col("n__") + 1) / 2).alias(out))
+    if held:
+        ranks = staged(ranks, "ranks")
+        ranks = F.broadcast(ranks) if ranks.count() <= held else ranks
     rows = df.withColumn("x__", F.col(value).cast("double"))
     return rows.alias("r").join(ranks.alias("k"), _same("r", "k", own, "x__"), "left").select("r.*", f"k.{out}").drop("x__")
 

@@ -13,11 +13,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from weftlink.functions.scalars import any_above, finite, fold_magnitude, log2_ratio, snake
 from weftlink.functions.stats import average_rank, benjamini_hochberg, digamma, exact_quantile, f_upper, t_tails, trigamma, trigamma_inverse, with_average_rank
 from weftlink.operators.mixed import mixed_models
+from weftlink.operators.numbering import small
 from weftlink.sources.staging import staged
 
 KEY = ("tf", "gene_key", "peak_id")
 #: Rows of a comparison, at most, that one task ranks.
-RANK_ROWS = 2_000_000
+RANK_ROWS = 200_000
+#: Distinct scores of all comparisons, at most, whose ranks are broadcast.
+RANK_VALUES = 1_000_000
 MEASURES = ("link_score", "fp_score", "tf_expr", "gene_expr")
 #: Other spellings of columns, in order of preference.
 ALIASES = {"link_score": ("edge_weight", "link_weight", "weight"), "fp_score": ("fp_bed_score", "footprint_score"), "active": ("active_link",), "r_gene": ("r", "corr")}
@@ -74,6 +77,11 @@ def compare(
     cols = [*measures, "link_sign", "active"]
     side = lambda t, s: t.select(*group, *key, *[F.col(c).alias(f"{c}_{s}") for c in cols])
     rows = side(case, "case").join(side(control, "ctrl"), [*group, *key], "left")
+    return _compared(rows, signs, pseudo, only_active_both, group, measures, ranks)
+
+
+def _compared(rows: DataFrame, signs: str, pseudo: float, only_active_both: bool, group: Sequence[str], measures: Sequence[str], ranks: bool) -> DataFrame:
+    """What ``compare`` adds to rows that hold both sides."""
     a, b = F.col("link_sign_case"), F.col("link_sign_ctrl")
     unlike = F.coalesce(a != b, F.lit(False))
     sign = F.coalesce(a, b)
@@ -86,18 +94,20 @@ def compare(
     elif signs != "prefer_case":
         raise ValueError(signs)
     rows = rows.withColumn("link_sign", sign)
+    if ranks:
+        # Staged: the rows are needed again to be counted.
+        rows = once = staged(rows, "compared")
     for m in measures:
         x, y = F.col(f"{m}_case"), F.col(f"{m}_ctrl")
         rows = rows.withColumn(f"delta_{m}", x - y).withColumn(f"log2FC_{m}", log2_ratio(x, y, pseudo)).withColumn(f"fc_{m}", F.try_divide(x + pseudo, y + pseudo))
     if ranks:
-        # Staged: the rows are needed again to be counted. Groups that one task sorts quickly are ranked by windows.
-        rows = once = staged(rows, "compared")
+        # Groups that one task sorts quickly are ranked by windows.
         largest = once.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         for s in ("case", "ctrl"):
             if largest <= RANK_ROWS:
                 rows = rows.withColumn(f"rank_{s}", average_rank(f"link_score_{s}", list(group), descending=True))
             else:
-                rows = with_average_rank(rows, f"link_score_{s}", f"rank_{s}", list(group), descending=True, counted=once)
+                rows = with_average_rank(rows, f"link_score_{s}", f"rank_{s}", list(group), descending=True, counted=once, held=RANK_VALUES)
         rows = rows.withColumn("rank_shift", F.col("rank_case") - F.col("rank_ctrl"))
     p, q = F.col("active_case") > 0, F.col("active_ctrl") > 0
     change = F.when(p & q, "shared").when(p & ~q, "gain").when(~p & q, "loss").when(~p & ~q, "inactive")
@@ -113,12 +123,25 @@ def compare(
     return rows
 
 
-def compare_many(links: DataFrame, specs: DataFrame, **options) -> DataFrame:
-    """All comparisons at once: ``links`` has a condition; ``specs`` is (comparison_id, case, control)."""
-    s = specs
-    case = links.join(s.select("comparison_id", F.col("case").alias("condition")), "condition").drop("condition")
-    control = links.join(s.select("comparison_id", F.col("control").alias("condition")), "condition").drop("condition")
-    return compare(case, control, group=("comparison_id",), **options)
+def compare_many(
+    links: DataFrame, specs: DataFrame, key: Sequence[str] = KEY, signs: str = "error", pseudo: float = 1.0, only_active_both: bool = False, measures: Sequence[str] = MEASURES, ranks: bool = True
+) -> DataFrame:
+    """All comparisons at once: ``links`` has a condition; ``specs`` is (comparison_id, case, control), a row a comparison.
+
+    A key's links of all conditions are gathered in one row, in which each case finds its control: links are shuffled by
+    key once (not at all where they lie by key), whatever the number of comparisons. The staged comparisons are counted
+    before they are broadcast. Links without a whole key meet no control and are not gathered.
+    """
+    specs = staged(specs.select("comparison_id", "case", "control"), "comparisons")
+    cols = ["condition", *measures, "link_sign", "active"]
+    lacks = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in key])
+    held = links.groupBy(*key, F.when(lacks, F.xxhash64(*cols)).alias("alone__")).agg(F.collect_list(F.struct(*cols)).alias("all__"))
+    each = held.select("*", F.explode("all__").alias("x__"))
+    met = each.join(small(specs, specs.count()), F.col("x__.condition") == F.col("case"))
+    found = F.when(F.col("alone__").isNull(), F.filter("all__", lambda y: y["condition"] == F.col("control")))
+    met = met.select("comparison_id", *key, "x__", F.explode_outer(found).alias("y__"))
+    rows = met.select("comparison_id", *key, *[F.col(f"{t}.{c}").alias(f"{c}_{s}") for t, s in (("x__", "case"), ("y__", "ctrl")) for c in cols[1:]])
+    return _compared(rows, signs, pseudo, only_active_both, ("comparison_id",), measures, ranks)
 
 
 def contrasts(labels: DataFrame, control_tag: str, sep: str = "_") -> DataFrame:
