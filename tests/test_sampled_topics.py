@@ -68,3 +68,22 @@ def test_one_seed_gives_one_result(spark):
     one = run(df, 1)
     assert run(df.repartition(6, "term_id"), 1) == one != run(df, 2)
     assert topics.fit_sampled_lda(df.limit(0), 2).theta.count() == 0
+
+
+def test_cells_of_many_tokens_are_pieces_of_many_files(spark, monkeypatch):
+    rows = [(f"d{d}", f"t{t}", 30 + (d * t) % 50) for d in range(4) for t in range(3)]
+    df = spark.createDataFrame(rows, "doc_id string, term_id string, pseudo_count int")
+    run = lambda: sorted(map(tuple, topics.fit_sampled_lda(df, 2, sweeps=2).theta.collect()))
+    whole, real, files = run(), warp.staged, []
+
+    def seen(table, label, **options):
+        out = real(table, label, **options)
+        if label == "tokens":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(warp, "staged", seen)
+    monkeypatch.setattr(warp, "PIECE", 7, raising=False)
+    monkeypatch.setattr(warp, "FILE_TOKENS", 50, raising=False)
+    # The same topics, from several files in the first and in every later phase.
+    assert run() == whole and len(files) == 5 and min(files) >= 6

@@ -180,6 +180,8 @@ def fit_sampled_lda(doc_term: DataFrame, k: int, count: str = "pseudo_count", sw
     """LDA by sampling with delayed counts, priors 50/K and 0.1; see ``sample_topics``."""
     from weftlink.operators.warp import sample_topics
 
+    # Staged: the perplexity is taken over the same terms.
+    doc_term = staged(doc_term.select("doc_id", "term_id", count), "doc-terms")
     theta, phi = sample_topics(doc_term, k, count, sweeps, alpha, beta, seed)
     return TopicModel(theta, phi, {"k": k} | perplexity(doc_term.where(F.col(count) >= 1), theta, phi, count))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from weftlink.operators.numbering import small
 from weftlink.sources.staging import forget, staged
@@ -16,6 +17,10 @@ from weftlink.sources.staging import forget, staged
 PROPOSALS = 2
 #: Numbers of a block of cells that are held in memory at once.
 CELLS = 1 << 21
+#: Tokens of a piece of a cell, at most, and of a file of pieces, about.
+PIECE, FILE_TOKENS = 1 << 13, 1 << 20
+#: Steps between the keys of a cell's tokens.
+STEP = 0xD1342543DE82EF95
 
 
 def uniform(key: np.ndarray, stream: int) -> np.ndarray:
@@ -28,11 +33,11 @@ def uniform(key: np.ndarray, stream: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def token_keys(cell: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A key for every token from the key of its cell and its place there."""
-    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+def token_keys(cell: np.ndarray, n: np.ndarray, start: np.ndarray | int = 0) -> np.ndarray:
+    """A key for every token from the key of its cell and its place there; a piece of a cell begins at ``start``."""
+    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return np.repeat(cell.view(np.uint64), n) + place * np.uint64(0xD1342543DE82EF95)
+        return np.repeat(cell.view(np.uint64), n) + place * np.uint64(STEP)
 
 
 def draw(counts: np.ndarray, row: np.ndarray, prior: float, u: np.ndarray) -> np.ndarray:
@@ -66,17 +71,33 @@ def lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
+def tallies(row: np.ndarray, z: np.ndarray, rows: int, k: int) -> pa.Array:
+    """How many tokens of each row are of each topic, as arrays."""
+    return lists(np.bincount(row * k + z, minlength=rows * k), np.full(rows, k))
+
+
 def side_counts(cells: DataFrame, side: str, k: int) -> DataFrame:
-    """(side, c): tokens of each topic, as an array."""
-    each = cells.select(side, F.explode("z").alias("topic")).groupBy(side, "topic").agg(F.count(F.lit(1)).alias("n"))
+    """(side, all): tokens of each topic, as an array, summed from those of pieces."""
+    each = cells.select(side, F.posexplode("c").alias("topic", "n")).groupBy(side, "topic").agg(F.sum("n").alias("n"))
     held = each.groupBy(side).agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("m"))
-    return held.select(side, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("c"))
+    return held.select(side, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("all"))
+
+
+def _counted(pieces: DataFrame, k: int) -> DataFrame:
+    """Pieces with the counts of their topics."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("z").value_lengths().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, tallies(np.repeat(np.arange(len(b)), n), ints(b.column("z")), len(b), k)], [*b.schema.names, "c"])
+
+    return pieces.mapInArrow(work, StructType([*pieces.schema.fields, StructField("c", ArrayType(IntegerType()))]))
 
 
-def _run(cells: DataFrame, side: str, n_side: int, k: int, prior: float, totals: np.ndarray, stream: int) -> DataFrame:
-    """One phase over all cells: each meets the counts of its document or word."""
-    # A cell is about as many numbers as it has tokens, and a row of counts.
-    met = cells.join(small(side_counts(cells, side, k), n_side), side).select("d", "t", "h", "z", "q", "c")
+def _run(cells: DataFrame, side: str, n_side: int, k: int, prior: float, totals: np.ndarray, stream: int, records: int) -> DataFrame:
+    """One phase over all pieces of cells: each meets the counts of its document or word."""
+    # A piece is about as many numbers as it has tokens, and a row of counts.
+    met = cells.join(small(side_counts(cells, side, k), n_side), side).select("d", "t", "h", "s", "z", "q", "all")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,17 +106,19 @@ def _run(cells: DataFrame, side: str, n_side: int, k: int, prior: float, totals:
             for lo, hi in zip([0, *cut], [*cut, len(whole)], strict=True):
                 if lo < hi:
                     b, n = whole.slice(lo, hi - lo), sizes[lo:hi]
-                    counts = ints(b.column("c")).reshape(len(b), k).astype(float)
-                    key = token_keys(b.column("h").to_numpy(zero_copy_only=False), n)
-                    z, q = phase(ints(b.column("z")), ints(b.column("q")).reshape(-1, PROPOSALS), np.repeat(np.arange(len(b)), n), counts, prior, totals, key, stream)
-                    yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), b.column("h"), lists(z, n), lists(q.ravel(), n * PROPOSALS)], ["d", "t", "h", "z", "q"])
+                    counts = ints(b.column("all")).reshape(len(b), k).astype(float)
+                    key = token_keys(b.column("h").to_numpy(zero_copy_only=False), n, b.column("s").to_numpy(zero_copy_only=False))
+                    row = np.repeat(np.arange(len(b)), n)
+                    z, q = phase(ints(b.column("z")), ints(b.column("q")).reshape(-1, PROPOSALS), row, counts, prior, totals, key, stream)
+                    same = [b.column(c) for c in ("d", "t", "h", "s")]
+                    yield pa.RecordBatch.from_arrays([*same, lists(z, n), lists(q.ravel(), n * PROPOSALS), tallies(row, z, len(b), k)], ["d", "t", "h", "s", "z", "q", "c"])
 
-    return staged(met.mapInArrow(work, cells.schema), "tokens")
+    return staged(met.mapInArrow(work, cells.schema), "tokens", records=records)
 
 
 def topic_totals(cells: DataFrame, k: int) -> np.ndarray:
     out = np.zeros(k)
-    for r in cells.select(F.explode("z").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in cells.select(F.posexplode("c").alias("topic", "n")).groupBy("topic").agg(F.sum("n").alias("n")).collect():
         out[r.topic] = r.n
     return out
 
@@ -106,27 +129,34 @@ def sample_topics(doc_term: DataFrame, k: int, count: str = "pseudo_count", swee
 
     A cell holds its tokens' topics and proposals. In a phase it meets the counts of its word, or of its document,
     made from all tokens of the phase before, so tokens of one word or document need not be in one task, however
-    many there are. Every phase is staged; random numbers come from the seed, the cell and the place, so a task that
-    runs again, and another partitioning, give the same topics.
+    many there are. A cell of many tokens is several pieces, and pieces are dealt to files of about ``FILE_TOKENS``, so
+    few cells of many tokens are many tasks too; counts are summed from those of pieces. Every phase is staged; random
+    numbers come from the seed, the cell and the place, so a task that runs again, and another partitioning, give the
+    same topics.
     """
     alpha = 50.0 / k if alpha is None else alpha
     rows = doc_term.where(F.col(count) >= 1).groupBy(F.col("doc_id").alias("d"), F.col("term_id").alias("t")).agg(F.sum(F.col(count).cast("long")).cast("int").alias("n"))
-    first = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("d"), F.col("t")))
+    rows = staged(rows, "cells")
+    last = F.floor((F.col("n") - 1) / PIECE).cast("int")
+    n_docs, n_terms, tokens, pieces = rows.agg(F.countDistinct("d"), F.countDistinct("t"), F.sum("n"), F.sum(last + 1)).first()
+    files = -(-(tokens or 0) // FILE_TOKENS) or 1
+    records = -(-(pieces or 0) // files) or 1
+    cut = rows.withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * PIECE))).repartition(files, "d", "t", "s")
+    first = cut.withColumn("h", F.xxhash64(F.lit(seed), F.col("d"), F.col("t"))).withColumn("e", F.least(F.col("n"), F.col("s") + PIECE))
     pick = lambda i, salt: F.pmod(F.xxhash64("h", i, F.lit(salt)), F.lit(k)).cast("int")
-    z = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: pick(i, "z"))
-    q = F.transform(F.sequence(F.lit(1), F.col("n") * PROPOSALS), lambda i: pick(i, "q"))
-    cells = staged(first.select("d", "t", "h", z.alias("z"), q.alias("q")), "tokens")
-    n_docs, n_terms = cells.agg(F.countDistinct("d"), F.countDistinct("t")).first()
+    z = F.transform(F.sequence(F.col("s") + 1, F.col("e")), lambda i: pick(i, "z"))
+    q = F.transform(F.sequence(F.col("s") * PROPOSALS + 1, F.col("e") * PROPOSALS), lambda i: pick(i, "q"))
+    cells = staged(_counted(first.select("d", "t", "h", "s", z.alias("z"), q.alias("q")), k), "tokens", records=records)
     for sweep in range(sweeps if n_docs else 0):
         for side, size, prior, at in (("t", n_terms, beta, 0), ("d", n_docs, alpha, 1)):
             totals = topic_totals(cells, k) + n_terms * beta
-            after = _run(cells, side, size, k, prior, totals, (2 * sweep + at) * 2 * PROPOSALS)
+            after = _run(cells, side, size, k, prior, totals, (2 * sweep + at) * 2 * PROPOSALS, records)
             forget(cells)
             cells = after
     totals = topic_totals(cells, k)
     share = lambda df, name, value: df.select(name, F.posexplode(value).alias("at", "x")).withColumn("topic", (F.col("at") + 1).cast("int"))
-    own = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
-    theta = share(side_counts(cells, "d", k), "d", F.transform("c", lambda x: (x + alpha) / (own + k * alpha)))
+    own = F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x)
+    theta = share(side_counts(cells, "d", k), "d", F.transform("all", lambda x: (x + alpha) / (own + k * alpha)))
     below = F.array(*[F.lit(float(v + n_terms * beta)) for v in totals])
-    phi = share(side_counts(cells, "t", k), "t", F.zip_with("c", below, lambda x, y: (x + beta) / y))
+    phi = share(side_counts(cells, "t", k), "t", F.zip_with("all", below, lambda x, y: (x + beta) / y))
     return theta.select(F.col("d").alias("doc_id"), "topic", F.col("x").alias("theta")), phi.select("topic", F.col("t").alias("term_id"), F.col("x").alias("phi"))
