@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import benchmark, compare, intervals, links, topics
+from weftlink.operators import benchmark, compare, graph, intervals, links, topics
 
 
 def shuffled(spark, df) -> int:
@@ -178,3 +178,24 @@ def test_gathered_controls_are_those_of_a_join(spark):
             want += [(name, *r[:3], r[4], x, None if x is None else r[4] - x) for x in met]
     seen = got.select("comparison_id", "tf", "gene_key", "peak_id", "link_score_case", "link_score_ctrl", "delta_link_score").collect()
     assert sorted(map(str, map(tuple, seen))) == sorted(map(str, want))
+
+
+def test_topic_summary_reads_its_links_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    rows = [("a;b", "t", "g", 1.0, 2.0), ("a", "t", "g", -0.5, 3.0), ("a", "t", None, 2.0, None), ("a", "u", "h", 0.1, 1.0), ("b", "u", "h", -1.0, 1.0), ("b", None, "h", 4.0, 1.0), ("b", "u", "h", None, 9.0)]
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "topics string, tf string, gene_key string, delta_link_score double, log2FC_tf_expr double")
+    got = graph.topic_summary(df.mapInArrow(counted, df.schema)).collect()
+    assert read.value == len(rows)
+    seen = {(r.topic, r.tf): (r.n_links, r.n_genes, r.sum_delta, r.sum_abs_delta, r.log2fc_tf, r.topic_abs_delta, r.topic_links, r.topic_rank, r.tf_rank) for r in got}
+    assert seen == {
+        ("a", "t"): (3, 1, 2.5, 3.5, 3.0, 3.5, 3, 2, 1),
+        ("b", None): (1, 1, 4.0, 4.0, 1.0, 6.0, 3, 1, 1),
+        ("b", "t"): (1, 1, 1.0, 1.0, 2.0, 6.0, 3, 1, 2),
+        ("b", "u"): (1, 1, -1.0, 1.0, 1.0, 6.0, 3, 1, 3),
+    }

@@ -86,21 +86,26 @@ def sign_faults(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def topic_summary(edges: DataFrame, min_delta: float = 0.25, weight_by_r: bool = False, hubs: bool = True) -> DataFrame:
-    """(topic, tf, ...) sums, counts, hub score (if asked) and ranks of annotated links (topics packed)."""
+    """(topic, tf, ...) sums, counts, hub score (if asked) and ranks of annotated links (topics packed).
+
+    Links are summed by topic, factor and gene once and staged: all else, hub scores too, is made from those sums.
+    """
     d = F.col("delta_link_score") * (F.abs("r_tf") if weight_by_r else F.lit(1.0))
     rows = explode_topics(edges.where(F.abs("delta_link_score") >= min_delta)).withColumn("d__", d)
-    agg = rows.groupBy("topic", "tf").agg(
-        F.count(F.lit(1)).alias("n_links"),
-        F.countDistinct("gene_key").alias("n_genes"),
-        F.coalesce(F.sum("d__"), F.lit(0.0)).alias("sum_delta"),
-        F.coalesce(F.sum(F.abs("d__")), F.lit(0.0)).alias("sum_abs_delta"),
-        F.max("log2FC_tf_expr").alias("log2fc_tf"),
+    sums = [F.count(F.lit(1)).alias("n_links"), F.sum("d__").alias("sum_delta"), F.sum(F.abs("d__")).alias("sum_abs_delta"), F.max("log2FC_tf_expr").alias("log2fc_tf")]
+    edges = staged(rows.groupBy("topic", "tf", "gene_key").agg(*sums), "topic-edges")
+    agg = edges.groupBy("topic", "tf").agg(
+        F.sum("n_links").alias("n_links"),
+        F.count("gene_key").alias("n_genes"),
+        F.coalesce(F.sum("sum_delta"), F.lit(0.0)).alias("sum_delta"),
+        F.coalesce(F.sum("sum_abs_delta"), F.lit(0.0)).alias("sum_abs_delta"),
+        F.max("log2fc_tf").alias("log2fc_tf"),
     )
-    per = rows.groupBy("topic").agg(F.coalesce(F.sum(F.abs("d__")), F.lit(0.0)).alias("topic_abs_delta"), F.count(F.lit(1)).alias("topic_links"))
+    per = edges.groupBy("topic").agg(F.coalesce(F.sum("sum_abs_delta"), F.lit(0.0)).alias("topic_abs_delta"), F.sum("n_links").alias("topic_links"))
     topic_rank = F.row_number().over(Window.orderBy(F.desc("topic_abs_delta"), "topic"))
     tf_rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("sum_abs_delta"), "tf"))
     out = agg.join(per.withColumn("topic_rank", topic_rank), "topic").withColumn("tf_rank", tf_rank)
-    return out.join(hub_scores(rows, "topic"), ["topic", "tf"], "left") if hubs else out
+    return out.join(hub_scores(edges, "topic"), ["topic", "tf"], "left") if hubs else out
 
 
 def expression_bubbles(summary: DataFrame, top_n: int = 20) -> DataFrame:
