@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import benchmark, compare, graph, intervals, links, topics
+from weftlink.operators import benchmark, communities, compare, graph, intervals, links, topics
 
 
 def shuffled(spark, df) -> int:
@@ -199,3 +199,38 @@ def test_topic_summary_reads_its_links_once(spark):
         ("b", "t"): (1, 1, 1.0, 1.0, 2.0, 6.0, 3, 1, 2),
         ("b", "u"): (1, 1, -1.0, 1.0, 1.0, 6.0, 3, 1, 3),
     }
+
+
+def test_rounds_of_a_small_graph_are_one_job_each(spark):
+    sc = spark.sparkContext
+    rows = spark.range(300).select((F.col("id") % 6).cast("string").alias("a"), (F.col("id") % 25 + 100).cast("string").alias("b"), (F.col("id") % 7 + 1.0).alias("weight"))
+    jobs = {}
+    for rounds in (1, 7):
+        sc.setJobGroup(f"rounds-{rounds}", "")
+        communities.communities(rows, rounds=rounds, levels=1, settle=-1.0)
+        jobs[rounds] = len(sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 <= jobs[7] - jobs[1] <= 6 + 8
+
+
+def test_communities_of_one_part_equal_those_of_many(spark, monkeypatch):
+    rows = spark.range(900).select((F.col("id") % 60).cast("string").alias("a"), (F.pmod(F.xxhash64("id"), F.lit(9)) + F.floor(F.col("id") % 60 / 10) * 9 + 100).cast("string").alias("b"), (F.col("id") % 7 + 1.0).alias("weight"))
+    one = {r.node: r.community for r in communities.communities(rows, rounds=8).collect()}
+    monkeypatch.setattr(communities, "FILE_ROWS", 0)
+    assert len(set(one.values())) > 1 and one == {r.node: r.community for r in communities.communities(rows, rounds=8).collect()}
+
+
+def test_deltas_of_sums_equal_those_of_links(spark, plain_joins, monkeypatch):
+    rows = [(f"t{i % 3}", None if i % 29 == 0 else f"g{i % 5}", i % 7, 2000 + i // 105, None if i % 31 == 0 else float(i % 17 - 8)) for i in range(400)]
+    parts = spark.createDataFrame(rows, "tf string, gene_key string, peak_id long, condition int, part double").repartition(3)
+    specs = spark.createDataFrame([("a", 2001, 2000), ("b", 2003, 2001), ("c", 2000, 1990), ("d", 2003, None), ("e", 2001, 2000)], "comparison_id string, case int, control int")
+    known = compare.standard_links(parts.groupBy(*compare.KEY, "condition").agg((F.sum("part") / 10).alias("link_score")))
+    cols = ["comparison_id", *compare.KEY, F.round("delta_link_score", 9)]
+    want = sorted(tuple(r) for r in compare.compare_many(known, specs, signs="prefer_case", ranks=False).where("delta_link_score is not null").select(cols).collect())
+    made = lambda: compare.score_deltas(parts, specs, lambda total: total / 10)
+    assert len(want) > 100 and sorted(tuple(r) for r in made().select(cols).collect()) == want
+    # At most a row a key from each part, whatever the number of conditions.
+    assert shuffled(spark, made()) <= 3 * 3 * 5 * 7 + 400
+    monkeypatch.setattr(compare, "SUM_COMPARISONS", 4)
+    assert sorted(tuple(r) for r in made().select(cols).collect()) == want
+    assert compare.score_deltas(parts, specs.limit(0), lambda total: total).count() == 0

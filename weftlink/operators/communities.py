@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftlink.operators.numbering import numbered_within, small
-from weftlink.sources.staging import forget, numbered, staged
+from weftlink.sources.staging import FILE_ROWS, forget, numbered, staged
 
 
 def modularity(edges: DataFrame, own: DataFrame) -> float:
@@ -21,36 +21,49 @@ def modularity(edges: DataFrame, own: DataFrame) -> float:
     return float(r.inside / r.m - ends.agg(F.sum((F.col("t") / (2 * r.m)) ** 2)).first()[0])
 
 
-def _moves(edges: DataFrame, seed: int, rounds: int, level: int, settle: float) -> tuple[DataFrame, int]:
+def _part(df: DataFrame, few: bool) -> DataFrame:
+    """A table of a graph of few rows as one part: its sums and joins then need neither shuffles nor broadcasts, so a round
+    is one job of one stage."""
+    return df.coalesce(1) if few else df
+
+
+def _beside(df: DataFrame, n: int, few: bool) -> DataFrame:
+    """A side of a join, of at most ``n`` rows."""
+    return df.coalesce(1).hint("shuffle_hash") if few else small(df, n)
+
+
+def _moves(edges: DataFrame, seed: int, rounds: int, level: int, settle: float, few: bool) -> tuple[DataFrame, int]:
     """(i, c) after local moves, and how many were made. Each round half of the nodes, by hash, look at the communities of
     their neighbours and move to the best one; of two lone nodes the larger moves, so none change places."""
-    both = edges.where("i <> j").unionByName(edges.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    both = staged(both, "both-ways")
+    edges = _part(edges, few)
     degree = edges.select(F.explode(F.array(F.struct("i", "w"), F.struct(F.col("j").alias("i"), "w"))).alias("e")).groupBy("e.i").agg(F.sum("e.w").alias("k"))
     own = staged(degree.withColumn("c", F.col("i")), "communities")
     n, total = own.agg(F.count(F.lit(1)), F.sum("k")).first()
+    # A node is its own neighbour at weight 0: the own community is a choice even where no neighbour is in it.
+    ways = F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both = edges.where("i <> j").select(F.explode(ways).alias("e")).select("e.*")
+    both = both.unionByName(own.select("i", F.col("i").alias("j"), F.lit(0.0).alias("w")))
+    both = staged(_part(both, few).join(_beside(_part(own, few).select("i", "k"), n, few), "i"), "both-ways")
     moved, still = 0, 0
     for turn in range(rounds):
-        size = own.groupBy("c").agg(F.sum("k").alias("t"), F.count(F.lit(1)).alias("n"))
-        wakes = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), "i"), F.lit(2)) == 0
-        awake = own.where(wakes)
-        near = both.where(wakes).join(small(own.select(F.col("i").alias("j"), "c"), n), "j").groupBy("i", "c").agg(F.sum("w").alias("to"))
-        # The own community is a choice even where no neighbour is in it.
-        choices = near.unionByName(awake.select("i", "c", F.lit(0.0).alias("to"))).groupBy("i", "c").agg(F.sum("to").alias("to"))
-        mine = awake.select("i", "k", F.col("c").alias("mine"))
-        rows = choices.join(small(mine, n), "i").join(small(size, n), "c")
-        rest = F.col("t") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
-        rows = rows.withColumn("gain", F.col("to") - rest * F.col("k") / F.lit(float(total)))
-        best = rows.groupBy("i").agg(F.max(F.struct("gain", (-F.col("c")).alias("minus"), "n")).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.struct("gain", "n"))).alias("o"))
-        swap = (F.col("b.n") == 1) & (F.col("o.n") == 1) & (-F.col("b.minus") > F.col("i"))
-        better = best.where((F.col("b.gain") > F.col("o.gain") + 1e-12 * float(total)) & ~swap).select("i", (-F.col("b.minus")).alias("to"))
-        after = staged(own.join(small(better, n), "i", "left").select("i", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("went")), "communities")
-        went = after.where("went").count()
+        wakes = f"pmod(xxhash64({seed}, {level}, {turn}, i), 2) = 0"
+        now = _part(own, few)
+        size = now.groupBy("c").agg(F.expr("sum(k) AS t"), F.expr("count(1) AS n"))
+        there = now.selectExpr("i AS j", "c").join(_beside(size, n, few), "c")
+        near = _part(_part(both, few).where(f"{wakes} OR i = j").join(_beside(there, n, few), "j"), few)
+        rows = near.groupBy("i", "c").agg(F.expr("struct(sum(w) AS to, max(i = j) AS own, max(k) AS k, max(t) AS t, max(n) AS n) AS s")).selectExpr("i", "c", "s.*")
+        rows = rows.selectExpr("*", f"to - (t - CASE WHEN own THEN k ELSE 0D END) * k / {float(total)!r}D AS gain")
+        best = rows.groupBy("i").agg(F.expr("max(k) AS k"), F.expr("max(struct(gain, -c AS minus, n)) AS b"), F.expr("max(CASE WHEN own THEN struct(gain, n, c) END) AS o"))
+        # Nodes that sleep have their own community alone to choose. Of two lone nodes the smaller stays.
+        went = f"b.gain > o.gain + {1e-12 * float(total)!r}D AND NOT (b.n = 1 AND o.n = 1 AND -b.minus > i)"
+        counted = Observation()
+        after = best.selectExpr("i", "k", f"{went} AS went", "b.minus", "o.c").selectExpr("i", "k", "CASE WHEN went THEN -minus ELSE c END AS c", "went")
+        after = staged(after.observe(counted, F.expr("count_if(went) AS went")).drop("went"), "communities")
         forget(own)
-        own, moved = after.drop("went"), moved + went
-        own.staged_at = after.staged_at
+        own, gone = after, counted.get["went"]
+        moved += gone
         # Halves take turns: only two quiet rounds end a level.
-        still = still + 1 if went <= settle * n else 0
+        still = still + 1 if gone <= settle * n else 0
         if still == 2:
             break
     forget(both)
@@ -69,19 +82,21 @@ def communities(links: DataFrame, a: str = "a", b: str = "b", weight: str = "wei
     summed = staged(summed, "links")
     names = staged(numbered(summed.select(F.col("a").alias("node")).union(summed.select("b")).distinct(), ["node"], "i"), "nodes")
     n = names.count()
+    # Nodes and both ways of the links, at most, of what is one part; levels above only have fewer.
+    few = n + 2 * summed.count() <= FILE_ROWS
     left, right = names.select(F.col("node").alias("a"), "i"), names.select(F.col("node").alias("b"), F.col("i").alias("j"))
     edges = staged(summed.join(small(left, n), "a").join(small(right, n), "b").select("i", "j", "w"), "edges")
     of = names.select("node", F.col("i").alias("c"))
     for level in range(levels if n else 0):
-        own, moved = _moves(edges, seed, rounds, level, settle)
+        own, moved = _moves(edges, seed, rounds, level, settle, few)
         if not moved:
             break
-        own = staged(own, "level")
+        own = _part(own, few)
         step = own.select(F.col("i").alias("c"), F.col("c").alias("up"))
-        of = staged(of.join(small(step, n), "c").select("node", F.col("up").alias("c")), "membership")
+        of = staged(_part(of, few).join(_beside(step, n, few), "c").select("node", F.col("up").alias("c")), "membership")
         x, y = own.select("i", F.col("c").alias("ci")), own.select(F.col("i").alias("j"), F.col("c").alias("cj"))
-        higher = edges.join(small(x, n), "i").join(small(y, n), "j").groupBy(F.least("ci", "cj").alias("i"), F.greatest("ci", "cj").alias("j")).agg(F.sum("w").alias("w"))
-        edges = staged(higher, "edges")
+        higher = _part(edges, few).join(_beside(x, n, few), "i").join(_beside(y, n, few), "j")
+        edges = staged(higher.groupBy(F.least("ci", "cj").alias("i"), F.greatest("ci", "cj").alias("j")).agg(F.sum("w").alias("w")), "edges")
     firsts = of.groupBy("c").agg(F.min("node").alias("first"))
     labels = numbered_within(firsts.withColumn("all", F.lit(1)), ["all"], ["first"], "number").select("c", (F.col("number") + 1).cast("int").alias("community"))
     return of.join(small(labels, n), "c").select("node", "community")

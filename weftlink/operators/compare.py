@@ -21,6 +21,8 @@ KEY = ("tf", "gene_key", "peak_id")
 RANK_ROWS = 200_000
 #: Distinct scores of all comparisons, at most, whose ranks are broadcast.
 RANK_VALUES = 1_000_000
+#: Comparisons, at most, whose conditions' sums are columns of one row a key.
+SUM_COMPARISONS = 32
 MEASURES = ("link_score", "fp_score", "tf_expr", "gene_expr")
 #: Other spellings of columns, in order of preference.
 ALIASES = {"link_score": ("edge_weight", "link_weight", "weight"), "fp_score": ("fp_bed_score", "footprint_score"), "active": ("active_link",), "r_gene": ("r", "corr")}
@@ -144,6 +146,33 @@ def compare_many(
     return _compared(rows, signs, pseudo, only_active_both, ("comparison_id",), measures, ranks)
 
 
+def score_deltas(parts: DataFrame, specs: DataFrame, score, key: Sequence[str] = KEY) -> DataFrame:
+    """(comparison_id, key, delta_link_score) of ``compare_many``, where not null, of links that are still to be summed:
+    ``parts`` is (key, condition, part), ``score`` makes a link's score of the sum of its parts.
+
+    A key's sums are columns, one a condition, so parts are summed before their only shuffle, and links of single conditions
+    are neither made nor sorted. More than ``SUM_COMPARISONS`` comparisons are made from links.
+    """
+    specs = staged(specs.select("comparison_id", "case", "control"), "comparisons")
+    few = specs.limit(SUM_COMPARISONS + 1).collect()
+    pairs = [r for r in few if r["case"] is not None and r["control"] is not None]
+    size = lambda c: F.abs(finite(score(F.sum(c))))
+    for k in key:
+        parts = parts.where(F.col(k).isNotNull())
+    if len(few) > SUM_COMPARISONS or not pairs:
+        links = parts.groupBy(*key, "condition").agg(size("part").alias("link_score"))
+        links = links.withColumns({"link_sign": F.lit(None).cast("string"), "active": F.lit(None).cast("int")})
+        rows = compare_many(links, specs, key, "prefer_case", measures=("link_score",), ranks=False)
+        return rows.where("delta_link_score is not null").select("comparison_id", *key, "delta_link_score")
+    at = {c: f"s{i}__" for i, c in enumerate(sorted({c for r in pairs for c in (r["case"], r["control"])}))}
+    parts = parts.where(F.col("condition").isin(list(at)))
+    sums = parts.groupBy(*key).agg(*[size(F.when(F.col("condition") == F.lit(c), F.col("part"))).alias(s) for c, s in at.items()])
+    kind = specs.schema["comparison_id"].dataType
+    each = [F.struct(F.lit(r["comparison_id"]).cast(kind).alias("comparison_id"), (F.col(at[r["case"]]) - F.col(at[r["control"]])).alias("delta_link_score")) for r in pairs]
+    rows = sums.select(*key, F.inline(F.array(*each))).where("delta_link_score is not null")
+    return rows.select("comparison_id", *key, "delta_link_score")
+
+
 def contrasts(labels: DataFrame, control_tag: str, sep: str = "_") -> DataFrame:
     """(comparison_id, case, control) of labels (label) against the control of their line (the part
     before the first separator); a single control serves all lines."""

@@ -694,7 +694,7 @@ def hub_scores(l: Lens) -> DataFrame:
 
 @query("SELECT round(coalesce(quantile_cont(delta_link_score, 0.995) FILTER (delta_link_score > 0), 1), 6) AS cap_pos, round(coalesce(quantile_cont(-delta_link_score, 0.995) FILTER (delta_link_score < 0), 1), 6) AS cap_neg FROM deltas")
 def colour_caps(l: Lens) -> DataFrame:
-    return graph.caps(l.deltas(), "delta_link_score")
+    return graph.caps(l.score_deltas(), "delta_link_score")
 
 
 @query("SELECT peak_id, count(DISTINCT tf) AS n_tfs, count(DISTINCT gene_key) AS n_genes FROM deltas GROUP BY 1 HAVING count(DISTINCT tf) >= 2")
@@ -705,7 +705,7 @@ def shared_sites(l: Lens) -> DataFrame:
 @query("""WITH d AS (SELECT tf, gene_key, peak_id, round(sum(delta_link_score), 4) AS delta_link_score FROM deltas WHERE delta_link_score IS NOT NULL GROUP BY 1, 2, 3), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tf, gene_key ORDER BY abs(delta_link_score) DESC, peak_id) AS i FROM d) WHERE i = 1)
 SELECT tf, gene_key, peak_id, round(delta_link_score, 6) AS delta_link_score FROM (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY abs(delta_link_score) DESC, gene_key, peak_id) AS j FROM b) WHERE j <= 10""")
 def strongest_edges(l: Lens) -> DataFrame:
-    rows = l.deltas().where("delta_link_score is not null").groupBy("tf", "gene_key", "peak_id").agg(F.round(F.sum("delta_link_score"), 4).alias("delta_link_score"))
+    rows = l.score_deltas().groupBy("tf", "gene_key", "peak_id").agg(F.round(F.sum("delta_link_score"), 4).alias("delta_link_score"))
     return graph.strongest_edges(rows, 10).select("tf", "gene_key", "peak_id", "delta_link_score")
 
 
@@ -832,7 +832,7 @@ def topic_model_neural(l: Lens) -> DataFrame:
 
 @query()
 def link_communities(l: Lens) -> DataFrame:
-    return graph.assign_communities(l.deltas())
+    return graph.assign_communities(l.score_deltas())
 
 
 @query()
@@ -878,7 +878,7 @@ def anchored_priors(l: Lens) -> DataFrame:
 
 @query("""SELECT comparison_id, coalesce(sum(abs(delta_link_score)) FILTER (tf = 'PROMO'), 0) AS "PROMO", coalesce(sum(abs(delta_link_score)) FILTER (tf = 'SMALL'), 0) AS "SMALL" FROM (SELECT comparison_id, tf, delta_link_score FROM deltas WHERE abs(delta_link_score) >= 1) GROUP BY 1""")
 def factor_delta_table(l: Lens) -> DataFrame:
-    return graph.factor_delta_table(l.deltas(), ["PROMO", "SMALL"])
+    return graph.factor_delta_table(l.score_deltas(), ["PROMO", "SMALL"])
 
 
 @query(f"""WITH {SUMMARY}, k AS (SELECT tf FROM ag WHERE topic = '2' ORDER BY sum_abs_delta DESC, tf LIMIT 3) SELECT comparison_id, tf, gene_key, peak_id, coalesce(abs(delta_link_score) >= 2, FALSE) AS pass, coalesce(abs(log2FC_gene_expr) >= log2(1.5), FALSE) AS gene_changed FROM deltas WHERE peak_id % 5 + 1 = 2 AND tf IN (SELECT tf FROM k)""")
@@ -911,6 +911,6 @@ def correlation_histogram(l: Lens) -> DataFrame:
 
 @query("""SELECT comparison_id, topic, set, count(DISTINCT gene_key) AS overlap FROM (SELECT comparison_id, (peak_id % 5 + 1)::INT AS topic, gene_key FROM deltas WHERE abs(delta_link_score) > 6) JOIN (SELECT DISTINCT 'S' || p_size AS set, p_brand FROM part) ON p_brand = gene_key GROUP BY 1, 2, 3""")
 def marker_overlap_by_comparison(l: Lens) -> DataFrame:
-    sets = l.deltas().where("abs(delta_link_score) > 6").select("comparison_id", (F.col("peak_id") % 5 + 1).cast("int").alias("topic"), F.col("gene_key").alias("gene"))
+    sets = l.score_deltas().where("abs(delta_link_score) > 6").select("comparison_id", (F.col("peak_id") % 5 + 1).cast("int").alias("topic"), F.col("gene_key").alias("gene"))
     marks = l.table("part").select(F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("set"), F.col("p_brand").alias("gene"))
     return topics.marker_overlap(sets, marks, 40, ("comparison_id", "topic")).where("overlap > 0").select("comparison_id", "topic", "set", "overlap")
