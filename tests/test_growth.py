@@ -234,3 +234,22 @@ def test_deltas_of_sums_equal_those_of_links(spark, plain_joins, monkeypatch):
     monkeypatch.setattr(compare, "SUM_COMPARISONS", 4)
     assert sorted(tuple(r) for r in made().select(cols).collect()) == want
     assert compare.score_deltas(parts, specs.limit(0), lambda total: total).count() == 0
+
+
+def test_rounds_of_permuted_links_shuffle_no_links(spark, plain_joins, monkeypatch):
+    n, rounds = 3000, 20
+    edges = spark.range(n).select(F.concat(F.lit("d"), F.col("id") % 50).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("tf"), F.concat(F.lit("g"), F.col("id") % 4).alias("gene_key"), (F.col("id") % 60).alias("peak_id"))
+    terms = spark.range(60).select(F.concat(F.lit("PEAK:"), "id").alias("term_id"), (F.col("id") * 7 % 11 / 11).alias("score")).unionByName(spark.range(3).select(F.concat(F.lit("GENE:g"), "id").alias("term_id"), (F.col("id") / 3).alias("score")))
+    scores = terms.crossJoin(spark.range(1, 3).select(F.col("id").cast("int").alias("topic"))).withColumn("score", F.col("score") / F.col("topic"))
+    made = lambda: topics.topic_links(edges, scores, scores.withColumn("in_topic", F.lit(True)), "link_score_efdr", rounds=rounds)
+    later = type("Later", (), {"write": property(lambda self: made().write)})()
+    links = edges.distinct().count()
+    assert shuffled(spark, later) < 10 * n < 2 * links * rounds
+    one = made()
+    # The same as when all rows are permuted one by one, and as when a group is many ranges of hashes.
+    rows = one.drop("p_perm", "q_perm", "link_pass")
+    want = sorted((r.topic, r.gene_key, r.peak_id, r.doc_id, r.tf, r.p_perm, r.q_perm) for r in topics.empirical_fdr(rows, rounds=rounds).collect())
+    for at_once in (topics.PERMUTED_ROWS, 400):
+        monkeypatch.setattr(topics, "PERMUTED_ROWS", at_once)
+        assert sorted((r.topic, r.gene_key, r.peak_id, r.doc_id, r.tf, r.p_perm, r.q_perm) for r in made().collect()) == want
+    assert len(want) == 2 * links and len({w[5] for w in want}) > 10

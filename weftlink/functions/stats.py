@@ -108,8 +108,9 @@ def _p_bucket(p: Column) -> Column:
     return F.when(p <= 0, -100_000).when(p < 0.01, F.floor(F.log10(p) * 50)).otherwise(F.floor(p * 4096)).cast("long")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
-    """Adds adjusted p-values; null p take no part. Each family (all rows by default) is a set of tests.
+def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Adds adjusted p-values; null p take no part. Each family (all rows by default) is a set of tests; a row is one of
+    them, or ``count`` of them.
 
     Distinct p are counted first; their ranks and running minima are taken within buckets of p and joined
     through one small row a bucket, so a family of any size, and a p that very many rows share, is
@@ -117,7 +118,7 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
     than once, and a condition on p would otherwise be pushed into, and repeat, the expression that made p.
     """
     own, df = list(family), staged(df, "tests")
-    some = df.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("p__")).agg(F.count(F.lit(1)).alias("n__")).withColumn("b__", _p_bucket(F.col("p__")))
+    some = df.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("p__")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n__")).withColumn("b__", _p_bucket(F.col("p__")))
     # Buckets are at most 20,000 a family by their rule, so one family's are small enough for any join.
     few = (lambda t: t) if own else F.broadcast
     sums = some.groupBy(*own, "b__").agg(F.sum("n__").alias("s__"))

@@ -41,6 +41,15 @@ def numbered_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out:
     return placed
 
 
+def running_start(df: DataFrame, order: Sequence[str], n: str, out: str) -> DataFrame:
+    """Adds the sum of ``n`` over the rows before each by ``order``, which must tell all rows apart. Staged parts of a sort by range."""
+    rows = staged(numbered(df, list(order), "pos__").withColumn("part__", F.shiftright("pos__", 33)), "sorted")
+    sums = rows.groupBy("part__").agg(F.sum(n).alias("s__"))
+    sums = sums.select("part__", (F.sum("s__").over(Window.partitionBy(F.lit(0)).orderBy("part__")) - F.col("s__")).alias("before__"))
+    inside = F.sum(n).over(Window.partitionBy("part__").orderBy("pos__")) - F.col(n)
+    return rows.withColumn("inside__", inside).join(F.broadcast(sums), "part__").select(*df.columns, (F.col("before__") + F.col("inside__")).alias(out))
+
+
 def counts_at_least(null: DataFrame, observed: DataFrame, by: Sequence[str], value: str = "x", out: str = "larger") -> DataFrame:
     """(by, value, out): for each distinct observed value how many null values of its group are at least as large.
 

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.functions.stats import benjamini_hochberg, exact_quantile, gamma_cutoff, gamma_moments
-from weftlink.operators.numbering import FEW, counts_at_least, numbered_within, same, small
-from weftlink.sources.staging import forget, staged
+from weftlink.functions.stats import exact_quantile, gamma_cutoff, gamma_moments
+from weftlink.operators.numbering import FEW, numbered_within, running_start, same, small
+from weftlink.operators.permuted import permutation_hash, permuted_p  # noqa: F401
+from weftlink.sources.staging import staged
 
 
 def tf_documents(edges: DataFrame, by: str = "gene", clusters: DataFrame | None = None, modality: str | None = None) -> DataFrame:
@@ -364,13 +365,8 @@ def link_topic_scores(edges: DataFrame, theta: DataFrame, phi: DataFrame, in_top
     return rows.select(*keys, "x__.topic", "x__.score", "x__.prob", (F.col("at__") + 1).alias("topic_rank")).where(F.col("prob") >= min_prob)
 
 
-#: Permuted pairs that are staged at once, about.
-PERMUTED_ROWS = 200_000_000
-
-
-def permutation_hash(seed: int, by: str, round_: Column, number: Column) -> Column:
-    """What a round's permutation of a group orders its numbered rows by."""
-    return F.xxhash64(F.lit(seed), F.col(by).cast("string"), round_.cast("long"), number.cast("long"))
+#: Rows of a group that one task of a round orders, about.
+PERMUTED_ROWS = 8_000_000
 
 
 def empirical_fdr(rows: DataFrame, by: str = "topic", rounds: int = 100, seed: int = 1) -> DataFrame:
@@ -384,26 +380,27 @@ def empirical_fdr(rows: DataFrame, by: str = "topic", rounds: int = 100, seed: i
     keys = [c for c in rows.columns if c not in ("peak_score", "gene_score", by)]
     score = lambda c: F.col(c).cast("double")
     base = staged(numbered_within(rows, [by], [*keys, "peak_score", "gene_score"], "i__").withColumn("obs__", score("peak_score") * score("gene_score")), "links")
-    sizes = staged(base.groupBy(by).agg(F.count(F.lit(1)).alias("all__")), "sizes")
-    n, n_groups = sizes.agg(F.coalesce(F.sum("all__"), F.lit(0)), F.count(F.lit(1))).first()
-    at_once, nulls = int(max(1, min(rounds, PERMUTED_ROWS // max(n, 1)))), []
-    for first in range(0, rounds, at_once):
-        turns = F.explode(F.sequence(F.lit(first), F.lit(min(first + at_once, rounds) - 1)))
-        dealt = base.select(by, "i__", F.col("gene_score").alias("g__")).withColumn("round__", turns)
-        dealt = dealt.withColumn("h__", permutation_hash(seed, by, F.col("round__"), F.col("i__"))).withColumn("id__", F.col("i__")).drop("i__")
-        placed = numbered_within(dealt, [by, "round__"], ["h__", "id__"], "i__")
-        pairs = placed.alias("g").join(base.select(by, "i__", "peak_score").alias("p"), same("g", "p", [by, "i__"]))
-        product = pairs.select(F.col(f"g.{by}").alias(by), (score("p.peak_score") * score("g.g__")).alias("x"))
-        nulls.append(staged(product.groupBy(by, "x").agg(F.count(F.lit(1)).alias("n")), "null-products"))
-        forget(*placed.made_from)
-    null = nulls[0]
-    for more in nulls[1:]:
-        null = null.unionByName(more)
-    larger = counts_at_least(null, base.select(by, F.col("obs__").alias("x")), [by])
-    found = base.alias("b").join(larger.alias("l"), [F.col(f"b.{by}").eqNullSafe(F.col(f"l.{by}")), F.col("b.obs__") == F.col("l.x")], "left").select("b.*", "l.larger")
-    sized = found.alias("f").join(small(sizes, n_groups).alias("s"), same("f", "s", [by])).select("f.*", "s.all__")
-    p = (1 + F.col("larger")) / (1 + rounds * F.col("all__"))
-    return benjamini_hochberg(sized.withColumn("p_perm", p).drop("i__", "obs__", "larger", "all__"), "p_perm", "q_perm", (by,))
+    runs = base.select(by, F.col("i__").alias("at__"), F.lit(1).cast("long").alias("n__"), "peak_score", "gene_score")
+    found = permuted_p(runs, runs, base.select(by, F.col("obs__").alias("x"), F.lit(1).cast("long").alias("n__")), by, rounds, seed, PERMUTED_ROWS)
+    on = [*same("b", "f", [by]), F.col("b.obs__") == F.col("f.x")]
+    return base.alias("b").join(found.alias("f"), on, "left").select(*[f"b.`{c}`" for c in rows.columns], "f.p_perm", "f.q_perm")
+
+
+def _permuted_links(links: DataFrame, pairs: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """``empirical_fdr`` of every link in every topic, for ``links`` (gene_key, peak_id, ...) and ``pairs`` (gene_key, peak_id,
+    x__) with an array of scores by topic: links of a gene and a site have equal scores, so runs of them are permuted, and
+    p and q go into the arrays. The links' order is by gene, site and the rest, the same in all topics."""
+    sized = links.groupBy("gene_key", "peak_id").agg(F.count(F.lit(1)).alias("n__"))
+    on = same("n", "x", ["gene_key", "peak_id"])
+    sized = sized.alias("n").join(pairs.alias("x"), on).select("n.*", "x.x__")
+    placed = staged(running_start(sized, ["gene_key", "peak_id"], "n__", "at__"), "pairs")
+    runs = placed.select("gene_key", "peak_id", "at__", "n__", F.posexplode("x__").alias("t__", "e__"))
+    runs = runs.select("gene_key", "peak_id", "at__", "n__", "t__", "e__", "e__.topic", "e__.peak_score", "e__.gene_score")
+    genes = runs.groupBy("topic", "gene_key").agg(F.min("at__").alias("at__"), F.sum("n__").alias("n__"), F.first("gene_score").alias("gene_score"))
+    found = staged(permuted_p(runs, genes, runs.select("topic", F.col("e__.link_score").alias("x"), "n__"), "topic", rounds, seed, PERMUTED_ROWS), "permuted")
+    both = runs.alias("r").join(small(found, found.count()).alias("f"), [*same("r", "f", ["topic"]), F.col("r.e__.link_score") == F.col("f.x")], "left")
+    entry = F.struct("r.t__", F.col("r.e__").withField("p_perm", F.col("f.p_perm")).withField("q_perm", F.col("f.q_perm")).alias("e"))
+    return both.groupBy("r.at__", "r.gene_key", "r.peak_id").agg(F.sort_array(F.collect_list(entry)).alias("x__")).select("gene_key", "peak_id", F.col("x__.e").alias("x__"))
 
 
 def topic_links(edges: DataFrame, scores: DataFrame, in_topic: DataFrame, method: str = "link_score_prob", prob_cutoff: float = 0.3, fdr: float = 0.2, rounds: int = 100, seed: int = 1) -> DataFrame:
@@ -414,19 +411,26 @@ def topic_links(edges: DataFrame, scores: DataFrame, in_topic: DataFrame, method
     terms = staged(terms.withColumn("v__", F.struct(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("score"), F.coalesce("in__", F.lit(False)).alias("pass"))), "terms")
     topics = _topic_list(scores)
     peak, gene = _link_parts(edges, terms, "v__")
-    rows = _links_with(edges, _by_topic(peak, "peak_id", topics, F.col("peak_score"), "p__"), {"gene_key": (_by_topic(gene, "gene_key", topics, F.col("gene_score"), "g__"), "left")})
+    site, others = _by_topic(peak, "peak_id", topics, F.col("peak_score"), "p__"), {"gene_key": (_by_topic(gene, "gene_key", topics, F.col("gene_score"), "g__"), "left")}
     value = lambda c, i: F.coalesce(F.get(c, i)["score"], F.lit(0.0))
     passes = lambda c, i: F.coalesce(F.get(c, i)["pass"], F.lit(False))
     entry = lambda t, i: F.struct(t.alias("topic"), value("p__", i).alias("peak_score"), value("g__", i).alias("gene_score"), passes("p__", i).alias("peak_pass"), passes("g__", i).alias("gene_pass"), (value("p__", i) * value("g__", i)).alias("link_score"))
     total = lambda c: F.aggregate("x__", F.lit(0.0), lambda a, x: a + x[c])
     keys = ["gene_key", "peak_id", "doc_id", "tf"]
-    rows = rows.select(*keys, F.transform(topics, entry).alias("x__"))
+    by_topic = F.transform(topics, entry).alias("x__")
+    if method == "link_score_efdr":
+        links = staged(edges.select("gene_key", F.col("peak_id").cast("string").alias("peak_id"), "doc_id", "tf").distinct(), "links")
+        pairs = links.select("gene_key", "peak_id").distinct().join(small(*site), "peak_id", "left").join(small(*others["gene_key"][0]), "gene_key", "left")
+        permuted = _permuted_links(links, pairs.select("gene_key", "peak_id", by_topic), rounds, seed)
+        rows = links.alias("l").join(permuted.alias("p"), same("l", "p", ["gene_key", "peak_id"])).select("l.*", "p.x__")
+    else:
+        rows = _links_with(edges, site, others).select(*keys, by_topic)
+    tested = ("p_perm", "q_perm") if method == "link_score_efdr" else ()
     rows = rows.select(*keys, total("link_score").alias("links__"), total("gene_score").alias("genes__"), F.size("x__").alias("n__"), F.explode("x__").alias("e__"))
     share = lambda c, t: F.when(F.col(t) > 0, F.col(f"e__.{c}") / F.col(t)).otherwise(F.lit(1.0) / F.col("n__"))
-    rows = rows.select("e__.topic", *keys, *[f"e__.{c}" for c in ("peak_score", "gene_score", "peak_pass", "gene_pass", "link_score")], share("link_score", "links__").alias("link_prob"), share("gene_score", "genes__").alias("gene_prob"))
+    rows = rows.select("e__.topic", *keys, *[f"e__.{c}" for c in ("peak_score", "gene_score", "peak_pass", "gene_pass", "link_score")], share("link_score", "links__").alias("link_prob"), share("gene_score", "genes__").alias("gene_prob"), *[f"e__.{c}" for c in tested])
     member = F.col("peak_pass") & F.col("gene_pass")
     if method == "link_score_efdr":
-        rows = empirical_fdr(rows, rounds=rounds, seed=seed)
         return rows.withColumn("link_pass", member & (F.col("q_perm") <= fdr))
     prob = {"link_score_prob": "link_prob", "gene_prob": "gene_prob"}[method]
     return rows.withColumn("link_pass", member & (F.col(prob) >= prob_cutoff))
