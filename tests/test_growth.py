@@ -253,3 +253,38 @@ def test_rounds_of_permuted_links_shuffle_no_links(spark, plain_joins, monkeypat
         monkeypatch.setattr(topics, "PERMUTED_ROWS", at_once)
         assert sorted((r.topic, r.gene_key, r.peak_id, r.doc_id, r.tf, r.p_perm, r.q_perm) for r in made().collect()) == want
     assert len(want) == 2 * links and len({w[5] for w in want}) > 10
+
+
+def joined_rows(spark, df) -> int:
+    """Rows that the joins of a run give, and the rows of its result."""
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    found, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    metrics = [m for i in range(nodes.size()) if nodes.apply(i).name() == "SortMergeJoin" for m in [nodes.apply(i).metrics()]]
+    ids = [m.apply(k).accumulatorId() for m in metrics for k in range(m.size()) if m.apply(k).name() == "number of output rows"]
+    return sum(int(found.apply(i).replace(",", "")) for i in ids if found.contains(i))
+
+
+def test_pairs_of_different_intervals_are_not_joined_one_by_one(spark, plain_joins):
+    a = spark.range(600).select("id", F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 900).alias("end"))
+    df = intervals.overlap_join(a, a, bin_size=2000)
+    assert df.count() == 600 * 600
+    assert 0 < joined_rows(spark, df) < 600 * 600 / 20
+    genes = a.select("chrom", F.col("start").alias("tss"), F.concat(F.lit("G"), "id").alias("gene_key"))
+    priors = links.window_priors(a, genes, 1000)
+    assert priors.count() == 600 * 600 and 0 < joined_rows(spark, priors) < 600 * 600 / 20
+    assert priors.where("start = 7").select("prior_id").distinct().collect() == [("WIN_c:7-907",)]
+
+
+def test_overlaps_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "HELD", 3)
+    a = [(i, "cd"[i % 2], (i * 37) % 90 - 20, (i * 37) % 90 - 20 + i % 12) for i in range(80)] + [(900, None, 3, 9), (901, "c", None, 9), (902, "c", 3, None)]
+    b = [(i, "cd"[i % 3 % 2], (i * 53) % 100 - 30, (i * 53) % 100 - 30 + i % 25) for i in range(70)]
+    shape = "id int, chrom string, start int, end int"
+    for closed in (False, True):
+        got = intervals.overlap_join(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape), closed=closed, bin_size=8)
+        meet = lambda x, y: x[2] <= y[3] and x[3] >= y[2] if closed else x[2] < y[3] and x[3] > y[2]  # noqa: B023, E731
+        want = sorted((*x, *y) for x in a[:80] for y in b if x[1] == y[1] and meet(x, y))
+        assert sorted(tuple(r) for r in got.collect()) == want
